@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, licences, media, packing
+from . import ann, bpe, chat, jaccard, licences, media, packing, quality
 
 QUERIES = {
     f.__name__: f
     for f in (
         ann.op1_ann_graph,
         bpe.op2_byte_bpe,
+        jaccard.op3_jaccard_join,
         packing.op4_packing,
         licences.op5_license_scan,
         media.op7_audio_features,
         chat.op9_chat_rotation,
+        quality.op10_quality_classifier,
     )
 }
 
