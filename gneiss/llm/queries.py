@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, jaccard, licences, media, packing, quality
+from . import ann, bpe, chat, jaccard, licences, media, packing, quality, suffixes
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         packing.op4_packing,
         licences.op5_license_scan,
         media.op7_audio_features,
+        suffixes.op8_suffix_dedup,
         chat.op9_chat_rotation,
         quality.op10_quality_classifier,
     )
