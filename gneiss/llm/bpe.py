@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 STEPS = 48  # recursion steps of one query
-BLOCK_BYTES = 160_000  # bytes of distinct words in one query
+BLOCK_BYTES = 500_000  # bytes of distinct words in one query
 CHUNK_CHARS = 2_000_000  # text handled at a time
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 ENCODE = """
 with recursive s(it, w, p, q, l, r, k) as (
@@ -51,8 +51,7 @@ with recursive s(it, w, p, q, l, r, k) as (
   ) x
   left join merges m on x.changed and m.ab = (x.l::bigint << 32 | x.r)
 )
-select w, p, q, l, r, k
-from (select *, max(it) over (partition by w) as last from s) where it = last
+select w, p, q, l, r, k from s join (select w, max(it) as it from s group by w) using (w, it)
 """
 
 
@@ -119,38 +118,32 @@ class Engine:
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        found, todo = {}, []
-        for x in words:
-            if (y := cache.get(x)) is not None:
-                found[x] = y
-            else:
-                todo.append(x)
+        found = {x: y for x in words if (y := cache.get(x)) is not None}
+        todo = list(words - found.keys())
+        blobs = [x.encode("utf-8") for x in todo]
+        ends = np.cumsum([len(b) for b in blobs])
         i = 0
         while i < len(todo):
-            size, blobs = 0, []
-            while i + len(blobs) < len(todo) and (not blobs or size < BLOCK_BYTES):
-                blobs.append(todo[i + len(blobs)].encode("utf-8"))
-                size += len(blobs[-1])
-            got = self.encode(blobs)
-            for x, *y in zip(todo[i : i + len(blobs)], got["n"].to_pylist(), got["ids"].to_pylist(), got["hex"].to_pylist()):
-                found[x] = tuple(y)
-                if len(x) < 64:
-                    cache[x] = found[x]
-            i += len(blobs)
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK_BYTES, "right")))
+            got = self.encode(blobs[i:j])
+            codes = zip(got["n"].to_pylist(), got["ids"].to_pylist(), got["hex"].to_pylist())
+            found.update(zip(todo[i:j], codes))
+            i = j
+        cache.update((x, found[x]) for x in todo if len(x) < 64)
         return found
 
     def documents(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
         """(number of ids, ids, decoded bytes) of each text, by ordered aggregation over its words."""
-        found, word_of, doc_of = {}, [], []
-        for i, text in enumerate(texts):
-            ws = self.words.findall(text)
-            word_of += [found.setdefault(x, len(found)) for x in ws]
-            doc_of.append(len(ws))
+        words = [self.words.findall(text) for text in texts]
+        distinct = set().union(*words)
         out = [(0, "", b"")] * len(texts)
-        if not found:
+        if not distinct:
             return out
-        codes = self.lookup(set(found))
-        n, ids, hexes = zip(*(codes[x] for x in found))
+        codes = self.lookup(distinct)
+        number = dict(zip(codes, range(len(codes))))
+        word_of = [i for ws in words for i in map(number.__getitem__, ws)]
+        doc_of = [len(ws) for ws in words]
+        n, ids, hexes = zip(*codes.values())
         self.db.register("words", pa.table({"w": np.arange(len(n), dtype=np.int32), "n": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.large_string()), "hex": pa.array(hexes, pa.large_string())}))
         doc = np.repeat(np.arange(len(texts), dtype=np.int32), doc_of)
         self.db.register("places", pa.table({"d": doc, "i": np.arange(len(doc), dtype=np.int32), "w": np.array(word_of, np.int32)}))
