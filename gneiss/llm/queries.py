@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, jaccard, licences, media, packing, quality, suffixes
+from . import ann, bpe, chat, jaccard, licences, lm, media, packing, quality, suffixes
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         jaccard.op3_jaccard_join,
         packing.op4_packing,
         licences.op5_license_scan,
+        lm.op6_lm_trie,
         media.op7_audio_features,
         suffixes.op8_suffix_dedup,
         chat.op9_chat_rotation,
