@@ -67,7 +67,8 @@ def blocks_of(docs: DataFrame) -> DataFrame:
             ids, held = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
             for i, j in chunks(offsets, BLOCK_BYTES):
                 off = offsets[i : j + 1]
-                h, n = _tokens(buf[off[0] : off[-1]], off - off[0])
+                parts = [_tokens(buf[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in chunks(off)]
+                h, n = (np.concatenate(x) for x in zip(*parts))
                 known, index = np.unique(h, return_inverse=True)
                 train = np.repeat(~held[i:j], n)
                 count = np.bincount(index[train], minlength=len(known))

@@ -36,7 +36,8 @@ from .text import chunks, prefix_sums, range_hash, utf8
 
 DEPTH = 200
 GRAM = 50
-BUFFER = 32 << 20  # bytes of runs that are compared at a time
+BUFFER = 16 << 20  # bytes of runs that are compared at a time
+BITS = 12  # of a run's length, and of its gram's place in it
 
 
 def _runs(buf: np.ndarray, offsets: np.ndarray, depth: int, gram: int):
@@ -89,40 +90,72 @@ def _keyed(docs: DataFrame, *columns) -> DataFrame:
 
 def repeated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """(t1, t2, runs): for each text with repeated windows, the (lo, n) runs of their starts."""
+    if not 0 < gram <= depth < 1 << BITS:
+        raise ValueError("gram and depth must be positive, gram at most depth, depth below 4096")
     half = (depth - gram + 1) // 2
     keyed = _keyed(docs)
 
-    def runs(batches):
+    def found_in(batch):
+        """Per chunk of texts: gram and whole hash, text hashes, and places of its runs."""
+        buf, offsets = utf8(batch.column(2))
+        t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for i, j in chunks(offsets):
+            off = offsets[i : j + 1]
+            row, lo, n, at, g, c = _runs(buf[off[0] : off[-1]], off - off[0], depth, gram)
+            yield g, c, t1[i + row], t2[i + row], lo << 2 * BITS | n << BITS | at
+
+    def counted(batches):
+        for batch in batches:
+            parts = list(found_in(batch))
+            if not parts:
+                continue
+            g, c, t1, t2, place = (np.concatenate(x) for x in zip(*parts))
+            mark = t1 ^ t2 ^ place  # one of equal runs is chosen by the smallest
+            order = np.lexsort((mark, c, g))
+            g, c, mark = g[order], c[order], mark[order]
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(g)))
+            for x in range(0, len(at), 1 << 17):
+                y = slice(x, x + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g[at[y]], c[at[y]], times[y], mark[at[y]])], ["g", "c", "times", "first"])
+
+    def placed(batches):
         for batch in batches:
-            buf, offsets = utf8(batch.column(2))
-            t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, j in chunks(offsets, 4 << 20):
-                off = offsets[i : j + 1]
-                row, lo, n, at, g, c = _runs(buf[off[0] : off[-1]], off - off[0], depth, gram)
-                for x in range(0, len(row), 1 << 17):
-                    y = slice(x, x + (1 << 17))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(v) for v in (g[y], c[y], t1[i + row[y]], t2[i + row[y]], lo[y], n[y].astype(np.int32), at[y].astype(np.int32))],
-                        ["g", "c", "t1", "t2", "lo", "n", "at"],
-                    )
-
-    every = keyed.mapInArrow(runs, "g long, c long, t1 long, t2 long, lo long, n int, at int")
+            for g, c, t1, t2, place in found_in(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g, c, t1, t2, place)], ["g", "c", "t1", "t2", "place"])
+
     alike = Window.partitionBy("g")
     digits = (
-        every.groupBy("g", "c")
-        .agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("t1", "t2", "lo")).alias("first"))
+        keyed.mapInArrow(counted, "g long, c long, times long, first long")  # summed for each batch before the shuffle
+        .repartition("g")
+        .groupBy("g", "c")
+        .agg(F.sum("times").alias("times"), F.min("first").alias("first"))
         .withColumn("all", F.sum("times").over(alike))
         .withColumn("alone", F.count_if(F.col("times") == 1).over(alike))
         .where("all > 1")
         .select("g", "c", (F.col("times") > 1).alias("whole"), F.when(F.col("alone") > 0, F.col("first")).alias("first"))
     )
     digits = persisted(digits, "digits")
+    low = F.lit((1 << BITS) - 1)
     found = (
-        every.join(digits, ["g", "c"])
-        .withColumn("go_on", F.coalesce(F.struct("t1", "t2", "lo") == F.col("first"), F.lit(False)))
+        keyed.mapInArrow(placed, "g long, c long, t1 long, t2 long, place long")
+        .join(digits, ["g", "c"])
+        .withColumn("go_on", F.coalesce(F.col("t1").bitwiseXOR(F.col("t2")).bitwiseXOR(F.col("place")) == F.col("first"), F.lit(False)))
         .where("whole or go_on")
         .groupBy("t1", "t2")
-        .agg(F.collect_set(F.struct("lo", "n", "at", "whole", "go_on")).alias("runs"))
+        .agg(
+            F.collect_set(
+                F.struct(
+                    F.shiftright("place", 2 * BITS).alias("lo"),
+                    F.shiftright("place", BITS).bitwiseAND(low).cast("int").alias("n"),
+                    F.col("place").bitwiseAND(low).cast("int").alias("at"),
+                    "whole",
+                    "go_on",
+                )
+            ).alias("runs")
+        )
     )
     found = persisted(found, "runs")
 

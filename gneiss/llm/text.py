@@ -38,7 +38,7 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def chunks(offsets: np.ndarray, limit: int = 8 << 20):
+def chunks(offsets: np.ndarray, limit: int = 1 << 20):
     """Row ranges whose texts hold about limit bytes each (at least one row)."""
     i, n = 0, len(offsets) - 1
     while i < n:
