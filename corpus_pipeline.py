@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import jaccard, packing, quality, suffixes
+from gneiss.llm.bloom import maybe_in
 from gneiss.llm.store import persisted
 
 
@@ -25,7 +26,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words and rows with a null id stay; so do rows that repeat the id of a document that stays.
     """
     gone = jaccard.join(docs, k=5, percent=80).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(persisted(gone, "gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = persisted(gone, "gone")
+    maybe = maybe_in(gone)("doc_id")  # the others need no join
+    return docs.where(maybe).join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").unionAll(docs.where(~maybe))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,16 +25,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bloom import maybe_in, reduced
 from .graph import components
 from .store import persisted
 from .text import WORD, chunks, shingles, utf8, word_hashes
 
 SKETCH = 1 << 20
-SLICES = 16
 BLOCK = 2_000_000  # shingles of a block in verification
 
 
@@ -50,42 +49,15 @@ def _sets(column, k):
 
 def sketch(docs: DataFrame, k: int) -> np.ndarray:
     """Counts of the shingles' buckets over all documents."""
-    width = SKETCH // SLICES
 
-    def count(batches):
-        total = np.zeros(SKETCH, np.uint64)
-        for batch in batches:
-            for _, _, h, _ in _sets(batch.column(0), k):
-                total += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint64)
-        salt = TaskContext.get().partitionId() % 32
-        yield rows(total, range(SLICES), salt)
-
-    def rows(total, which, salt):
-        blobs = [np.minimum(total[s * width : (s + 1) * width], 2**32 - 1).astype(np.uint32).tobytes() for s in which]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(which), pa.int32()), pa.array([salt] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "salt", "counts"]
-        )
-
-    def add(batches):
-        sums: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for s, salt, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                part = np.frombuffer(blob.as_buffer(), np.uint32).astype(np.uint64)
-                sums[s] = sums[s] + part if s in sums else part
-        for s, part in sums.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s], pa.int32()), pa.array([0], pa.int32()), pa.array([np.minimum(part, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())],
-                ["slice", "salt", "counts"],
-            )
-
-    schema = "slice int, salt int, counts binary"
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(count, schema)
-    for by in (("slice", "salt"), ("slice",)):
-        parts = parts.repartition(*by).mapInArrow(add, schema)
-    out = np.zeros(SKETCH, np.uint32)
-    for r in parts.collect():  # SLICES rows
-        out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(bytes(r.counts), np.uint32)
-    return out
+    def count(total, batch):
+        for _, _, h, _ in _sets(batch.column(0), k):
+            total += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+
+    def add(a, b):
+        return np.minimum(a.astype(np.uint64) + b, 2**32 - 1).astype(np.uint32)
+
+    return reduced(docs.select(F.col("text").cast("string")), SKETCH, np.uint32, count, add)
 
 
 def _bitmap(h: np.ndarray) -> bytes:
@@ -291,8 +263,9 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .select("doc_id", "node", "c", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
     )
+    wanted = maybe_in(total.select("doc_id"))  # spares most other texts the shuffle; the join decides
     held = (
-        docs.join(placed, "doc_id").select("c", "x", "y", "node", "text").repartition("c", "x", "y").sortWithinPartitions("c", "x", "y")
+        docs.where(wanted("doc_id")).join(placed, "doc_id").select("c", "x", "y", "node", "text").repartition("c", "x", "y").sortWithinPartitions("c", "x", "y")
     )
 
     def verify(batches):

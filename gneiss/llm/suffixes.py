@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bloom import maybe_in
 from .store import persisted
 from .text import chunks, prefix_sums, range_hash, utf8
 
@@ -159,7 +160,8 @@ def repeated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame
     )
     found = persisted(found, "runs")
 
-    texts = keyed.withColumn("i", F.row_number().over(Window.partitionBy("t1", "t2").orderBy("t1"))).where("i = 1").drop("i")
+    going = found.where(F.exists("runs", lambda r: r["go_on"])).select("t1")
+    texts = keyed.where(maybe_in(going)("t1")).withColumn("i", F.row_number().over(Window.partitionBy("t1", "t2").orderBy("t1"))).where("i = 1").drop("i")
     left = found.select("t1", "t2", F.filter("runs", lambda r: r["go_on"]).alias("runs")).where(F.size("runs") > 0)
 
     def halves(batches):
@@ -276,6 +278,13 @@ def repeated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame
     return persisted(whole.union(pieces).groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "n")).alias("runs")), "repeated")
 
 
+def _with_runs(keyed: DataFrame, runs: DataFrame) -> DataFrame:
+    """keyed with the runs of its texts. Texts that surely have none don't go through the shuffle of the join."""
+    some = maybe_in(runs.select("t1"))("t1")
+    without = keyed.where(~some).withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType))
+    return keyed.where(some).join(runs, ["t1", "t2"], "left").select(without.columns).unionAll(without)
+
+
 def removals(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the hash of the kept bytes, for each row of docs(doc_id, text)."""
 
@@ -296,7 +305,7 @@ def removals(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame
 
     keyed = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"))
     return (
-        keyed.join(repeated(docs, depth, gram), ["t1", "t2"], "left")
+        _with_runs(keyed, repeated(docs, depth, gram))
         .select("doc_id", "text", "runs")
         .mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )
@@ -331,12 +340,11 @@ def cleaned(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
     names, at = docs.columns, docs.columns.index("text")
-    kind = docs.schema["text"].dataType
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    runs = repeated(docs, depth, gram).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("runs").alias("_runs"))
-    joined = docs.join(runs, (F.xxhash64(text) == F.col("_t1")) & (F.xxhash64(F.lit(7), text) == F.col("_t2")), "left")
-    assert kind.simpleString() == "string"
-    return joined.select(*[docs[c] for c in names], runs["_runs"]).mapInArrow(run, docs.schema)
+    row = F.struct(*[F.col(c) for c in names])
+    keyed = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), row.alias("row"))
+    joined = _with_runs(keyed, repeated(docs, depth, gram))
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("runs").alias("_runs")).mapInArrow(run, docs.schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
