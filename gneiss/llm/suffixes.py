@@ -37,7 +37,8 @@ from .text import chunks, prefix_sums, range_hash, utf8
 
 DEPTH = 200
 GRAM = 50
-BUFFER = 16 << 20  # bytes of runs that are compared at a time
+BUFFER = 4 << 20  # bytes of runs that a group may have to be compared in one piece
+STEP = 1 << 20  # bytes of smaller groups that are compared at a time
 BITS = 12  # of a run's length, and of its gram's place in it
 
 
@@ -214,6 +215,20 @@ def repeated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame
         held, size, big = [], 0, None
 
         def full(t):
+            """Compares whole groups, some STEP bytes of them at a time."""
+            d = t["d"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            rows = max(1, int(t.num_rows * STEP / max(1, t.nbytes)))
+            a = 0
+            while a < t.num_rows:
+                k = int(np.searchsorted(starts, a + rows, "right")) - 1
+                b = int(starts[k]) if starts[k] > a else int(starts[k + 1]) if k + 1 < len(starts) else t.num_rows
+                if t.num_rows - a <= rows:
+                    b = t.num_rows
+                yield from groups(t.slice(a, b - a))
+                a = b
+
+        def groups(t):
             d = t["d"].to_numpy()
             w, row, lo = windows(t)
             group = np.cumsum(np.concatenate([[0], d[1:] != d[:-1]]))[row]
