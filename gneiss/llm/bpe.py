@@ -78,8 +78,9 @@ class Engine:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self._register("m", ab=np.array(left, np.int64) << 32 | np.array(right, np.int64), t=np.array(to, np.int32))
         self.db.execute("create table merges as select ab, t from m order by ab")
-        self.db.register("v", pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "b": pa.array([x.hex() for x in ranks])}))
-        self.db.execute("create table vocabulary as select t, b from v")
+        named = {r: t.hex() for t, r in ranks.items()}
+        self.db.register("v", pa.table({"t": pa.array(range(max(named) + 1), pa.int32()), "b": pa.array([named.get(i) for i in range(max(named) + 1)])}))
+        self.db.execute("create table vocabulary as select list(b order by t) as b from v")
 
     def _register(self, name: str, **columns):
         self.db.register(name, pa.table({k: pa.array(v) for k, v in columns.items()}))
@@ -109,8 +110,8 @@ class Engine:
             state = got.filter(pa.array(more)).select(["w", "p", "q", "l", "r"])
         self.db.register("tokens", pa.concat_tables(done))
         return self._rows(
-            "select w, count(*) as n, string_agg(l::varchar, ',' order by p) as ids, string_agg(b, '' order by p) as hex"
-            " from tokens join vocabulary on t = l group by w order by w"
+            "select w, len(ids) as n, array_to_string(ids, ',') as ids, array_to_string(list_select(b, list_transform(ids, lambda x: x + 1)), '') as hex"
+            " from (select w, list(l order by p) as ids from tokens group by w), vocabulary order by w"
         )
 
     def lookup(self, words: set[str]) -> dict[str, tuple[int, str, str]]:
@@ -144,15 +145,17 @@ class Engine:
         word_of = [i for ws in words for i in map(number.__getitem__, ws)]
         doc_of = [len(ws) for ws in words]
         n, ids, hexes = zip(*codes.values())
-        self.db.register("words", pa.table({"w": np.arange(len(n), dtype=np.int32), "n": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.large_string()), "hex": pa.array(hexes, pa.large_string())}))
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), doc_of)
-        self.db.register("places", pa.table({"d": doc, "i": np.arange(len(doc), dtype=np.int32), "w": np.array(word_of, np.int32)}))
+        self.db.register("words", pa.table({"w": np.arange(len(n), dtype=np.int32), "ids": pa.array(ids, pa.large_string()), "hex": pa.array(hexes, pa.large_string())}))
+        doc, word_of = np.repeat(np.arange(len(texts), dtype=np.int32), doc_of), np.array(word_of, np.int32)
+        self.db.register("places", pa.table({"d": doc, "i": np.arange(len(doc), dtype=np.int32), "w": word_of}))
         got = self._rows(
-            "select d, sum(n)::bigint as n, string_agg(ids, ',' order by i) as ids, string_agg(hex, '' order by i) as hex"
-            " from places join words using (w) group by d"
+            "with all_words as (select list(ids order by w) as ids, list(hex order by w) as hex from words),"
+            " texts as (select d, list(w + 1 order by i) as ws from places group by d)"
+            " select d, array_to_string(list_select(ids, ws), ',') as ids, array_to_string(list_select(hex, ws), '') as hex from texts, all_words"
         )
-        for d, a, b, c in zip(*(got[x].to_pylist() for x in ("d", "n", "ids", "hex"))):
-            out[d] = (a, b, bytes.fromhex(c))
+        total = np.bincount(doc, np.array(n)[word_of], len(texts)).astype(np.int64).tolist()
+        for d, a, b in zip(*(got[x].to_pylist() for x in ("d", "ids", "hex"))):
+            out[d] = (total[d], a, bytes.fromhex(b))
         return out
 
 
