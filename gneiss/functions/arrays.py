@@ -222,11 +222,14 @@ def _size_inner(c: Column, kind: T.DataType, nullable: bool, n: Column, held) ->
         leaf = kind.elementType
         return bitmap + (n + 1) * OFFSET + _size_inner(c, leaf, kind.containsNull, inner, lambda f: held(lambda x: _per_list(x, leaf, f)))
     if isinstance(kind, T.StructType):
-        parts = [_size_inner(c, f.dataType, f.nullable, n, lambda g, f=f: held(lambda x: g(x.getField(f.name)))) for f in kind.fields]
-        return bitmap + sum(parts, F.lit(0))
+        return bitmap + sum((_size_inner(c, f.dataType, f.nullable, n, _held_field(held, f.name)) for f in kind.fields), F.lit(0))
     raise TypeError(f"byte size is not defined for {kind.simpleString()}")
 
 
+def _held_field(held, name: str):
+    return lambda measure: held(lambda x: measure(x.getField(name)))
+
+
 def total_byte_size(df: DataFrame, ignore_unsupported: bool = False) -> Column:
     """A13 (aggregate): sum of the columns' byte sizes; columns of other types are an error, or skipped."""
     out = F.lit(0).cast("long")

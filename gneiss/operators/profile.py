@@ -65,10 +65,14 @@ def _leaves(c: Column, kind: T.DataType) -> list[tuple[str, Column]]:
             out += _leaves(inner.getField(f.name), f.dataType)
         else:
             for k, _ in _leaves(F.lit(None).cast(f.dataType), f.dataType):
-                out.append((k, F.aggregate(F.coalesce(inner, F.array().cast(T.ArrayType(struct))), F.lit(0), lambda a, x, f=f: a + F.coalesce(_count(x.getField(f.name), f.dataType), F.lit(0)))))
+                out.append((k, F.aggregate(F.coalesce(inner, F.array().cast(T.ArrayType(struct))), F.lit(0), _adding(f))))
     return out
 
 
+def _adding(f: T.StructField):
+    return lambda total, x: total + F.coalesce(_count(x.getField(f.name), f.dataType), F.lit(0))
+
+
 def _flat(c: Column, levels: int) -> Column:
     for _ in range(levels - 1):
         c = F.flatten(F.filter(c, lambda x: x.isNotNull()))

@@ -43,6 +43,10 @@ def _values(df: DataFrame, key: str) -> Column:
     return F.filter(F.transform(one, lambda x: x.cast("string")), lambda x: x.isNotNull())
 
 
+def _equals(v: str):
+    return lambda x: (x == v) | F.coalesce(x.try_cast("double") == F.lit(v).try_cast("double"), F.lit(False))
+
+
 def slice_rows(df: DataFrame, keys: list[str] = (), values: dict[str, str] | None = None) -> DataFrame:
     """Df with slice_key, a list of (key, value) pairs: a row for each slice that an example is in.
 
@@ -54,8 +58,7 @@ def slice_rows(df: DataFrame, keys: list[str] = (), values: dict[str, str] | Non
         out = out.withColumn(f"_k{i}", F.explode(F.array_distinct(_values(df, k))))
         pairs.append(F.struct(F.lit(k).alias("key"), F.col(f"_k{i}").alias("value")))
     for k, v in (values or {}).items():
-        same = lambda x, v=v: (x == v) | F.coalesce(x.try_cast("double") == F.lit(v).try_cast("double"), F.lit(False))
-        out = out.where(F.exists(_values(df, k), same))
+        out = out.where(F.exists(_values(df, k), _equals(v)))
         pairs.append(F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")))
     empty = F.array().cast("array<struct<key:string,value:string>>")
     return out.withColumn("slice_key", F.array(*pairs) if pairs else empty).drop(*[f"_k{i}" for i in range(len(keys))])

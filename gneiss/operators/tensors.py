@@ -64,14 +64,14 @@ def split_by_lengths(values: Column, lengths: Column, what: str = "row lengths")
     total = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
     ends = F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
     lists = F.transform(F.arrays_zip(ends.alias("e"), lengths.alias("n")), lambda p: F.slice(values, (p["e"] - p["n"] + 1).cast("int"), p["n"].cast("int")))
-    return F.when(total == F.size(values), lists).when(values.isNull() | lengths.isNull(), F.lit(None)).otherwise(F.raise_error(F.lit(f"{what} don't add up to the number of values")).cast("string").cast("void"))
+    return F.when(total == F.size(values), lists).when(values.isNull() | lengths.isNull(), F.lit(None)).otherwise(F.raise_error(F.lit(f"{what} don't add up to the number of values")))
 
 
 def split_uniform(values: Column, n: int) -> Column:
     """A list cut into lists of n."""
     ok = F.size(values) % n == 0
     parts = F.when(F.size(values) == 0, F.array()).otherwise(F.transform(F.sequence(F.lit(0), (F.size(values) / n).cast("int") - 1), lambda i: F.slice(values, i * n + 1, n)))
-    return F.when(ok, parts).when(values.isNull(), F.lit(None)).otherwise(F.raise_error(F.lit(f"the number of values is no multiple of {n}")).cast("void"))
+    return F.when(ok, parts).when(values.isNull(), F.lit(None)).otherwise(F.raise_error(F.lit(f"the number of values is no multiple of {n}")))
 
 
 def ragged(df: DataFrame, r: Representation) -> Column:
@@ -163,6 +163,10 @@ def from_sparse(coordinates: DataFrame, rows: DataFrame, row: str = "row", name:
     return arrays.regroup(coordinates, rows, row, "i0", "value", empty_as_null=False).withColumnRenamed("values", name)
 
 
+def _coordinate(k: int):
+    return lambda s: s[f"i{k}"].cast("long")
+
+
 def from_sparse_nd(coordinates: DataFrame, rows: DataFrame, name: str, rank: int) -> DataFrame:
     """Three and more dimensions: (row, name$values, name$index0, ..), values in the order of their indices."""
     at = [f"i{k}" for k in range(rank)]
@@ -172,7 +176,7 @@ def from_sparse_nd(coordinates: DataFrame, rows: DataFrame, name: str, rank: int
     return rows.join(lists, "row", "left").select(
         "row",
         empty(F.transform("x", lambda s: s["value"]), f"array<{kind}>").alias(f"{name}$values"),
-        *[empty(F.transform("x", lambda s, k=k: s[f"i{k}"].cast("long")), "array<bigint>").alias(f"{name}$index{k}") for k in range(rank)],
+        *[empty(F.transform("x", _coordinate(k)), "array<bigint>").alias(f"{name}$index{k}") for k in range(rank)],
     )
 
 

@@ -21,15 +21,17 @@ _DIGITS = r"[0-9]+(_[0-9]+)*"
 _FLOAT = rf"(?i)^{_BLANK}[+-]?(({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})(e[+-]?{_DIGITS})?|nan|inf|infinity){_BLANK}$"
 
 
-def cells(line: Column | str, n: int, delimiter: str = ",") -> Column:
-    """C4: the line's cells as a list of strings by RFC 4180; a blank line has none. Wider or narrower lines keep their width."""
+def cells(line: Column | str, delimiter: str = ",") -> Column:
+    """C4: the line's cells as a list of strings by RFC 4180, as many as it has; a blank line has none."""
     c = F.col(line) if isinstance(line, str) else line
-    quoted = F.contains(c, F.lit('"'))
-    plain = F.split(c, "\\Q" + delimiter + "\\E", -1)
-    fields = ",".join(f"c{i} string" for i in range(n + 1))
-    row = F.from_csv(c, fields, {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "\x00", "emptyValue": ""})
-    parsed = F.filter(F.array(*[row.getField(f"c{i}") for i in range(n + 1)]), lambda x: x.isNotNull())
-    return F.when(F.trim(c) == "", F.array().cast("array<string>")).when(quoted, parsed).otherwise(plain)
+    if len(delimiter) != 1 or delimiter == '"':
+        raise ValueError("a delimiter is one character, and no quote")
+    sep, other = f"\\Q{delimiter}\\E", f"[^\\Q{delimiter}\\E]"
+    # with a delimiter put before the line, every cell begins with one; quoted parts may hold delimiters
+    found = F.regexp_extract_all(F.concat(F.lit(delimiter), c), F.lit(f'{sep}("[^"]*+(?:""[^"]*+)*+"{other}*+|{other}*+)'), F.lit(1))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, '(?s)^"([^"]*+(?:""[^"]*+)*+)"(.*)$', "$1$2"), '""', '"')
+    quoted = F.transform(found, lambda x: F.when(F.startswith(x, F.lit('"')), bare(x)).otherwise(x))
+    return F.when(F.trim(c) == "", F.array().cast("array<string>")).when(F.contains(c, F.lit('"')), quoted).otherwise(F.split(c, sep, -1))
 
 
 def value_rank(c: Column) -> Column:
@@ -57,6 +59,10 @@ def _convert(c: Column, kind: str) -> Column:
     return F.encode(c, "UTF-8") if kind == "BYTES" else _number(c, kind)
 
 
+def _converter(kind: str):
+    return lambda x: _convert(x, kind)
+
+
 @dataclass(frozen=True)
 class CsvFormat:
     column_names: tuple[str, ...]
@@ -75,7 +81,7 @@ class CsvFormat:
 def _rows(lines: DataFrame, column: str, form: CsvFormat) -> DataFrame:
     """Lines with their cells `_c`; a width other than the columns' is an error, blank lines go or stay."""
     n = len(form.column_names)
-    rows = lines.withColumn("_c", cells(column, n, form.delimiter))
+    rows = lines.withColumn("_c", cells(column, form.delimiter))
     if form.skip_blank_lines:
         rows = rows.where(F.size("_c") > 0)
     wrong = (F.size("_c") != n) & (F.size("_c") > 0)
@@ -142,7 +148,7 @@ def decode(lines: DataFrame, column: str, form: CsvFormat, schema: FeatureSchema
             out.append(F.lit(None).alias(name))
             continue
         c = F.get(F.col("_c"), i)
-        values = F.transform(_parts(form, i), lambda x, kind=kind: _convert(x, kind)) if name in form.multivalent else F.array(_convert(c, kind))
+        values = F.transform(_parts(form, i), _converter(kind)) if name in form.multivalent else F.array(_convert(c, kind))
         out.append(F.when(F.coalesce(c, F.lit("")) != "", values).alias(name))
     if raw_record is not None:
         out.append(F.array(F.encode(F.col(column), "UTF-8")).alias(raw_record))
