@@ -90,9 +90,13 @@ def num_values(df: DataFrame) -> list[tuple[str, Column]]:
     return [x for f in df.schema.fields for x in _leaves(F.col(f.name), f.dataType)]
 
 
-def value_distributions(df: DataFrame) -> DataFrame:
-    """(kind, min, max, count, sum) of the values per row and leaf, by kind and over all (ALL); one pass."""
+def value_distributions(df: DataFrame, fraction: float = 1.0, seed: int | None = None) -> DataFrame:
+    """(kind, min, max, count, sum) of the values per row and leaf, by kind and over all (ALL); one pass.
+
+    With a fraction below one, distributions are those of a sample of the rows, which is what they cost.
+    """
     leaves = num_values(df)
+    df = df if fraction >= 1 else df.sample(fraction, seed)
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), n.cast("long").alias("n")) for k, n in leaves]))
     both = F.explode(F.array(F.col("x.kind"), F.lit("ALL"))).alias("kind")
     return df.select(each.alias("x")).select(both, F.col("x.n").alias("n")).groupBy("kind").agg(

@@ -70,6 +70,7 @@ def test_profile(spark):
     assert {r.kind: r.cells for r in profile.num_cells(df).collect()} == {"NULL": 4, "STRING": 3, "INT": 4, "FLOAT": 4}
     p = {r.metric.rsplit("-", 1)[1]: tuple(r)[1:] for r in profile.profile(df).collect()}
     assert p["num_feature_values"] == (0, 2, 16, 13) and p["num_feature_values[INT]"] == (1, 1, 4, 4) and p["num_rows"] == (4, 4, 1, 4)
+    assert profile.value_distributions(df, 0.0).count() == 0
     same, o = profile.observed(df)
     assert same.count() == 4 and o.get["num_rows"] == 4 and o.get["columns_sum"] == 11
 
