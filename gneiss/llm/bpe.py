@@ -25,6 +25,8 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .store import bounded_batches
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 STEPS = 48  # recursion steps of one query
 BLOCK_BYTES = 500_000  # bytes of distinct words in one query
@@ -166,6 +168,7 @@ def engine(path: str) -> Engine:
 
 def encode_decode(docs: DataFrame, ranks: str | None = None, full: bool = False) -> DataFrame:
     """Ids of each text of docs(doc_id, text) and their decoding, as digests; with full, also ids and decoded text."""
+    bounded_batches(docs.sparkSession)
     path = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
     def run(batches):

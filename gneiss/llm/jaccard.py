@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from .bloom import maybe_in, reduced
 from .graph import components
-from .store import persisted
+from .store import bounded_batches, persisted
 from .text import WORD, chunks, shingles, utf8, word_hashes
 
 SKETCH = 1 << 20
-BLOCK = 2_000_000  # shingles of a block in verification
+BLOCK = 1_000_000  # shingles of a block in verification
 
 
 def _sets(column, k):
@@ -168,6 +168,7 @@ def _links(h, offsets, percent):
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs(doc_id, text)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = spark.sparkContext.broadcast(sketch(docs, k))  # SKETCH counters, whatever the input
 

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import bounded_batches
 from .text import ALNUM, chunks, utf8, word_hashes
 
 K = 2
@@ -75,6 +76,7 @@ def template_rows() -> list[tuple[int, int, int]]:
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of docs(doc_id, text): words, base places and labels, and the spans found by the templates."""
     spark = docs.sparkSession
+    bounded_batches(spark)
 
     def grams(batches):
         uid, part = 0, TaskContext.get().partitionId() << 33

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import persisted
+from .store import bounded_batches, persisted
 from .text import LOWER, chunks, mix, prefix_sums, range_hash, utf8, words
 from .trie import VALUES, Trie
 
@@ -118,6 +118,7 @@ def _groups(batches, key: int):
 def score(docs: DataFrame, mu: float = MU) -> DataFrame:
     """Base and model scores of each row of docs(doc_id, text)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     blocks = persisted(blocks_of(docs), "blocks")
     total = blocks.agg(F.sum("tokens")).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-total // SHARD_TOKENS))

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .store import bounded_batches
+
 PAD = 192
 RATE = 16_000  # of the stored samples
 TAPS = 32
@@ -161,6 +163,7 @@ def audio(docs: DataFrame, full: bool = False) -> DataFrame:
                     names += ["media", "tensor", "spans"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
+    bounded_batches(docs.sparkSession)
     more = ", media binary, tensor array<float>, spans array<struct<start: double, end: double>>" if full else ""
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, SCHEMA + more)
 

@@ -22,7 +22,7 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .text import utf8
+from .store import bounded_batches
 
 MAX_LEN = 2048
 END_ID = 1
@@ -101,6 +101,7 @@ def pack(
     """
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
+    bounded_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches):

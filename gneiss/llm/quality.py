@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import bounded_batches
 from .text import LOWER, chunks, prefix_sums, range_hash, utf8, words
 
 PASSAGE = 512
@@ -168,6 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int | None = 5, max_trai
 
     With held_out = n, ids whose crc32 (as text) is divisible by n are left out.
     """
+    bounded_batches(docs.sparkSession)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     if held_out:
         rows = rows.where(F.crc32(F.col("doc_id").cast("string")) % held_out != 0)
@@ -201,6 +203,7 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
             s = scores(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, score double, predicted int"
     )
@@ -208,6 +211,7 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
 
 def keep(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least the threshold, with all their columns."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):

@@ -25,3 +25,12 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """From here on the session hands Python workers at most this much text at a time (and one row at least).
+
+    Text operators call it. The default, ten thousand rows or 64 MB, is several times as much in the copies that the
+    JVM and the worker hold. The setting only says how rows are batched; it stays, since plans are run later.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

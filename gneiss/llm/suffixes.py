@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bloom import maybe_in
-from .store import persisted
+from .store import bounded_batches, persisted
 from .text import chunks, prefix_sums, range_hash, utf8
 
 DEPTH = 200
 GRAM = 50
 BUFFER = 4 << 20  # bytes of runs that a group may have to be compared in one piece
 STEP = 1 << 20  # bytes of smaller groups that are compared at a time
+SUMMED = 300_000  # runs that a task sums before the shuffle
 BITS = 12  # of a run's length, and of its gram's place in it
 
 
@@ -95,6 +96,7 @@ def repeated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame
     if not 0 < gram <= depth < 1 << BITS:
         raise ValueError("gram and depth must be positive, gram at most depth, depth below 4096")
     half = (depth - gram + 1) // 2
+    bounded_batches(docs.sparkSession)
     keyed = _keyed(docs)
 
     def found_in(batch):
@@ -107,21 +109,29 @@ def repeated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame
             yield g, c, t1[i + row], t2[i + row], lo << 2 * BITS | n << BITS | at
 
     def counted(batches):
+        held, size = [], 0
         for batch in batches:
-            parts = list(found_in(batch))
-            if not parts:
-                continue
-            g, c, t1, t2, place = (np.concatenate(x) for x in zip(*parts))
-            mark = t1 ^ t2 ^ place  # one of equal runs is chosen by the smallest
-            order = np.lexsort((mark, c, g))
-            g, c, mark = g[order], c[order], mark[order]
-            new = np.ones(len(g), bool)
-            new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(g)))
-            for x in range(0, len(at), 1 << 17):
-                y = slice(x, x + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g[at[y]], c[at[y]], times[y], mark[at[y]])], ["g", "c", "times", "first"])
+            for part in found_in(batch):
+                held.append(part)
+                size += len(part[0])
+            if size >= SUMMED:
+                yield from summed(held)
+                held, size = [], 0
+        if size:
+            yield from summed(held)
+
+    def summed(parts):
+        g, c, t1, t2, place = (np.concatenate(x) for x in zip(*parts))
+        mark = t1 ^ t2 ^ place  # one of equal runs is chosen by the smallest
+        order = np.lexsort((mark, c, g))
+        g, c, mark = g[order], c[order], mark[order]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+        at = np.flatnonzero(new)
+        times = np.diff(np.append(at, len(g)))
+        for x in range(0, len(at), 1 << 17):
+            y = slice(x, x + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g[at[y]], c[at[y]], times[y], mark[at[y]])], ["g", "c", "times", "first"])
 
     def placed(batches):
         for batch in batches:
@@ -130,7 +140,7 @@ def repeated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame
 
     alike = Window.partitionBy("g")
     digits = (
-        keyed.mapInArrow(counted, "g long, c long, times long, first long")  # summed for each batch before the shuffle
+        keyed.mapInArrow(counted, "g long, c long, times long, first long")  # summed some SUMMED runs at a time before the shuffle
         .repartition("g")
         .groupBy("g", "c")
         .agg(F.sum("times").alias("times"), F.min("first").alias("first"))

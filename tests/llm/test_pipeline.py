@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force on a generated table."""
 
 import corpus_pipeline as p
+from pyspark.sql import functions as F
 from gneiss.llm import quality
 
 from .fixtures import SF
@@ -42,3 +43,28 @@ def test_stages(spark):
 
 def test_run(spark):
     assert p.run(spark, SF).count() > 100
+
+
+def test_edges(spark):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns, no rows: nothing is lost unduly."""
+    from .fixtures import edge_docs, empty_docs
+
+    docs = edge_docs(spark).withColumn("runs", F.lit(1)).withColumn("t1", F.lit("x")).withColumn("score", F.lit(None).cast("double"))
+    labels = spark.createDataFrame([(4, 1), (5, 1), (13, 0), (None, 0)], "doc_id long, quality int")
+    kept = quality.keep(docs, quality.learn(docs, labels, held_out=None), 0.0)
+    assert kept.schema == docs.schema and kept.count() == docs.count()
+    once = p.near_duplicates(spark, kept, SF)
+    assert once.columns == docs.columns
+    ids = [r.doc_id for r in once.collect()]
+    # 9 and 10 are copies; the null id and the texts without words stay
+    assert sorted(ids, key=str) == sorted([i for i in [r.doc_id for r in docs.collect()] if i != 10], key=str)
+    clean = {r.doc_id: r for r in p.repeated_passages(spark, once, SF).collect()}
+    assert clean[1].text is None and clean[1].n_chars is None and clean[2].text == "" and clean[9].runs == 1 and clean[9].t1 == "x"
+    assert 7 not in clean and 13 not in clean  # one character, one word over and over
+    assert clean[8].text.startswith("é ß 漢字")
+    packed = p.pack_sequences(spark, once, SF)
+    assert packed.where("doc_id is null").count() > 0
+    for f in (p.near_duplicates, p.repeated_passages, p.pack_sequences):
+        assert f(spark, empty_docs(spark), SF).count() == 0
+    twice = docs.where("doc_id = 9").unionAll(docs.where("doc_id = 9"))
+    assert p.near_duplicates(spark, twice, SF).count() == 2 and p.repeated_passages(spark, twice, SF).count() == 2
