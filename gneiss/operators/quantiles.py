@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 64
+SIDE = 8  # a group is dealt to SIDE * SIDE ranges
 
 
 def _clean(df: DataFrame, value: str, weight: str | None, by: list[str]) -> DataFrame:
@@ -19,46 +19,51 @@ def _clean(df: DataFrame, value: str, weight: str | None, by: list[str]) -> Data
     return rows.where("v is not null and not isnan(v) and w is not null and not isnan(w) and w > 0")
 
 
-def cumulative(df: DataFrame, value: str, weight: str | None = None, by: list[str] = (), parts: int = PARTS) -> DataFrame:
+def cumulative(df: DataFrame, value: str, weight: str | None = None, by: list[str] = (), side: int = SIDE) -> DataFrame:
     """(by.., v, cw, before, tw, last): each distinct value with its cumulative weight and the one before it.
 
     Weights are first summed by value, before the shuffle. Values are then dealt to ranges by approximate quantiles of
-    their group (PARTS of them), summed up within each range, and shifted by the sums of the ranges below. So a group
-    that holds all rows is spread over PARTS tasks; only the ranges' sums, PARTS rows for a group, are brought together.
+    their group (side * side of them), summed up within each range, and shifted by the sums of the ranges below. So a
+    group that holds all rows is spread over as many tasks; only the ranges' sums, a row each, are brought together.
     """
     by = list(by)
     g = _clean(df, value, weight, by).groupBy(*by, "v").agg(F.sum("w").alias("w"))
-    cuts = [i / parts for i in range(1, parts)]
+    cuts = [i / side**2 for i in range(1, side**2)]
     bounds = g.groupBy(*by).agg(F.percentile_approx("v", cuts, 1000).alias("cuts"))
     ranged = g.join(bounds, by) if by else g.crossJoin(F.broadcast(bounds))  # without keys: one row
-    ranged = ranged.withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
-    sums = ranged.groupBy(*by, "part").agg(F.sum("w").alias("pw"))
+    # the number of cuts below a value, found in two steps of side - 1 comparisons
+    one = lambda c: F.coalesce((c < F.col("v")).cast("int"), F.lit(0))  # noqa: E731  never null: no filter is made of it
+    below = lambda at: sum((one(F.get("cuts", at(j))) for j in range(side - 1)), F.lit(0))
+    ranged = ranged.withColumn("block", below(lambda j: F.lit(side * j + side - 1)) * side)
+    ranged = ranged.withColumn("part", F.col("block") + below(lambda j: F.col("block") + j)).drop("cuts", "block")
+    sums = ranged.groupBy(*by, "part").agg(F.sum("w").alias("pw"), F.max("v").alias("top"))
     keys = by or [F.lit(0)]
     over = Window.partitionBy(*keys).orderBy("part")
     sums = (
         sums.withColumn("base", F.coalesce(F.sum("pw").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("tw", F.sum("pw").over(Window.partitionBy(*keys)))
-        .withColumn("top", F.max("part").over(Window.partitionBy(*keys)))
+        .withColumn("top", F.max("top").over(Window.partitionBy(*keys)))
         .drop("pw")
     )
-    inside = Window.partitionBy(*by, "part").orderBy("v")
+    inside = Window.partitionBy(*by, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        ranged.join(sums, [*by, "part"])
+        # dealt by range for the window anyway; left to itself, a broadcast may take the side of the values
+        ranged.repartition(*by, "part").join(sums.hint("merge"), [*by, "part"])
         .withColumn("cw", F.col("base") + F.sum("w").over(inside))
         .withColumn("before", F.col("cw") - F.col("w"))
-        .withColumn("last", (F.col("part") == F.col("top")) & F.lead("v").over(inside).isNull())
+        .withColumn("last", F.col("v") == F.col("top"))
         .select(*by, "v", "cw", "before", "tw", "last")
     )
 
 
-def quantiles(df: DataFrame, value: str, n: int, weight: str | None = None, by: list[str] = (), parts: int = PARTS) -> DataFrame:
+def quantiles(df: DataFrame, value: str, n: int, weight: str | None = None, by: list[str] = (), side: int = SIDE) -> DataFrame:
     """(by.., r, quantile, cum_weight) for r = 0..n; groups without values have no rows.
 
     Each value finds the boundaries that it is by itself: those r for which r * W / n lies in [before, cw).
     """
     if n < 2:
         raise ValueError("at least two quantiles are asked for")
-    c = cumulative(df, value, weight, by, parts)
+    c = cumulative(df, value, weight, by, side)
     at = lambda r: r * F.col("tw") / F.lit(n)
     low = F.greatest(F.lit(0), F.floor(F.col("before") * n / F.col("tw")).cast("int") - 1)
     high = F.when(F.col("last"), F.lit(n)).otherwise(F.least(F.lit(n), F.ceil(F.col("cw") * n / F.col("tw")).cast("int") + 1))

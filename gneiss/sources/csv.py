@@ -83,7 +83,7 @@ def _rows(lines: DataFrame, column: str, form: CsvFormat) -> DataFrame:
     n = len(form.column_names)
     rows = lines.withColumn("_c", cells(column, form.delimiter))
     if form.skip_blank_lines:
-        rows = rows.where(F.size("_c") > 0)
+        rows = rows.where(F.trim(F.col(column)) != "")
     wrong = (F.size("_c") != n) & (F.size("_c") > 0)
     return rows.withColumn("_c", F.when(wrong, F.raise_error(F.concat(F.lit(f"a line should have {n} cells: "), F.col(column))).cast("array<string>")).otherwise(F.col("_c")))
 

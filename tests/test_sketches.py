@@ -105,7 +105,7 @@ def test_quantiles_against_the_definition(spark):
     rng = random.Random(7)
     rows = [(g, rng.choice([rng.gauss(0, 1), float(rng.randrange(5))]), float(rng.randrange(1, 5))) for g in "ab" for _ in range(700)]
     df = spark.createDataFrame(rows, "g string, v double, w double")
-    got = {(r.g, r.r): (r.quantile, r.cum_weight) for r in quantiles.quantiles(df, "v", 9, "w", ["g"], parts=8).collect()}
+    got = {(r.g, r.r): (r.quantile, r.cum_weight) for r in quantiles.quantiles(df, "v", 9, "w", ["g"], side=3).collect()}
     for g in "ab":
         values = sorted({v for a, v, _ in rows if a == g})
         weight = {v: sum(w for a, x, w in rows if a == g and x == v) for v in values}
