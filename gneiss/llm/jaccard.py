@@ -12,7 +12,8 @@ the threshold, and the result is each document's component of links. Exactly: no
    fitting size is dropped there.
 4. The groups left are expanded to their members. Within a prefix shingle, sorted by size, pairs that fit in size and
    position are compared by bitmap: the bits in which two bitmaps differ are never more than the shingles in which the
-   sets differ. A forest of the pairs that pass goes on, not the pairs.
+   sets differ. A forest of the pairs that pass goes on, not the pairs. A shingle of more than MEMBERS nodes is cut
+   into blocks that meet two by two, each pair of blocks in a place of its own.
 5. The nodes of each candidate component are verified with their whole sets. A large component is cut into blocks
    and verified block against block, so that no task holds more than two blocks.
 
@@ -35,6 +36,7 @@ from .text import WORD, chunks, shingles, utf8, word_hashes
 
 SKETCH = 1 << 20
 BLOCK = 1_000_000  # shingles of a block in verification
+MEMBERS = 512  # nodes of a prefix shingle that are compared in one block
 
 
 def _sets(column, k):
@@ -117,6 +119,14 @@ def _forest(token, n, pos, node, bitmap, percent):
             if (r == root).all():
                 break
             root = r
+        if d & (d - 1) == 0:  # tokens whose rows have all met need no more comparing
+            head = np.flatnonzero(np.diff(token, prepend=token[0] - 1))
+            size = np.diff(np.append(head, m))
+            met = np.minimum.reduceat(root, head) == np.maximum.reduceat(root, head)
+            left = left[~np.repeat(met, size)[left]]
+            if not len(left):
+                return edges
+            j = left + d
         both = n[left] + n[j]
         need = -(-percent * both // (100 + percent))
         test = (root[left] != root[j]) & (node[left] != node[j]) & (np.minimum(n[left] - pos[left], n[j] - pos[j]) >= need)
@@ -207,16 +217,20 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     tokens = (
         grouped.where("i = 1")
         .select("head", "n", "members", F.posexplode("prefix").alias("pos", "token"))
+        .withColumn("nb", F.ceil(F.sum("members").over(Window.partitionBy("token")) / MEMBERS).cast("int"))
         .withColumn("before", F.lag("n").over(near))
         .withColumn("after", F.lead("n").over(near))
         .where(fits(F.col("before"), F.col("n")) | fits(F.col("n"), F.col("after")) | ((F.col("members") > 1) & (F.col("pos") == 0)))
-        .select("token", "head", "n", "pos")
+        .select("token", "head", "n", "pos", "nb")
     )
+    # a frequent shingle's nodes are dealt to blocks, and every two blocks meet in one place
     expanded = (
         tokens.join(nodes.select("head", "n", "node", "bitmap"), ["head", "n"])
-        .select("token", "n", "head", "pos", "node", "bitmap")
-        .repartition("token")
-        .sortWithinPartitions("token", "n", "head")
+        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        .select("token", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "n", "head", "pos", "node", "bitmap")
+        .repartition("token", "x", "y")
+        .sortWithinPartitions("token", "x", "y", "n", "head")
     )
 
     def compare(batches):
@@ -226,7 +240,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         def flush(final):
             nonlocal held, size, limit
             t = pa.Table.from_batches(held).combine_chunks()
-            token = t["token"].to_numpy()
+            keys = [t[c].to_numpy() for c in ("token", "x", "y")]
+            token = np.cumsum(np.concatenate([[0], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
             n, pos, node = t["n"].to_numpy(), t["pos"].to_numpy(), t["node"].to_numpy()
             end = len(token)
             start = end = len(token)
@@ -313,3 +328,27 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=90)
+
+
+OP3_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents
+),
+s as (
+  select doc_id, case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+                      else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' '))) end as sh
+  from w
+),
+e as (select doc_id, len(sh) as n, unnest(sh) as h from s),
+links as (
+  select a.doc_id as x, b.doc_id as y
+  from e a join e b on a.h = b.h and a.doc_id < b.doc_id and 100 * a.n >= 90 * b.n and 100 * b.n >= 90 * a.n
+  group by a.doc_id, b.doc_id, a.n, b.n
+  having 100 * count(*) >= 90 * (a.n + b.n - count(*))
+),
+either as (select x, y from links union all select y, x from links),
+reach as (select doc_id as node, doc_id as other from s union select r.node, b.y from reach r join either b on b.x = r.other)
+select s.doc_id, cast(len(s.sh) as bigint) as n_shingles, min(r.other) as component_id
+from s join reach r on r.node = s.doc_id group by s.doc_id, s.sh
+"""

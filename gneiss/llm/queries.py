@@ -20,4 +20,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op9_chat_rotation": chat.OP9_SQL}
+ORACLE_SQL = {"op3_jaccard_join": jaccard.OP3_SQL, "op9_chat_rotation": chat.OP9_SQL}

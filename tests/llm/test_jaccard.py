@@ -76,3 +76,18 @@ def test_blocks_agree(spark, monkeypatch):
 
 def test_empty(spark):
     assert jaccard.join(empty_docs(spark)).count() == 0
+
+
+def test_hot_shingles(spark, monkeypatch):
+    """Near copies that share most of their prefixes, in blocks that meet two by two."""
+    monkeypatch.setattr(jaccard, "MEMBERS", 7)
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(90):
+        ws = list(base)
+        ws[rng.randrange(80)] = f"x{i % 40}"
+        rows.append((i, " ".join(ws if i % 9 else rng.choices(base, k=80))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.join(docs, 3, 90).collect()), key=repr)
+    assert got == brute(rows, 3, 90)
