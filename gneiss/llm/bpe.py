@@ -29,6 +29,7 @@ from .store import bounded_batches
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 STEPS = 48  # recursion steps of one query
+LONG = 256  # bytes from which a word is long
 BLOCK_BYTES = 500_000  # bytes of distinct words in one query
 CHUNK_CHARS = 2_000_000  # text handled at a time
 CACHE_WORDS = 800_000
@@ -56,6 +57,37 @@ with recursive s(it, w, p, q, l, r, k) as (
 select w, p, q, l, r, k from s join (select w, max(it) as it from s group by w) using (w, it)
 """
 
+# The same for long words: a step contracts every pair of the word's minimum rank, in runs every other one from the left.
+# Leftmost-first contraction does just these one after the other: a pair that holds the new token ranks behind it, since
+# one that ranked before it would have been contracted in an earlier step.
+ENCODE_LONG = """
+with recursive s(it, w, p, q, l, r, k) as (
+  select 0, seed.w, seed.p, seed.q, seed.l, seed.r, m.t::bigint << 32 | seed.p
+  from seed left join merges m on m.ab = (seed.l::bigint << 32 | seed.r)
+ union all
+  select x.it, x.w, x.p, x.q, x.l, x.r, m.t::bigint << 32 | x.p
+  from (
+    select it + 1 as it, w, q, now,
+           case when lag(now) over o then lag(p) over o else p end as p,
+           case when lag(now) over o then lag(t) over o else l end as l,
+           case when lead(now) over o then lead(t) over o else r end as r
+    from (
+      select *, coalesce(t = low and (row_number() over (partition by w, t = low, island order by p)) % 2 = 1, false) as now
+      from (
+        select *, place - row_number() over (partition by w, t = low order by p) as island
+        from (select s.*, (k >> 32)::int as t, (min(k) over (partition by w) >> 32)::int as low, row_number() over (partition by w order by p) as place
+              from s where it < {steps})
+      )
+      where low is not null
+    )
+    window o as (partition by w order by p)
+  ) x
+  left join merges m on m.ab = (x.l::bigint << 32 | x.r)
+  where not x.now
+)
+select w, p, q, l, r, k from s join (select w, max(it) as it from s group by w) using (w, it)
+"""
+
 
 class Engine:
     def __init__(self, path: str):
@@ -101,15 +133,17 @@ class Engine:
         right[ends - 1] = -1
         p = (np.arange(len(buf)) - np.repeat(ends - lengths, lengths)).astype(np.int32)
         w = np.repeat(np.arange(len(blobs), dtype=np.int32), lengths)
-        state, done = pa.table({"w": w, "p": p, "q": p + np.int32(1), "l": left, "r": right}), []
-        while state.num_rows:
-            self.db.register("seed", state)
-            got = self._rows(ENCODE.format(steps=STEPS))
-            w, k = got["w"].to_numpy(), got["k"].to_numpy(zero_copy_only=False)
-            pending = np.unique(w[~np.isnan(k.astype(float))])
-            more = np.isin(w, pending)
-            done.append(got.filter(pa.array(~more)).select(["w", "p", "l"]))
-            state = got.filter(pa.array(more)).select(["w", "p", "q", "l", "r"])
+        every, done = pa.table({"w": w, "p": p, "q": p + np.int32(1), "l": left, "r": right}), []
+        long = np.repeat(lengths >= LONG, lengths)
+        for query, state in ((ENCODE, every.filter(pa.array(~long))), (ENCODE_LONG, every.filter(pa.array(long)))):
+            while state.num_rows:
+                self.db.register("seed", state)
+                got = self._rows(query.format(steps=STEPS))
+                w, k = got["w"].to_numpy(), got["k"].to_numpy(zero_copy_only=False)
+                pending = np.unique(w[~np.isnan(k.astype(float))])
+                more = np.isin(w, pending)
+                done.append(got.filter(pa.array(~more)).select(["w", "p", "l"]))
+                state = got.filter(pa.array(more)).select(["w", "p", "q", "l", "r"])
         self.db.register("tokens", pa.concat_tables(done))
         return self._rows(
             "select w, len(ids) as n, array_to_string(ids, ',') as ids, array_to_string(list_select(b, list_transform(ids, lambda x: x + 1)), '') as hex"

@@ -140,3 +140,24 @@ def test_media_spans_and_tensor(spark):
     import pyarrow as pa
 
     assert media.tensor_array(pa.array([r.tensor])).type.shape == [media.BINS, media.MELS]
+
+
+def test_bpe_long_words(monkeypatch):
+    """Words that take the path of long ones, and ordinary texts sent through it."""
+    import base64
+    import random
+
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    eng, rng = bpe.Engine(path), random.Random(1)
+    texts = ["x" * 30_000, " " * 9000 + "a", "-" * 7001, "".join(rng.choices(["the", "ing", "straße", "é", "漢"], k=900)), "ab" * 500]
+    for limit in (bpe.LONG, 1):
+        monkeypatch.setattr(bpe, "LONG", limit)
+        for text in [*texts, "The quick, brown fox - don't! 12345 \n\n  ok"]:
+            eng.cache.clear()
+            n, ids, raw = eng.documents([text])[0]
+            assert (ids, raw) == (",".join(map(str, enc.encode_ordinary(text))), text.encode())
