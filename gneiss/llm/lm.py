@@ -62,25 +62,32 @@ def _tokens(buf, offsets):
 def blocks_of(docs: DataFrame) -> DataFrame:
     def run(batches):
         number, part = 0, TaskContext.get().partitionId() << 32
+        parts, size = [], 0
         for batch in batches:
             buf, offsets = utf8(batch.column(1))
-            ids, held = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
-            for i, j in chunks(offsets, BLOCK_BYTES):
+            ids, held = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
+            for i, j in chunks(offsets):
                 off = offsets[i : j + 1]
-                parts = [_tokens(buf[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in chunks(off)]
-                h, n = (np.concatenate(x) for x in zip(*parts))
-                known, index = np.unique(h, return_inverse=True)
-                train = np.repeat(~held[i:j], n)
-                count = np.bincount(index[train], minlength=len(known))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part + number]), pa.array([ids.slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
-                        pa.array([_pack(held[i:j])]), pa.array([_pack(n.astype(np.int64))]), pa.array([_pack(known)]),
-                        pa.array([_pack(count.astype(np.int64))]), pa.array([_pack(index.astype(np.uint32))]), pa.array([len(h)]),
-                    ],
-                    ["block", "ids", "held", "n", "known", "train", "stream", "tokens"],
-                )
-                number += 1
+                parts.append((ids[i:j], held[i:j], *_tokens(buf[off[0] : off[-1]], off - off[0])))
+                size += int(off[-1] - off[0])
+                if size >= BLOCK_BYTES:
+                    yield block(part + number, parts)
+                    number, parts, size = number + 1, [], 0
+        if parts:
+            yield block(part + number, parts)
+
+    def block(number, parts):
+        ids, held, h, n = zip(*parts)
+        held, h, n = np.concatenate(held), np.concatenate(h), np.concatenate(n)
+        known, index = np.unique(h, return_inverse=True)
+        count = np.bincount(index[np.repeat(~held, n)], minlength=len(known))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([number]), pa.array([[i for x in ids for i in x]], pa.list_(pa.int64())), pa.array([_pack(held)]), pa.array([_pack(n.astype(np.int64))]),
+                pa.array([_pack(known)]), pa.array([_pack(count.astype(np.int64))]), pa.array([_pack(index.astype(np.uint32))]), pa.array([len(h)]),
+            ],
+            ["block", "ids", "held", "n", "known", "train", "stream", "tokens"],
+        )
 
     text = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),

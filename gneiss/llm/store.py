@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -24,7 +25,12 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kind = df.schema
+    del df
+    # shuffles behind the table are of no more use; Spark removes their files once the driver's garbage is collected
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(kind).parquet(path)
 
 
 def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
