@@ -194,7 +194,7 @@ def score(docs: DataFrame, mu: float = MU) -> DataFrame:
     counts = persisted(
         blocks.select("block", "known", "train")
         .mapInArrow(slices, "slice int, block long, known binary, train binary")
-        .repartition(shards, "slice")
+        .repartitionById(shards, "slice")
         .sortWithinPartitions("slice", "block")
         .mapInArrow(sums(), counts_schema),
         "counts",
@@ -266,7 +266,7 @@ def score(docs: DataFrame, mu: float = MU) -> DataFrame:
     replies = (
         blocks.select("block", "held", "n", "known", "stream")
         .mapInArrow(deal, "shard int, block long, context binary, runs binary, successor binary, count binary")
-        .repartition(shards, "shard")
+        .repartitionById(shards, "shard")
         .sortWithinPartitions("shard", "block")
         .mapInArrow(answer, "block long, part int, data binary")
     )
