@@ -13,8 +13,7 @@ smoothed unigrams. It sums to one over the V known tokens and one unknown. All c
 4. Each block meets its answers and scores its texts. It knows where it sent each bigram from 24 bits of its tokens' hashes
    and from the counts that step 2 answered, so the hashes themselves are not sent again.
 
-Unigram counts are exact. Within a context a successor is told by 28 bits of its hash: after a word with 300,000
-different successors, one unseen word in a thousand passes for a seen one.
+Tokens are told apart by their whole 64-bit hashes, alone and as successors of a context.
 
 Nulls and empty texts are one end token. A null id counts as trained on. Rows are scored one by one, repeated ones
 too. An empty table gives an empty table; columns besides doc_id and text are not read.
@@ -60,16 +59,23 @@ def _unpack_planes(b) -> np.ndarray:
     return np.ascontiguousarray(_unpack(b, np.uint8).reshape(4, -1).T).reshape(-1).view("<u4")
 
 
+def _pack_hashes(h: np.ndarray) -> tuple[bytes, bytes]:
+    """64-bit hashes: distinct ones and indices into them, or, where that is not shorter, all of them and no indices."""
+    some, at = np.unique(h, return_inverse=True)
+    some, at = _pack(some), _pack_planes(at)
+    return (some, at) if len(some) + len(at) < h.nbytes else (_pack(h), b"")
+
+
+def _unpack_hashes(some, at) -> np.ndarray:
+    some = _unpack(some, np.uint64)
+    return some[_unpack_planes(at)] if at else some
+
+
 def _home(known: np.ndarray) -> np.ndarray:
     """The bits of a token's hash that say where it is dealt."""
     return (known >> np.uint64(40)).astype(np.uint32)
 
 
-def _successor(word: np.ndarray) -> np.ndarray:
-    """28 bits that stand for a token among the successors of one context."""
-    return (word >> np.uint64(36)).astype(np.uint32)
-
-
 def _tokens(buf, offsets):
     """Hashes of all texts' tokens, each text's end included, and the number of tokens of each text."""
     low = LOWER[buf]
@@ -225,13 +231,14 @@ def score(docs: DataFrame, mu: float = MU) -> DataFrame:
                 at = np.flatnonzero(np.diff(shard, prepend=-1))
                 for a, b in zip(at, [*at[1:], len(shard)]):
                     head = np.flatnonzero(np.diff(t[a:b], prepend=-1))
+                    words_, successor = _pack_hashes(w[a:b])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([int(shard[a])], pa.int32()), pa.array([block]), pa.array([_pack(context[a:b][head])]),
                             pa.array([_pack(np.diff(np.append(head, b - a)).astype(np.uint32))]),
-                            pa.array([_pack_planes(_successor(w[a:b]))]), pa.array([_pack_planes(count[a:b])]),
+                            pa.array([words_]), pa.array([successor]), pa.array([_pack_planes(count[a:b])]),
                         ],
-                        ["shard", "block", "context", "runs", "successor", "count"],
+                        ["shard", "block", "context", "runs", "words", "successor", "count"],
                     )
 
     def place(context, word, held):
@@ -253,8 +260,8 @@ def score(docs: DataFrame, mu: float = MU) -> DataFrame:
             context = [np.repeat(_unpack(r[2], np.uint64), _unpack(r[3], np.uint32)) for r in rows]
             size = [len(c) for c in context]
             context = np.concatenate(context)
-            successor = np.concatenate([_unpack_planes(r[4]) for r in rows])
-            count = np.concatenate([_unpack_planes(r[5]) for r in rows])
+            successor = np.concatenate([_unpack_hashes(r[4], r[5]) for r in rows])
+            count = np.concatenate([_unpack_planes(r[6]) for r in rows])
             seen = count > 0
             trie = Trie(context[seen], successor[seen], count[seen], total_of, mu)
             at = 0
@@ -265,7 +272,7 @@ def score(docs: DataFrame, mu: float = MU) -> DataFrame:
 
     replies = (
         blocks.select("block", "held", "n", "known", "stream")
-        .mapInArrow(deal, "shard int, block long, context binary, runs binary, successor binary, count binary")
+        .mapInArrow(deal, "shard int, block long, context binary, runs binary, words binary, successor binary, count binary")
         .repartitionById(shards, "shard")
         .sortWithinPartitions("shard", "block")
         .mapInArrow(answer, "block long, part int, data binary")

@@ -1,8 +1,9 @@
 """A two-level n-gram trie in Elias-Fano form, built and queried with numpy.
 
 Both levels are monotone sequences. Level one holds the contexts' hashes; level two holds each context's successors,
-made monotone by the context's index above them, so a successor is searched relative to its context. Pointers from
-contexts to their successors are a third monotone sequence. Smoothed probabilities are quantised to eight bits. The
+made monotone by the context's index above them, so a successor is searched relative to its context. A successor is its
+rank among the hashes of all successors, a third monotone sequence, so equal ranks are equal hashes. Pointers from
+contexts to their successors are a fourth. Smoothed probabilities are quantised to eight bits. The
 levels lie one after the other in one memory map.
 """
 
@@ -125,12 +126,13 @@ VALUES = np.concatenate([[0.0], 10 ** (FLOOR + STEP * np.arange(255))])
 
 
 class Trie:
-    """Contexts (64-bit hashes), their successors (32-bit hashes) and smoothed relative frequencies."""
+    """Contexts (64-bit hashes), their successors (64-bit hashes) and smoothed relative frequencies."""
 
     def __init__(self, context: np.ndarray, successor: np.ndarray, count: np.ndarray, total, mu: float):
         """Rows may repeat: their counts add up. total(contexts, sums) gives each context's count over all shards."""
-        order = np.lexsort((successor, context))
-        c, s, n = context[order], successor[order], count[order].astype(np.int64)
+        vocabulary, rank = np.unique(successor.astype(U), return_inverse=True)
+        order = np.lexsort((rank, context))
+        c, s, n = context[order], rank[order], count[order].astype(np.int64)
         new = np.ones(len(c), bool)
         new[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1])
         at = np.flatnonzero(new)
@@ -143,11 +145,13 @@ class Trie:
         sums = np.add.reduceat(n, first) if len(first) else n
         all_ = total(c[first], sums)
         contexts = EliasFano(c[first], 1 << 64)
-        successors = EliasFano((index.astype(U) << U(32)) | s.astype(U), max(1, len(first)) << 32)
+        self.width = U(len(vocabulary))
+        successors = EliasFano(index.astype(U) * self.width + s.astype(U), max(1, len(first) * len(vocabulary)))
+        words = EliasFano(vocabulary, 1 << 64)
         pointers = EliasFano(np.append(first, len(c)).astype(U), len(c) + 1)
         codes = quantise(n / (all_[index] + mu))
-        levels = Levels(sum(x.nbytes() for x in (contexts, successors, pointers)) + codes.nbytes + 64)
-        self.contexts, self.successors, self.pointers = (x.move(levels) for x in (contexts, successors, pointers))
+        levels = Levels(sum(x.nbytes() for x in (contexts, successors, pointers, words)) + codes.nbytes + 64)
+        self.contexts, self.successors, self.pointers, self.words = (x.move(levels) for x in (contexts, successors, pointers, words))
         self.codes, self.levels = levels.put(codes), levels
 
     def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
@@ -156,9 +160,10 @@ class Trie:
         if not self.contexts.n:
             return out
         i, known = self.contexts.next_geq(context)
-        known = np.flatnonzero(known)
+        rank, met = self.words.next_geq(successor.astype(U))
+        known = np.flatnonzero(known & met)
         i = i[known]
-        at, same = self.successors.next_geq((i.astype(U) << U(32)) | successor[known].astype(U))
+        at, same = self.successors.next_geq(i.astype(U) * self.width + rank[known].astype(U))
         inside = at < self.pointers.get(i + 1).astype(np.int64)
         hit = same & inside
         out[known[hit]] = self.codes[at[hit]]

@@ -91,3 +91,30 @@ def test_against_brute_force(spark, monkeypatch, small):
 
 def test_empty(spark):
     assert lm.score(empty_docs(spark)).count() == 0
+
+
+def test_successors_are_told_apart_by_whole_hashes(spark):
+    """Two words whose hashes begin with the same 28 bits: one follows "the" in training, the other only in a held-out text."""
+    words = [f"w{i}" for i in range(60_000)]
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    h, _ = lm._tokens(raw, np.array([0, len(raw)]))
+    top = h[:-1] >> np.uint64(36)
+    order = np.argsort(top, kind="stable")
+    i = np.flatnonzero(np.diff(top[order]) == 0)[0]
+    a, b = words[order[i]], words[order[i + 1]]
+    rows = [(d, f"the {a} {b} and the {a}") for d in range(30)]
+    held = next(d for d in range(100, 200) if zlib.crc32(str(d).encode()) % 7 == 2)
+    rows.append((held, f"the {b} the {a}"))
+    want = brute(rows, lm.MU)
+    for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.score == pytest.approx(want[r.doc_id][0][5], rel=1e-6)
+
+
+def test_trie_of_close_hashes():
+    """Successors that differ in their last bits only, among many contexts."""
+    c = np.repeat(np.arange(1, 51, dtype=np.uint64), 4)
+    s = np.uint64(0xABCDEF0123456780) + np.tile(np.arange(4, dtype=np.uint64), 50)
+    t = Trie(c, s, np.arange(1, 201), lambda contexts, sums: sums, 5.0)
+    assert (t.find(c, s) > 0).all() and not t.find(c, s + np.uint64(4)).any()
+    code = t.find(c[:4], s[:4])
+    assert (code == quantise(np.arange(1, 5) / 15.0)).all()
