@@ -1,15 +1,21 @@
 """License scans by diagonal voting.
 
 Every rolling word k-gram of every text is hashed and joined, in Spark, with the positions of the same k-grams in the
-license templates. A hit votes for the diagonal (position in the text minus position in the template). Votes are
-aggregated by document, template and diagonal; neighbouring diagonals are merged, so a few inserted or dropped words
-don't split a span; a span counts when its votes cover enough of the template.
+license templates. A hit votes for the diagonal (position in the text minus position in the template). Hits of a
+document and template that follow each other in both, on the same or neighbouring diagonals, are chained, so a few
+inserted or dropped words don't split a span; a chain's votes are the different template positions that it hits.
+
+A chain with enough votes is verified: its words are compared with the template's. Each hit carries the hashes of the
+words ahead of it, from which the words between hits and after the last one are matched in order. Words that tell one
+licence from another (names, versions) must all be matched, no inserted word may be a qualifier that names another
+licence ("lesser", "sharealike", another number), and enough of the span's own words must be the template's.
 
 The phrases of the base contract are templates of their own whose k-grams must all be hit on one diagonal: their
 places are then exactly the places where the words stand consecutively. Words are compared by 64-bit hashes.
 
-The template table has a fixed size (some hundred rows), so broadcasting it is safe whatever the input is. Only hits
-are shuffled, one row per document and block of texts besides. Votes are summed before the shuffle.
+The template table has a fixed size (some hundred rows), so broadcasting it is safe whatever the input is. k-grams that
+are not in it are left out before they reach the join. Only hits are shuffled, and one row per document. A text's hits for
+one template are held at a time.
 
 Null and empty texts have no words and no labels. Rows are scanned one by one, repeated ids too. An empty table
 gives an empty table; columns besides doc_id and text are not read.
@@ -17,18 +23,23 @@ gives an empty table; columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import bounded_batches
 from .text import ALNUM, chunks, utf8, word_hashes
 
 K = 2
-GAP = 3  # diagonals this near to each other are one alignment
-SHARE = 0.6  # of a template's k-grams that a span must hit
+GAP = 3  # hits whose diagonals are this near to each other can follow each other in a span
+LEAP = 8  # template positions from one hit of a span to the next, at most
+AHEAD = LEAP + GAP + K  # words that a hit carries, from its own first one on
+SHARE = 0.6  # of a template's k-grams that a span must hit, and of a span's words that must be the template's
 
 #: Phrases of the base contract and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -44,17 +55,23 @@ TEMPLATES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software",
 }
 
+NUMBERS = [str(i) for i in range(100)]
+#: Template words that a span must have, each time that they stand in the template.
+TELLING = {*NUMBERS, *"apache gnu general public mit cc by nc creative commons attribution redistribution binary permission granted charge".split()}
+#: Words that make another licence of a template when they are inserted.
+QUALIFIERS = {*NUMBERS, *"lesser library affero nc noncommercial non commercial sa sharealike share alike nd noderivatives noderivs no derivatives font".split()}
+
 SENTINEL = -(2**63)  # stands for a document's own row; no k-gram keeps this hash
 
 
 def _hashes(buf, offsets):
-    """k-gram hashes (int64), their word positions and rows; the number of words of each row."""
+    """k-gram hashes (int64), their word positions and rows; the number of words of each row; all words' hashes (int64)."""
     h, rows = word_hashes(buf, offsets, ALNUM)
     n_words = np.bincount(rows, minlength=len(offsets) - 1)
     first = np.cumsum(n_words) - n_words
     pos = np.arange(len(h)) - first[rows]
     if len(h) < K:
-        return np.zeros(0, np.int64), pos[:0], rows[:0], n_words
+        return np.zeros(0, np.int64), pos[:0], rows[:0], n_words, h.view(np.int64)
     n = len(h) - K + 1
     g = np.zeros(n, np.uint64)
     for j in range(K):
@@ -62,22 +79,94 @@ def _hashes(buf, offsets):
     keep = rows[:n] == rows[K - 1 :]
     g = g.view(np.int64)[keep]
     g[g == SENTINEL] += 1
-    return g, pos[:n][keep], rows[:n][keep], n_words
+    return g, pos[:n][keep], rows[:n][keep], n_words, h.view(np.int64)
 
 
 def template_rows() -> list[tuple[int, int, int]]:
     """(hash, template number, position) of each k-gram; the document row's hash comes last."""
     texts = [*PHRASES, *TEMPLATES.values()]
     buf, offsets = utf8(pa.array(texts))
-    g, pos, rows, _ = _hashes(buf, offsets)
+    g, pos, rows, _, _ = _hashes(buf, offsets)
     return [(int(a), int(b), int(c)) for a, b, c in zip(g, rows, pos)] + [(SENTINEL, -1, 0)]
 
 
+def word_table(texts) -> list[list[int]]:
+    """The hashes of the words of each text."""
+    _, _, _, n_words, h = _hashes(*utf8(pa.array(list(texts))))
+    return [x.tolist() for x in np.split(h, np.cumsum(n_words)[:-1])]
+
+
+class Verifier:
+    """Finds and verifies the spans of one template among a text's hits."""
+
+    def __init__(self, text: str):
+        self.words = word_table([text])[0]
+        self.need = len(self.words) - K + 1
+        self.telling = {h for (h,) in word_table(sorted(TELLING))} & set(self.words)
+        self.other = {h for (h,) in word_table(sorted(QUALIFIERS))} - set(self.words)
+
+    def spans(self, hits: list[tuple[int, int, bytes]]) -> list[tuple[int, int, float]]:
+        """(first word, last word, share of the template's k-grams) of each span; hits(pos, at, words ahead) are sorted."""
+        votes, before = [1] * len(hits), [-1] * len(hits)
+        for i, (pos, at, _) in enumerate(hits):
+            j = i - 1
+            while j >= 0 and pos - hits[j][0] <= LEAP + GAP:
+                p, a, _ = hits[j]
+                if p < pos and a < at <= a + LEAP and abs((pos - at) - (p - a)) <= GAP and votes[j] >= votes[i]:
+                    votes[i], before[i] = votes[j] + 1, j
+                j -= 1
+        out, used = [], bytearray(len(hits))
+        for i in sorted((i for i in range(len(hits)) if votes[i] >= SHARE * self.need), key=lambda i: (-votes[i], i)):
+            chain, j = [], i
+            while j >= 0:
+                chain.append(j)
+                j = before[j]
+            if any(used[j] for j in chain):
+                continue
+            end = self.verified([hits[j] for j in reversed(chain)])
+            if end is not None:
+                out.append((hits[chain[-1]][0], end, votes[i] / self.need))
+                a, b = bisect_left(hits, (out[-1][0],)), bisect_left(hits, (end + 1,))
+                used[a:b] = b"\1" * (b - a)
+        return sorted(out)
+
+    def verified(self, chain) -> int | None:
+        """The last word of a chain of hits, or None if its words are not the template's."""
+        met, inserted = set(), []
+        for (pos, at, ahead), (p, a, _) in zip(chain, [*chain[1:], (None, None, None)]):
+            met.update(range(at, at + K))
+            ahead = np.frombuffer(ahead, np.int64).tolist()
+            if p is None:  # what is left of the template may follow without making a k-gram
+                a = len(self.words)
+                text = ahead[K : K + a - at - K + GAP]
+            elif p - pos < K:  # a word of the text stands for one of the template only
+                if a - at > p - pos:
+                    met.difference_update(range(at + p - pos, at + K))
+                continue
+            else:
+                text = ahead[K : p - pos]
+            left, last = [], 0
+            for k in range(at + K, a):
+                if self.words[k] in text[last:]:
+                    j = text.index(self.words[k], last)
+                    left += text[last:j]
+                    last = j + 1
+                    met.add(k)
+            inserted += left if p is None else left + text[last:]
+        end = pos + K - 1 + last
+        if self.other.intersection(inserted) or any(w in self.telling for k, w in enumerate(self.words) if k not in met):
+            return None
+        return end if len(met) >= SHARE * (end - chain[0][0] + 1) else None
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of docs(doc_id, text): words, base places and labels, and the spans found by the templates."""
     spark = docs.sparkSession
     bounded_batches(spark)
 
+    table = template_rows()
+    known = np.unique([g for g, _, _ in table])
+
     def grams(batches):
         uid, part = 0, TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -85,55 +174,77 @@ def scan(docs: DataFrame) -> DataFrame:
             buf, offsets = utf8(batch.column(1))
             for i, j in chunks(offsets):
                 off = offsets[i : j + 1]
-                g, pos, rows, n_words = _hashes(buf[off[0] : off[-1]], off - off[0])
+                g, pos, rows, n_words, h = _hashes(buf[off[0] : off[-1]], off - off[0])
+                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g)
+                g, pos, rows = g[hit], pos[hit], rows[hit]
+                ends = np.cumsum(n_words)
+                at = (ends - n_words)[rows] + pos
+                h = np.append(h, 0)
                 key = part + uid + np.arange(j - i)
                 # a text's own row carries its id and its number of words; k-grams carry neither
-                own = pa.array(np.ones(j - i, bool))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), ids.slice(i, j - i), pa.array(n_words.astype(np.int64)), pa.array(np.full(j - i, SENTINEL))],
-                    ["uid", "doc_id", "pos", "gram"],
+                    [pa.array(key), ids.slice(i, j - i), pa.array(n_words.astype(np.int64)), pa.array(np.full(j - i, SENTINEL)), pa.nulls(j - i, pa.binary())],
+                    ["uid", "doc_id", "pos", "gram", "ahead"],
                 )
-                for a in range(0, len(g), 1 << 18):
-                    b = min(len(g), a + (1 << 18))
+                for a in range(0, len(g), 1 << 15):
+                    b = min(len(g), a + (1 << 15))
+                    w = at[a:b, None] + np.arange(AHEAD)
+                    ahead = h[np.where(w < ends[rows[a:b], None], w, len(h) - 1)]
+                    size = pa.py_buffer(np.arange(b - a + 1, dtype=np.int32) * (8 * AHEAD))
+                    ahead = pa.Array.from_buffers(pa.binary(), b - a, [None, size, pa.py_buffer(np.ascontiguousarray(ahead))])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[rows[a:b]]), pa.nulls(b - a, pa.int64()), pa.array(pos[a:b].astype(np.int64)), pa.array(g[a:b])],
-                        ["uid", "doc_id", "pos", "gram"],
+                        [pa.array(key[rows[a:b]]), pa.nulls(b - a, pa.int64()), pa.array(pos[a:b].astype(np.int64)), pa.array(g[a:b]), ahead],
+                        ["uid", "doc_id", "pos", "gram", "ahead"],
                     )
                 uid += j - i
 
     rows = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(
-        grams, "uid long, doc_id long, pos long, gram long"
+        grams, "uid long, doc_id long, pos long, gram long, ahead binary"
     )
-    table = spark.createDataFrame(template_rows(), "gram long, template int, at int")
+    table = spark.createDataFrame(table, "gram long, template int, at int")
     hits = rows.join(F.broadcast(table), "gram")
 
-    votes = hits.groupBy("uid", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("doc_id")
-    )
+    n_phrases = len(PHRASES)
+    size = [max(1, len(x.split()) - K + 1) for x in PHRASES]
 
-    n_phrases, names = len(PHRASES), [*PHRASES, *TEMPLATES]
-    size = [max(1, len(x.split()) - K + 1) for x in [*PHRASES, *TEMPLATES.values()]]
-    pick = lambda values, kind: F.element_at(F.lit(values).cast(f"array<{kind}>"), F.col("template") + 1)
-    need = F.when(F.col("template") < 0, 1).otherwise(pick(size, "int"))
-    label = F.when(F.col("template") >= 0, pick([*PHRASES.values(), *TEMPLATES], "string"))
-    words = F.when(F.col("template") >= 0, pick([len(x.split()) for x in [*PHRASES, *TEMPLATES.values()]], "int"))
-    base = (F.col("template") >= 0) & (F.col("template") < n_phrases)
+    def verify(batches):
+        verifiers = [Verifier(x) for x in TEMPLATES.values()]
+
+        def found():
+            every = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+            for (uid, template), group in groupby(every, lambda row: row[:2]):
+                if template < 0:
+                    yield from ((uid, doc_id, template, None, pos, None) for _, _, pos, _, doc_id, _ in group)
+                elif template < n_phrases:
+                    votes = {}
+                    for _, _, pos, at, _, _ in group:
+                        votes[pos - at] = votes.get(pos - at, 0) + 1
+                    yield from ((uid, None, template, 1.0, d, d + size[template]) for d, n in votes.items() if n == size[template])
+                else:
+                    for first, end, share in verifiers[template - n_phrases].spans([(row[2], row[3], row[5]) for row in group]):
+                        yield uid, None, template, share, first, end
+
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
+        names, out = ["uid", "doc_id", "template", "share", "first", "end"], []
+        for row in found():
+            out.append(row)
+            if len(out) == 1 << 13:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    # a text's votes are few: diagonals that some template k-gram hit
-    order = Window.partitionBy("uid", "template").orderBy("diagonal")
-    run = F.when(base | (F.col("diagonal") - F.lag("diagonal").over(order) > GAP), 1).otherwise(0)
     spans = (
-        votes.withColumn("cut", run)
-        .withColumn("run", F.sum("cut").over(order))
-        .groupBy("uid", "template", "run")
-        .agg(F.sum("n").alias("n"), F.min("diagonal").alias("first"), F.max("diagonal").alias("last"), F.max("doc_id").alias("doc_id"))
-        .withColumn("share", F.least(F.lit(1.0), F.col("n") / need))
-        .where((F.col("template") < 0) | F.when(base, F.col("n") == need).otherwise(F.col("share") >= SHARE))
+        hits.select("uid", "template", "pos", "at", "doc_id", "ahead")
+        .repartition("uid")
+        .sortWithinPartitions("uid", "template", "pos", "at")
+        .mapInArrow(verify, "uid long, doc_id long, template int, share double, first long, end long")
     )
+    label = F.when(F.col("template") >= 0, F.element_at(F.lit([*PHRASES.values(), *TEMPLATES]).cast("array<string>"), F.col("template") + 1))
+    base = (F.col("template") >= 0) & (F.col("template") < n_phrases)
     return (
         spans.withColumn("label", label)
         .withColumn("base", base)
-        .withColumn("end", F.col("last") + words - 1)
         .groupBy("uid")
         .agg(
             F.max("doc_id").alias("doc_id"),

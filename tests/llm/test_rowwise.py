@@ -101,6 +101,39 @@ def test_repeated_ids_are_scanned_row_by_row(spark):
     assert sorted(r.n_base for r in licences.scan(df).collect()) == [0, 1, 1]
 
 
+def test_licence_spans_are_verified(spark):
+    gpl = "This work is licensed under the GNU {}General Public License, version {}"
+    cases = [
+        ("under the sea under the sun under the moon", ""),
+        ("the mit license the mit license under the under the", ""),
+        (gpl.format("", "2"), ""),
+        (gpl.format("Lesser ", "2.1"), ""),
+        (gpl.format("Lesser ", "3"), ""),
+        (gpl.format("Affero ", "3"), ""),
+        ("Licensed under CC BY 4.0", ""),
+        ("Licensed under CC BY-NC-SA 4.0", ""),
+        ("Licensed under CC BY-NC 3.0", ""),
+        ("Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ""),
+        ("Licensed under the Apache License, Version 1.1", ""),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software", ""),
+        (gpl.format("", "3"), "gpl-3.0"),
+        ("word " * 50 + gpl.format("", "3") + " word" * 50, "gpl-3.0"),
+        ("It is licensed under the terms of the GNU General Public License, version 3", "gpl-3.0"),
+        ("Released under the terms of the MIT License", "mit-notice"),
+        ("Licensed under CC BY-NC 4.0", "cc-by-nc-4.0"),
+        ("Licensed under a Creative Commons Attribution 4.0 International License", "cc-by-4.0"),
+        ("Licensed under the Apache License, Version 2.0", "apache-2.0"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit-grant"),
+        (gpl.format("", "2") + ". " + gpl.format("", "3"), "gpl-3.0"),
+    ]
+    df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
+    got, phrases = by_id(licences.scan(df)), set(licences.PHRASES.values())
+    for i, (text, label) in enumerate(cases):
+        assert ",".join(sorted(set(got[i].labels.split(",")) - phrases)) == label, text
+    assert (got[13].n_spans, got[13].first_span, got[13].last_span_end) == (1, 50, 61)
+    assert (got[15].first_span, got[15].last_span_end, got[20].n_spans) == (0, 7, 1)
+
+
 def test_media(spark, docs):
     got = by_id(media.audio(docs))
     for doc, text in texts_of(docs):
