@@ -3,7 +3,9 @@
 A text's UTF-8 bytes, padded with spaces to whole blocks, are stored as the samples of a mono 8-bit WAV file; the
 samples that the features see are those read back from it. Features: polyphase resampling by 1/2 (a windowed-sinc
 low-pass in two phases), overlapped Hann frames, a log-mel filterbank, and voiced spans by hysteresis: a span opens
-above the high energy threshold and lasts until the energy falls below the low one.
+above the high energy threshold and lasts until the energy falls below the low one. Frames cover every sample: the last
+one is filled up with silence, and its energy is taken over the part of the window that has samples, so that a text's
+length doesn't move the thresholds. Spans end with the recording at the latest.
 
 Each recording's features fill a tensor of fixed shape (BINS x MELS): the frames are averaged over BINS equal parts
 of the time. tensor_array() gives the column as Arrow fixed-shape tensors beside the time spans.
@@ -87,21 +89,27 @@ def log_mel(pcm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel frames of 8-bit samples and their log energies, computed block by block."""
     _, _, window, bank = _filters()
     mels, energies = [], []
+    if len(pcm) % 2:
+        pcm = np.append(pcm, np.uint8(128))
     n_out = len(pcm) // 2
-    n_frames = max(1, 1 + (n_out - FRAME) // HOP)
+    n_frames = 1 + max(0, -(-(n_out - FRAME) // HOP))
+    covered = np.cumsum(window.astype(np.float64) ** 2)
     per = BLOCK // HOP
     for i in range(0, n_frames, per):
         j = min(n_frames, i + per)
         a, b = i * HOP, min(n_out, (j - 1) * HOP + FRAME)
         lo, hi = max(0, 2 * a - TAPS), min(len(pcm), 2 * b + TAPS)
         y = _halved((pcm[lo:hi].astype(np.float32) - 128) / 128)[(2 * a - lo) // 2 :][: b - a]
-        if len(y) < FRAME:
-            y = np.pad(y, (0, FRAME - len(y)))
+        y = np.pad(y, (0, (j - i - 1) * HOP + FRAME - len(y)))
         frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[:: HOP][: j - i] * window
         z = np.fft.rfft(frames, axis=1)
         power = (z.real**2 + z.imag**2).astype(np.float32)
         mels.append(np.log(power @ bank + 1e-6))
-        energies.append(np.log((frames**2).sum(axis=1) + 1e-6))
+        energy = (frames**2).sum(axis=1)
+        here = n_out - (j - 1) * HOP  # samples of the block's last frame
+        if 0 < here < FRAME and n_frames > 1:
+            energy[-1] *= covered[-1] / covered[here - 1]
+        energies.append(np.log(energy + 1e-6))
     return np.concatenate(mels), np.concatenate(energies)
 
 
@@ -124,7 +132,7 @@ def features(pcm: np.ndarray) -> tuple[np.ndarray, list[tuple[float, float]]]:
     total = np.concatenate([np.zeros((1, MELS)), np.cumsum(mel, axis=0, dtype=np.float64)])
     tensor = ((total[ends] - total[at]) / (ends - at)[:, None]).astype(np.float32)
     step = 2 * HOP / RATE
-    return tensor, [(a * step, (b - 1) * step + 2 * FRAME / RATE) for a, b in spans(energy)]
+    return tensor, [(a * step, min((b - 1) * step + 2 * FRAME / RATE, len(pcm) / RATE)) for a, b in spans(energy)]
 
 
 def tensor_array(flat: pa.Array) -> pa.Array:

@@ -151,6 +151,35 @@ def test_media(spark, docs):
     assert media.audio(empty_docs(spark)).count() == 0
 
 
+def test_media_frames_cover_every_sample(monkeypatch):
+    """Log-mel frames against one transform of the whole signal, and features that see the last bytes of any text."""
+    _, _, window, bank = media._filters()
+    for block in (media.BLOCK, 192 * 3):
+        monkeypatch.setattr(media, "BLOCK", block)
+        for n in [*range(192, 192 * 14, 192), 577, 5001]:
+            x = np.random.default_rng(n).integers(32, 127, n).astype(np.uint8)
+            full = np.append(x, np.uint8(128)) if n % 2 else x
+            y = media._halved((full.astype(np.float32) - 128) / 128)
+            count = 1
+            while (count - 1) * media.HOP + media.FRAME < len(y):
+                count += 1
+            y = np.pad(y, (0, (count - 1) * media.HOP + media.FRAME - len(y)))
+            frames = np.array([y[i * media.HOP :][: media.FRAME] * window for i in range(count)])
+            mel, energy = media.log_mel(x)
+            assert mel.shape == (count, media.MELS) and len(energy) == count
+            assert np.allclose(mel, np.log(abs(np.fft.rfft(frames)) ** 2 @ bank + 1e-6), atol=1e-3)
+            for cut in (16, 64, 128):
+                other = x.copy()
+                other[-cut:] = 255 - other[-cut:]
+                one, two = media.features(x)[0], media.features(other)[0]
+                assert abs(one - two).max() > 0.01, (n, cut)
+            assert all(0 <= a < b <= n / media.RATE for a, b in media.features(x)[1])
+    level = np.tile(np.array([96, 160], np.uint8).repeat(8), 192)
+    for n in (768, 1536, 1728):
+        energy = media.log_mel(level[:n])[1]
+        assert abs(energy - energy[1]).max() < 0.5
+
+
 def test_media_blocks_agree(monkeypatch):
     x = np.random.default_rng(1).integers(0, 256, 50_000).astype(np.uint8)
     whole, e1 = media.log_mel(x)
