@@ -7,7 +7,8 @@ are learned together from document labels alone, by gradient descent in numpy on
 
 Training takes a bounded sample: the MAX_TRAIN labelled documents of smallest id hash, and of each at most MAX_BAG
 passages, evenly spread; both are parameters. The sample's labels (MAX_TRAIN rows at most) are broadcast to find its
-documents. Scoring is one narrow pass over all passages of all documents: no shuffle, and memory follows a block of
+documents. Of the rows of a repeated id the one of smallest text hash is trained on, chosen in each partition first, so
+a frequent id takes the room of one document and the order of rows doesn't matter. Scoring is one narrow pass over all passages of all documents: no shuffle, and memory follows a block of
 texts. A text that is longer than a block is scored with all its passages.
 
 Null and empty texts are one empty passage and get a score too. Null ids and ids without label are never trained on;
@@ -18,6 +19,8 @@ besides doc_id and text are not read; keep() hands them on as they are.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +31,7 @@ from .text import LOWER, chunks, prefix_sums, range_hash, utf8, words
 
 PASSAGE = 512
 MAX_TRAIN = 6000
+LAST = (b"\xff" * 33,)  # after every text's hash
 MAX_BAG = 64
 HIDDEN, GATE, EPOCHS, RATE, DECAY, BAGS = 24, 16, 40, 0.01, 1e-4, 256
 THRESHOLD = 0.3
@@ -176,21 +180,35 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int | None = 5, max_trai
     some = rows.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
 
     def run(batches):
+        held = {}  # of each id, the row of smallest key: as many as the sample has ids at most
         for batch in batches:
+            best = {}
+            for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                key = hashlib.sha256((text.as_py() or "").encode()).digest()
+                if key < min(held.get(doc_id, LAST)[0], best.get(doc_id, LAST)[0]):
+                    best[doc_id] = (key, k)
+            if not best:
+                continue
+            batch = batch.take(pa.array([k for _, k in best.values()]))
+            keys = [key for key, _ in best.values()]
+            ids, grades = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             buf, offsets = utf8(batch.column(1))
             for i, j in chunks(offsets):
                 off = offsets[i : j + 1]
                 x, first = encode(buf[off[0] : off[-1]], off - off[0])
-                blobs = []
                 for k in range(j - i):
                     n = first[k + 1] - first[k]
                     pick = first[k] + np.arange(n) if n <= max_bag else first[k] + np.arange(max_bag) * n // max_bag
-                    blobs.append(x[pick].astype(np.float16).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(blobs, pa.binary())], ["doc_id", "quality", "bag"])
+                    held[ids[i + k]] = (keys[i + k], grades[i + k], x[pick].astype(np.float16).tobytes())
+        rows = [(doc_id, *row) for doc_id, row in held.items()]
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        for i in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 256]), kinds)], ["doc_id", "key", "quality", "bag"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = found.join(F.broadcast(some), "doc_id").mapInArrow(run, "doc_id long, quality int, bag binary")
-    got = sorted((r.doc_id, r.quality, bytes(r.bag)) for r in found.limit(2 * max_train).collect())
+    found = found.join(F.broadcast(some), "doc_id").mapInArrow(run, "doc_id long, key binary, quality int, bag binary")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("key", "quality", "bag")).alias("x")).select("doc_id", "x.quality", "x.bag")
+    got = sorted((r.doc_id, r.quality, bytes(r.bag)) for r in found.collect())
     bags = [np.frombuffer(b, np.float16).astype(np.float32).reshape(-1, N_FEATURES) for _, _, b in got]
     return fit(bags, np.array([q for _, q, _ in got], np.float64))
 

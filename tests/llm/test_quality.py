@@ -1,5 +1,7 @@
 """The classifier: held-out accuracy, a plain recomputation of its scores, and edge cases."""
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -59,3 +61,13 @@ def test_no_labels(spark):
     for rows, want in (([], 0.5), ([(4, 1), (5, 1), (None, 0), (6, None)], 1.0)):
         labels = spark.createDataFrame(rows, "doc_id long, quality int")
         assert {r.score for r in quality.score(docs, quality.learn(docs, labels, held_out=None)).collect()} == {want}
+
+
+def test_repeated_ids_train_once_in_any_order(spark):
+    rows = [(7, f"row {i} of a frequent id " * 3) for i in range(60)] + [(i, ("Good prose, at length. " if i % 2 else "$$ ## 00 ") * (i + 3)) for i in range(4)]
+    labels = spark.createDataFrame([(7, 1), *[(i, i % 2) for i in range(4)]], "doc_id long, quality int")
+    models = [quality.learn(spark.createDataFrame(x, "doc_id long, text string").coalesce(n), labels, None, 5) for x, n in ((rows, 1), (rows[::-1], 1), (rows[::2] + rows[1::2], 3))]
+    once = [min((r for r in rows if r[0] == 7), key=lambda r: hashlib.sha256(r[1].encode()).digest()), *rows[60:]]
+    models.append(quality.learn(spark.createDataFrame(once, "doc_id long, text string"), labels, None, 5))
+    for m in models:
+        assert "constant" not in m and all((m[k] == models[0][k]).all() for k in m)
