@@ -13,6 +13,7 @@ An empty table gives an empty table; columns besides doc_id and text are not rea
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -43,31 +44,51 @@ class Tokens:
     """Ids as the tokenizers library gives them for a byte-level BPE file.
 
     The vocabulary's ids follow the order of its merges, so a rank encoder over the same tokens gives equal ids
-    several times as fast; texts that it can't take go to the tokenizers library.
+    several times as fast; texts that it can't take go to the tokenizers library. The file's added tokens are cut out of
+    a text first, as the library does by default; those that match in a way of their own (whole words, stripped
+    neighbours) send their text to the library.
     """
 
     def __init__(self, path: str):
         import tiktoken
 
-        vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        added = {t["content"]: t for t in file.get("added_tokens", ())}
         alphabet = _byte_alphabet()
         ranks = {
-            bytes(alphabet[c] for c in t): i for t, i in vocab.items() if all(c in alphabet for c in t) and t != "<|endoftext|>"
+            bytes(alphabet[c] for c in t): i for t, i in file["model"]["vocab"].items() if all(c in alphabet for c in t) and t not in added
         }
         self.path, self.slow = path, None
+        self.added = {t: x["id"] for t, x in added.items()}
+        self.odd = [t for t, x in added.items() if x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]]
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
+        if self.cut is None or not self.cut.search(text):
+            return self._plain(text)
+        if any(t in text for t in self.odd):
+            return self._library(text)
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += [self._plain(text[at : m.start()]), np.array([self.added[m.group()]], np.uint32)]
+            at = m.end()
+        return np.concatenate([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> np.ndarray:
         try:
             return self.fast.encode_to_numpy(text, disallowed_special=())
         except BaseException as e:  # the pattern engine gives up on some very long runs, with a panic
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
+        return self._library(text)
+
+    def _library(self, text: str) -> np.ndarray:
         if self.slow is None:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = True
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

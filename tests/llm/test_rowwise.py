@@ -32,7 +32,8 @@ def test_packing(spark, docs):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    special = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", " <|endoftext|>\n\n", "x<|endoftext|>don't"]
+    docs = docs.select("doc_id", "text").unionAll(spark.createDataFrame(list(enumerate(special, 5000)), "doc_id long, text string"))
     got = {}
     for r in packing.pack(docs).collect():
         got.setdefault(r.doc_id, []).append(r)
