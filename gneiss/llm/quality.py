@@ -5,13 +5,16 @@ classes and of every ASCII sign, word lengths, word and line repetition go throu
 (tanh times sigmoid) weighs the passages, and the weighted sum is scored by a logistic unit. Layer, gates and scorer
 are learned together from document labels alone, by gradient descent in numpy on the driver.
 
-Training takes a bounded sample: the MAX_TRAIN labelled documents of smallest id hash, and of each at most MAX_BAG
-passages, evenly spread; both are parameters. The sample's labels (MAX_TRAIN rows at most) are broadcast to find its
-documents. Of the rows of a repeated id the one of smallest text hash is trained on, chosen in each partition first, so
-a frequent id takes the room of one document and the order of rows doesn't matter. Scoring is one narrow pass over all passages of all documents: no shuffle, and memory follows a block of
-texts. A text that is longer than a block is scored with all its passages.
-
-Null and empty texts are one empty passage and get a score too. Null ids and ids without label are never trained on;
+Training takes a bounded sample of labelled rows: of the MAX_TRAIN labelled documents of smallest id hash those of at
+most MAX_BAG passages, in that order, up to MAX_PASSAGES passages in all; the three are parameters. Every passage of a
+sampled row is learned from. The sample's labels (MAX_TRAIN rows at most) are broadcast to find its documents. Of the
+rows of a repeated id the one of smallest text hash is trained on, chosen in each partition first, so a frequent id
+takes the room of one document and the order of rows doesn't matter. Scoring is one narrow pass over all passages of
+all documents, whatever their length: no shuffle. A text is encoded SLICE bytes at a time, so beside the text itself
+memory holds its passages' features, a third of a byte for each byte.
+
+Null and empty texts are one empty passage and get a score too. Null ids and ids without label are never trained on,
+nor are null ids held out;
 null labels are ignored, and of repeated labels of an id the largest counts. Without any label, or with one class
 only, every score is the share of label 1 (0.5 if none). Rows are scored one by one, repeated ones alike. Columns
 besides doc_id and text are not read; keep() hands them on as they are.
@@ -23,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import bounded_batches
@@ -32,7 +35,9 @@ from .text import LOWER, chunks, prefix_sums, range_hash, utf8, words
 PASSAGE = 512
 MAX_TRAIN = 6000
 LAST = (b"\xff" * 33,)  # after every text's hash
-MAX_BAG = 64
+MAX_BAG = 1024
+MAX_PASSAGES = 200_000
+SLICE = 1 << 19
 HIDDEN, GATE, EPOCHS, RATE, DECAY, BAGS = 24, 16, 40, 0.01, 1e-4, 256
 THRESHOLD = 0.3
 
@@ -54,50 +59,76 @@ CLASSES = _classes()
 N_FEATURES = CLASSES.shape[1] + 6
 
 
-def encode(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages of some texts, and the first passage of each text (one more at the end)."""
-    size = np.diff(offsets)
-    per = np.maximum(1, -(-size // PASSAGE))
-    first = np.concatenate([[0], np.cumsum(per)])
-    n = int(first[-1])
-    x = np.zeros((n, N_FEATURES), np.float32)
-    doc = np.repeat(np.arange(len(size)), size)
-    at = np.arange(len(buf)) - np.repeat(offsets[:-1], size)
-    passage = first[doc] + at // PASSAGE
+def _passages(x: np.ndarray, buf: np.ndarray, cuts: np.ndarray) -> None:
+    """Fills the features that a passage has of itself; cuts are the offsets of the passages in buf."""
+    n, c = len(cuts) - 1, CLASSES.shape[1]
+    passage = np.repeat(np.arange(n), np.diff(cuts))
     hist = np.bincount(passage * 256 + buf, minlength=n * 256).reshape(n, 256)
-    length = np.maximum(1, hist.sum(1))[:, None]
-    x[:, : CLASSES.shape[1]] = np.sqrt((hist @ CLASSES) / length)
-    c = CLASSES.shape[1]
+    x[:, :c] = np.sqrt((hist @ CLASSES) / np.maximum(1, hist.sum(1))[:, None])
     low = LOWER[buf]
-    starts, ends, rows = words(low, offsets)
-    sums = prefix_sums(low)
+    starts, ends, p = words(low, cuts)
     if len(starts):
-        h = range_hash(sums, starts, ends)
-        p = passage[starts]
-        count = np.bincount(p, minlength=n)
-        many = np.maximum(1, count)
+        h = range_hash(prefix_sums(low), starts, ends)
+        many = np.maximum(1, np.bincount(p, minlength=n))
         x[:, c] = np.bincount(p, ends - starts, n) / many / 10
         twice = np.zeros(len(h), bool)
-        twice[1:] = (h[1:] == h[:-1]) & (rows[1:] == rows[:-1])
+        twice[1:] = (h[1:] == h[:-1]) & (p[1:] == p[:-1])
         x[:, c + 1] = np.bincount(p, twice, n) / many
-        key = np.sort((p.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = key[1:] != key[:-1]
-        x[:, c + 2] = np.bincount((key[fresh] >> np.uint64(40)).astype(np.int64), minlength=n) / many
+        order = np.lexsort((h, p))
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[order][1:] != h[order][:-1]) | (p[order][1:] != p[order][:-1])
+        x[:, c + 2] = np.bincount(p[order[fresh]], minlength=n) / many
+
+
+def _line_hashes(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the lines [a, b), in ascending order, some SLICE bytes of them at a time."""
+    h = np.empty(len(a), np.uint64)
+    long = b - a > SLICE // 8
+    for i in np.flatnonzero(long):
+        h[i] = int.from_bytes(hashlib.blake2b(LOWER[buf[a[i] : b[i]]], digest_size=8).digest(), "little")
+    short = np.flatnonzero(~long)
+    i = 0
+    while i < len(short):
+        lo = a[short[i]]
+        j = int(np.searchsorted(a[short], lo + SLICE))
+        s = prefix_sums(LOWER[buf[lo : b[short[j - 1]]]])
+        h[short[i:j]] = range_hash(s, a[short[i:j]] - lo, b[short[i:j]] - lo)
+        i = j
+    return h
+
+
+def encode(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all passages of some texts, and the first passage of each text (one more at the end)."""
+    size = np.diff(offsets)
+    per = np.maximum(1, -(-size // PASSAGE))
+    first = np.concatenate([[0], np.cumsum(per)])
+    n, c = int(first[-1]), CLASSES.shape[1]
+    x = np.zeros((n, N_FEATURES), np.float32)
+    cuts = np.append(np.repeat(offsets[:-1], per) + PASSAGE * (np.arange(n) - np.repeat(first[:-1], per)), offsets[-1])
+    step = SLICE // PASSAGE
+    i = 0
+    while i < n:
+        j = max(i + 1, min(n, int(np.searchsorted(cuts, cuts[i] + SLICE, "right")) - 1, i + 4 * step))
+        _passages(x[i:j], buf[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i])
+        i = j
     # lines that the text repeats
     line = np.ones(256, bool)
     line[10] = False
-    a, b, r = words(low, offsets, line)
+    a, b, r = words(buf, offsets, line)
     if len(a):
-        h = range_hash(sums, a, b) ^ (r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        h = _line_hashes(buf, a, b) ^ (r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
-        again = (times[inverse] > 1).astype(np.float32)
-        total = np.zeros(len(buf) + 1, np.float64)
-        np.add.at(total, a, again)
-        np.add.at(total, b, -again)
-        inside = np.cumsum(total[:-1]) > 0
-        x[:, c + 3] = np.bincount(passage[inside], minlength=n) / length[:, 0]
-        x[:, c + 4] = np.log1p(np.bincount(passage[a], minlength=n)) / 4
+        again = times[inverse] > 1
+        lo, hi = a[again], b[again]
+        total = np.concatenate([[0], np.cumsum(hi - lo)])
+
+        def before(t):  # bytes of repeated lines that lie before t
+            k = np.searchsorted(lo, t)
+            return total[k] - np.where(k > 0, np.maximum(0, (hi[np.maximum(k - 1, 0)] if len(hi) else 0) - t), 0)
+
+        x[:, c + 3] = np.diff(before(cuts)) / np.maximum(1, np.diff(cuts))
+        at = np.searchsorted(cuts, a, "right") - 1
+        x[:, c + 4] = np.log1p(np.bincount(at, minlength=n)) / 4
     x[:, c + 5] = np.repeat(size == 0, per)
     return x, first
 
@@ -126,24 +157,11 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 3) -> dict:
         "c": rng.normal(0, 0.2, HIDDEN), "d": np.array(np.log(share / (1 - share))),
     }
     learned = list(m)
-    m |= {"mean": every.mean(0), "std": every.std(0) + 0.02}
+    m |= {"mean": every.mean(0, dtype=np.float64), "std": every.std(0, dtype=np.float64) + 0.02}
     first, second, step = {k: np.zeros_like(m[k]) for k in learned}, {k: np.zeros_like(m[k]) for k in learned}, 0
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(bags))
-        for lo in range(0, len(order), BAGS):
-            some = order[lo : lo + BAGS]
-            x = np.concatenate([bags[i] for i in some])
-            at = np.concatenate([[0], np.cumsum([len(bags[i]) for i in some])])
-            h, t, s, a, z, p = _forward(m, x, at)
-            size = np.diff(at)
-            g = (p - labels[some]) / len(some)
-            gz = np.repeat(g[:, None] * m["c"], size, axis=0)
-            ga = (gz * h).sum(1)
-            ge = a * (ga - np.repeat(np.add.reduceat(a * ga, at[:-1]), size))
-            gt, gs = ge[:, None] * m["w"] * s * (1 - t * t), ge[:, None] * m["w"] * t * s * (1 - s)
-            gh = (a[:, None] * gz + gt @ m["V"].T + gs @ m["U"].T) * (1 - h * h)
-            xs = (x - m["mean"]) / m["std"]
-            grad = {"W": xs.T @ gh, "b": gh.sum(0), "V": h.T @ gt, "U": h.T @ gs, "w": (t * s).T @ ge, "c": z.T @ g, "d": g.sum()}
+        for x, at, y in _batches(bags, labels, rng.permutation(len(bags))):
+            grad = gradient(m, x, at, y)
             step += 1
             rate = RATE * (1 - 0.9 * epoch / EPOCHS)
             for k in learned:
@@ -154,21 +172,44 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 3) -> dict:
     return {k: np.asarray(v, np.float32) for k, v in m.items()}
 
 
+def gradient(m: dict, x: np.ndarray, at: np.ndarray, labels: np.ndarray) -> dict:
+    """Gradient of the mean cross entropy of some bags by each learned array."""
+    h, t, s, a, z, p = _forward(m, x, at)
+    size = np.diff(at)
+    g = (p - labels) / len(labels)
+    gz = np.repeat(g[:, None] * m["c"], size, axis=0)
+    ga = (gz * h).sum(1)
+    ge = a * (ga - np.repeat(np.add.reduceat(a * ga, at[:-1]), size))
+    gt, gs = ge[:, None] * m["w"] * s * (1 - t * t), ge[:, None] * m["w"] * t * s * (1 - s)
+    gh = (a[:, None] * gz + gt @ m["V"].T + gs @ m["U"].T) * (1 - h * h)
+    xs = (x - m["mean"]) / m["std"]
+    return {"W": xs.T @ gh, "b": gh.sum(0), "V": h.T @ gt, "U": h.T @ gs, "w": (t * s).T @ ge, "c": z.T @ g, "d": g.sum()}
+
+
 def scores(m: dict, texts) -> np.ndarray:
     """Score of each text of an Arrow column."""
     buf, offsets = utf8(texts)
     out = np.zeros(len(offsets) - 1)
-    for i, j in chunks(offsets):
-        if "constant" in m:
-            out[i:j] = m["constant"]
-            continue
+    if "constant" in m:
+        out[:] = m["constant"]
+        return out
+    for i, j in chunks(offsets, SLICE):
         off = offsets[i : j + 1]
         x, first = encode(buf[off[0] : off[-1]], off - off[0])
         out[i:j] = _forward(m, x, first)[5]
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out: int | None = 5, max_train: int = MAX_TRAIN, max_bag: int = MAX_BAG) -> dict:
+def _batches(bags: list[np.ndarray], labels: np.ndarray, order: np.ndarray):
+    """Passages, first passages and labels of BAGS documents at a time."""
+    for lo in range(0, len(order), BAGS):
+        some = order[lo : lo + BAGS]
+        yield np.concatenate([bags[i] for i in some]), np.concatenate([[0], np.cumsum([len(bags[i]) for i in some])]), labels[some]
+
+
+def learn(
+    docs: DataFrame, labels: DataFrame, held_out: int | None = 5, max_train: int = MAX_TRAIN, max_bag: int = MAX_BAG, max_passages: int = MAX_PASSAGES
+) -> dict:
     """A model from docs(doc_id, text) and labels(doc_id, quality).
 
     With held_out = n, ids whose crc32 (as text) is divisible by n are left out.
@@ -197,17 +238,19 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int | None = 5, max_trai
                 off = offsets[i : j + 1]
                 x, first = encode(buf[off[0] : off[-1]], off - off[0])
                 for k in range(j - i):
-                    n = first[k + 1] - first[k]
-                    pick = first[k] + np.arange(n) if n <= max_bag else first[k] + np.arange(max_bag) * n // max_bag
-                    held[ids[i + k]] = (keys[i + k], grades[i + k], x[pick].astype(np.float16).tobytes())
+                    held[ids[i + k]] = (keys[i + k], grades[i + k], x[first[k] : first[k + 1]].astype(np.float16).tobytes())
         rows = [(doc_id, *row) for doc_id, row in held.items()]
         kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         for i in range(0, len(rows), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 256]), kinds)], ["doc_id", "key", "quality", "bag"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = found.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bag * PASSAGE)
     found = found.join(F.broadcast(some), "doc_id").mapInArrow(run, "doc_id long, key binary, quality int, bag binary")
     found = found.groupBy("doc_id").agg(F.min(F.struct("key", "quality", "bag")).alias("x")).select("doc_id", "x.quality", "x.bag")
+    # a running sum over MAX_TRAIN rows at most
+    upto = F.sum(F.octet_length("bag") / (2 * N_FEATURES)).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    found = found.withColumn("upto", upto).where(F.col("upto") <= max_passages)
     got = sorted((r.doc_id, r.quality, bytes(r.bag)) for r in found.collect())
     bags = [np.frombuffer(b, np.float16).astype(np.float32).reshape(-1, N_FEATURES) for _, _, b in got]
     return fit(bags, np.array([q for _, q, _ in got], np.float64))
@@ -241,5 +284,5 @@ def keep(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFram
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    held = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
     return score(docs, learn(docs, labels)).select("doc_id", held, "score", "predicted")
