@@ -7,8 +7,14 @@ pairs that this changes; a word leaves the recursion when no pair of it can merg
 then gives a word's ids; joined with the vocabulary, ordered aggregation over ids gives its bytes, and over a
 document's words the document's.
 
-Words go to the engine in blocks of bounded size and a very long word recurses a bounded number of steps at a time,
-so memory does not grow with the text. Words met before in the same worker come from a bounded cache.
+A word of LONG bytes and more is first cut into shorter ones. Overlapping pieces of it are encoded, and a place where
+neighbouring pieces agree in a token is proposed as a cut. What lies between cuts is encoded as a word. A sequence of
+tokens is the encoding of its bytes if and only if each two neighbours are the encoding of theirs, so every cut is
+verified by encoding the two tokens beside it together; a cut that fails is taken back. What can't be cut (a run of one
+letter whose tokens shift) is contracted whole, all pairs of its minimum rank in a step.
+
+Words go to the engine in blocks of bounded size, texts in slices, and digests are updated slice by slice. Words met
+before in the same worker come from a bounded cache. Beside the text itself memory holds one slice.
 
 Null and empty texts have no ids and decode to no bytes. Rows are encoded one by one, repeated ones too. An empty
 table gives an empty table; columns besides doc_id and text are not read.
@@ -18,6 +24,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import tempfile
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +37,10 @@ from .store import bounded_batches
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 STEPS = 48  # recursion steps of one query
-LONG = 256  # bytes from which a word is long
+ROWS = 4_000_000  # rows that all steps of one query may leave
+LONG = 256  # bytes from which a word is cut
+STRIDES = (48, 384)  # half of the pieces' sizes, smaller ones first
+SEGMENT = 1 << 15  # bytes of a long word that are cut at a time
 BLOCK_BYTES = 500_000  # bytes of distinct words in one query
 CHUNK_CHARS = 2_000_000  # text handled at a time
 CACHE_WORDS = 800_000
@@ -57,7 +68,7 @@ with recursive s(it, w, p, q, l, r, k) as (
 select w, p, q, l, r, k from s join (select w, max(it) as it from s group by w) using (w, it)
 """
 
-# The same for long words: a step contracts every pair of the word's minimum rank, in runs every other one from the left.
+# The same for words that stay long: a step contracts every pair of the word's minimum rank, in runs every other one from the left.
 # Leftmost-first contraction does just these one after the other: a pair that holds the new token ranks behind it, since
 # one that ranked before it would have been contracted in an earlier step.
 ENCODE_LONG = """
@@ -108,8 +119,10 @@ class Engine:
                     left.append(a), right.append(b), to.append(rank)
         self.words, self.cache = regex.compile(public_tokenizers.PATTERN), {}
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.whole = ranks
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        self.whole, self.whole_of = ranks, {r: t for t, r in ranks.items()}
+        self.size = {r: len(t) for t, r in ranks.items()}
+        spill = os.path.join(tempfile.gettempdir(), f"bpe-{os.getpid()}")  # made only if a query outgrows its memory
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": spill})
         self._register("m", ab=np.array(left, np.int64) << 32 | np.array(right, np.int64), t=np.array(to, np.int32))
         self.db.execute("create table merges as select ab, t from m order by ab")
         named = {r: t.hex() for t, r in ranks.items()}
@@ -138,7 +151,7 @@ class Engine:
         for query, state in ((ENCODE, every.filter(pa.array(~long))), (ENCODE_LONG, every.filter(pa.array(long)))):
             while state.num_rows:
                 self.db.register("seed", state)
-                got = self._rows(query.format(steps=STEPS))
+                got = self._rows(query.format(steps=max(1, min(STEPS, ROWS // state.num_rows))))
                 w, k = got["w"].to_numpy(), got["k"].to_numpy(zero_copy_only=False)
                 pending = np.unique(w[~np.isnan(k.astype(float))])
                 more = np.isin(w, pending)
@@ -150,15 +163,16 @@ class Engine:
             " from (select w, list(l order by p) as ids from tokens group by w), vocabulary order by w"
         )
 
-    def lookup(self, words: set[str]) -> dict[str, tuple[int, str, str]]:
-        """(number of ids, ids, decoded hex) of each word."""
+    def lookup(self, words: set) -> dict:
+        """(number of ids, ids, decoded hex) of each word, a string or bytes."""
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
         found = {x: y for x in words if (y := cache.get(x)) is not None}
-        todo = list(words - found.keys())
-        blobs = [x.encode("utf-8") for x in todo]
-        ends = np.cumsum([len(b) for b in blobs])
+        todo = [x for x in words if x not in found]
+        blobs = [x if isinstance(x, bytes) else x.encode("utf-8") for x in todo]
+        # a word's steps grow with its length, and each leaves rows
+        ends = np.cumsum([len(b) * max(1, len(b) // 16) for b in blobs])
         i = 0
         while i < len(todo):
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK_BYTES, "right")))
@@ -169,30 +183,104 @@ class Engine:
         cache.update((x, found[x]) for x in todo if len(x) < 64)
         return found
 
-    def documents(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
-        """(number of ids, ids, decoded bytes) of each text, by ordered aggregation over its words."""
-        words = [self.words.findall(text) for text in texts]
-        distinct = set().union(*words)
-        out = [(0, "", b"")] * len(texts)
-        if not distinct:
-            return out
-        codes = self.lookup(distinct)
+    def _proposed(self, raw: bytes, stride: int) -> list[int]:
+        """Places of raw where overlapping pieces of two strides agree in a token."""
+        starts = range(0, max(1, len(raw) - stride), stride)
+        pieces = [raw[a : a + 2 * stride] for a in starts]
+        codes, tokens = self.lookup(set(pieces)), {}
+        for piece, (_, ids, _) in codes.items():
+            ids = [int(t) for t in ids.split(",")]
+            ends = np.cumsum([self.size[t] for t in ids]).tolist()
+            tokens[piece] = list(zip([0, *ends], ids))
+        out = []
+        for a, one, two in zip(starts[1:], pieces, pieces[1:]):
+            both = {(p - stride, t) for p, t in tokens[one] if p >= stride}.intersection(tokens[two])
+            out += [a + min(both)[0]] if both else []
+        return [x for x in out if x]
+
+    def parts(self, raw: bytes):
+        """raw cut into words whose encodings, one after the other, are raw's."""
+        at, size, last = 0, SEGMENT, None
+        while at < len(raw):
+            end = min(len(raw), at + size)
+            cuts: list[int] = []
+            for stride in STRIDES:
+                cuts = cuts or self._proposed(raw[at:end], stride)
+            if not cuts and end < len(raw):
+                size *= 2
+                continue
+            stop = len(raw) if end == len(raw) else at + cuts[-1]
+            words = [raw[at + a : at + b] for a, b in zip([0, *cuts], [*cuts, end - at]) if at + a < stop]
+            words = [last, *words] if last else words
+            while True:
+                codes = self.lookup(set(words))
+                edge = [tuple(self.whole_of[int(t)] for t in (codes[w][1].split(",", 1)[0], codes[w][1].rsplit(",", 1)[-1])) for w in words]
+                pairs = [(x[1], y[0]) for x, y in zip(edge, edge[1:])]
+                met = self.lookup({x + y for x, y in pairs})
+                good = [met[x + y][1] == f"{self.whole[x]},{self.whole[y]}" for x, y in pairs]
+                if all(good):
+                    break
+                joined = [words[0]]
+                for word, ok in zip(words[1:], good):
+                    joined += [word] if ok else []
+                    if not ok:
+                        joined[-1] += word
+                words = joined
+            at, size = stop, SEGMENT
+            last = words.pop()  # the next segment's first cut is verified against it
+            yield from words
+        if last:
+            yield last
+
+    def slices(self, texts: list[str]):
+        """Lists of (text's number, words), CHUNK_CHARS of text at a time."""
+        held, size = [], 0
+        for d, text in enumerate(texts):
+            matches = self.words.findall(text) if len(text) < CHUNK_CHARS else (m.group() for m in self.words.finditer(text))
+            words = []
+            for word in matches:
+                long = len(word) >= LONG or 4 * len(word) >= LONG and len(word.encode("utf-8")) >= LONG
+                for x in self.parts(word.encode("utf-8")) if long else (word,):
+                    words.append(x)
+                    size += len(x)
+                    if size >= CHUNK_CHARS:
+                        yield [*held, (d, words)]
+                        held, words, size = [], [], 0
+            if words:
+                held.append((d, words))
+        if held:
+            yield held
+
+    def documents(self, texts: list[str], full: bool = False) -> list[tuple]:
+        """(number of ids, digests of ids and of decoded bytes, and, if full, both themselves) of each text."""
+        state = [[0, hashlib.sha256(), hashlib.sha256(), [], []] for _ in texts]
+        for part in self.slices(texts):
+            for d, n, ids, raw in self._joined(part):
+                s = state[d]
+                s[1].update(("," if s[0] else "").encode() + ids.encode())
+                s[2].update(raw)
+                s[0] += n
+                if full:
+                    s[3].append(ids)
+                    s[4].append(raw)
+        return [(n, a.hexdigest(), b.hexdigest(), ",".join(ids), b"".join(raw)) for n, a, b, ids, raw in state]
+
+    def _joined(self, part: list[tuple[int, list]]) -> list[tuple[int, int, str, bytes]]:
+        """(text, number of ids, ids, decoded bytes) of each text's words, by ordered aggregation over them."""
+        codes = self.lookup(set().union(*(words for _, words in part)))
         number = dict(zip(codes, range(len(codes))))
-        word_of = [i for ws in words for i in map(number.__getitem__, ws)]
-        doc_of = [len(ws) for ws in words]
+        word_of = np.array([i for _, ws in part for i in map(number.__getitem__, ws)], np.int32)
         n, ids, hexes = zip(*codes.values())
         self.db.register("words", pa.table({"w": np.arange(len(n), dtype=np.int32), "ids": pa.array(ids, pa.large_string()), "hex": pa.array(hexes, pa.large_string())}))
-        doc, word_of = np.repeat(np.arange(len(texts), dtype=np.int32), doc_of), np.array(word_of, np.int32)
+        doc = np.repeat(np.arange(len(part), dtype=np.int32), [len(ws) for _, ws in part])
         self.db.register("places", pa.table({"d": doc, "i": np.arange(len(doc), dtype=np.int32), "w": word_of}))
         got = self._rows(
             "with all_words as (select list(ids order by w) as ids, list(hex order by w) as hex from words),"
             " texts as (select d, list(w + 1 order by i) as ws from places group by d)"
-            " select d, array_to_string(list_select(ids, ws), ',') as ids, array_to_string(list_select(hex, ws), '') as hex from texts, all_words"
+            " select d, array_to_string(list_select(ids, ws), ',') as ids, array_to_string(list_select(hex, ws), '') as hex from texts, all_words order by d"
         )
-        total = np.bincount(doc, np.array(n)[word_of], len(texts)).astype(np.int64).tolist()
-        for d, a, b in zip(*(got[x].to_pylist() for x in ("d", "ids", "hex"))):
-            out[d] = (total[d], a, bytes.fromhex(b))
-        return out
+        total = np.bincount(doc, np.array(n)[word_of], len(part)).astype(np.int64).tolist()
+        return [(part[d][0], total[d], a, bytes.fromhex(b)) for d, a, b in zip(*(got[x].to_pylist() for x in ("d", "ids", "hex")))]
 
 
 @lru_cache(maxsize=2)
@@ -216,16 +304,11 @@ def encode_decode(docs: DataFrame, ranks: str | None = None, full: bool = False)
                     chunk.append(texts[j].as_py() or "")
                     size += len(chunk[-1])
                     j += 1
-                rows = eng.documents(chunk)
-                arrays = [
-                    docs.slice(i, j - i),
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([hashlib.sha256(r[1].encode()).hexdigest() for r in rows]),
-                    pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows]),
-                ]
+                rows = eng.documents(chunk, full)
+                arrays = [docs.slice(i, j - i), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if full:
-                    arrays += [pa.array([[int(t) for t in r[1].split(",") if t] for r in rows], pa.list_(pa.int32())), pa.array([r[2].decode("utf-8") for r in rows])]
+                    arrays += [pa.array([[int(t) for t in r[3].split(",") if t] for r in rows], pa.list_(pa.int32())), pa.array([r[4].decode("utf-8") for r in rows])]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
                 i = j

@@ -206,7 +206,7 @@ def test_media_spans_and_tensor(spark):
 
 
 def test_bpe_long_words(monkeypatch):
-    """Words that take the path of long ones, and ordinary texts sent through it."""
+    """Words that are cut, words that can't be, and ordinary texts sent the same way; slices and segments of any size."""
     import base64
     import random
 
@@ -217,10 +217,32 @@ def test_bpe_long_words(monkeypatch):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     eng, rng = bpe.Engine(path), random.Random(1)
-    texts = ["x" * 30_000, " " * 9000 + "a", "-" * 7001, "".join(rng.choices(["the", "ing", "straße", "é", "漢"], k=900)), "ab" * 500]
-    for limit in (bpe.LONG, 1):
+    draw = lambda letters, k: "".join(rng.choices(letters, k=k))
+    texts = [
+        "x" * 30_000, " " * 9000 + "a", "-" * 7001, draw(["the", "ing", "straße", "é", "漢"], 900), "ab" * 500, draw("abcdefghijklmnopqrstuvwxyz", 20_000),
+        draw("ab", 3000), draw(["=" * 70, "a" * 33, "b", "the", "on"], 300), "abcdefghij" * 400, draw("漢字仮名交じり文章", 2000), "\n" * 5000,
+        draw(["in", "er", "at", "ion", "over", "al", "re"], 2000),
+    ]
+    for limit, segment, chunk in ((bpe.LONG, bpe.SEGMENT, bpe.CHUNK_CHARS), (40, 700, 900), (1, 5000, 10**6)):
         monkeypatch.setattr(bpe, "LONG", limit)
-        for text in [*texts, "The quick, brown fox - don't! 12345 \n\n  ok"]:
+        monkeypatch.setattr(bpe, "SEGMENT", segment)
+        monkeypatch.setattr(bpe, "CHUNK_CHARS", chunk)
+        for text in [*(t if limit > 1 else t[:4000] for t in texts), "The quick, brown fox - don't! 12345 \n\n  ok"]:
             eng.cache.clear()
-            n, ids, raw = eng.documents([text])[0]
-            assert (ids, raw) == (",".join(map(str, enc.encode_ordinary(text))), text.encode())
+            n, ids_hash, raw_hash, ids, raw = eng.documents([text], full=True)[0]
+            want = enc.encode_ordinary(text)
+            assert (n, ids, raw) == (len(want), ",".join(map(str, want)), text.encode())
+            assert (ids_hash, raw_hash) == (hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest())
+
+
+def test_bpe_a_megabyte_of_random_letters():
+    """No crash, and time in proportion."""
+    import random
+    import time
+
+    import public_tokenizers
+
+    eng, rng = bpe.Engine(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), random.Random(2)
+    text, began = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), time.perf_counter()
+    assert eng.documents([text])[0][2] == hashlib.sha256(text.encode()).hexdigest()
+    assert time.perf_counter() - began < 180
