@@ -64,24 +64,44 @@ def _places(keys: np.ndarray, bits: int):
     return (h & mask).astype(np.int64), (h >> np.uint64(32) & mask).astype(np.int64)
 
 
-def maybe_in(keys: DataFrame, bits: int = BITS):
-    """A function of a long column: false only where no row of keys (one long column) has the value, or it is null."""
+class Bloom:
+    """A filled filter, shared with the executors: bits / 8 bytes, whatever the input."""
+
+    def __init__(self, spark, filled: np.ndarray, bits: int):
+        self.shared, self.bits, self.filled = spark.sparkContext.broadcast(filled), bits, bool(filled.any())
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """False only where a key was not put in; in a task."""
+        a, b = _places(keys, self.bits)
+        data = self.shared.value
+        return (data[a >> 3] >> (a & 7).astype(np.uint8) & 1 & (data[b >> 3] >> (b & 7).astype(np.uint8))).astype(bool)
+
+    def test(self, column):
+        """holds() as a column, of a long column; false where it is null."""
+
+        @F.pandas_udf("boolean")
+        def test(column: pd.Series) -> pd.Series:
+            known = column.notna().to_numpy()
+            out = np.zeros(len(column), bool)
+            out[known] = self.holds(column.to_numpy()[known].astype(np.int64))
+            return pd.Series(out)
+
+        return test(column)
+
+    def __getstate__(self):
+        return {"shared": self.shared, "bits": self.bits, "filled": self.filled}
+
+
+def bloom(keys: DataFrame, bits: int = BITS) -> Bloom:
+    """A filter of one long column."""
 
     def add(total, batch):
         for p in _places(batch.column(0).drop_null().to_numpy(), bits):
             np.bitwise_or.at(total, p >> 3, (1 << (p & 7)).astype(np.uint8))
 
-    filled = reduced(keys, bits // 8, np.uint8, add, np.bitwise_or)
-    shared = keys.sparkSession.sparkContext.broadcast(filled)  # bits / 8 bytes, whatever the input
+    return Bloom(keys.sparkSession, reduced(keys, bits // 8, np.uint8, add, np.bitwise_or), bits)
 
-    @F.pandas_udf("boolean")
-    def test(column: pd.Series) -> pd.Series:
-        known = column.notna().to_numpy()
-        out = np.zeros(len(column), bool)
-        k = column.to_numpy()[known].astype(np.int64)
-        a, b = _places(k, bits)
-        data = shared.value
-        out[known] = (data[a >> 3] >> (a & 7).astype(np.uint8) & 1 & (data[b >> 3] >> (b & 7).astype(np.uint8))).astype(bool)
-        return pd.Series(out)
 
-    return test
+def maybe_in(keys: DataFrame, bits: int = BITS):
+    """A function of a long column: false only where no row of keys (one long column) has the value, or it is null."""
+    return bloom(keys, bits).test

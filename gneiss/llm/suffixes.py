@@ -1,21 +1,23 @@
 """Suffix-array dedup by depth-limited radix passes.
 
-A repeated passage is a string of `depth` bytes that starts at two places. Were all suffixes sorted through their
-first `depth` bytes, such strings would be the groups of equal suffixes. Most-significant-digit passes find the same
-groups without sorting every suffix to that depth: a pass deals suffixes by a digit, and what is alone there is done.
-
-1. Suffixes are handled by runs: each window of `depth` bytes belongs to the smallest of its GRAM-byte grams
-   (leftmost if tied). This depends on the window's bytes alone, so equal windows have equal grams at equal offsets.
-   Consecutive windows with one gram are a run; there are some 13 for each thousand bytes. The gram is the first digit,
-   and runs whose gram is found nowhere else are done. Runs whose whole bytes are found again are repeated
-   throughout, and of equal ones only a count and the first place go through the shuffle.
-2. Runs left share their gram with others, but not all their bytes. A window holds at least half of what it has beside
-   the gram before it, or else after it: these bytes are the second digit, which parts the windows of a frequent line.
-3. In what is still together, windows are compared through the full depth, by a hash of all their bytes, a bounded
-   buffer at a time. A group that outgrows the buffer goes on as (window hash, place) rows, which Spark counts.
-
-The bytes that repeated windows cover are removed, in every place. Matches never cross documents. Equality is that of
-64-bit hashes of whole windows (in step 1 of whole runs, with the gram's).
+A repeated passage is a string of `depth` bytes that starts at two places: a group of suffixes that are equal through
+their first `depth` bytes. Most-significant-digit passes find these groups without sorting every suffix to that depth:
+a pass deals suffixes by a digit, that is by some more of their bytes, and what is alone there is done.
+
+1. Suffixes are handled by runs: each window of `depth` bytes is anchored at one of its GRAM-byte grams, the one of
+   smallest hash (leftmost if tied). The choice depends on the window's bytes alone, so equal windows are anchored at
+   equal grams at equal offsets. Consecutive windows with one anchor are a run; there are some 13 for each thousand
+   bytes. The gram is the first digit, and runs whose gram is found nowhere else are done: counts of grams show it, and
+   a filter of fixed size keeps these runs out of all that follows. Runs whose whole bytes are found again are repeated
+   throughout, and only one of equal ones goes on, if others share its gram.
+2. The anchor is the core of a run's windows, the bytes that all of them hold. A window holds at least half of what it
+   has beside the core before it, or else after it: the core so extended is the next digit, and parts a run in two.
+   Groups of one core of up to BUFFER bytes are finished in a task, by passes over their windows' bytes, eight at a
+   time, which only equal prefixes survive. Larger groups (the windows around a very frequent line) take another pass
+   of this kind. They never meet in one task before their cores are the whole windows: then all of them are repeated.
+
+The bytes that repeated windows cover are removed, in every place. Matches never cross documents. Digits are compared as
+bytes; only runs that share their gram are told apart by 64-bit hashes of the rest.
 
 Rows are told apart by a 128-bit hash of their texts, so rows with equal or null ids are documents of their own, and
 copies of a text are repeated passages of each other. Nulls are empty texts; texts shorter than `depth` stay whole. An
@@ -28,18 +30,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bloom import maybe_in
+from .bloom import bloom, maybe_in
 from .store import bounded_batches, persisted
 from .text import chunks, prefix_sums, range_hash, utf8
 
 DEPTH = 200
 GRAM = 50
-BUFFER = 4 << 20  # bytes of runs that a group may have to be compared in one piece
-STEP = 1 << 20  # bytes of smaller groups that are compared at a time
-SUMMED = 300_000  # runs that a task sums before the shuffle
+BUFFER = 1 << 20  # bytes of runs up to which a group is finished in a task
+STEP = 1 << 20  # bytes of groups that are compared at a time
+SUMMED = 500_000  # runs that a task sums before the shuffle
+SLICE = 1 << 19  # bytes of a text that are cut into runs at a time
 BITS = 12  # of a run's length, and of its gram's place in it
 
 
@@ -49,7 +53,7 @@ def _runs(buf: np.ndarray, offsets: np.ndarray, depth: int, gram: int):
     size = np.diff(offsets)
     if n < 1 or not (size >= depth).any():
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z, z
+        return z, z, z, z, z.view(np.uint64), z
     s = prefix_sums(buf)
     at = np.arange(n)
     h = range_hash(s, at, at + gram)
@@ -69,7 +73,57 @@ def _runs(buf: np.ndarray, offsets: np.ndarray, depth: int, gram: int):
     a = np.flatnonzero(cut)
     count = np.diff(np.append(a, len(row)))
     lo = start[a]
-    return row[a], lo - offsets[:-1][row[a]], count, place[a] - lo, h[place[a]].view(np.int64), range_hash(s, lo, lo + count - 1 + depth).view(np.int64)
+    return row[a], lo - offsets[:-1][row[a]], count, place[a] - lo, h[place[a]], range_hash(s, lo, lo + count - 1 + depth).view(np.int64)
+
+
+def _sliced(buf: np.ndarray, offsets: np.ndarray, depth: int, gram: int):
+    """_runs of texts, and the grams' bytes; texts of more than SLICE bytes are taken in slices that overlap."""
+    for i, j in chunks(offsets, SLICE):
+        for a in range(int(offsets[i]), int(offsets[j]) if j == i + 1 else int(offsets[i]) + 1, SLICE):
+            b = min(int(offsets[j]), a + SLICE + depth - 1) if j == i + 1 else int(offsets[j])
+            off = np.array([a, b]) if j == i + 1 else offsets[i : j + 1]
+            part = buf[a:b]
+            row, lo, n, at, g, c = _runs(part, off - a, depth, gram)
+            first = off[row] - a + lo + at
+            yield i + row, lo + (a - int(offsets[i]) if j == i + 1 else 0), n, at, g, c, lambda some, part=part, first=first: part[first[some][:, None] + np.arange(gram)]
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _equal_windows(buf: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+    """Which windows of buf (at their starts) have all their bytes in common with another one of their group.
+
+    Most significant digits first, eight bytes each. A pass parts groups whose windows differ in the digit, and only
+    windows that still have company go on.
+    """
+    digits = np.ndarray(len(buf), ">u8", np.append(buf, np.zeros(8, np.uint8)), strides=(1,))
+    live = np.argsort(group, kind="stable")
+    g = group[live]
+    for d in range(0, depth + 8, 8):
+        head = np.flatnonzero(np.diff(g, prepend=-1))
+        size = np.diff(np.append(head, len(g)))
+        keep = np.repeat(size > 1, size)
+        live, g = live[keep], g[keep]
+        if d >= depth or not len(live):
+            break
+        head = np.flatnonzero(np.diff(g, prepend=-1))
+        size = np.diff(np.append(head, len(g)))
+        digit = digits[at[live] + d].astype(np.uint64) >> np.uint64(8 * max(0, 8 - (depth - d)))
+        other = np.add.reduceat(digit != np.repeat(digit[head], size), head) > 0
+        if other.any():
+            some = np.flatnonzero(np.repeat(other, size))
+            order = some[np.lexsort((digit[some], g[some]))]
+            live[some], digit[some] = live[order], digit[order]
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (digit[1:] != digit[:-1])
+            g = np.cumsum(new)
+    same = np.zeros(len(at), bool)
+    same[live] = True
+    return same
 
 
 def _merged(pairs, depth: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,70 +145,125 @@ def _keyed(docs: DataFrame, *columns) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), text.alias("text"), *columns)
 
 
+def _extended(raw: bytes, lo: int, core: int, width: int, depth: int, key: bytes):
+    """The two parts of a run (raw from its first window on, at lo; core within raw) with a longer core each.
+
+    Windows that hold `half` bytes before the core, and those that don't, which hold the more after it.
+    """
+    free = depth - width
+    half = (free + 1) // 2
+    n = len(raw) - depth + 1
+    mid = min(max(0, core - half + 1), n)
+    if mid:
+        yield key + b"<", raw[core - half : core + width], raw[: mid - 1 + depth], lo, core - half
+    if n > mid:
+        yield key + b">", raw[core : core + width + free - half + 1], raw[mid:], lo + mid, core - mid
+
+
+CORES = "side binary, core binary, t1 long, t2 long, lo long, place int, ask boolean, raw binary"
+CORE_TYPES = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+
+
+def _core_batches(rows, limit: int = 4 << 20):
+    """Batches of CORES rows."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1]) + len(row[1]) + 200
+        if size >= limit:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held), CORE_TYPES)], names=[x.split()[0] for x in CORES.split(", ")])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held), CORE_TYPES)], names=[x.split()[0] for x in CORES.split(", ")])
+
+
+def _compared(batches, depth: int):
+    """Repeated windows, as (t1, t2, lo, n), of whole groups of rows with equal side and core, sorted by them."""
+
+    def groups(t):
+        keys = list(zip(t["side"].to_pylist(), t["core"].to_pylist()))
+        group = np.cumsum([0, *(a != b for a, b in zip(keys[1:], keys))])
+        pick = np.flatnonzero(np.bincount(group)[group] > 1)
+        t, group = t.take(pa.array(pick)), group[pick]
+        raws = t["raw"].to_pylist()
+        buf = np.frombuffer(b"".join(raws), np.uint8)
+        size = np.array([len(x) for x in raws], np.int64)
+        n = size - depth + 1
+        row = np.repeat(np.arange(len(n)), n)
+        off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        same = _equal_windows(buf, (np.cumsum(size) - size)[row] + off, group[row], depth)
+        same &= t["ask"].to_numpy()[row]
+        i = np.flatnonzero(same)
+        lo = t["lo"].to_numpy()[row[i]] + off[i]
+        cut = np.ones(len(i), bool)
+        cut[1:] = (row[i][1:] != row[i][:-1]) | (lo[1:] != lo[:-1] + 1)
+        a = np.flatnonzero(cut)
+        r = row[i[a]]
+        cols = [t["t1"].to_numpy()[r], t["t2"].to_numpy()[r], lo[a], np.diff(np.append(a, len(i))).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["t1", "t2", "lo", "n"])
+
+    held, size, last = [], 0, None
+    for batch in batches:
+        keys, sizes = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), pc.binary_length(batch.column(7))
+        start = 0
+        for k, (key, n) in enumerate(zip(keys, sizes.to_pylist())):
+            if key != last and size >= STEP:
+                held.append(batch.slice(start, k - start))
+                yield groups(pa.Table.from_batches(held).combine_chunks())
+                held, size, start = [], 0, k
+            last = key
+            size += n
+        held.append(batch.slice(start))
+    if size:
+        yield groups(pa.Table.from_batches(held).combine_chunks())
+
+
 def repeated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """(t1, t2, runs): for each text with repeated windows, the (lo, n) runs of their starts."""
     if not 0 < gram <= depth < 1 << BITS:
         raise ValueError("gram and depth must be positive, gram at most depth, depth below 4096")
-    half = (depth - gram + 1) // 2
     bounded_batches(docs.sparkSession)
     keyed = _keyed(docs)
 
-    def found_in(batch):
-        """Per chunk of texts: gram and whole hash, text hashes, and places of its runs."""
-        buf, offsets = utf8(batch.column(2))
-        t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for i, j in chunks(offsets):
-            off = offsets[i : j + 1]
-            row, lo, n, at, g, c = _runs(buf[off[0] : off[-1]], off - off[0], depth, gram)
-            yield g, c, t1[i + row], t2[i + row], lo << 2 * BITS | n << BITS | at
-
     def counted(batches):
         held, size = [], 0
         for batch in batches:
-            for part in found_in(batch):
-                held.append(part)
-                size += len(part[0])
-            if size >= SUMMED:
-                yield from summed(held)
-                held, size = [], 0
+            for _, _, _, _, g, _, _ in _sliced(*utf8(batch.column(2)), depth, gram):
+                held.append(g)
+                size += len(g)
+                if size >= SUMMED:
+                    yield summed(held)
+                    held, size = [], 0
         if size:
-            yield from summed(held)
-
-    def summed(parts):
-        g, c, t1, t2, place = (np.concatenate(x) for x in zip(*parts))
-        mark = t1 ^ t2 ^ place  # one of equal runs is chosen by the smallest
-        order = np.lexsort((mark, c, g))
-        g, c, mark = g[order], c[order], mark[order]
-        new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-        at = np.flatnonzero(new)
-        times = np.diff(np.append(at, len(g)))
-        for x in range(0, len(at), 1 << 17):
-            y = slice(x, x + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g[at[y]], c[at[y]], times[y], mark[at[y]])], ["g", "c", "times", "first"])
+            yield summed(held)
+
+    def summed(held):
+        g, times = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(times)], ["g", "times"])
+
+    # counts of grams, by their hashes, summed before the shuffle; a filter of fixed size of those that are found again
+    counts = keyed.mapInArrow(counted, "g long, times long").groupBy("g").agg(F.sum("times").alias("times"))
+    again = bloom(counts.where("times > 1").select("g"))
 
     def placed(batches):
         for batch in batches:
-            for g, c, t1, t2, place in found_in(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g, c, t1, t2, place)], ["g", "c", "t1", "t2", "place"])
-
-    alike = Window.partitionBy("g")
-    digits = (
-        keyed.mapInArrow(counted, "g long, c long, times long, first long")  # summed some SUMMED runs at a time before the shuffle
-        .repartition("g")
-        .groupBy("g", "c")
-        .agg(F.sum("times").alias("times"), F.min("first").alias("first"))
-        .withColumn("all", F.sum("times").over(alike))
-        .withColumn("alone", F.count_if(F.col("times") == 1).over(alike))
-        .where("all > 1")
-        .select("g", "c", (F.col("times") > 1).alias("whole"), F.when(F.col("alone") > 0, F.col("first")).alias("first"))
-    )
-    digits = persisted(digits, "digits")
+            t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for row, lo, n, at, g, c, grams in _sliced(*utf8(batch.column(2)), depth, gram):
+                i = np.flatnonzero(again.holds(g.view(np.int64)))
+                row = row[i]
+                cols = [_binary(grams(i)), pa.array(c[i]), pa.array(t1[row]), pa.array(t2[row]), pa.array(lo[i] << 2 * BITS | n[i] << BITS | at[i])]
+                yield pa.RecordBatch.from_arrays(cols, ["g", "c", "t1", "t2", "place"])
+
+    found = persisted(keyed.mapInArrow(placed, "g binary, c long, t1 long, t2 long, place long"), "runs")
+    mark = F.col("t1").bitwiseXOR(F.col("t2")).bitwiseXOR(F.col("place"))  # one of equal runs is chosen by the smallest
+    same = persisted(found.groupBy("g", "c").agg(F.count(F.lit(1)).alias("times"), F.min(mark).alias("first")), "digits")
+    grams = same.groupBy("g").agg(F.count_if(F.col("times") == 1).alias("alone"), F.sum("times").alias("all")).where("all > 1 and alone > 0").select("g")
+    mixed = same.join(grams, "g").select("g", "c", "first", (F.col("times") > 1).alias("whole"))
+    whole = same.where("times > 1").join(grams, "g", "left_anti").select("g", "c", F.lit(None).cast("long").alias("first"), F.lit(True).alias("whole"))
     low = F.lit((1 << BITS) - 1)
     found = (
-        keyed.mapInArrow(placed, "g long, c long, t1 long, t2 long, place long")
-        .join(digits, ["g", "c"])
-        .withColumn("go_on", F.coalesce(F.col("t1").bitwiseXOR(F.col("t2")).bitwiseXOR(F.col("place")) == F.col("first"), F.lit(False)))
+        found.join(mixed.union(whole), ["g", "c"])
+        .withColumn("go_on", F.coalesce(mark == F.col("first"), F.lit(False)))
         .where("whole or go_on")
         .groupBy("t1", "t2")
         .agg(
@@ -169,138 +278,52 @@ def repeated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame
             ).alias("runs")
         )
     )
-    found = persisted(found, "runs")
+    found = persisted(found, "found")
 
     going = found.where(F.exists("runs", lambda r: r["go_on"])).select("t1")
     texts = keyed.where(maybe_in(going)("t1")).withColumn("i", F.row_number().over(Window.partitionBy("t1", "t2").orderBy("t1"))).where("i = 1").drop("i")
     left = found.select("t1", "t2", F.filter("runs", lambda r: r["go_on"]).alias("runs")).where(F.size("runs") > 0)
 
-    def halves(batches):
-        for batch in batches:
-            out = []
-            for t1, t2, text, todo in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                raw = text.encode("utf-8")
-                for r in todo:
-                    a, end = r["lo"] + r["at"], r["lo"] + r["n"]
-                    # windows that start at a - half or before hold `half` bytes before the gram, the others as many after
-                    mid = min(max(r["lo"], a - half + 1), end)
-                    if mid > r["lo"]:
-                        out.append((b"<" + raw[a - half : a + gram], t1, t2, r["lo"], not r["whole"], raw[r["lo"] : mid - 1 + depth]))
-                    if end > mid:
-                        out.append((b">" + raw[a : a + gram + depth - gram - half], t1, t2, mid, not r["whole"], raw[mid : end - 1 + depth]))
-                if len(out) > 20_000:
-                    yield pack(out)
-                    out = []
-            if out:
-                yield pack(out)
-
-    def pack(rows):
-        k, t1, t2, lo, ask, raw = zip(*rows)
-        d = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in k]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((d, t1, t2, lo, ask, raw), kinds)], ["d", "t1", "t2", "lo", "ask", "raw"])
-
-    second = texts.join(left, ["t1", "t2"]).select("t1", "t2", "text", "runs").mapInArrow(halves, "d long, t1 long, t2 long, lo long, ask boolean, raw binary")
-    schema = "t1 long, t2 long, lo long, n int, ask boolean, window long"
-
-    def windows(t):
-        """Hash, row and start of each window of some runs' bytes."""
-        raw = t["raw"].combine_chunks()
-        buf = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
-        size = np.array([len(x) for x in raw.to_pylist()], np.int64)
-        n = size - depth + 1
-        first = np.cumsum(size) - size
-        row = np.repeat(np.arange(len(n)), n)
-        off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        s = prefix_sums(buf)
-        at = first[row] + off
-        return range_hash(s, at, at + depth).view(np.int64), row, off + t["lo"].to_numpy()[row]
-
-    def batch_of(t, row, lo, n, window):
-        ask = t["ask"].to_numpy(zero_copy_only=False)[row]
-        cols = [t["t1"].to_numpy()[row], t["t2"].to_numpy()[row], lo, n.astype(np.int32), ask]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols] + [pa.array(window, pa.int64())], ["t1", "t2", "lo", "n", "ask", "window"])
-
-    def compare(batches):
-        held, size, big = [], 0, None
-
-        def full(t):
-            """Compares whole groups, some STEP bytes of them at a time."""
-            d = t["d"].to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-            rows = max(1, int(t.num_rows * STEP / max(1, t.nbytes)))
-            a = 0
-            while a < t.num_rows:
-                k = int(np.searchsorted(starts, a + rows, "right")) - 1
-                b = int(starts[k]) if starts[k] > a else int(starts[k + 1]) if k + 1 < len(starts) else t.num_rows
-                if t.num_rows - a <= rows:
-                    b = t.num_rows
-                yield from groups(t.slice(a, b - a))
-                a = b
-
-        def groups(t):
-            d = t["d"].to_numpy()
-            w, row, lo = windows(t)
-            group = np.cumsum(np.concatenate([[0], d[1:] != d[:-1]]))[row]
-            order = np.lexsort((w, group))
-            same = np.zeros(len(w), bool)
-            if len(w) > 1:
-                eq = (w[order][1:] == w[order][:-1]) & (group[order][1:] == group[order][:-1])
-                same[order[1:][eq]] = same[order[:-1][eq]] = True
-            same &= t["ask"].to_numpy(zero_copy_only=False)[row]
-            i = np.flatnonzero(same)
-            if not len(i):
-                return
-            cut = np.ones(len(i), bool)
-            cut[1:] = (row[i][1:] != row[i][:-1]) | (lo[i][1:] != lo[i][:-1] + 1)
-            a = np.flatnonzero(cut)
-            yield batch_of(t, row[i[a]], lo[i[a]], np.diff(np.append(a, len(i))), [None] * len(a))
-
-        def rest(t):
-            for x in range(0, t.num_rows, 4096):
-                part = t.slice(x, 4096)
-                w, row, lo = windows(part)
-                yield batch_of(part, row, lo, np.ones(len(w)), w)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.nbytes
-            if size < BUFFER:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            d = t["d"].to_numpy()
-            if big is not None:  # the rest of a group that has outgrown the buffer
-                end = int(np.searchsorted(d, big, "right"))
-                yield from rest(t.slice(0, end))
-                t, d = t.slice(end), d[end:]
-                if len(d):
-                    big = None
-            if len(d):
-                end = int(np.searchsorted(d, d[-1]))
-                if end:
-                    yield from full(t.slice(0, end))
-                    t = t.slice(end)
-                elif t.nbytes >= BUFFER:
-                    big = d[-1]
-                    yield from rest(t)
-                    t = t.slice(len(d))
-            held, size = t.to_batches(), t.nbytes if t.num_rows else 0
-        if held:
-            t = pa.Table.from_batches(held).combine_chunks()
-            if big is not None:
-                end = int(np.searchsorted(t["d"].to_numpy(), big, "right"))
-                yield from rest(t.slice(0, end))
-                t = t.slice(end)
-            if t.num_rows:
-                yield from full(t)
-
-    third = persisted(second.repartition("d").sortWithinPartitions("d").mapInArrow(compare, schema), "windows")
-    many = third.where("window is not null").withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("window"))).where("times > 1 and ask")
-    pieces = third.where("window is null").select("t1", "t2", "lo", "n").union(many.select("t1", "t2", "lo", "n"))
-    whole = found.select("t1", "t2", F.inline(F.filter("runs", lambda r: r["whole"]))).select("t1", "t2", "lo", "n")
-    return persisted(whole.union(pieces).groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "n")).alias("runs")), "repeated")
+    def second_digit(batches):
+        def rows():
+            for batch in batches:
+                for t1, t2, text, todo in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                    text = text.encode("utf-8")
+                    for r in todo:
+                        raw = text[r["lo"] : r["lo"] + r["n"] - 1 + depth]
+                        for side, core, part, lo, place in _extended(raw, r["lo"], r["at"], gram, depth, b""):
+                            yield side, core, t1, t2, lo, place, not r["whole"], part
+
+        return _core_batches(rows())
+
+    def next_digit(batches):
+        def rows():
+            for batch in batches:
+                for side, core, t1, t2, lo, place, ask, raw in zip(*(batch.column(c).to_pylist() for c in range(8))):
+                    for s, longer, part, first, at in _extended(raw, lo, place, len(core), depth, side):
+                        yield s, longer, t1, t2, first, at, ask, part
+
+        return _core_batches(rows())
+
+    pieces = found.select("t1", "t2", F.inline(F.filter("runs", lambda r: r["whole"]))).select("t1", "t2", "lo", "n")
+    digit = F.xxhash64("side", "core")
+    rows = texts.join(left, ["t1", "t2"]).select("t1", "t2", "text", "runs").mapInArrow(second_digit, CORES)
+    while True:
+        rows = persisted(rows, "cores")
+        sums = rows.groupBy(digit.alias("h")).agg(F.sum(F.octet_length("raw")).alias("size"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        many = bloom(sums.where(F.col("size") > BUFFER).select("h"))
+        large = many.test(digit) if many.filled else F.lit(False)
+        small = rows.where(~large).repartition("side", "core").sortWithinPartitions("side", "core")
+        pieces = pieces.unionAll(persisted(small.mapInArrow(lambda batches: _compared(batches, depth), "t1 long, t2 long, lo long, n int"), "windows"))
+        if not many.filled:
+            break
+        # cores that are whole windows: all of a group are equal, so every one of a group of two or more is repeated
+        ready = F.octet_length("core") == depth
+        done = rows.where(large & ready)
+        equal = done.groupBy("side", "core").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("side", "core")
+        pieces = pieces.unionAll(persisted(done.where("ask").join(equal, ["side", "core"], "left_semi").select("t1", "t2", "lo", F.lit(1).alias("n")), "windows"))
+        rows = rows.where(large & ~ready).mapInArrow(next_digit, CORES)
+    return persisted(pieces.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "n")).alias("runs")), "repeated")
 
 
 def _with_runs(keyed: DataFrame, runs: DataFrame) -> DataFrame:

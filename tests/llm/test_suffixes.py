@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from gneiss.llm import suffixes
@@ -55,12 +56,33 @@ def test_against_brute_force(spark, depth, gram):
     assert sum(w[1] for w in want) > 1000
 
 
-def test_outgrown_buffer(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "BUFFER", 3000)
+@pytest.mark.parametrize("buffer,slice_", [(3000, 1 << 19), (1, 700), (300, 90)])
+def test_large_groups_take_further_digits(spark, monkeypatch, buffer, slice_):
+    """Groups that outgrow a task's buffer, down to cores of whole windows, and texts cut into slices."""
+    monkeypatch.setattr(suffixes, "BUFFER", buffer)
+    monkeypatch.setattr(suffixes, "SLICE", slice_)
     texts = planted(4)
     assert run(spark, texts, depth=60, gram=20) == brute(texts, 60)
 
 
+@pytest.mark.parametrize("depth", [3, 8, 13, 200])
+def test_digit_passes(depth):
+    rng = np.random.default_rng(depth)
+    buf = rng.choice(np.frombuffer(b"ab", np.uint8), 4000)
+    buf[1000:1400] = buf[2000:2400]
+    at, group = rng.integers(0, len(buf) - depth, 900), rng.integers(0, 3, 900)
+    seen = Counter((g, buf[x : x + depth].tobytes()) for x, g in zip(at, group))
+    want = [seen[g, buf[x : x + depth].tobytes()] > 1 for x, g in zip(at, group)]
+    assert suffixes._equal_windows(buf, at, group, depth).tolist() == want
+
+
+def test_rows_that_repeat_an_id(spark):
+    text = "a passage that is told twice, " * 8
+    df = spark.createDataFrame([(1, text), (1, text), (1, "short"), (None, text), (None, None)], "doc_id long, text string")
+    got = sorted(suffixes.removals(df).collect(), key=str)
+    assert [(r.doc_id, r.n_bytes, r.n_removed) for r in got] == [(1, 240, 240), (1, 240, 240), (1, 5, 0), (None, 0, 0), (None, 240, 240)]
+
+
 def test_generated_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id")
     texts = [r.text for r in docs.collect()]
