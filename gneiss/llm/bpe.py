@@ -236,8 +236,14 @@ class Engine:
         """Lists of (text's number, words), CHUNK_CHARS of text at a time."""
         held, size = [], 0
         for d, text in enumerate(texts):
-            matches = self.words.findall(text) if len(text) < CHUNK_CHARS else (m.group() for m in self.words.finditer(text))
-            words = []
+            words: list = []
+            if len(text) < CHUNK_CHARS:
+                matches = self.words.findall(text)
+                if 4 * max(map(len, matches), default=0) < LONG:  # no character takes more than four bytes
+                    words, matches = matches, ()
+                    size += len(text)
+            else:
+                matches = (m.group() for m in self.words.finditer(text))
             for word in matches:
                 long = len(word) >= LONG or 4 * len(word) >= LONG and len(word.encode("utf-8")) >= LONG
                 for x in self.parts(word.encode("utf-8")) if long else (word,):
@@ -248,6 +254,9 @@ class Engine:
                         held, words, size = [], [], 0
             if words:
                 held.append((d, words))
+            if size >= CHUNK_CHARS:
+                yield held
+                held, size = [], 0
         if held:
             yield held
 
