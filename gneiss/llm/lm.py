@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import bounded_batches, persisted
-from .text import LOWER, chunks, mix, prefix_sums, range_hash, utf8, words
+from .text import chunks, mix, utf8, word_hashes
 from .trie import VALUES, Trie
 
 MU = 20.0
@@ -78,9 +78,7 @@ def _home(known: np.ndarray) -> np.ndarray:
 
 def _tokens(buf, offsets):
     """Hashes of all texts' tokens, each text's end included, and the number of tokens of each text."""
-    low = LOWER[buf]
-    starts, ends, rows = words(low, offsets)
-    h = range_hash(prefix_sums(low), starts, ends)
+    h, rows = word_hashes(buf, offsets)
     h[(h == END) | (h == BEGIN)] += np.uint64(1)
     n = np.bincount(rows, minlength=len(offsets) - 1)
     out = np.full(len(h) + len(n), END, np.uint64)

@@ -6,12 +6,16 @@ at a time, so no Python object is made per word.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 #: The bytes that separate words for `[^\x20\x09-\x0D]+`.
 SPACE_BYTES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
 
+SLICE = 1 << 20  # bytes of a long text that are handled at a time
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -104,11 +108,45 @@ def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD):
     return starts, ends, rows
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD):
-    """Hash and row of each lower-cased (A-Z) word."""
-    low = LOWER[buf]
-    starts, ends, rows = words(low, offsets, table)
-    return range_hash(prefix_sums(low), starts, ends), rows
+def _word_end(buf: np.ndarray, at: int, table: np.ndarray, step: int) -> int:
+    """Where the word that reaches `at` ends."""
+    while at < len(buf):
+        out = np.flatnonzero(~table[buf[at : at + step]])
+        if len(out):
+            return at + int(out[0])
+        at += step
+    return len(buf)
+
+
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD, limit: int = SLICE):
+    """Hash and row of each lower-cased (A-Z) word.
+
+    A longer buffer (of one long text) is handled in slices that end between words, so beside the result memory holds
+    one slice. Words of more than limit / 2 bytes are hashed apart, wherever they stand.
+    """
+    hashes, rows, a = [], [], 0
+    while a < len(buf):
+        b = min(len(buf), a + limit)
+        if b < len(buf) and table[buf[b - 1]] and table[buf[b]]:
+            out = np.flatnonzero(~table[buf[a:b]])
+            b = a + int(out[-1]) + 1 if len(out) else _word_end(buf, b, table, limit)
+        low = LOWER[buf[a:b]]
+        i, j = np.searchsorted(offsets, [a, b], "right")
+        cuts = np.concatenate([[0], offsets[i:j] - a, [b - a]])
+        starts, ends, row = words(low, cuts, table)
+        long = np.flatnonzero(ends - starts > limit // 2)
+        if len(long) == 1 and len(starts) == 1:
+            h = np.zeros(1, np.uint64)
+        else:
+            h = range_hash(prefix_sums(low), starts, ends)
+        for k in long:
+            h[k] = int.from_bytes(hashlib.blake2b(low[starts[k] : ends[k]], digest_size=8).digest(), "little")
+        hashes.append(h)
+        rows.append(row + i - 1)
+        a = b
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return (hashes[0], rows[0]) if len(hashes) == 1 else (np.concatenate(hashes), np.concatenate(rows))
 
 
 def shingles(h: np.ndarray, rows: np.ndarray, n_rows: int, k: int):
