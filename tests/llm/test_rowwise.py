@@ -200,9 +200,55 @@ def test_media_spans_and_tensor(spark):
     assert media.spans(np.array([0, 0.7, 1, 0.7, 0.65, 0.1, 0.7, 0])) == [(2, 5)]
     r = media.audio(edge_docs(spark).where("doc_id = 7"), full=True).collect()[0]
     assert len(r.tensor) == media.BINS * media.MELS and media.samples(bytes(r.media))[:5000] == b"x" * 5000
-    import pyarrow as pa
+    rows = [r for r in media.audio(edge_docs(spark)).collect()]
+    files = [media.read_tensor_file(bytes(f.file)) for f in media.stored(edge_docs(spark)).collect()]
+    kept = {(i, tuple(t.ravel().tolist()), tuple((w["start"], w["end"]) for w in s)) for f in files for i, t, s in zip(f["doc_id"].to_pylist(), f["tensor"].combine_chunks().to_numpy_ndarray(), f["spans"].to_pylist())}
+    assert kept == {(r.doc_id, tuple(r.tensor), tuple((w.start, w.end) for w in r.spans)) for r in rows} and len(rows) == sum(f.num_rows for f in files)
+    assert all(f.schema.field("tensor").type.shape == [media.BINS, media.MELS] for f in files)
 
-    assert media.tensor_array(pa.array([r.tensor])).type.shape == [media.BINS, media.MELS]
+
+def test_media_features_by_brute_force(spark, docs):
+    """Tensor, spans and feature of each text from a plain recomputation, frame by frame."""
+    _, _, window, bank = media._filters()
+    t = np.arange(media.TAPS) - (media.TAPS - 1) / 2
+    lowpass = np.sinc(t / 2) / 2 * np.hamming(media.TAPS)
+    lowpass /= lowpass.sum()
+    got = by_id(media.audio(docs))
+    for doc, text in texts_of(docs)[:60]:
+        raw = text.encode()
+        x = np.frombuffer(raw.ljust(max(1, -(-len(raw) // 192)) * 192), np.uint8)
+        y = (np.append(x, np.full(len(x) % 2, 128)) - 128.0) / 128
+        padded = np.concatenate([np.zeros(media.TAPS // 2), y, np.zeros(media.TAPS // 2)])
+        y = np.convolve(padded, lowpass, "valid")[:-1][::2]
+        mel, energy, a = [], [], 0
+        while True:
+            part = y[a : a + media.FRAME]
+            f = np.zeros(media.FRAME)
+            f[: len(part)] = part * window[: len(part)]
+            mel.append(np.log(abs(np.fft.rfft(f)) ** 2 @ bank + 1e-6))
+            whole = (window**2).sum() / (window[: len(part)] ** 2).sum() if a else 1
+            energy.append(np.log((f**2).sum() * whole + 1e-6))
+            if a + media.FRAME >= len(y):
+                break
+            a += media.HOP
+        n = len(mel)
+        bins = [(i * n // media.BINS, max((i + 1) * n // media.BINS, i * n // media.BINS + 1)) for i in range(media.BINS)]
+        tensor = np.array([np.mean(mel[min(a, n - 1) : max(b, min(a, n - 1) + 1)], axis=0) for a, b in bins])
+        low, high = min(energy), max(energy)
+        on, spans = False, []
+        for i, e in enumerate(energy):
+            if on and e < low + media.LOW * (high - low):
+                on = False
+                spans[-1][1] = i
+            elif not on and e >= low + media.HIGH * (high - low):
+                on = True
+                spans.append([i, n])
+        step = 2 * media.HOP / media.RATE
+        r = got[doc]
+        assert np.allclose(np.array(r.tensor).reshape(tensor.shape), tensor, atol=1e-4), doc
+        want = [(a * step, min((b - 1) * step + 2 * media.FRAME / media.RATE, len(x) / media.RATE)) for a, b in spans]
+        assert np.allclose([(s.start, s.end) for s in r.spans], want) and len(r.spans) == len(want), doc
+        assert r.feature.endswith(f":spans={len(spans)}:voiced={sum(s.end - s.start for s in r.spans):.3f}")
 
 
 def test_bpe_long_words(monkeypatch):
