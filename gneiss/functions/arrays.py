@@ -150,13 +150,15 @@ def index_in(column, values: list) -> Column:
     return F.when(c.isNotNull(), F.get(places, (F.nullif(F.array_position(table, c), F.lit(0)) - 1).cast("int"))).otherwise(found)
 
 
-def index_in_table(df: DataFrame, column: str, table: DataFrame, value: str = "value", index: str = "pos", small: int = 100_000) -> DataFrame:
+def index_in_table(df: DataFrame, column: str, table: DataFrame, value: str = "value", index: str = "pos", small: int = 8 << 20) -> DataFrame:
     """A11 for a dictionary held in a table(value, index): df with `index_in`; null matches null.
 
-    A dictionary of at most `small` rows (counted here) is broadcast; a larger one is joined by shuffling.
+    A dictionary of at most `small` bytes (summed here, rows with what a hash table takes for each) is broadcast; a
+    larger one is joined by shuffling.
     """
     side = table.groupBy(F.col(value).alias("_v")).agg(F.min(index).cast("long").alias("index_in"))
-    if table.limit(small + 1).count() <= small:
+    size = table.agg(F.sum(F.coalesce(F.octet_length(F.col(value).cast("string")), F.lit(0)) + 40)).first()[0]
+    if (size or 0) <= small:
         side = F.broadcast(side)
     return df.join(side, F.col(column).eqNullSafe(F.col("_v")), "left").drop("_v")
 

@@ -69,9 +69,11 @@ def kmv(df: DataFrame, column: str, k: int = 128, by: list[str] = ()) -> DataFra
 
 
 def kmv_merge(sketches: DataFrame, k: int = 128, by: list[str] = ()) -> DataFrame:
-    """Sketches of one k (see kmv) merged."""
-    all_ = F.array_distinct(F.flatten(F.collect_list("hashes")))
-    return sketches.groupBy(*by).agg(F.slice(F.sort_array(all_), 1, k).alias("hashes"))
+    """Sketches of one k (see kmv) merged: their hashes once each, of which the k smallest stay; limits act before shuffles."""
+    each = sketches.select(*by, F.explode("hashes").alias("h")).distinct()
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("h")
+    small = each.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    return small.groupBy(*by).agg(F.sort_array(F.collect_list("h")).alias("hashes"))
 
 
 def kmv_estimate(k: int = 128, hashes: str = "hashes") -> Column:

@@ -104,3 +104,49 @@ def misra_gries(df: DataFrame, column: str, k: int, weight: str | None = None) -
         .where(F.col("count") > F.col("cut"))
         .select("value", (F.col("count") + F.col("lost")).alias("count"), (F.col("cut") + F.col("lost")).alias("delta"))
     )
+
+
+_SUMMARY = "struct<k:int,delta:double,counts:array<struct<value:binary,count:double>>>"
+
+
+def _summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., sketch) from (by.., value, count, k, lost) rows: counters cut by the (k + 1)-th largest, as JSON bytes.
+
+    Only k + 1 counters of a group are gathered; the limit acts before the shuffle.
+    """
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("count"), "value")
+    top = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("k") + 1)
+    kept = top.groupBy(*by).agg(
+        F.max("k").alias("k"), F.max("lost").alias("lost"), F.coalesce(F.max(F.when(F.col("r") == F.col("k") + 1, F.col("count"))), F.lit(0.0)).alias("cut"),
+        F.collect_list(F.when(F.col("r") <= F.col("k"), F.struct("value", "count"))).alias("counts"),
+    )
+    left = F.filter("counts", lambda c: c["count"] > F.col("cut"))
+    counts = F.array_sort(F.transform(left, lambda c: F.struct(c["value"].alias("value"), (c["count"] - F.col("cut")).alias("count"))))
+    packed = F.to_json(F.struct("k", (F.col("lost") + F.col("cut")).alias("delta"), counts.alias("counts")))
+    return kept.select(*by, F.encode(packed, "UTF-8").alias("sketch"))
+
+
+def summary(df: DataFrame, column: str, k: int, weight: str | None = None, by: list[str] = ()) -> DataFrame:
+    """(by.., sketch): a serialised Misra-Gries summary of k counters for each group. Values are kept as text bytes."""
+    if k < 1:
+        raise ValueError("a sketch needs one bucket at least")
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.select(*by, F.col(column).cast("string").cast("binary").alias("value"), w.alias("w")).where("value is not null and w > 0 and not isnan(w)")
+    counts = rows.groupBy(*by, "value").agg(F.sum("w").alias("count"))
+    return _summary(counts.withColumn("k", F.lit(k)).withColumn("lost", F.lit(0.0)), list(by))
+
+
+def summary_merge(sketches: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Summaries of a group merged: counters of a value add up, and so do deltas. Different sizes are an error."""
+    by = list(by)
+    held = sketches.select(*by, F.from_json(F.decode("sketch", "UTF-8"), _SUMMARY).alias("s"))
+    same = F.when(F.min("s.k") == F.max("s.k"), F.max("s.k")).otherwise(F.raise_error(F.lit("sketches of different sizes don't merge")).cast("int"))
+    whole = held.groupBy(*by).agg(same.alias("k"), F.sum("s.delta").alias("lost"))
+    counts = held.select(*by, F.explode("s.counts").alias("c")).groupBy(*by, F.col("c.value").alias("value")).agg(F.sum("c.count").alias("count"))
+    return _summary(counts.join(whole, by) if by else counts.join(F.broadcast(whole)), by)  # without keys: one row
+
+
+def summary_counts(sketches: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by.., value, count, delta) of summaries: count is an upper bound, too high by delta at most."""
+    held = sketches.select(*by, F.from_json(F.decode("sketch", "UTF-8"), _SUMMARY).alias("s")).select(*by, F.col("s.delta").alias("delta"), F.explode("s.counts").alias("c"))
+    return held.select(*by, F.decode("c.value", "UTF-8").alias("value"), (F.col("c.count") + F.col("delta")).alias("count"), "delta")

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import base64
+import hashlib
+import json
+import os
 import random
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.operators.profile import LoadTimer
+
 #: REST statuses after which a call is repeated, and how often.
 RETRY_STATUS, RETRIES = (429, 503), 5
 
@@ -77,13 +84,40 @@ def validate(spec: ModelSpec) -> str:
 
 
 _loaded: dict = {}
+LOADS = LoadTimer()  # L8: of this worker
+
+
+def _token(spec: ModelSpec, override=None) -> tuple:
+    """What tells a model apart on the workers, where functions are new objects in every task; made on the driver."""
+    from pyspark import cloudpickle
+
+    return spec.path, hashlib.sha256(cloudpickle.dumps(override or spec.load)).hexdigest()
+
+
+def _model(spec: ModelSpec, override, token: tuple):
+    if token not in _loaded:
+        _loaded[token] = LOADS(override or spec.load, spec.path)
+    return _loaded[token]
+
+
+def _load_distribution() -> tuple:
+    return LOADS.distribution()  # of the module that the worker has, not of a copy in a closure
+
+
+def load_seconds(df: DataFrame, spec: ModelSpec, override=None) -> DataFrame:
+    """(loads, min, max, sum): the seconds that the workers of df's partitions took to load a model."""
 
+    token = _token(spec, override)
 
-def _model(spec: ModelSpec, override=None):
-    key = (spec.path, spec.load, override)
-    if key not in _loaded:
-        _loaded[key] = (override or spec.load)(spec.path)
-    return _loaded[key]
+    def run(batches):
+        for _ in batches:
+            pass
+        _model(spec, override, token)
+        low, high, n, total = _load_distribution()
+        yield pd.DataFrame({"pid": [os.getpid()], "n": [n], "low": [low], "high": [high], "total": [total]})
+
+    workers = df.mapInPandas(run, "pid long, n long, low double, high double, total double").groupBy("pid").agg(F.max_by(F.struct("n", "low", "high", "total"), "n").alias("w"))
+    return workers.agg(F.sum("w.n").alias("loads"), F.min("w.low").alias("min"), F.max("w.high").alias("max"), F.sum("w.total").alias("sum"))
 
 
 def classified(out: dict, n: int) -> list:
@@ -122,8 +156,8 @@ def predicted(out: dict, n: int) -> list[dict]:
     return [{k: (v[i].tolist() if hasattr(v[i], "tolist") else v[i]) for k, v in out.items()} for i in range(n)]
 
 
-def _apply(spec: ModelSpec, kind: str, batch: dict, n: int, override=None) -> list:
-    run = _model(spec, override)
+def _apply(spec: ModelSpec, kind: str, batch: dict, n: int, override, token: tuple) -> list:
+    run = _model(spec, override, token)
     if kind == "multi":  # I7: one result for each signature
         parts = {}
         for s in spec.signatures:
@@ -177,6 +211,28 @@ def call_with_retries(call, *args, wait: float = 1.0, sleep=time.sleep):
             sleep(wait * 2**attempt * (0.5 + random.random() / 2))
 
 
+def rest_client(endpoint: str, headers: dict[str, str] | None = None, timeout: float = 60) -> Callable:
+    """A client for remote_model() that posts instances to {endpoint}/projects/{project}/models/{model}:predict.
+
+    The answer's "predictions" are returned; its "error", or a status that is none of success, is a RemoteError.
+    """
+
+    def call(project: str, model: str, instances: list[dict]) -> list[dict]:
+        url = f"{endpoint.rstrip('/')}/projects/{project}/models/{model}:predict"
+        body = json.dumps({"instances": instances}).encode()
+        request = urllib.request.Request(url, body, {"Content-Type": "application/json", **(headers or {})}, method="POST")
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as answer:
+                got = json.load(answer)
+        except urllib.error.HTTPError as e:
+            raise RemoteError(e.code, e.read().decode("utf-8", "replace")) from e
+        if "error" in got:
+            raise RemoteError(200, str(got["error"]))
+        return got["predictions"]
+
+    return call
+
+
 def remote_model(project: str, model: str, client) -> Callable[[str], Callable]:
     """A loader for ModelSpec that calls client(project, model, instances), which gives a list of output dicts."""
     if not project or not model:
@@ -194,16 +250,21 @@ def remote_model(project: str, model: str, client) -> Callable[[str], Callable]:
     return load
 
 
+def _cuts(n: int, spec: ModelSpec) -> list[tuple[int, int]]:
+    """N rows in batches of max_batch at most; they are made even, so that none is below min_batch if that can be."""
+    parts = -(-n // spec.max_batch)
+    return [(n * i // parts, n * (i + 1) // parts) for i in range(parts)]
+
+
 def handler(spec: ModelSpec, override=None) -> Callable[..., Column]:
     """I4: a function from input columns (in the order of the signature's inputs) to the prediction column."""
-    kind, names, most = validate(spec), spec.signatures[0].inputs, spec.max_batch
+    kind, names, token = validate(spec), spec.signatures[0].inputs, _token(spec, override)
 
     @F.pandas_udf(result_type(spec))
     def predict(*columns: pd.Series) -> pd.Series:
         out: list = []
-        for a in range(0, len(columns[0]), most):
-            batch = {n: c.iloc[a : a + most].to_numpy() for n, c in zip(names, columns)}
-            out += _apply(spec, kind, batch, len(columns[0].iloc[a : a + most]), override)
+        for a, b in _cuts(len(columns[0]), spec):
+            out += _apply(spec, kind, {n: c.iloc[a:b].to_numpy() for n, c in zip(names, columns)}, b - a, override, token)
         if kind in ("predict", "multi"):
             return pd.DataFrame(out, columns=list(spec.signatures[0].outputs) if kind == "predict" else ["classify", "regress"])
         return pd.Series(out)
@@ -233,16 +294,16 @@ def run_inference_on_batches(df: DataFrame, examples: str, spec: ModelSpec, outp
 
     The lists are flattened inside each Arrow batch, so models see full batches and nothing is shuffled.
     """
-    kind, name = validate(spec), spec.signatures[0].inputs[0]
+    kind, name, token = validate(spec), spec.signatures[0].inputs[0], _token(spec, override)
 
     @F.pandas_udf(f"array<{result_type(spec)}>")
     def predict(lists: pd.Series) -> pd.Series:
         flat = [x for l in lists if l is not None for x in l]
         out: list = []
-        for a in range(0, len(flat), spec.max_batch):
-            part = np.empty(len(flat[a : a + spec.max_batch]), dtype=object)
-            part[:] = flat[a : a + spec.max_batch]
-            out += _apply(spec, kind, {name: part}, len(part), override)
+        for a, b in _cuts(len(flat), spec):
+            part = np.empty(b - a, dtype=object)
+            part[:] = flat[a:b]
+            out += _apply(spec, kind, {name: part}, len(part), override, token)
         it = iter(out)
         return pd.Series([None if l is None else [next(it) for _ in l] for l in lists])
 

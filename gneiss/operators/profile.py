@@ -154,6 +154,19 @@ def representation_counts(representations: dict) -> dict[str, int]:
     return dict(Counter(r.kind for r in representations.values()))
 
 
+def batching(df: DataFrame, settings: dict[str, str], ns: str = "batching") -> DataFrame:
+    """(metric, value): how batches are cut (see relational.batch_settings), and how many Spark's partitions make of df.
+
+    A setting is one row; batches are counted in one pass, without Python.
+    """
+    rows = int(settings.get("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000))
+    kept = [F.struct(F.lit(namespace(ns, k.rsplit(".", 1)[-1])).alias("metric"), F.lit(int(v)).cast("long").alias("value")) for k, v in sorted(settings.items())]
+    parts = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    made = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.ceil(F.col("n") / rows)), F.lit(0)).cast("long").alias("b"))
+    counted = [F.struct(F.lit(namespace(ns, "rows")).alias("metric"), F.col("n").alias("value")), F.struct(F.lit(namespace(ns, "batches")).alias("metric"), F.col("b").alias("value"))]
+    return made.select(F.inline(F.array(*kept, *counted)))
+
+
 class LoadTimer:
     """Seconds that a worker took to load what it needs, as (min, max, count, sum)."""
 

@@ -7,6 +7,8 @@ left out.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,5 +110,52 @@ def kll(df: DataFrame, value: str, k: int = 200, by: list[str] = ()) -> DataFram
 
 
 def kll_merge(sketches: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Sketches joined pairwise as they are combined."""
-    return sketches.groupBy(*by).agg(F.reduce(F.collect_list("sketch"), F.lit(None).cast("binary"), lambda a, b: F.when(a.isNull(), b).otherwise(F.kll_sketch_merge_double(a, b))).alias("sketch"))
+    """Sketches of a group merged, before the shuffle and after it."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+_SKETCH = "struct<eps:double,points:array<struct<v:double,w:double>>>"
+
+
+def _packed(points: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., sketch) of (by.., v, w, eps) rows: each group's weighted points, in order, as JSON bytes."""
+    points_ = F.array_sort(F.collect_list(F.struct("v", "w")))
+    return points.groupBy(*by).agg(F.encode(F.to_json(F.struct(F.max("eps").alias("eps"), points_.alias("points"))), "UTF-8").alias("sketch"))
+
+
+def _points(sketches: DataFrame, by: list[str]) -> DataFrame:
+    held = F.from_json(F.decode("sketch", "UTF-8"), _SKETCH)
+    return sketches.select(*by, held.alias("s")).select(*by, F.col("s.eps").alias("eps"), F.explode("s.points").alias("p")).select(*by, "eps", "p.v", "p.w")
+
+
+def _compact(rows: DataFrame, eps: float, by: list[str], side: int = SIDE) -> DataFrame:
+    """(by.., v, w): at most 2 / eps + 1 points of each group; a value's rank moves by eps / 2 of the weight at most."""
+    n = math.ceil(2 / eps)
+    q = quantiles(rows, "v", n, "w", by, side).groupBy(*by, F.col("quantile").alias("v")).agg(F.max("cum_weight").alias("cw"))
+    before = F.lag("cw", 1, 0.0).over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("cw"))  # 2 / eps + 1 rows of a group
+    return q.select(*by, "v", (F.col("cw") - before).alias("w"))
+
+
+def sketch(df: DataFrame, value: str, eps: float, weight: str | None = None, by: list[str] = ()) -> DataFrame:
+    """(by.., sketch): a serialised weighted quantile sketch of each group, of 2 / eps + 1 points at most."""
+    if eps <= 0:
+        raise ValueError("eps must be positive")
+    by = list(by)
+    return _packed(_compact(_clean(df, value, weight, by), eps, by).withColumn("eps", F.lit(float(eps))), by)
+
+
+def sketch_merge(sketches: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Sketches of a group joined: their points together, so no precision is lost. sketch_compact() cuts them back."""
+    rows = _points(sketches, list(by))
+    return _packed(rows.groupBy(*by, "v").agg(F.sum("w").alias("w"), F.max("eps").alias("eps")), list(by))
+
+
+def sketch_compact(sketches: DataFrame, eps: float, by: list[str] = ()) -> DataFrame:
+    """Sketches cut back to 2 / eps + 1 points, at the cost of eps / 2 in rank; never needed for right results."""
+    by = list(by)
+    return _packed(_compact(_points(sketches, by), eps, by).withColumn("eps", F.lit(float(eps))), by)
+
+
+def sketch_quantiles(sketches: DataFrame, n: int, by: list[str] = ()) -> DataFrame:
+    """(by.., r, quantile, cum_weight) of sketches, one for each group; ranks are within eps of the weight."""
+    return quantiles(_points(sketches, list(by)), "v", n, "w", by)

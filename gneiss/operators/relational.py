@@ -141,20 +141,45 @@ def batch_weight(size: Column) -> Column:
     return F.greatest(size.cast("long"), F.lit(-(-BYTE_TARGET // MOST_ROWS)).cast("long"))
 
 
+def range_bases(df: DataFrame, order: str, amount: Column) -> DataFrame:
+    """(_b, _base): for each range of 2**16 whole numbers that `order` falls in, the sum of amount over all smaller ranges.
+
+    Sums go up a tree of ranges of 2**16, 2**32 and 2**48 numbers and come down again. A node has 2**16 children at most,
+    so no window is larger, however sparse the numbers are; the top has no parent, and as few rows.
+    """
+    at = lambda bits: F.shiftright(F.col(order).cast("long"), bits)
+    one = df.groupBy(at(48).alias("_d"), at(32).alias("_c"), at(16).alias("_b")).agg(F.sum(amount).alias("n"))
+    two = one.groupBy("_d", "_c").agg(F.sum("n").alias("n"))
+    top = two.groupBy("_d").agg(F.sum("n").alias("n"))
+
+    def before(keys, child):
+        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(child).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(w), F.lit(0))
+
+    top = top.select("_d", before([], "_d").alias("base"))
+    two = two.withColumn("here", before(["_d"], "_c")).join(F.broadcast(top), "_d").select("_d", "_c", (F.col("here") + F.col("base")).alias("base"))
+    return one.withColumn("here", before(["_d", "_c"], "_b")).join(two, ["_d", "_c"]).select("_b", (F.col("here") + F.col("base")).alias("_base"))
+
+
 def batch_ids(df: DataFrame, order: str, size: int, bucket: Column | None = None) -> DataFrame:
     """Df with batch_id: consecutive rows by `order`, `size` to a batch.
 
-    Rows are numbered without bringing them into one task: `bucket`, a monotone function of the order (by default
-    order div 2**16 for whole numbers), deals them to ranges; the ranges' sizes, summed up, give each its first number.
+    Rows are numbered without bringing them into one task, from sums over ranges of the order, which is a column of
+    whole numbers. Other orders need `bucket`, a monotone function of them with few values; its values' counts are
+    summed in one window.
     """
     if size < 1:
         raise ValueError("a batch holds one row at least")
-    b = bucket if bucket is not None else F.floor(F.col(order) / 65536).cast("long")
-    df = df.withColumn("_b", b)
-    counts = df.groupBy("_b").agg(F.count(F.lit(1)).alias("n"))
-    first = counts.withColumn("_first", F.coalesce(F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    number = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1 + F.col("_first")
-    return df.join(first.drop("n"), "_b").withColumn("batch_id", F.floor(number / size).cast("long")).drop("_b", "_first")
+    if bucket is None:
+        df = df.withColumn("_b", F.shiftright(F.col(order).cast("long"), 16))
+        first = range_bases(df, order, F.lit(1))
+    else:
+        df = df.withColumn("_b", bucket)
+        counts = df.groupBy("_b").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+        first = counts.select("_b", F.coalesce(upto, F.lit(0)).alias("_base"))
+    number = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1 + F.col("_base")
+    return df.join(first, "_b").withColumn("batch_id", F.floor(number / size).cast("long")).drop("_b", "_base")
 
 
 def record_batches(df: DataFrame, batch_size: int, drop_final: bool = False, epochs: int | None = 1, shuffle: bool = False, seed: int | None = None) -> Iterator[list]:

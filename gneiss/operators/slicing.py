@@ -15,26 +15,25 @@ def slices_sql(df: DataFrame, row: str, statement: str) -> DataFrame:
 
     (row, slices): a list of slices, each a list of (key, value) text pairs; rows without a slice have an empty list.
     `FROM example.f` un-nests a repeated feature under its own name. The statement is Spark SQL over one row named
-    example; what it un-nests is joined laterally, so no row meets another.
+    example; what it un-nests stays inside the row, as nested list functions, so nothing is shuffled and rows need no
+    key: null and repeated ids keep the slices of their own rows.
     """
     m = re.fullmatch(r"\s*SELECT\s+STRUCT\s*\((?P<s>.*?)\)\s*(?:FROM\s+(?P<f>.*?))?\s*(?:WHERE\s+(?P<w>.*?))?\s*;?\s*", statement, re.I | re.S)
     if not m:
         raise ValueError("a slice statement reads SELECT STRUCT(..) [FROM example.f, ..] [WHERE ..]")
-    at = df.select(F.col(row).alias("_row"), F.struct(*[c for c in df.columns if c != row]).alias("example"))
+    names = []
     for source in filter(None, (x.strip() for x in (m["f"] or "").split(","))):
         f = re.fullmatch(r"example\.(\w+)(?:\s+(?:AS\s+)?(\w+))?", source, re.I)
         if not f:
             raise ValueError(f"{source}: only features of example can be un-nested")
-        at = at.withColumn(f[2] or f[1], F.explode(F.col("example").getField(f[1])))
-    if m["w"]:
-        at = at.where(F.expr(m["w"]))
-    made = at.select("_row", F.expr(f"struct({m['s']})").alias("s"))
-    names = made.schema["s"].dataType.fieldNames()
-    pairs = F.array(*[F.struct(F.lit(n).alias("key"), F.col("s").getField(n).cast("string").alias("value")) for n in names])
-    lists = made.select("_row", pairs.alias("p")).groupBy("_row").agg(F.array_sort(F.collect_list("p")).alias("slices"))
-    every = df.select(F.col(row).alias("_row"))
-    none = F.array().cast(lists.schema["slices"].dataType)
-    return every.join(lists, "_row", "left").select(F.col("_row").alias("row"), F.coalesce("slices", none).alias("slices"))
+        names.append((f[1], f[2] or f[1]))
+    slices = f"if(coalesce({m['w'] or 'true'}, false), array(struct({m['s']})), array())"
+    for feature, name in reversed(names):
+        slices = f"flatten(transform(coalesce(example.{feature}, array()), {name} -> {slices}))"
+    made = df.select(F.col(row).alias("row"), F.struct(*[c for c in df.columns if c != row]).alias("example")).select("row", F.expr(slices).alias("s"))
+    keys = made.schema["s"].dataType.elementType.fieldNames()
+    pairs = lambda s: F.array(*[F.struct(F.lit(k).alias("key"), s.getField(k).cast("string").alias("value")) for k in keys])
+    return made.select("row", F.array_sort(F.transform("s", pairs)).alias("slices"))
 
 
 def _values(df: DataFrame, key: str) -> Column:

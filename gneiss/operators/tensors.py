@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from math import prod
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gneiss.functions import arrays
+from gneiss.operators.relational import range_bases
 from gneiss.plans.features import Representation, check_default
 
 
@@ -89,16 +90,12 @@ def ragged(df: DataFrame, r: Representation) -> Column:
 def row_splits(df: DataFrame, column: str, order: str) -> DataFrame:
     """(order, split): where each row's values end in the flat value sequence; one row of 0 before the first.
 
-    Sums of rows are brought to ranges first (see batch_ids), so no task sees all rows.
+    Sums come from ranges of the order, a column of whole numbers (see range_bases), so no task sees all rows.
     """
-    from pyspark.sql import Window
-
     n = F.coalesce(F.size(column), F.lit(0)).cast("long")
-    rows = df.select(F.col(order).alias("order"), n.alias("n"), F.floor(F.col(order) / 65536).cast("long").alias("b"))
-    base = rows.groupBy("b").agg(F.sum("n").alias("s"))
-    base = base.withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
-    inside = Window.partitionBy("b").orderBy("order")
-    return rows.join(base, "b").select("order", (F.col("base") + F.sum("n").over(inside)).cast("long").alias("split"))
+    rows = df.select(F.col(order).alias("order"), n.alias("n"), F.shiftright(F.col(order).cast("long"), 16).alias("_b"))
+    inside = Window.partitionBy("_b").orderBy("order")
+    return rows.join(range_bases(rows, "order", F.col("n")), "_b").select("order", (F.col("_base") + F.sum("n").over(inside)).cast("long").alias("split"))
 
 
 def to_tensor(df: DataFrame, name: str, r: Representation) -> Column:

@@ -86,16 +86,41 @@ def quantile_boundaries(spark, d):
     return quantiles.boundaries(table(spark, d, "lineitem"), "l_quantity", 20)
 
 
-@query()
+def _ranks(rows, value, estimates, n, eps, by):
+    """(by.., r, within): whether each estimated boundary lies within eps of its rank among the group's values."""
+    est = estimates.select(*by, F.posexplode("quantiles").alias("r", "q"))
+    values = rows.groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    met = values.join(est, by) if by else values.join(F.broadcast(est))  # n + 1 boundaries
+    got = met.groupBy(*by, "r").agg(F.sum(F.when(F.col("v") < F.col("q"), F.col("c")).otherwise(0)).alias("lo"), F.sum(F.when(F.col("v") <= F.col("q"), F.col("c")).otherwise(0)).alias("hi"), F.sum("c").alias("n"))
+    want = F.col("r") / n * F.col("n")
+    return got.select(*by, F.col("r").cast("long").alias("r"), ((F.col("lo") <= want + eps * F.col("n")) & (F.col("hi") >= want - eps * F.col("n"))).alias("within"))
+
+
+@query("select l_returnflag, unnest(range(11)) as r, count(*) > 0 as within from lineitem group by 1")
 def quantiles_approximate(spark, d):
-    return quantiles.approximate(table(spark, d, "lineitem"), "l_extendedprice", 10, 0.001, ["l_returnflag"])
+    li = table(spark, d, "lineitem")
+    return _ranks(li, "l_extendedprice", quantiles.approximate(li, "l_extendedprice", 10, 0.001, ["l_returnflag"]), 10, 0.001, ["l_returnflag"])
 
 
-@query()
+@query("select unnest(range(11)) as r, count(*) > 0 as within from lineitem")
 def quantiles_kll_merged(spark, d):
     rows = table(spark, d, "lineitem").withColumn("year", F.year("l_shipdate"))
-    merged = quantiles.kll_merge(quantiles.kll(rows, "l_extendedprice", by=["year"]))
-    return merged.select(F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(i / 10) for i in range(11)])).alias("quantiles"))
+    merged = quantiles.kll_merge(quantiles.kll(rows, "l_extendedprice", k=800, by=["year"]))
+    got = merged.select(F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(i / 10) for i in range(11)])).alias("quantiles"))
+    return _ranks(rows, "l_extendedprice", got, 10, 0.02, [])
+
+
+@query("select l_returnflag, unnest(range(11)) as r, sum(l_quantity) > 0 as within from lineitem group by 1")
+def quantiles_weighted_merged(spark, d):
+    """Weighted sketches of each year, merged and cut back, against the exact weighted ranks."""
+    by, eps = ["l_returnflag"], 0.02
+    rows = table(spark, d, "lineitem").withColumn("year", F.year("l_shipdate"))
+    merged = quantiles.sketch_merge(quantiles.sketch(rows, "l_extendedprice", eps, "l_quantity", [*by, "year"]).drop("year"), by)
+    got = quantiles.sketch_quantiles(quantiles.sketch_compact(merged, eps, by), 10, by).select(*by, "r", F.col("quantile").alias("q"))
+    met = rows.join(F.broadcast(got), by).groupBy(*by, "r")  # 11 rows a group
+    sums = met.agg(F.sum(F.when(F.col("l_extendedprice") < F.col("q"), F.col("l_quantity")).otherwise(0)).alias("lo"), F.sum(F.when(F.col("l_extendedprice") <= F.col("q"), F.col("l_quantity")).otherwise(0)).alias("hi"), F.sum("l_quantity").alias("w"))
+    want = F.col("r") / 10 * F.col("w")
+    return sums.select(*by, "r", ((F.col("lo") <= want + eps * F.col("w")) & (F.col("hi") >= want - eps * F.col("w"))).alias("within"))
 
 
 @query(
@@ -111,9 +136,15 @@ def distinct_exact_small(spark, d):
     return relational.flatten_sources(parts)
 
 
-@query()
+def _distinct_within(estimate, df, column, error):
+    exact = df.agg(F.count_distinct(column).alias("n"))
+    return estimate.join(F.broadcast(exact)).select((F.abs(F.col("n_distinct") - F.col("n")) <= F.lit(error) * F.col("n")).alias("within"))  # one row each
+
+
+@query("select count(distinct o_custkey) > 0 as within from orders")
 def distinct_theta(spark, d):
-    return distinct.theta_sketch(table(spark, d, "orders"), "o_custkey").select(distinct.theta_estimate().alias("n_distinct"))
+    o = table(spark, d, "orders")
+    return _distinct_within(distinct.theta_sketch(o, "o_custkey").select(distinct.theta_estimate().alias("n_distinct")), o, "o_custkey", 4 / 4096**0.5)
 
 
 @query("select p_size as p_size, count(distinct p_brand) as n_distinct from part group by 1")
@@ -121,9 +152,10 @@ def distinct_theta_below_k(spark, d):
     return distinct.theta_sketch(table(spark, d, "part"), "p_brand", 4096, ["p_size"]).select("p_size", distinct.theta_estimate().alias("n_distinct"))
 
 
-@query()
+@query("select count(distinct p_name) > 0 as within from part")
 def kmv_estimate(spark, d):
-    return distinct.kmv(table(spark, d, "part"), "p_name", 128).select(distinct.kmv_estimate(128).alias("n_distinct"))
+    p = table(spark, d, "part")
+    return _distinct_within(distinct.kmv(p, "p_name", 128).select(distinct.kmv_estimate(128).alias("n_distinct")), p, "p_name", 4 / 128**0.5)
 
 
 @query("select count(distinct cast(l_quantity as bigint)) as n_distinct from lineitem")
@@ -165,9 +197,34 @@ def misra_gries_below_k(spark, d):
     return heavy.misra_gries(table(spark, d, "lineitem"), "l_linenumber", 16, "l_quantity")
 
 
-@query()
+@query("select sum(l_quantity) > 0 as within from lineitem")
 def misra_gries_weighted(spark, d):
-    return heavy.misra_gries(table(spark, d, "lineitem"), "l_suppkey", 64, "l_quantity")
+    """Whether each estimate is an upper bound of its value's weight, too high by its delta at most, and deltas are bounded."""
+    li, k = table(spark, d, "lineitem"), 64
+    got = heavy.misra_gries(li, "l_suppkey", k, "l_quantity")
+    true = li.groupBy(F.col("l_suppkey").alias("value")).agg(F.sum("l_quantity").alias("w"))
+    whole = li.agg(F.sum("l_quantity").alias("all"))
+    c = got.join(true, "value").join(F.broadcast(whole))  # one row
+    fits = (F.col("count") >= F.col("w") - 1e-6) & (F.col("count") - F.col("w") <= F.col("delta") + 1e-6) & (F.col("delta") <= 2 * F.col("all") / (k + 1))
+    return c.agg((F.bool_and(fits) & (F.count(F.lit(1)) <= k)).alias("within"))
+
+
+@query("select l_returnflag, l_linenumber::varchar as value, sum(l_quantity) as count, 0.0::double as delta from lineitem group by 1, 2")
+def misra_gries_merged(spark, d):
+    """Serialised summaries of each year, merged by group; below k counters they are exact."""
+    rows = table(spark, d, "lineitem").withColumn("year", F.year("l_shipdate"))
+    days = heavy.summary(rows, "l_linenumber", 16, "l_quantity", ["l_returnflag", "year"]).drop("year")
+    return heavy.summary_counts(heavy.summary_merge(days, ["l_returnflag"]), ["l_returnflag"])
+
+
+@query("select l_returnflag, sum(l_quantity) > 0 as within from lineitem group by 1")
+def misra_gries_merged_bound(spark, d):
+    li, k, by = table(spark, d, "lineitem").withColumn("year", F.year("l_shipdate")), 32, ["l_returnflag"]
+    got = heavy.summary_counts(heavy.summary_merge(heavy.summary(li, "l_suppkey", k, "l_quantity", [*by, "year"]).drop("year"), by), by)
+    true = li.groupBy(*by, F.col("l_suppkey").cast("string").alias("value")).agg(F.sum("l_quantity").alias("w"))
+    c = got.join(true, [*by, "value"]).join(F.broadcast(li.groupBy(*by).agg(F.sum("l_quantity").alias("all"))), by)  # a row a flag
+    fits = (F.col("count") >= F.col("w") - 1e-6) & (F.col("count") - F.col("w") <= F.col("delta") + 1e-6) & (F.col("delta") <= F.col("all") / (k + 1) + 1e-6)
+    return c.groupBy(*by).agg(F.bool_and(fits).alias("within"))
 
 
 # ---- list kernels -----------------------------------------------------------------------------------------------
@@ -300,9 +357,12 @@ def byte_size_total(spark, d):
     return t.agg(A.total_byte_size(t).alias("total"))
 
 
-@query("select cast(count(*) filter (where text is null and false) as bigint) as n_invalid from documents")
+@query("select cast(count(*) filter (where l_orderkey % 5 <> 0 and (l_orderkey % 7 = 0 or l_linenumber = 3)) as bigint) as n_invalid from lineitem")
 def invalid_utf8_count(spark, d):
-    return table(spark, d, "documents").agg(A.invalid_utf8("text").alias("n_invalid"))
+    t = table(spark, d, "lineitem")
+    text = F.encode("l_returnflag", "UTF-8")
+    bad = F.when(F.col("l_orderkey") % 7 == 0, F.concat(text, F.unhex(F.lit("C328")))).when(F.col("l_linenumber") == 3, F.concat(F.unhex(F.lit("E282")), text)).otherwise(text)
+    return t.select(F.when(F.col("l_orderkey") % 5 != 0, bad).alias("x")).agg(A.invalid_utf8("x").alias("n_invalid"))
 
 
 # ---- unions, gathering, paths ------------------------------------------------------------------------------------
@@ -405,7 +465,16 @@ def _csv_lines(spark, d):
     return o.select("o_orderkey", line.alias("line"))
 
 
-@query("select * from (values ('key', 'INT'), ('status', 'BYTES'), ('price', 'FLOAT'), ('word', 'BYTES')) t(name, kind)")
+@query(
+    """
+with t as (select o_orderkey::varchar as key, case when o_orderkey % 4 <> 0 then o_orderstatus end as status,
+                  case when o_orderkey % 3 <> 0 then (o_custkey / 4)::decimal(20, 2)::varchar end as price,
+                  case when o_orderkey % 5 <> 0 then 'say "' || o_orderpriority || '", please' end as word from orders),
+c as (unpivot t on key, status, price, word into name name value cell)
+select name, case when count(cell) = 0 then 'UNKNOWN' when bool_and(regexp_full_match(cell, '[0-9]+')) then 'INT'
+                  when bool_and(try_cast(cell as double) is not null) then 'FLOAT' else 'BYTES' end as kind from c group by name
+"""
+)
 def csv_infer_types(spark, d):
     return spark.createDataFrame(list(csv.infer_types(_csv_lines(spark, d), "line", _CSV).items()), "name string, kind string")
 
@@ -494,9 +563,10 @@ def raw_record_profile(spark, d):
     return prof.raw_records(table(spark, d, "conversations"), "text")
 
 
-@query("select * from (values ('varlen', 3::bigint), ('dense', 1::bigint)) t(kind, n)")
+@query("select case when column_name like '%key' then 'dense' else 'varlen' end as kind, count(*) as n from (describe lineitem) group by 1")
 def representation_counts(spark, d):
-    schema = FeatureSchema((*_LINE_SCHEMA.features[:3], Feature("l_returnflag", "BYTES", shape=(1,), min_fraction=1)))
+    names = table(spark, d, "lineitem").columns
+    schema = FeatureSchema(tuple(Feature(n, "INT", shape=(1,), min_fraction=1) if n.endswith("key") else Feature(n) for n in names))
     return spark.createDataFrame(list(prof.representation_counts(infer_representations(schema)).items()), "kind string, n long")
 
 
@@ -570,7 +640,14 @@ def example_round_trip(spark, d):
     return examples.decode_examples(examples.encode_examples(rows), "record", {"key": "INT", "price": "FLOAT", "status": "BYTES"})
 
 
-@query("select name, kind from (values ('key', 'INT'), ('price', 'FLOAT'), ('never', null)) t(name, kind)")
+@query(
+    """
+with t as (select o_orderkey as key, case when o_orderkey % 3 <> 0 then o_totalprice end as price, null as never from orders),
+k as (select 'key' as name, max(case when key is not null then typeof(key) end) as kind from t
+      union all select 'price', max(case when price is not null then typeof(price) end) from t union all select 'never', max(case when never is not null then typeof(never) end) from t)
+select name, case kind when 'BIGINT' then 'INT' when 'INTEGER' then 'INT' when 'DOUBLE' then 'FLOAT' end as kind from k
+"""
+)
 def example_infer_schema(spark, d):
     o = table(spark, d, "orders")
     rows = o.select(F.array("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 3 != 0, F.array(F.col("o_totalprice").cast("float"))).alias("price"), F.lit(None).alias("never"))
@@ -587,12 +664,17 @@ def sequence_round_trip(spark, d):
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder that executors share: under spark.checkpoint.dir where it is set, else a local one of our own."""
-    import tempfile
+    """A new folder under spark.checkpoint.dir, which executors share; the caller has to set it."""
     import uuid
 
-    path = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return f"{path.rstrip('/')}/records-{uuid.uuid4().hex}" if path else tempfile.mkdtemp(prefix="records-")
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not path and spark.sparkContext.master.startswith("local"):  # one machine: its temporary folder is shared
+        import tempfile
+
+        path = tempfile.mkdtemp(prefix="records-")
+    if not path:
+        raise ValueError("record files need a folder that executors share: set spark.checkpoint.dir")
+    return f"{path.rstrip('/')}/records-{uuid.uuid4().hex}"
 
 
 @query("select [n_nationkey::bigint] as key, [encode(n_name)] as name from nation")

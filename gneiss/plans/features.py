@@ -59,6 +59,7 @@ class FeatureSchema:
     features: tuple[Feature, ...] = ()
     sparse: tuple[SparseFeature, ...] = ()
     groups: dict[str, dict[str, Representation]] = field(default_factory=dict)
+    legacy: bool = False  # tensors are inferred by value counts (T2)
 
     def feature(self, name: str) -> Feature | None:
         return next((f for f in self.features if f.name == name), None)
@@ -84,7 +85,12 @@ def _used(f: Feature) -> bool:
 
 
 def infer_representations(schema: FeatureSchema) -> dict[str, Representation]:
-    """Sparse features first, which take their columns; STRUCT children ragged; a shape dense; the rest varlen."""
+    """Sparse features first, which take their columns; STRUCT children ragged; a shape dense; the rest varlen.
+
+    A schema that asks for the older rules gets those of infer_legacy().
+    """
+    if schema.legacy:
+        return infer_legacy(schema)
     out: dict[str, Representation] = {}
     taken: set[str] = set()
     for s in schema.sparse:
@@ -179,7 +185,7 @@ def project(schema: FeatureSchema, names: list[str], group: str = "") -> Feature
     for f in schema.features:
         if f.name in heads:
             features.append(replace(f, children=tuple(c for c in f.children if (f.name, c.name) in paths)) if f.type == "STRUCT" else f)
-    return FeatureSchema(tuple(features), tuple(s for s in schema.sparse if s.name in keep), {group: keep})
+    return FeatureSchema(tuple(features), tuple(s for s in schema.sparse if s.name in keep), {group: keep}, schema.legacy)
 
 
 def validate_representations(schema: FeatureSchema, group: str = "") -> None:

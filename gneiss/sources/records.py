@@ -1,7 +1,8 @@
 """Record files: S1, S3, S8, S9, S12-S14, S18, and their sink.
 
-Files are read by Spark (any store that it knows) and cut into records in Arrow batches; writing goes through
-pyarrow's file systems, one file for each task, moved to its name when it is complete.
+Spark lists the files of a pattern and deals them to tasks by size, without reading them; a task then streams each of
+its files through pyarrow's file systems, some MB at a time, so a file may be of any size. Checksums are verified unless
+that is turned off. Writing is one file for each task, moved to its name when it is complete.
 """
 
 from __future__ import annotations
@@ -29,27 +30,43 @@ def detect_compression(files: list[str]) -> str:
     return "" if not n else "GZIP" if n == len(files) else MIXED
 
 
-def read_records(spark: SparkSession, paths: str | list[str], column: str = "record", verify: bool = False, with_file: bool = False) -> DataFrame:
+def _store(path: str):
+    """The file system of a path or URI, and the path within it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _opened(path: str):
+    """A file to read from its start, unpacked if its first bytes say that it is gzip."""
+    store, name = _store(path)
+    source = store.open_input_file(name)
+    packed = source.read(2) == b"\x1f\x8b"
+    source.seek(0)
+    return gzip.GzipFile(fileobj=source) if packed else source
+
+
+def read_records(spark: SparkSession, paths: str | list[str], column: str = "record", verify: bool = True, with_file: bool = False) -> DataFrame:
     """The records of all files of some patterns, as one binary column; gzip is told by a file's first bytes."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("at least one pattern is needed")
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    files = spark.read.format("binaryFile").load(paths).select("path")
     schema = T.StructType([*([T.StructField("file", T.StringType()), T.StructField("pos", T.LongType())] if with_file else []), T.StructField(column, T.BinaryType())])
 
     def run(batches):
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                data = content.as_py()
-                if data[:2] == b"\x1f\x8b":
-                    data = gzip.decompress(data)
-                records = wire.unframe(data, verify)
-                for a in range(0, len(records), 4096):
-                    part = records[a : a + 4096]
-                    cols = [pa.array(part, pa.binary())]
-                    if with_file:
-                        cols = [pa.array([path] * len(part)), pa.array(range(a, a + len(part)), pa.int64()), *cols]
-                    yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
+            for path in b.column(0).to_pylist():
+                at = 0
+                with _opened(path) as source:
+                    for part in wire.stream_records(source, verify):
+                        cols = [pa.array(part, pa.binary())]
+                        if with_file:
+                            cols = [pa.array([path] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), *cols]
+                        at += len(part)
+                        yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
     return files.mapInArrow(run, schema)
 
@@ -62,9 +79,7 @@ def write_records(df: DataFrame, path: str, column: str = "record", compress: bo
     """
 
     def run(batches):
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store, root = _store(path)
         store.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
         name, n, out = f"{root}/_part-{part:05d}-{uuid.uuid4().hex}.tmp", 0, None

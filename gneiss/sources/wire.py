@@ -23,20 +23,48 @@ def _table() -> np.ndarray:
     return t
 
 
+PIECE = 256
+
+
+@lru_cache(maxsize=1)
+def _shift() -> np.ndarray:
+    """Four tables that move a CRC register over PIECE zero bytes, one for each of its bytes."""
+    table = _table()
+    crc = (np.arange(256, dtype=np.uint32)[None, :] << np.array([[0], [8], [16], [24]], np.uint32)).astype(np.uint32)
+    for _ in range(PIECE):
+        crc = table[crc & 0xFF] ^ (crc >> 8)
+    return crc
+
+
 def crc32c(records: list[bytes]) -> np.ndarray:
-    """CRC-32C of each record; a byte position of all records at a time."""
-    table, n = _table(), np.array([len(r) for r in records], np.int64)
-    buf = np.frombuffer(b"".join(records) + b"\0", np.uint8)
-    at = np.cumsum(n) - n
-    crc = np.full(len(records), 0xFFFFFFFF, np.uint32)
-    order = np.argsort(-n, kind="stable")
-    live = len(order)
-    for i in range(int(n.max()) if len(n) else 0):
-        while live and n[order[live - 1]] <= i:
-            live -= 1
-        k = order[:live]
-        crc[k] = table[(crc[k] ^ buf[at[k] + i]) & 0xFF] ^ (crc[k] >> 8)
-    return crc ^ np.uint32(0xFFFFFFFF)
+    """CRC-32C of each record. All pieces of PIECE bytes of all records go through at once, a byte of each at a time.
+
+    The register is linear in what went before: a record's first piece is filled up with zeros in front, which leave an
+    empty register empty, and pieces are joined by moving the register over a piece. The start value flips the first
+    four bytes; shorter records are filled up to these by the end of the computation.
+    """
+    table, shift = _table(), _shift()
+    n = np.array([len(r) for r in records], np.int64)
+    pieces = np.maximum(1, -(-n // PIECE))
+    ends = np.cumsum(pieces) * PIECE
+    buf = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for r, size, end in zip(records, n.tolist(), ends.tolist()):
+        buf[end - size : end] = np.frombuffer(r, np.uint8)
+    at = (ends - n)[:, None] + np.arange(4)
+    some = np.arange(4) < n[:, None]
+    buf[at[some]] ^= 0xFF
+    part = np.zeros(len(buf) // PIECE, np.uint32)
+    for column in np.ascontiguousarray(buf.reshape(-1, PIECE).T):
+        part = table[(part ^ column) & 0xFF] ^ (part >> 8)
+    first = np.cumsum(pieces) - pieces
+    crc = np.zeros(len(n), np.uint32)
+    for i in range(int(pieces.max()) if len(n) else 0):
+        live = np.flatnonzero(pieces > i)
+        c = crc[live]
+        crc[live] = shift[0][c & 0xFF] ^ shift[1][c >> 8 & 0xFF] ^ shift[2][c >> 16 & 0xFF] ^ shift[3][c >> 24] ^ part[first[live] + i]
+    # what the start value leaves of itself in records of less than four bytes
+    left = np.where(n < 4, np.uint32(0xFFFFFFFF) >> (8 * np.minimum(n, 3)).astype(np.uint32), np.uint32(0))
+    return crc ^ left ^ np.uint32(0xFFFFFFFF)
 
 
 def masked(crc: np.ndarray) -> np.ndarray:
@@ -51,25 +79,62 @@ def frame(records: list[bytes]) -> bytes:
     return b"".join(x for h, p, r, q in zip(heads, a.tolist(), records, b.tolist()) for x in (h, struct.pack("<I", p), r, struct.pack("<I", q)))
 
 
-def unframe(data: bytes, verify: bool = False) -> list[bytes]:
+def unframe(data: bytes, verify: bool = True) -> list[bytes]:
     """The records of a file's content; what is cut off or damaged is an error."""
-    out, heads, sums, at, view = [], [], [], 0, memoryview(data)
-    while at < len(data):
-        if at + 12 > len(data):
-            raise ValueError("a record file ends within a length")
+    out, at = _framed(data)
+    if at < len(data):
+        raise ValueError("a record file ends within a record")
+    if verify:
+        _verify(data, out)
+    return [data[a:b] for a, b in out]
+
+
+def _framed(data: bytes) -> tuple[list[tuple[int, int]], int]:
+    """Where the whole records of data lie, and where the next one begins."""
+    out, at, size = [], 0, len(data)
+    while at + 12 <= size:
         (n,) = struct.unpack_from("<Q", data, at)
-        if at + 16 + n > len(data):
-            raise ValueError("a record file ends within a record")
-        if verify:
-            heads.append(data[at : at + 8])
-            sums.append((struct.unpack_from("<I", data, at + 8)[0], struct.unpack_from("<I", data, at + 12 + n)[0]))
-        out.append(bytes(view[at + 12 : at + 12 + n]))
+        if at + 16 + n > size:
+            break
+        out.append((at + 12, at + 12 + n))
         at += 16 + n
-    if verify and out:
-        want = np.array(sums, np.uint32)
-        if (masked(crc32c(heads)) != want[:, 0]).any() or (masked(crc32c(out)) != want[:, 1]).any():
-            raise ValueError("a record file's checksum does not hold")
-    return out
+    return out, at
+
+
+def _verify(data: bytes, places: list[tuple[int, int]]) -> None:
+    if not places:
+        return
+    heads = masked(crc32c([data[a - 12 : a - 4] for a, _ in places]))
+    bodies = masked(crc32c([data[a:b] for a, b in places]))
+    want = np.array([(*struct.unpack_from("<I", data, a - 4), *struct.unpack_from("<I", data, b)) for a, b in places], np.uint32)
+    if (heads != want[:, 0]).any() or (bodies != want[:, 1]).any():
+        raise ValueError("a record file's checksum does not hold")
+
+
+def stream_records(source, verify: bool = True, size: int = 4 << 20):
+    """Lists of records of an open file, read `size` bytes at a time; a longer record is read on its own."""
+    rest = b""
+    while True:
+        want = size
+        if len(rest) >= 12:
+            (n,) = struct.unpack_from("<Q", rest, 0)
+            if verify and n > size:
+                (head,) = struct.unpack_from("<I", rest, 8)
+                if masked(crc32c([rest[:8]]))[0] != head:
+                    raise ValueError("a record file's checksum does not hold")
+            want = max(size, n + 16 - len(rest))
+        more = source.read(want)
+        if not more:
+            break
+        data = rest + more
+        places, at = _framed(data)
+        if verify:
+            _verify(data, places)
+        if places:
+            yield [data[a:b] for a, b in places]
+        rest = data[at:]
+    if rest:
+        raise ValueError("a record file ends within a record")
 
 
 class ParseError(ValueError):

@@ -128,3 +128,42 @@ def test_approximate(spark):
     median = quantiles.kll_merge(parts).select(F.kll_sketch_get_quantile_double("sketch", F.lit(0.5))).first()[0]
     assert abs(median - 5000) < 300
     assert quantiles.boundaries(df, "v", 4).first().quantiles == [0, 2500, 5000, 7500, 9999]
+
+
+def test_weighted_sketches_merge(spark):
+    """Stored, merged and cut back, ranks stay within eps; values without weight don't count; empty groups have none."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(int(i % 7), int(i % 2), float(v), float(w)) for i, (v, w) in enumerate(zip(rng.lognormal(0, 2, 6000), rng.integers(-1, 9, 6000)))]
+    df = spark.createDataFrame(rows, "day int, g int, v double, w double")
+    eps = 0.05
+    stored = quantiles.sketch(df, "v", eps, "w", ["day", "g"])
+    assert stored.schema["sketch"].dataType.simpleString() == "binary" and stored.count() == 14
+    for sketches in (quantiles.sketch_merge(stored.drop("day"), ["g"]), quantiles.sketch_compact(quantiles.sketch_merge(stored.drop("day"), ["g"]), eps, ["g"])):
+        for r in quantiles.sketch_quantiles(sketches, 10, ["g"]).collect():
+            mine = [(v, w) for _, g, v, w in rows if g == r.g and w > 0]
+            whole = sum(w for _, w in mine)
+            low, high = (sum(w for v, w in mine if v < r.quantile), sum(w for v, w in mine if v <= r.quantile))
+            assert low <= (r.r / 10 + eps) * whole and high >= (r.r / 10 - eps) * whole
+    assert quantiles.sketch(df.where("w <= 0"), "v", eps, "w").where("sketch is not null and size(from_json(decode(sketch, 'UTF-8'), 'points array<double>').points) > 0").count() == 0
+
+
+def test_summaries_of_heavy_values_merge(spark):
+    rows = [(i % 5, f"v{min(i % 97, i % 13)}", 1.0 + i % 3) for i in range(3000)] + [(0, None, 1.0), (0, "x", -1.0)]
+    df = spark.createDataFrame(rows, "day int, v string, w double")
+    for k in (4, 100):
+        merged = heavy.summary_merge(heavy.summary(df, "v", k, "w", ["day"]).drop("day"))
+        true: dict = {}
+        for _, v, w in rows:
+            if v is not None and w > 0:
+                true[v] = true.get(v, 0) + w
+        got = heavy.summary_counts(merged).collect()
+        assert 0 < len(got) <= k
+        for r in got:
+            assert true[r.value] - 1e-9 <= r["count"] <= true[r.value] + r.delta + 1e-9 and r.delta <= sum(true.values()) / (k + 1)
+    both = heavy.summary(df, "v", 4).unionAll(heavy.summary(df, "v", 5))
+    with pytest.raises(Exception, match="different sizes"):
+        heavy.summary_counts(heavy.summary_merge(both)).collect()
+    with pytest.raises(ValueError):
+        heavy.summary(df, "v", 0)

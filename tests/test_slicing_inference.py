@@ -120,3 +120,52 @@ def test_remote(spark):
     assert remote.remote()
     got = I.run_inference(spark.createDataFrame([(1.0,), (2.5,)], "x double"), ["x"], remote).collect()
     assert sorted(r.prediction.y for r in got) == [10.0, 25.0]
+
+
+def test_slices_stay_with_their_rows(spark):
+    """Null and repeated ids keep their own slices; several features are un-nested within the row."""
+    rows = [(None, [1, 5], ["a"], 1), (None, [7], ["b", "c"], 1), (3, None, ["d"], 1), (3, [9], [], 0)]
+    df = spark.createDataFrame(rows, "id long, q array<int>, w array<string>, ok int")
+    got = slicing.slices_sql(df, "id", "SELECT STRUCT(q AS q, word AS w) FROM example.q, example.w AS word WHERE q > 4")
+    plain = sorted(((r.row, [[(p.key, p.value) for p in s] for s in r.slices]) for r in got.collect()), key=repr)
+    assert plain == sorted([(None, [[("q", "5"), ("w", "a")]]), (None, [[("q", "7"), ("w", "b")], [("q", "7"), ("w", "c")]]), (3, []), (3, [])], key=repr)
+    whole = slicing.slices_sql(df, "id", "SELECT STRUCT(ok AS ok) WHERE example.ok = 1".replace("ok AS", "example.ok AS"))
+    assert sorted(len(r.slices) for r in whole.collect()) == [0, 1, 1, 1]
+
+
+def test_rest_client():
+    """Instances posted as JSON, statuses as errors, and calls repeated where the service turns them away."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, body, self.headers["X-Key"]))
+            status = 503 if len(seen) == 1 else 404 if "missing" in self.path else 200
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(json.dumps({"error": "no"} if "broken" in self.path else {"predictions": [{"y": 2 * i["x"]} for i in body["instances"]]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        call = I.rest_client(f"http://127.0.0.1:{server.server_port}/v1/", {"X-Key": "k"})
+        assert I.call_with_retries(call, "p", "m", [{"x": 4}], sleep=lambda s: None) == [{"y": 8}]
+        assert seen[0] == ("/v1/projects/p/models/m:predict", {"instances": [{"x": 4}]}, "k") and len(seen) == 2
+        for name in ("missing", "broken"):
+            with pytest.raises(I.RemoteError):
+                I.call_with_retries(call, "p", name, [{"x": 1}], sleep=lambda s: None)
+    finally:
+        server.shutdown()
+
+
+def test_batches_are_even():
+    spec = I.ModelSpec("m", (), max_batch=10, min_batch=5)
+    assert I._cuts(0, spec) == [] and I._cuts(10, spec) == [(0, 10)] and I._cuts(21, spec) == [(0, 7), (7, 14), (14, 21)]

@@ -242,3 +242,40 @@ def test_tables(spark, tmp_path):
     assert made.columns == ["feature0", "feature1"] and made.rdd.getNumPartitions() == 3
     with pytest.raises(TypeError):
         tables.flatten_dataset(spark.sql("select date'2020-01-01' as d"))
+
+
+def test_crc_of_any_length():
+    """Against the register moved byte by byte."""
+    def plain(data):
+        crc = 0xFFFFFFFF
+        for b in data:
+            crc ^= b
+            for _ in range(8):
+                crc = crc >> 1 ^ (wire.POLYNOMIAL if crc & 1 else 0)
+        return crc ^ 0xFFFFFFFF
+
+    rng = np.random.default_rng(3)
+    some = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 2, 3, 4, 5, 255, 256, 257, 511, 512, 1000, 3000)]
+    assert wire.crc32c(some).tolist() == [plain(r) for r in some] and len(wire.crc32c([])) == 0
+
+
+def test_records_stream(spark, tmp_path):
+    """Buffers smaller than records, files cut off anywhere, and checksums that are verified unless told otherwise."""
+    import io
+
+    some = [b"", b"abc", b"x" * 5000, b"y" * 100] * 3
+    data = wire.frame(some)
+    for size in (1, 13, 700, 1 << 20):
+        assert [r for part in wire.stream_records(io.BytesIO(data), size=size) for r in part] == some
+    for end in (1, 11, 17, len(data) - 1):
+        with pytest.raises(ValueError):
+            list(wire.stream_records(io.BytesIO(data[:end]), size=50))
+    damaged = data.replace(b"abc", b"abd")
+    (tmp_path / "a b%20c.rec").write_bytes(data)
+    assert records.read_records(spark, str(tmp_path)).count() == len(some)
+    (tmp_path / "bad.rec").write_bytes(damaged)
+    with pytest.raises(Exception, match="checksum"):
+        records.read_records(spark, str(tmp_path)).collect()
+    assert records.read_records(spark, str(tmp_path), verify=False).count() == 2 * len(some)
+    huge = data[:12] + damaged[12:]
+    assert [len(p) for p in wire.stream_records(io.BytesIO(huge), verify=False)] == [len(some)]
