@@ -1,9 +1,10 @@
-"""A two-level n-gram trie in Elias-Fano form, built and queried with numpy.
+"""A three-level n-gram trie in Elias-Fano form, built and queried with numpy.
 
-Both levels are monotone sequences. Level one holds the contexts' hashes; level two holds each context's successors,
-made monotone by the context's index above them, so a successor is searched relative to its context. A successor is its
-rank among the hashes of all successors, a third monotone sequence, so equal ranks are equal hashes. Pointers from
-contexts to their successors are a fourth. Smoothed probabilities are quantised to eight bits. The
+All levels are monotone sequences. Level one holds the contexts' numbers. Level two holds each context's successors, made
+monotone by the context's index above them, so a successor is searched relative to its context; level three holds each
+bigram's successors in the same way. A successor is its rank among all successors of the shard, a monotone sequence of
+its own, so equal ranks are equal tokens. Pointers from contexts to their successors, and from bigrams to theirs, are two
+more. Smoothed probabilities, and the weights that a bigram leaves to shorter contexts, are quantised to eight bits. The
 levels lie one after the other in one memory map.
 """
 
@@ -125,46 +126,89 @@ def quantise(p: np.ndarray) -> np.ndarray:
 VALUES = np.concatenate([[0.0], 10 ** (FLOOR + STEP * np.arange(255))])
 
 
+def _summed(parent: np.ndarray, rank: np.ndarray, count: np.ndarray):
+    """Distinct (parent, rank) in order, their summed counts, and which of them each row is."""
+    order = np.lexsort((rank, parent))
+    p, r = parent[order], rank[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1]) | (r[1:] != r[:-1])
+    at = np.flatnonzero(new)
+    of = np.empty(len(p), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return p[at], r[at], np.add.reduceat(count[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64), of
+
+
 class Trie:
-    """Contexts (64-bit hashes), their successors (64-bit hashes) and smoothed relative frequencies."""
-
-    def __init__(self, context: np.ndarray, successor: np.ndarray, count: np.ndarray, total, mu: float):
-        """Rows may repeat: their counts add up. total(contexts, sums) gives each context's count over all shards."""
-        vocabulary, rank = np.unique(successor.astype(U), return_inverse=True)
-        order = np.lexsort((rank, context))
-        c, s, n = context[order], rank[order], count[order].astype(np.int64)
-        new = np.ones(len(c), bool)
-        new[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1])
-        at = np.flatnonzero(new)
-        c, s = c[at], s[at]
-        n = np.add.reduceat(n, at) if len(at) else n
+    """Contexts, successors, and successors of these, with smoothed relative frequencies."""
+
+    def __init__(self, context: np.ndarray, successor: np.ndarray, count: np.ndarray, whole: np.ndarray, parent: np.ndarray, last: np.ndarray, count3: np.ndarray, mu: float):
+        """Bigram rows (context, successor, count) and trigram rows (bigram row, last token, count) may repeat: counts add
+        up; rows without a count are left out. whole is a context's count where the shard has a part of it, else 0."""
+        seen, seen3 = count > 0, count3 > 0
+        vocabulary = np.unique(np.concatenate([successor[seen], last[seen3]]).astype(U))
+        rank = lambda x: np.searchsorted(vocabulary, x.astype(U))
+        c, s, n, of = _summed(context[seen], rank(successor[seen]), count[seen])
         head = np.ones(len(c), bool)
         head[1:] = c[1:] != c[:-1]
         first = np.flatnonzero(head)
         index = np.cumsum(head) - 1
         sums = np.add.reduceat(n, first) if len(first) else n
-        all_ = total(c[first], sums)
-        contexts = EliasFano(c[first], 1 << 64)
-        self.width = U(len(vocabulary))
-        successors = EliasFano(index.astype(U) * self.width + s.astype(U), max(1, len(first) * len(vocabulary)))
-        words = EliasFano(vocabulary, 1 << 64)
-        pointers = EliasFano(np.append(first, len(c)).astype(U), len(c) + 1)
-        codes = quantise(n / (all_[index] + mu))
-        levels = Levels(sum(x.nbytes() for x in (contexts, successors, pointers, words)) + codes.nbytes + 64)
-        self.contexts, self.successors, self.pointers, self.words = (x.move(levels) for x in (contexts, successors, pointers, words))
-        self.codes, self.levels = levels.put(codes), levels
-
-    def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Code of each pair, 0 for pairs that the trie does not hold."""
-        out = np.zeros(len(context), np.uint8)
-        if not self.contexts.n:
+        given = np.zeros(len(first), np.int64)
+        np.maximum.at(given, index[of], whole[seen])
+        sums = np.where(given > 0, given, sums)
+        row = np.full(len(context), -1)
+        row[np.flatnonzero(seen)] = of
+        b, t, n3, _ = _summed(row[parent[seen3]], rank(last[seen3]), count3[seen3])
+        width, self.size = len(vocabulary), len(c)
+        self.width = U(width)
+        pointers3 = np.searchsorted(b, np.arange(len(c) + 1))
+        held = [
+            EliasFano(c[first], 1 << 64),
+            EliasFano(index.astype(U) * self.width + s.astype(U), max(1, len(first) * width)),
+            EliasFano(np.append(first, len(c)).astype(U), len(c) + 1),
+            EliasFano(vocabulary, 1 << 64),
+            EliasFano(b.astype(U) * self.width + t.astype(U), max(1, len(c) * width)),
+            EliasFano(pointers3.astype(U), len(b) + 1),
+        ]
+        codes = quantise(n / (sums[index] + mu))
+        weights = quantise(mu / (n + mu))
+        codes3 = quantise(n3 / (n[b] + mu)) if len(b) else np.zeros(0, np.uint8)
+        self.levels = Levels(sum(x.nbytes() for x in held) + sum(len(x) + 64 for x in (codes, weights, codes3)))
+        self.contexts, self.successors, self.pointers, self.words, self.lasts, self.pointers3 = (x.move(self.levels) for x in held)
+        self.codes, self.weights, self.codes3 = (self.levels.put(x) for x in (codes, weights, codes3))
+
+    def _child(self, level: EliasFano, pointers: EliasFano, parent: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Index in a level of each parent's successor, -1 where there is none."""
+        out = np.full(len(parent), -1)
+        rank, met = self.words.next_geq(token.astype(U))
+        some = np.flatnonzero((parent >= 0) & met)
+        if not len(some) or not level.n:
             return out
-        i, known = self.contexts.next_geq(context)
-        rank, met = self.words.next_geq(successor.astype(U))
-        known = np.flatnonzero(known & met)
-        i = i[known]
-        at, same = self.successors.next_geq(i.astype(U) * self.width + rank[known].astype(U))
-        inside = at < self.pointers.get(i + 1).astype(np.int64)
-        hit = same & inside
-        out[known[hit]] = self.codes[at[hit]]
+        i = parent[some]
+        at, same = level.next_geq(i.astype(U) * self.width + rank[some].astype(U))
+        hit = same & (at < pointers.get(i + 1).astype(np.int64))
+        out[some[hit]] = at[hit]
+        return out
+
+    def bigrams(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Index of each bigram, -1 for those that the trie does not hold."""
+        if not self.contexts.n:
+            return np.full(len(context), -1)
+        distinct, of = np.unique(context, return_inverse=True)
+        i, known = self.contexts.next_geq(distinct)
+        return self._child(self.successors, self.pointers, np.where(known, i, -1)[of], successor)
+
+    def trigrams(self, bigram: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Code of each trigram, below bigrams given by index; 0 for those that the trie does not hold."""
+        out = np.zeros(len(bigram), np.uint8)
+        at = self._child(self.lasts, self.pointers3, bigram, last) if self.lasts.n else np.full(len(bigram), -1)
+        out[at >= 0] = self.codes3[at[at >= 0]]
         return out
+
+    def codes_of(self, bigram: np.ndarray) -> np.ndarray:
+        """Codes of bigrams by index, 0 for none."""
+        return np.where(bigram >= 0, self.codes[bigram] if self.size else 0, 0).astype(np.uint8)
+
+    def weights_of(self, bigram: np.ndarray) -> np.ndarray:
+        """Codes of the weight that bigrams as contexts leave to shorter ones; all of it where there is none."""
+        return np.where(bigram >= 0, self.weights[bigram] if self.size else 255, 255).astype(np.uint8)

@@ -29,55 +29,71 @@ def test_elias_fano(n, universe):
 
 def test_trie():
     rng = np.random.default_rng(2)
-    c, s = rng.integers(0, 1 << 63, 200, dtype=np.uint64)[rng.integers(0, 200, 5000)], rng.integers(0, 50, 5000).astype(np.uint32)
-    n = rng.integers(1, 4, 5000)
-    want, total = Counter(), Counter()
+    c, s = rng.integers(0, 1 << 63, 200, dtype=np.uint64)[rng.integers(0, 200, 5000)], rng.integers(0, 50, 5000).astype(np.uint64)
+    n = rng.integers(0, 4, 5000)
+    parent, w = rng.integers(0, 5000, 8000), rng.integers(0, 40, 8000).astype(np.uint64)
+    n3 = np.where(n[parent] > 0, rng.integers(0, 3, 8000), 0)
+    hot = np.where(c == c[0], 777, 0)
+    two, whole, three = Counter(), Counter(), Counter()
     for a, b, k in zip(c.tolist(), s.tolist(), n.tolist()):
-        want[a, b] += k
-        total[a] += k
-    t = Trie(c, s, n, lambda contexts, sums: sums, 5.0)
-    pairs = [(a, b) for a in [*total, 12345] for b in range(60)]
-    got = t.find(np.array([a for a, _ in pairs], np.uint64), np.array([b for _, b in pairs], np.uint32))
-    for (a, b), code in zip(pairs, got.tolist()):
-        assert code == (quantise(np.array([want[a, b] / (total[a] + 5.0)]))[0] if want[a, b] else 0)
-    assert abs(math.log10(VALUES[quantise(np.array([0.01]))[0]]) + 2) < 0.02
-
-
-def brute(rows, mu):
+        two[a, b] += k
+        whole[a] += k
+    whole[int(c[0])] = 777
+    for p, x, k in zip(parent.tolist(), w.tolist(), n3.tolist()):
+        three[int(c[p]), int(s[p]), x] += k
+    t = Trie(c, s, n, hot, parent, w, n3, 5.0)
+    code = lambda p: quantise(np.array([p]))[0]
+    pairs = [(a, b) for a in [*whole, 12345] for b in range(60)]
+    at = t.bigrams(np.array([a for a, _ in pairs], np.uint64), np.array([b for _, b in pairs], np.uint64))
+    for (a, b), x, y in zip(pairs, t.codes_of(at).tolist(), t.weights_of(at).tolist()):
+        assert x == (code(two[a, b] / (whole[a] + 5.0)) if two[a, b] else 0) and y == (code(5.0 / (two[a, b] + 5.0)) if two[a, b] else 255)
+    i, x = np.repeat(np.arange(len(pairs)), 45), np.tile(np.arange(45), len(pairs)).astype(np.uint64)
+    for k, last, got in zip(i.tolist(), x.tolist(), t.trigrams(at[i], x).tolist()):
+        n_ = three[(*pairs[k], last)]
+        assert got == (code(n_ / (two[pairs[k]] + 5.0)) if n_ else 0)
+    assert VALUES[255] == 1 and abs(math.log10(VALUES[code(0.01)]) + 2) < 0.02
+
+
+def brute(rows, mu, order=3):
     docs = []
     for d, text in rows:
         low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
         docs.append((d, d is not None and zlib.crc32(str(d).encode()) % 7 == 2, [*re.findall(r"[^\x20\x09-\x0D]+", low), None]))
-    c, two, begins = Counter(), Counter(), 0
+    c, two, three, begins = Counter(), Counter(), Counter(), 0
     for d, held, ws in docs:
         if not held:
             c.update(ws)
             two.update(zip([0, *ws[:-1]], ws))
+            three.update(zip([0, *ws[:-2]], ws[:-1], ws[1:]))
             begins += 1
     n, v = sum(c.values()), len(c)
+    near = lambda p: float(VALUES[quantise(np.array([p]))[0]]) if p else 0.0
     out = {}
     for d, held, ws in docs:
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)
         model = 0.0
-        for t, w in zip([0, *ws[:-1]], ws):
-            ct = begins if t == 0 else c[t]
-            p = two[t, w] / (ct + mu)
-            p = float(VALUES[quantise(np.array([p]))[0]]) if p else 0.0
-            model += math.log10(p + mu / (ct + mu) * (c[w] + 1) / (n + v + 1))
+        for i, w in enumerate(ws):
+            t = ws[i - 1] if i else 0
+            ct = c[t] if i else begins
+            p = near(two[t, w] / (ct + mu)) + mu / (ct + mu) * (c[w] + 1) / (n + v + 1)
+            if i and order > 2:
+                s = ws[i - 2] if i > 1 else 0
+                p = near(three[s, t, w] / (two[s, t] + mu)) + near(mu / (two[s, t] + mu)) * p
+            model += math.log10(p)
         out.setdefault(d, []).append((held, len(ws), sum(c[w] > 0 for w in ws), n, base, model))
     return out
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_against_brute_force(spark, monkeypatch, small):
+@pytest.mark.parametrize("small,order", [(False, 3), (True, 3), (True, 2)])
+def test_against_brute_force(spark, monkeypatch, small, order):
     if small:
         monkeypatch.setattr(lm, "BLOCK_BYTES", 20_000)
         monkeypatch.setattr(lm, "SHARD_TOKENS", 2000)
-        monkeypatch.setattr(lm, "HOT_SHARE", 100)
+        monkeypatch.setattr(lm, "FIND", 100)
     docs = edge_docs(spark).select("doc_id", "text", "word").unionByName(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 100 as doc_id", "text", "'x' as word"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    want, seen = brute(rows, lm.MU), 0
-    got = lm.score(docs).collect()
+    want, seen = brute(rows, lm.MU, order), 0
+    got = lm.score(docs, order=order).collect()
     assert len(got) == len(rows)
     for r in got:
         held, n, known, total, base, model = want[r.doc_id][0]
@@ -93,28 +109,13 @@ def test_empty(spark):
     assert lm.score(empty_docs(spark)).count() == 0
 
 
-def test_successors_are_told_apart_by_whole_hashes(spark):
-    """Two words whose hashes begin with the same 28 bits: one follows "the" in training, the other only in a held-out text."""
-    words = [f"w{i}" for i in range(60_000)]
-    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
-    h, _ = lm._tokens(raw, np.array([0, len(raw)]))
-    top = h[:-1] >> np.uint64(36)
-    order = np.argsort(top, kind="stable")
-    i = np.flatnonzero(np.diff(top[order]) == 0)[0]
-    a, b = words[order[i]], words[order[i + 1]]
-    rows = [(d, f"the {a} {b} and the {a}") for d in range(30)]
-    held = next(d for d in range(100, 200) if zlib.crc32(str(d).encode()) % 7 == 2)
-    rows.append((held, f"the {b} the {a}"))
-    want = brute(rows, lm.MU)
-    for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        assert r.score == pytest.approx(want[r.doc_id][0][5], rel=1e-6)
-
-
-def test_trie_of_close_hashes():
-    """Successors that differ in their last bits only, among many contexts."""
-    c = np.repeat(np.arange(1, 51, dtype=np.uint64), 4)
-    s = np.uint64(0xABCDEF0123456780) + np.tile(np.arange(4, dtype=np.uint64), 50)
-    t = Trie(c, s, np.arange(1, 201), lambda contexts, sums: sums, 5.0)
-    assert (t.find(c, s) > 0).all() and not t.find(c, s + np.uint64(4)).any()
-    code = t.find(c[:4], s[:4])
-    assert (code == quantise(np.arange(1, 5) / 15.0)).all()
+def test_rows_that_repeat_an_id(spark):
+    rows = [(1, "a b a b"), (1, "a b a b"), (1, None), (None, "b a"), (None, "")]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [x for xs in brute(rows, lm.MU).values() for x in xs]
+    assert sorted((r.n_tokens, round(r.base_score, 9), round(r.score, 6)) for r in got) == sorted((x[1], round(x[4], 9), round(x[5], 6)) for x in want)
+
+
+def test_order_is_checked(spark):
+    with pytest.raises(ValueError):
+        lm.score(empty_docs(spark), order=4)
