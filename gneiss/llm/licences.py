@@ -61,6 +61,8 @@ TELLING = {*NUMBERS, *"apache gnu general public mit cc by nc creative commons a
 #: Words that make another licence of a template when they are inserted.
 QUALIFIERS = {*NUMBERS, *"lesser library affero nc noncommercial non commercial sa sharealike share alike nd noderivatives noderivs no derivatives font".split()}
 
+MOST = 50_000  # words of all templates
+
 SENTINEL = -(2**63)  # stands for a document's own row; no k-gram keeps this hash
 
 
@@ -82,9 +84,9 @@ def _hashes(buf, offsets):
     return g, pos[:n][keep], rows[:n][keep], n_words, h.view(np.int64)
 
 
-def template_rows() -> list[tuple[int, int, int]]:
+def template_rows(templates: dict[str, str]) -> list[tuple[int, int, int]]:
     """(hash, template number, position) of each k-gram; the document row's hash comes last."""
-    texts = [*PHRASES, *TEMPLATES.values()]
+    texts = [*PHRASES, *templates.values()]
     buf, offsets = utf8(pa.array(texts))
     g, pos, rows, _, _ = _hashes(buf, offsets)
     return [(int(a), int(b), int(c)) for a, b, c in zip(g, rows, pos)] + [(SENTINEL, -1, 0)]
@@ -159,12 +161,19 @@ class Verifier:
         return end if len(met) >= SHARE * (end - chain[0][0] + 1) else None
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Per row of docs(doc_id, text): words, base places and labels, and the spans found by the templates."""
+def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+    """Per row of docs(doc_id, text): words, base places and labels, and the spans found by the templates.
+
+    templates maps labels to texts, by default the short notices of TEMPLATES. At most MOST words of them are taken, which
+    bounds what is broadcast.
+    """
+    templates = TEMPLATES if templates is None else templates
+    if sum(len(x.split()) for x in templates.values()) > MOST:
+        raise ValueError(f"templates hold more than {MOST} words")
     spark = docs.sparkSession
     bounded_batches(spark)
 
-    table = template_rows()
+    table = template_rows(templates)
     known = np.unique([g for g, _, _ in table])
 
     def grams(batches):
@@ -208,7 +217,7 @@ def scan(docs: DataFrame) -> DataFrame:
     size = [max(1, len(x.split()) - K + 1) for x in PHRASES]
 
     def verify(batches):
-        verifiers = [Verifier(x) for x in TEMPLATES.values()]
+        verifiers = [Verifier(x) for x in templates.values()]
 
         def found():
             every = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
@@ -240,7 +249,7 @@ def scan(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("uid", "template", "pos", "at")
         .mapInArrow(verify, "uid long, doc_id long, template int, share double, first long, end long")
     )
-    label = F.when(F.col("template") >= 0, F.element_at(F.lit([*PHRASES.values(), *TEMPLATES]).cast("array<string>"), F.col("template") + 1))
+    label = F.when(F.col("template") >= 0, F.element_at(F.lit([*PHRASES.values(), *templates]).cast("array<string>"), F.col("template") + 1))
     base = (F.col("template") >= 0) & (F.col("template") < n_phrases)
     return (
         spans.withColumn("label", label)
