@@ -1,7 +1,8 @@
 """N-gram Jaccard join by grouped prefixes.
 
 A text's set holds its distinct k-word shingles (64-bit hashes). Two sets link when their Jaccard similarity reaches
-the threshold, and the result is each document's component of links. Exactly: no band or candidate is capped.
+the threshold, and the result is each document's component of links. Exactly: no band or candidate is capped. Sets and
+prefixes are told apart by 128-bit fingerprints.
 
 1. A count sketch of all shingles (SKETCH counters, a fixed 4 MB) gives one global order, rare shingles first, which
    keeps frequent lines and passages out of the prefixes.
@@ -9,13 +10,16 @@ the threshold, and the result is each document's component of links. Exactly: no
    order: sets that link share one of them), and a parity bitmap of about n bits. Equal sets become one node, of which
    one row is kept by a group limit before the shuffle.
 3. Nodes with the same prefix and size become one group. Groups meet by prefix shingle; a group without a partner of
-   fitting size is dropped there.
-4. The groups left are expanded to their members. Within a prefix shingle, sorted by size, pairs that fit in size and
-   position are compared by bitmap: the bits in which two bitmaps differ are never more than the shingles in which the
-   sets differ. A forest of the pairs that pass goes on, not the pairs. A shingle of more than MEMBERS nodes is cut
-   into blocks that meet two by two, each pair of blocks in a place of its own.
-5. The nodes of each candidate component are verified with their whole sets. A large component is cut into blocks
-   and verified block against block, so that no task holds more than two blocks.
+   fitting size is dropped there. Pairs of groups are filtered by size and by the place of the shingle in both prefixes.
+4. Pairs of groups that pass are expanded to pairs of members, which are compared by bitmap: the bits in which two
+   bitmaps differ are never more than the shingles in which the sets differ. A forest of the pairs that pass goes on, not
+   the pairs.
+5. The nodes of each candidate component are verified with their whole sets.
+
+Frequent shingles in 4 and large components in 5 are dealt to blocks, so that no task holds more than two of them. First
+each block is compared with itself and with one block of the same shingle or component, which joins what belongs to one
+family; only where nodes are left apart after that do all other pairs of blocks meet. So work follows the number of
+near copies, not its square, unless they really fall apart.
 
 Nulls, empty texts and texts without words have an empty set: size 0, linked with nothing. Rows with a null id get
 no component and take no part in links. Rows that repeat an id are one document each, under the same id. Component
@@ -24,7 +28,10 @@ ids are the smallest doc_id in reach. An empty table gives an empty table; furth
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,12 +75,9 @@ def _bitmap(h: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _fingerprint(h: np.ndarray) -> int:
-    """Of a set given as sorted distinct hashes; signed 64 bits."""
-    w = np.arange(1, len(h) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (h ^ (h >> np.uint64(29))) * (w | np.uint64(1))
-    x ^= x >> np.uint64(32)
-    return int(np.bitwise_xor.reduce(x * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
+def _fingerprint(h: np.ndarray) -> bytes:
+    """128 bits of a sequence of hashes and its length."""
+    return hashlib.blake2b(np.ascontiguousarray(h), digest_size=16).digest()
 
 
 def _differences(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -92,8 +96,14 @@ def _differences(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-def _forest(token, n, pos, node, bitmap, percent):
-    """Edges of a spanning forest of the candidate pairs among rows sorted by (token, n)."""
+PAIRS = 1 << 17  # pairs of members that are expanded at a time
+
+
+def _forest(token, head, n, pos, node, bitmap, percent):
+    """Edges of a spanning forest of the candidate pairs among rows sorted by (token, n, head).
+
+    Rows of one token and head are a group. Pairs of groups are filtered before their members meet.
+    """
     m = len(token)
     root = np.arange(m)
     edges = []
@@ -104,41 +114,54 @@ def _forest(token, n, pos, node, bitmap, percent):
             i = root[i]
         return i
 
-    left = np.arange(m)
-    d = 1
+    def settled():
+        nonlocal root
+        while not ((r := root[root]) == root).all():
+            root = r
+
+    first = np.ones(m, bool)
+    first[1:] = (token[1:] != token[:-1]) | (head[1:] != head[:-1])
+    start = np.flatnonzero(first)
+    size = np.diff(np.append(start, m))
+    g_token, g_n, g_pos = token[start], n[start], pos[start]
+    left, d = np.arange(len(start)), 0
     while True:
-        left = left[left + d < m]
+        left = left[left + d < len(start)]
         j = left + d
-        ok = (token[left] == token[j]) & (100 * n[left] >= percent * n[j])
-        left = left[ok]  # later rows of the token are larger still
+        # sorted by size: groups from here on are larger still
+        left = left[(g_token[left] == g_token[j]) & (100 * g_n[left] >= percent * g_n[j])]
         if not len(left):
             return edges
+        if d and d & (d - 1) == 0:  # tokens whose rows have all met need no more comparing
+            settled()
+            at = np.flatnonzero(np.diff(token, prepend=token[0] - 1))
+            met = np.minimum.reduceat(root, at) == np.maximum.reduceat(root, at)
+            left = left[~met[np.searchsorted(at, start[left], "right") - 1]]
         j = left + d
-        while True:
-            r = root[root]
-            if (r == root).all():
-                break
-            root = r
-        if d & (d - 1) == 0:  # tokens whose rows have all met need no more comparing
-            head = np.flatnonzero(np.diff(token, prepend=token[0] - 1))
-            size = np.diff(np.append(head, m))
-            met = np.minimum.reduceat(root, head) == np.maximum.reduceat(root, head)
-            left = left[~np.repeat(met, size)[left]]
-            if not len(left):
-                return edges
-            j = left + d
-        both = n[left] + n[j]
-        need = -(-percent * both // (100 + percent))
-        test = (root[left] != root[j]) & (node[left] != node[j]) & (np.minimum(n[left] - pos[left], n[j] - pos[j]) >= need)
-        a, b = left[test], j[test]
-        if len(a):
-            far = _differences([bitmap[x] for x in a], [bitmap[x] for x in b])
-            near = far * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
-            for x, y in zip(a[near].tolist(), b[near].tolist()):
-                rx, ry = find(x), find(y)
-                if rx != ry:
-                    root[max(rx, ry)] = min(rx, ry)
-                    edges.append((int(node[x]), int(node[y])))
+        need = -(-percent * (g_n[left] + g_n[j]) // (100 + percent))
+        fits = (np.minimum(g_n[left] - g_pos[left], g_n[j] - g_pos[j]) >= need) & ((d > 0) | (size[left] > 1))
+        a, b = left[fits], j[fits]
+        ends = np.cumsum(size[a] * size[b])
+        done = 0
+        while done < len(a):
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS)))
+            x, y = a[done:upto], b[done:upto]
+            count = size[x] * size[y]
+            k = np.repeat(np.arange(len(x)), count)
+            off = np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
+            i, o = start[x[k]] + off // size[y[k]], start[y[k]] + off % size[y[k]]
+            settled()
+            keep = (root[i] != root[o]) & (node[i] != node[o]) & ((d > 0) | (i < o))
+            i, o = i[keep], o[keep]
+            if len(i):
+                far = _differences([bitmap[v] for v in i], [bitmap[v] for v in o])
+                near = far * (100 + percent) <= (n[i] + n[o]) * (100 - percent)
+                for u, v in zip(i[near].tolist(), o[near].tolist()):
+                    ru, rv = find(u), find(v)
+                    if ru != rv:
+                        root[max(ru, rv)] = min(ru, rv)
+                        edges.append((u, v))
+            done = upto
         d += 1
 
 
@@ -196,42 +219,50 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
                 prefix = first[cut]
                 ends = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
                 sets = [h[at[r] : at[r + 1]] for r in range(j - i)]
-                head = [_fingerprint(prefix[ends[r] : ends[r + 1]].view(np.uint64)) ^ int(n[r]) for r in range(j - i)]
+                head = [_fingerprint(prefix[ends[r] : ends[r + 1]]) for r in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array([_fingerprint(s) for s in sets], pa.int64()),
-                        pa.array(head, pa.int64()), pa.array([_bitmap(s) if len(s) else b"" for s in sets], pa.binary()),
+                        batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array([_fingerprint(s) for s in sets], pa.binary()),
+                        pa.array(head, pa.binary()), pa.array([_bitmap(s) if len(s) else b"" for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix)),
                     ],
                     ["doc_id", "n", "node", "head", "bitmap", "prefix"],
                 )
 
-    every = persisted(docs.mapInArrow(reduce, "doc_id long, n long, node long, head long, bitmap binary, prefix array<long>"), "sets")
+    every = persisted(docs.mapInArrow(reduce, "doc_id long, n long, node binary, head binary, bitmap binary, prefix array<long>"), "sets")
     once = Window.partitionBy("node").orderBy("doc_id")
     nodes = every.where("n > 0 and doc_id is not null").withColumn("i", F.row_number().over(once)).where("i = 1").drop("i")
 
-    same = Window.partitionBy("head", "n")
-    grouped = nodes.withColumn("members", F.count(F.lit(1)).over(same)).withColumn("i", F.row_number().over(same.orderBy("node")))
+    grouped = nodes.groupBy("head", "n").agg(F.count(F.lit(1)).alias("members"), F.any_value("prefix").alias("prefix"))
     near = Window.partitionBy("token").orderBy("n")
     fits = lambda a, b: F.coalesce(100 * a >= percent * b, F.lit(False))
     tokens = (
-        grouped.where("i = 1")
-        .select("head", "n", "members", F.posexplode("prefix").alias("pos", "token"))
+        grouped.select("head", "n", "members", F.posexplode("prefix").alias("pos", "token"))
         .withColumn("nb", F.ceil(F.sum("members").over(Window.partitionBy("token")) / MEMBERS).cast("int"))
         .withColumn("before", F.lag("n").over(near))
         .withColumn("after", F.lead("n").over(near))
         .where(fits(F.col("before"), F.col("n")) | fits(F.col("n"), F.col("after")) | ((F.col("members") > 1) & (F.col("pos") == 0)))
         .select("token", "head", "n", "pos", "nb")
     )
-    # a frequent shingle's nodes are dealt to blocks, and every two blocks meet in one place
-    expanded = (
-        tokens.join(nodes.select("head", "n", "node", "bitmap"), ["head", "n"])
-        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("token", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "n", "head", "pos", "node", "bitmap")
-        .repartition("token", "x", "y")
-        .sortWithinPartitions("token", "x", "y", "n", "head")
-    )
+    tokens = persisted(tokens, "tokens")
+
+    def mine(nb):
+        return F.pmod(F.xxhash64("node"), nb).cast("int")
+
+    def dealt(rows, keys, first):
+        """Rows with `mine` of nb blocks, once for each pair of blocks in which they meet: (x, y) beside the keys.
+
+        At first each block meets itself and block 0; later all others.
+        """
+        if first:
+            other = F.when(F.col("mine") == 0, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(F.lit(0), F.col("mine")))
+        else:
+            rows = rows.where("mine > 0")
+            other = F.filter(F.sequence(F.lit(1), F.col("nb") - 1), lambda o: o != F.col("mine"))
+        rows = rows.withColumn("other", F.explode(other)).withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
+        return rows.drop("mine", "other", "nb").repartition(*keys, "x", "y")
+
+    expanded = tokens.join(nodes.select("head", "n", "node", "bitmap"), ["head", "n"]).withColumn("mine", mine(F.col("nb")))
 
     def compare(batches):
         held: list[pa.RecordBatch] = []
@@ -242,8 +273,9 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             t = pa.Table.from_batches(held).combine_chunks()
             keys = [t[c].to_numpy() for c in ("token", "x", "y")]
             token = np.cumsum(np.concatenate([[0], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
-            n, pos, node = t["n"].to_numpy(), t["pos"].to_numpy(), t["node"].to_numpy()
-            end = len(token)
+            n, pos = t["n"].to_numpy(), t["pos"].to_numpy()
+            names = t["node"].to_pylist()
+            node, head = pd.factorize(pd.Series(names, dtype=object))[0], pd.factorize(pd.Series(t["head"].to_pylist(), dtype=object))[0]
             start = end = len(token)
             if not final:  # the last token may go on
                 start = end = int(np.searchsorted(token, token[-1]))
@@ -252,12 +284,12 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             edges = []
             if end:
                 bitmap = t["bitmap"].slice(0, end).to_pylist()
-                edges = _forest(token[:end], n[:end], pos[:end], node[:end], bitmap, percent)
+                edges = [(names[a], names[b]) for a, b in _forest(token[:end], head[:end], n[:end], pos[:end], node[:end], bitmap, percent)]
             held = t.slice(start).to_batches()
             size = len(token) - start
             limit = max(1 << 15, 2 * size)
             a, b = zip(*edges) if edges else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
@@ -268,21 +300,32 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         if size:
             yield flush(True)
 
-    maybe = components(expanded.mapInArrow(compare, "a long, b long"))
+    def candidates(rows, first):
+        rows = dealt(rows.select("token", "n", "head", "pos", "node", "bitmap", "nb", "mine"), ["token"], first)
+        return rows.sortWithinPartitions("token", "x", "y", "n", "head").mapInArrow(compare, "a binary, b binary")
+
+    def apart(rows, key, linked):
+        """The rows of those keys whose nodes have not all met; rows hold (key, node)."""
+        of = rows.join(linked, "node", "left").withColumn("c_", F.coalesce("component", "node"))
+        keys = of.groupBy(key).agg(F.min("c_").alias("lo"), F.max("c_").alias("hi")).where("lo <> hi").select(key)
+        return rows.join(keys, key, "left_semi")
+
+    edges = persisted(candidates(expanded, True), "near")
+    maybe = components(edges)
+    if (tokens.agg(F.max("nb")).first()[0] or 0) > 2:  # some shingle has blocks that did not meet
+        more = persisted(candidates(apart(expanded.where("nb > 2"), "token", maybe), False), "near")
+        maybe = components(edges.unionAll(more))
     small = nodes.select("doc_id", "n", "node")
     total = small.join(maybe, "node").select("doc_id", "node", "n", F.col("component").alias("c"))
     total = persisted(total, "candidates")
     blocks = total.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("nb"))
-    placed = (
-        total.join(blocks, "c")
-        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("doc_id", "node", "c", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    )
+    placed = total.join(blocks, "c").withColumn("mine", mine(F.col("nb")))
     wanted = maybe_in(total.select("doc_id"))  # spares most other texts the shuffle; the join decides
-    held = (
-        docs.where(wanted("doc_id")).join(placed, "doc_id").select("c", "x", "y", "node", "text").repartition("c", "x", "y").sortWithinPartitions("c", "x", "y")
-    )
+
+    def held(rows, first):
+        pieces = dealt(rows.select("doc_id", "node", "c", "nb", "mine"), ["c"], first)
+        texts = docs.where(wanted("doc_id")).join(pieces, "doc_id").select("c", "x", "y", "node", "text")
+        return texts.repartition("c", "x", "y").sortWithinPartitions("c", "x", "y").mapInArrow(verify, "a binary, b binary")
 
     def verify(batches):
         key, nodes_, sets_, have = None, [], [], set()
@@ -295,7 +338,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             if not edges:
                 return None
             a, b = zip(*edges)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
@@ -315,7 +358,11 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         if (out := done()) is not None:
             yield out
 
-    linked = components(held.mapInArrow(verify, "a long, b long"))
+    edges = persisted(held(placed, True), "links")
+    linked = components(edges)
+    if (blocks.agg(F.max("nb")).first()[0] or 0) > 2:
+        more = persisted(held(apart(placed.where("nb > 2"), "c", linked), False), "links")
+        linked = components(edges.unionAll(more))
     ids = every.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     ids = ids.join(linked, "node", "left").select("node", "first", F.coalesce("component", "node").alias("c"))
     ids = persisted(ids.where("first is not null"), "nodes")
