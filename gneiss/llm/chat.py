@@ -34,7 +34,7 @@ STEP = 1024  # turns of a dialogue whose lengths are summed at a time
 
 def ordered(turns: DataFrame) -> DataFrame:
     """Distinct (conv_id, turn, role, digest) with length and number of rows, and the ordinal of the first of these."""
-    keys = turns.groupBy(*KEY).agg(F.max(F.char_length("text")).cast("long").alias("length"), F.count(F.lit(1)).alias("copies"))
+    keys = turns.groupBy("turn_id", *KEY).agg(F.max(F.char_length("text")).cast("long").alias("length"), F.count(F.lit(1)).alias("copies"))
     ranged = persisted(keys.repartitionByRange(*KEY).withColumn("part", F.spark_partition_id()), "turns")
     inside = Window.partitionBy("part", "conv_id").orderBy("turn", "role", "digest")
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -43,7 +43,7 @@ def ordered(turns: DataFrame) -> DataFrame:
     late = F.broadcast(late.select(F.col("part").alias("_part"), F.col("conv_id").alias("_conv"), "earlier"))
     here = ranged.withColumn("here", F.sum("copies").over(inside) - F.col("copies"))
     joined = here.join(late, (F.col("part") == F.col("_part")) & F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
-    return joined.select(*KEY, "length", "copies", (F.col("here") + F.coalesce("earlier", F.lit(0))).alias("ordinal"))
+    return joined.select("turn_id", *KEY, "length", "copies", (F.col("here") + F.coalesce("earlier", F.lit(0))).alias("ordinal"))
 
 
 def rotate(turns: DataFrame, narrators: tuple[str, ...] = NARRATORS) -> DataFrame:
@@ -52,6 +52,9 @@ def rotate(turns: DataFrame, narrators: tuple[str, ...] = NARRATORS) -> DataFram
     t = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text.alias("text"),
     ).withColumn("digest", F.unhex(F.md5("text")))
+    # one key for a turn's four parts, nulls told apart from values; joins on it keep the grouping's partitions
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    t = t.withColumn("turn_id", F.unhex(F.md5(F.concat(part("conv_id"), F.lit("/"), part("turn"), F.lit("/"), part("role"), F.lit("/"), F.hex("digest")))))
     order = ordered(t)
     who = (
         turns.select(F.col("conv_id").cast("long").alias("_conv"), F.col("role").cast("string").alias("participant"))
@@ -72,14 +75,11 @@ def rotate(turns: DataFrame, narrators: tuple[str, ...] = NARRATORS) -> DataFram
     placed = (
         seen.withColumn("here", F.sum(F.col("size") * F.col("copies")).over(inside) - F.col("size") * F.col("copies"))
         .join(steps, F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("participant") == F.col("_participant")) & (F.col("step") == F.col("_step")))
-        .select(*KEY, "participant", "said", "head", "length", "copies", "size", "ordinal", (F.col("here") + F.col("earlier")).alias("start"))
+        .select("turn_id", "conv_id", "turn", "role", "participant", "said", "head", "length", "copies", "size", "ordinal", (F.col("here") + F.col("earlier")).alias("start"))
     )
-    lines = t.groupBy(*KEY).agg(F.max("text").alias("text")).select(*(F.col(c).alias(f"_{c}") for c in KEY), "text")
-    match = F.col("conv_id").eqNullSafe(F.col("_conv_id"))
-    for c in KEY[1:]:
-        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    lines = t.groupBy("turn_id").agg(F.max("text").alias("text"))
     return (
-        placed.join(lines, match)
+        placed.join(lines, "turn_id")
         .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
         .select(
             "conv_id",
