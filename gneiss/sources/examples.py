@@ -87,11 +87,15 @@ def decode_examples(records: DataFrame, column: str, schema: FeatureSchema | dic
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            raw = b.column(n_keep).to_pylist()
-            parsed = [wire.parse_example(r, typed) for r in raw]
-            cols = [b.column(i) for i in range(n_keep)] + [_column_of([p.get(n) for p in parsed], n, k) for n, k in typed.items()]
+            record = b.column(n_keep)
+            try:
+                made = wire.columns(record, typed)
+            except wire.Irregular:
+                parsed = [wire.parse_example(r, typed) for r in record.to_pylist()]
+                made = [_column_of([p.get(n) for p in parsed], n, k) for n, k in typed.items()]
+            cols = [b.column(i) for i in range(n_keep)] + made
             if raw_record:
-                cols.append(pa.array([[r] for r in raw], pa.list_(pa.binary())))
+                cols.append(pa.ListArray.from_arrays(pa.array(range(len(record) + 1), pa.int32()), record))
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
     out = records.select(*keep, column).mapInArrow(run, T.StructType(fields))

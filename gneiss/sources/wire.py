@@ -10,6 +10,7 @@ import struct
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 #: The reflected CRC-32C polynomial and the mask that the file format adds.
 POLYNOMIAL, MASK_DELTA = 0x82F63B78, 0xA282EAD8
@@ -233,6 +234,150 @@ def parse_example(record: bytes, wanted=None) -> dict:
     return out
 
 
+class Irregular(Exception):
+    """A batch of records that columns() leaves to parse_example()."""
+
+
+def _varints(buf: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The varint at each place, and where it ends."""
+    value, at, live = np.zeros(len(at), np.uint64), at.copy(), np.arange(len(at))
+    for k in range(10):
+        if (at[live] >= end[live]).any():
+            raise ParseError("Unable to parse example.")
+        b = buf[at[live]]
+        value[live] |= (b & 0x7F).astype(np.uint64) << np.uint64(7 * k)
+        at[live] += 1
+        live = live[b > 0x7F]
+        if not len(live):
+            return value, at
+    raise ParseError("Unable to parse example.")
+
+
+def _spans(buf: np.ndarray, at: np.ndarray, end: np.ndarray):
+    """All fields of many messages, the k-th of each at a time: message, number, wire type, start, stop, value if a varint.
+
+    Fields of one message come in their order.
+    """
+    out = []
+    at, live = at.copy(), np.flatnonzero(at < end)
+    while len(live):
+        stop = end[live]
+        tag, x = _varints(buf, at[live], stop)
+        kind, value = (tag & np.uint64(7)).astype(np.int64), np.zeros(len(live), np.uint64)
+        some = np.flatnonzero((kind == 0) | (kind == 2))
+        value[some], x[some] = _varints(buf, x[some], stop[some])
+        if (~np.isin(kind, (0, 1, 2, 5))).any():
+            raise ParseError("Unable to parse example.")
+        if (value[kind == 2] > np.uint64(len(buf))).any():
+            raise ParseError("Unable to parse example.")
+        size = np.where(kind == 2, value.astype(np.int64), np.where(kind == 1, 8, np.where(kind == 5, 4, 0)))
+        if (x + size > stop).any():
+            raise ParseError("Unable to parse example.")
+        out.append((live, (tag >> np.uint64(3)).astype(np.int64), kind, x, x + size, value))
+        at[live] = x + size
+        live = live[at[live] < stop]
+    if not out:
+        z = np.zeros(0, np.int64)
+        return z, z, z, z, z, z.astype(np.uint64)
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _gathered(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    size = stop - start
+    return buf[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+def columns(records: pa.Array, wanted: dict[str, str]) -> list[pa.Array]:
+    """C1, C3 for a batch: a list column of each wanted feature, all records parsed together, level by level.
+
+    A feature whose kind is not the wanted one is an error. What is rare (a feature that sets its kind twice, lists in
+    several encodings) raises Irregular.
+    """
+    records = records.cast(pa.large_binary()).fill_null(b"")
+    n = len(records)
+    off = np.frombuffer(records.buffers()[1], np.int64)[records.offset : records.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = records.buffers()[2]
+    buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    m, number, kind, a, b, _ = _spans(buf, off[:-1].astype(np.int64), off[1:].astype(np.int64))
+    keep = (number == 1) & (kind == 2)
+    record, a, b = m[keep], a[keep], b[keep]
+    m, number, kind, a, b, _ = _spans(buf, a, b)
+    keep = (number == 1) & (kind == 2)
+    record, a, b = record[m[keep]], a[keep], b[keep]
+    order = np.argsort(record, kind="stable")
+    record, a, b = record[order], a[order], b[order]
+    key_a, key_b, val_a, val_b = (np.zeros(len(record), np.int64) for _ in range(4))
+    m, number, kind, x, y, _ = _spans(buf, a, b)
+    for field, lo, hi in ((1, key_a, key_b), (2, val_a, val_b)):
+        some = (number == field) & (kind == 2)
+        lo[m[some]], hi[m[some]] = x[some], y[some]  # the last one counts
+    size, out = key_b - key_a, []
+    for name, want in wanted.items():
+        raw = np.frombuffer(name.encode(), np.uint8)
+        some = np.flatnonzero(size == len(raw))
+        some = some[(buf[key_a[some][:, None] + np.arange(len(raw))] == raw).all(1)] if len(raw) else some
+        rows, first = np.unique(record[some], return_index=True)  # of repeated keys the first counts
+        some = some[first]
+        m, number, kind, x, y, _ = _spans(buf, val_a[some], val_b[some])
+        known = (kind == 2) & (number >= 1) & (number <= 3)
+        m, number, x, y = m[known], number[known], x[known], y[known]
+        if len(np.unique(m)) != len(m):
+            raise Irregular
+        code = {"BYTES": 1, "FLOAT": 2, "INT": 3}[want]
+        if (number != code).any():
+            other = {1: "BYTES", 2: "FLOAT", 3: "INT"}[int(number[number != code][0])]
+            raise ValueError(f"feature {name}: {other} values where {want} was expected")
+        rows = rows[m]
+        out.append(_list_column(buf, n, rows, x, y, want))
+    return out
+
+
+def _list_column(buf, n, rows, start, stop, want) -> pa.Array:
+    """Lists of the values in the list messages [start, stop) of some rows; the other rows are null."""
+    m, number, kind, a, b, value = _spans(buf, start, stop)
+    keep = number == 1
+    order = np.argsort(m[keep], kind="stable")
+    m, kind, a, b, value = (x[keep][order] for x in (m, kind, a, b, value))
+    if len(np.unique(kind)) > 1 or (want == "BYTES" and (kind != 2).any()) or (want == "INT" and not np.isin(kind, (0, 2)).all()):
+        raise Irregular
+    if want == "BYTES":
+        per = np.ones(len(m), np.int64)
+        ends = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)
+        values = pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(ends), pa.py_buffer(_gathered(buf, a, b))])
+    elif want == "FLOAT":
+        if len(kind) and not np.isin(kind[0], (2, 5)):
+            raise Irregular
+        if ((b - a) % 4).any():
+            raise ParseError("Unable to parse example.")
+        per = (b - a) // 4
+        values = pa.array(_gathered(buf, a, b).view("<f4"))
+    elif len(kind) and kind[0] == 0:
+        per = np.ones(len(m), np.int64)
+        values = pa.array(value.view(np.int64))
+    else:
+        data = _gathered(buf, a, b)
+        last = data < 0x80
+        ends = np.cumsum(b - a)
+        if ((b > a) & ~last[np.maximum(ends - 1, 0)] if len(data) else np.zeros(0, bool)).any():
+            raise ParseError("Unable to parse example.")
+        total = np.concatenate([[0], np.cumsum(last)])
+        per = total[ends] - total[ends - (b - a)]
+        close = np.flatnonzero(last)
+        begin = np.concatenate([[0], close[:-1] + 1]) if len(close) else close
+        width = close - begin + 1
+        if (width > 10).any():
+            raise ParseError("Unable to parse example.")
+        place = np.arange(len(data)) - np.repeat(begin, width)
+        parts = (data & 0x7F).astype(np.uint64) << (7 * place).astype(np.uint64)
+        values = pa.array((np.bitwise_or.reduceat(parts, begin) if len(begin) else np.zeros(0, np.uint64)).view(np.int64))
+    held = np.zeros(n, np.int64)
+    np.add.at(held, rows[m], per)
+    there = np.zeros(n, bool)
+    there[rows] = True
+    offsets = np.concatenate([[0], np.cumsum(held)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(~there))
+
+
 def parse_sequence(record: bytes, wanted=None, wanted_steps=None) -> tuple[dict, dict]:
     """Context features, and {feature: [(kind, values) of each step]}."""
     context, steps = {}, {}
@@ -248,7 +393,7 @@ def parse_sequence(record: bytes, wanted=None, wanted_steps=None) -> tuple[dict,
     return context, steps
 
 
-def _out_varint(x: int) -> bytes:
+def _long_varint(x: int) -> bytes:
     x &= 0xFFFFFFFFFFFFFFFF
     out = bytearray()
     while x > 0x7F:
@@ -258,6 +403,13 @@ def _out_varint(x: int) -> bytes:
     return bytes(out)
 
 
+_SHORT = [_long_varint(x) for x in range(1 << 14)]
+
+
+def _out_varint(x: int) -> bytes:
+    return _SHORT[x] if 0 <= x < 1 << 14 else _long_varint(x)
+
+
 def _delimited(number: int, b: bytes) -> bytes:
     return _out_varint(number << 3 | 2) + _out_varint(len(b)) + b
 

@@ -279,3 +279,46 @@ def test_records_stream(spark, tmp_path):
     assert records.read_records(spark, str(tmp_path), verify=False).count() == 2 * len(some)
     huge = data[:12] + damaged[12:]
     assert [len(p) for p in wire.stream_records(io.BytesIO(huge), verify=False)] == [len(some)]
+
+
+def test_columns_of_a_batch_and_record_by_record():
+    """The batch parser against the one for single records, over random and odd records."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    kinds = {"i": "INT", "f": "FLOAT", "b": "BYTES", "é long name": "INT", "": "BYTES", "none": "FLOAT"}
+    draw = {
+        "INT": lambda n: [int(x) for x in rng.choice([0, 1, 127, 128, 300, -1, MIN, MAX, 2**40], n)],
+        "FLOAT": lambda n: [float(np.float32(x)) for x in rng.normal(size=n)],
+        "BYTES": lambda n: [rng.bytes(int(k)) for k in rng.integers(0, 300, n)],
+    }
+    some = []
+    for _ in range(300):
+        features = {}
+        for name in rng.permutation([*kinds, "other"]):
+            kind = kinds.get(name, "INT")
+            if name != "none" and rng.random() < 0.8:
+                features[name] = (kind, draw[kind](int(rng.integers(0, 5)))) if rng.random() < 0.9 else (None, None)
+        some.append(wire.build_example(features))
+    unpacked = bytes([0x0A, 13, 0x0A, 11, 0x0A, 1, 0x69, 0x12, 6, 0x1A, 4, 0x08, 5, 0x08, 6])
+    some += [b"", wire.build_example({}), wire.build_example({"f": ("FLOAT", [])})]
+
+    def plain(raws):
+        parsed = [wire.parse_example(r, kinds) for r in raws]
+        return [[p[n][1] if n in p else None for p in parsed] for n in kinds]
+
+    got = [c.to_pylist() for c in wire.columns(pa.array(some, pa.binary()), kinds)]
+    assert got == plain(some)
+    assert [c.to_pylist() for c in wire.columns(pa.array([unpacked] * 3), {"i": "INT"})] == [[[5, 6]] * 3] and wire.parse_example(unpacked)["i"] == ("INT", [5, 6])
+    with pytest.raises(wire.Irregular):
+        wire.columns(pa.array([unpacked, wire.build_example({"i": ("INT", [1])})]), {"i": "INT"})
+    assert wire.columns(pa.array(some[:5], pa.binary()).slice(2, 2), kinds)[0].to_pylist() == plain(some[2:4])[0]
+    assert [len(c) for c in wire.columns(pa.array([], pa.binary()), kinds)] == [0] * len(kinds)
+    with pytest.raises(ValueError, match="FLOAT values where INT"):
+        wire.columns(pa.array([wire.build_example({"i": ("FLOAT", [1.0])})]), {"i": "INT"})
+    for cut in range(1, len(some[0]) - 1, 7):
+        try:
+            wire.parse_example(some[0][:cut], kinds)
+        except wire.ParseError:
+            with pytest.raises(wire.ParseError):
+                wire.columns(pa.array([some[1], some[0][:cut]]), kinds)
