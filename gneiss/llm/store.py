@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (tests on one machine), a folder of our own."""
+    """The cluster's spark.checkpoint.dir. Where it is unset, a master of local[..] gets a folder of its own; else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="gneiss-")
         spark.sparkContext.setCheckpointDir(path)
@@ -27,8 +29,10 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     kind = df.schema
     del df
-    # shuffles behind the table are of no more use; Spark removes their files once the driver's garbage is collected
+    # shuffles behind the table are of no more use; Spark removes their files once the driver's garbage is collected, and
+    # its scheduler forgets the last job when there is another
     gc.collect()
+    spark.range(1).collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(kind).parquet(path)
 
