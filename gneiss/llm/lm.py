@@ -35,12 +35,12 @@ from .trie import VALUES, Trie
 
 MU = 20.0
 ORDER = 3
-BLOCK_BYTES = 8 << 20
-SHARD_TOKENS = 3_000_000
+BLOCK_BYTES = 4 << 20
+SHARD_TOKENS = 1_500_000
 LEAST_SHARDS = 12
 END = np.uint64(0xE11D0F7E47000001)  # no word hashes: see _tokens
 BEGIN = np.uint64(1 << 63)  # no token's number
-FIND = 1 << 17  # n-grams that are looked up at a time
+FIND = 1 << 18  # n-grams that are looked up at a time
 
 _small = zstandard.ZstdCompressor(level=1)
 

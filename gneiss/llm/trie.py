@@ -30,6 +30,24 @@ class Levels:
         return out
 
 
+_L1, _H1 = U(0x0101010101010101), U(0x8080808080808080)
+_IN_BYTE = np.zeros((256, 8), np.int64)  # where a byte's k-th set bit is
+for _b in range(256):
+    _at = [i for i in range(8) if _b >> i & 1]
+    _IN_BYTE[_b, : len(_at)] = _at
+
+
+def _select(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th set bit (from 0) of each word: bytes' prefix counts in one multiplication, then a table."""
+    x = word - (word >> U(1) & U(0x5555555555555555))
+    x = (x & U(0x3333333333333333)) + (x >> U(2) & U(0x3333333333333333))
+    upto = (x + (x >> U(4)) & U(0x0F0F0F0F0F0F0F0F)) * _L1
+    k = k.astype(U)
+    shift = np.bitwise_count((k * _L1 | _H1) - upto & _H1).astype(U) << U(3)
+    before = (upto << U(8)) >> shift & U(255)
+    return shift.astype(np.int64) + _IN_BYTE[word >> shift & U(255), k - before]
+
+
 class EliasFano:
     """A sorted sequence of integers below `universe`, about 2 + log2(universe / n) bits each."""
 
@@ -54,7 +72,7 @@ class EliasFano:
         self.lower = words
 
     def move(self, levels: Levels) -> "EliasFano":
-        self.upper, self.rank, self.lower = levels.put(self.upper), levels.put(self.rank), levels.put(self.lower)
+        self.upper, self.rank, self.lower = (levels.put(x) for x in (self.upper, self.rank, self.lower))
         return self
 
     def nbytes(self) -> int:
@@ -69,33 +87,40 @@ class EliasFano:
         y = np.where(s > 0, self.lower[w + 1] << ((U(64) - s) & U(63)), U(0))
         return (x | y) & U((1 << self.low) - 1)
 
-    def _before(self, bucket: np.ndarray) -> np.ndarray:
-        """How many values lie in buckets below."""
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th zero of the upper bits; the k-th zero ends bucket k."""
         zeros = np.arange(len(self.rank)) * 64 - self.rank  # before each word
-        k = bucket - 1  # the zero that ends the bucket below
-        word = np.searchsorted(zeros, k, "right") - 1
-        word = np.clip(word, 0, len(self.upper) - 1)
-        left = k - zeros[word]
-        free = ~self.upper[word]
-        place = np.zeros(len(k), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(free & U((1 << half) - 1)).astype(np.int64)
-            go = left >= count
-            left = np.where(go, left - count, left)
-            free = np.where(go, free >> U(half), free)
-            place += np.where(go, half, 0)
-        return np.where(bucket > 0, word * 64 + place - k, 0)
+        word = np.minimum(np.searchsorted(zeros, k, "right") - 1, len(self.upper) - 1)
+        return word * 64 + _select(~self.upper[word], k - zeros[word])
+
+    def _bucket(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many values lie in buckets below, and how many there are with those in the bucket."""
+        at = np.where(bucket > 0, self._zero(np.maximum(bucket - 1, 0)) + 1, 0)  # the bucket's first bit
+        first = at - bucket
+        last = len(self.upper) - 1
+        word, s = at >> 6, (at & 63).astype(U)
+        rest = np.where(word < last, self.upper[np.minimum(word + 1, last)], U(0))
+        bits = np.where(word <= last, self.upper[np.minimum(word, last)] >> s | np.where(s > 0, rest << (U(64) - s & U(63)), U(0)), U(0))
+        run = np.bitwise_count(bits ^ (bits + U(1))).astype(np.int64) - 1  # ones from there on
+        long = np.flatnonzero(bits == U(0xFFFFFFFFFFFFFFFF))
+        run[long] = self._zero(bucket[long]) - at[long]
+        return first, first + run
 
     def next_geq(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first value >= q (n if none) and whether it equals q."""
         bucket = np.minimum((q >> U(self.low)).astype(np.int64), self.buckets - 1)
-        lo, end = self._before(bucket), self._before(bucket + 1)
-        want, hi = q & U((1 << self.low) - 1), end.copy()
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = open_ & (self._low(np.minimum(mid, max(0, self.n - 1))) < want)
-            lo = np.where(less, mid + 1, lo)
-            hi = np.where(open_ & ~less, mid, hi)
+        lo, end = self._bucket(bucket)
+        want = q & U((1 << self.low) - 1)
+        open_ = np.flatnonzero(lo < end)
+        a, b, w = lo[open_], end[open_], want[open_]
+        while len(open_):
+            mid = (a + b) >> 1
+            less = self._low(mid) < w
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            done = a >= b
+            lo[open_[done]] = a[done]
+            left = ~done
+            open_, a, b, w = open_[left], a[left], b[left], w[left]
         same = lo < end
         same[same] = self._low(lo[same]) == want[same]
         return lo, same
@@ -103,14 +128,7 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at some indices."""
         word = np.searchsorted(self.rank, i, "right") - 1
-        left, bits = i - self.rank[word], self.upper[word]
-        place = np.zeros(len(i), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(bits & U((1 << half) - 1)).astype(np.int64)
-            go = left >= count
-            left = np.where(go, left - count, left)
-            bits = np.where(go, bits >> U(half), bits)
-            place += np.where(go, half, 0)
+        place = _select(self.upper[word], i - self.rank[word])
         return ((word * 64 + place - i).astype(U) << U(self.low)) | self._low(i)
 
 
@@ -180,14 +198,17 @@ class Trie:
     def _child(self, level: EliasFano, pointers: EliasFano, parent: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Index in a level of each parent's successor, -1 where there is none."""
         out = np.full(len(parent), -1)
-        rank, met = self.words.next_geq(token.astype(U))
-        some = np.flatnonzero((parent >= 0) & met)
+        some = np.flatnonzero(parent >= 0)
         if not len(some) or not level.n:
             return out
-        i = parent[some]
-        at, same = level.next_geq(i.astype(U) * self.width + rank[some].astype(U))
-        hit = same & (at < pointers.get(i + 1).astype(np.int64))
-        out[some[hit]] = at[hit]
+        distinct, of = np.unique(token[some].astype(U), return_inverse=True)
+        rank, met = self.words.next_geq(distinct)
+        rank, met = rank[of], met[of]
+        some, rank = some[met], rank[met]
+        at, same = level.next_geq(parent[some].astype(U) * self.width + rank.astype(U))
+        some, at = some[same], at[same]
+        inside = at < pointers.get(parent[some] + 1).astype(np.int64)
+        out[some[inside]] = at[inside]
         return out
 
     def bigrams(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:

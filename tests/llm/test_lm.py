@@ -27,6 +27,15 @@ def test_elias_fano(n, universe):
         assert ef.nbytes() < 8 * n + 4 * n + 200
 
 
+def test_elias_fano_of_long_runs():
+    """Hundreds of values in one bucket, and empty buckets between."""
+    v = np.unique(np.concatenate([np.arange(1000, 1700), np.arange(5_000_000, 5_000_130), [0, 1, 2**40, 2**50]]).astype(np.uint64))
+    ef = EliasFano(v, 1 << 51)
+    q = np.unique(np.concatenate([v, v + np.uint64(1), np.random.default_rng(0).integers(0, 1 << 51, 3000, dtype=np.uint64), [4_999_999, 999, 2**51 - 1]]).astype(np.uint64))
+    at, same = ef.next_geq(q)
+    assert (at == np.searchsorted(v, q)).all() and (same == np.isin(q, v)).all() and (ef.get(np.arange(len(v))) == v).all()
+
+
 def test_trie():
     rng = np.random.default_rng(2)
     c, s = rng.integers(0, 1 << 63, 200, dtype=np.uint64)[rng.integers(0, 200, 5000)], rng.integers(0, 50, 5000).astype(np.uint64)
