@@ -310,11 +310,13 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         keys = of.groupBy(key).agg(F.min("c_").alias("lo"), F.max("c_").alias("hi")).where("lo <> hi").select(key)
         return rows.join(keys, key, "left_semi")
 
-    edges = persisted(candidates(expanded, True), "near")
-    maybe = components(edges)
+    def extended(linked, more):
+        """Components of what is linked and some more edges: the ones found stand for the edges that made them."""
+        return components(more.unionAll(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    maybe = components(candidates(expanded, True))
     if (tokens.agg(F.max("nb")).first()[0] or 0) > 2:  # some shingle has blocks that did not meet
-        more = persisted(candidates(apart(expanded.where("nb > 2"), "token", maybe), False), "near")
-        maybe = components(edges.unionAll(more))
+        maybe = extended(maybe, candidates(apart(expanded.where("nb > 2"), "token", maybe), False))
     small = nodes.select("doc_id", "n", "node")
     total = small.join(maybe, "node").select("doc_id", "node", "n", F.col("component").alias("c"))
     total = persisted(total, "candidates")
@@ -358,11 +360,9 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         if (out := done()) is not None:
             yield out
 
-    edges = persisted(held(placed, True), "links")
-    linked = components(edges)
+    linked = components(held(placed, True))
     if (blocks.agg(F.max("nb")).first()[0] or 0) > 2:
-        more = persisted(held(apart(placed.where("nb > 2"), "c", linked), False), "links")
-        linked = components(edges.unionAll(more))
+        linked = extended(linked, held(apart(placed.where("nb > 2"), "c", linked), False))
     ids = every.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     ids = ids.join(linked, "node", "left").select("node", "first", F.coalesce("component", "node").alias("c"))
     ids = persisted(ids.where("first is not null"), "nodes")
