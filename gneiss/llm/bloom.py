@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import mix
+from .text import lean, mix
 
 SLICES = 16
 BITS = 1 << 25
@@ -49,9 +49,9 @@ def reduced(df: DataFrame, size: int, kind, of_batch, merge) -> np.ndarray:
         for s, part in sums.items():
             yield out([(s, 0, part.tobytes())])
 
-    parts = df.mapInArrow(first, _SCHEMA)
+    parts = df.mapInArrow(lean(first), _SCHEMA)
     for by in (("slice", "salt"), ("slice",)):
-        parts = parts.repartition(SLICES, *by).mapInArrow(again, _SCHEMA)
+        parts = parts.repartition(SLICES, *by).mapInArrow(lean(again), _SCHEMA)
     result = np.zeros(size, kind)
     for r in parts.collect():  # SLICES rows
         result[r.slice * width : (r.slice + 1) * width] = np.frombuffer(bytes(r.data), kind)

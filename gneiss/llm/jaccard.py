@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .bloom import maybe_in, reduced
 from .graph import components
 from .store import bounded_batches, persisted
-from .text import WORD, chunks, shingles, utf8, word_hashes
+from .text import WORD, chunks, lean, shingles, utf8, word_hashes
 
 SKETCH = 1 << 20
 BLOCK = 1_000_000  # shingles of a block in verification
@@ -229,7 +229,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
                     ["doc_id", "n", "node", "head", "bitmap", "prefix"],
                 )
 
-    every = persisted(docs.mapInArrow(reduce, "doc_id long, n long, node binary, head binary, bitmap binary, prefix array<long>"), "sets")
+    every = persisted(docs.mapInArrow(lean(reduce), "doc_id long, n long, node binary, head binary, bitmap binary, prefix array<long>"), "sets")
     once = Window.partitionBy("node").orderBy("doc_id")
     nodes = every.where("n > 0 and doc_id is not null").withColumn("i", F.row_number().over(once)).where("i = 1").drop("i")
 
@@ -302,7 +302,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     def candidates(rows, first):
         rows = dealt(rows.select("token", "n", "head", "pos", "node", "bitmap", "nb", "mine"), ["token"], first)
-        return rows.sortWithinPartitions("token", "x", "y", "n", "head").mapInArrow(compare, "a binary, b binary")
+        return rows.sortWithinPartitions("token", "x", "y", "n", "head").mapInArrow(lean(compare), "a binary, b binary")
 
     def apart(rows, key, linked):
         """The rows of those keys whose nodes have not all met; rows hold (key, node)."""
@@ -327,7 +327,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     def held(rows, first):
         pieces = dealt(rows.select("doc_id", "node", "c", "nb", "mine"), ["c"], first)
         texts = docs.where(wanted("doc_id")).join(pieces, "doc_id").select("c", "x", "y", "node", "text")
-        return texts.repartition("c", "x", "y").sortWithinPartitions("c", "x", "y").mapInArrow(verify, "a binary, b binary")
+        return texts.repartition("c", "x", "y").sortWithinPartitions("c", "x", "y").mapInArrow(lean(verify), "a binary, b binary")
 
     def verify(batches):
         key, nodes_, sets_, have = None, [], [], set()

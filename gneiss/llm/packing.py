@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .store import bounded_batches
+from .text import lean
 
 MAX_LEN = 2048
 END_ID = 1
@@ -158,7 +159,7 @@ def pack(
         return pa.RecordBatch.from_arrays(arrays, names)
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(
-        run, SCHEMA + (", ids array<int>" if with_ids else "")
+        lean(run), SCHEMA + (", ids array<int>" if with_ids else "")
     )
 
 

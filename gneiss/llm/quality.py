@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import bounded_batches
-from .text import LOWER, chunks, prefix_sums, range_hash, utf8, words
+from .text import LOWER, chunks, lean, prefix_sums, range_hash, utf8, words
 
 PASSAGE = 512
 MAX_TRAIN = 6000
@@ -246,7 +246,7 @@ def learn(
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = found.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bag * PASSAGE)
-    found = found.join(F.broadcast(some), "doc_id").mapInArrow(run, "doc_id long, key binary, quality int, bag binary")
+    found = found.join(F.broadcast(some), "doc_id").mapInArrow(lean(run), "doc_id long, key binary, quality int, bag binary")
     found = found.groupBy("doc_id").agg(F.min(F.struct("key", "quality", "bag")).alias("x")).select("doc_id", "x.quality", "x.bag")
     # a running sum over MAX_TRAIN rows at most
     upto = F.sum(F.octet_length("bag") / (2 * N_FEATURES)).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
@@ -266,7 +266,7 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, score double, predicted int"
+        lean(run), "doc_id long, score double, predicted int"
     )
 
 
@@ -279,7 +279,7 @@ def keep(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFram
         for batch in batches:
             yield batch.filter(pa.array(scores(model, batch.column(at)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

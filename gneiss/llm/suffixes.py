@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .bloom import bloom, maybe_in
 from .store import bounded_batches, persisted
-from .text import chunks, prefix_sums, range_hash, utf8
+from .text import chunks, lean, prefix_sums, range_hash, utf8
 
 DEPTH = 200
 GRAM = 50
@@ -242,7 +242,7 @@ def repeated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame
         return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(times)], ["g", "times"])
 
     # counts of grams, by their hashes, summed before the shuffle; a filter of fixed size of those that are found again
-    counts = keyed.mapInArrow(counted, "g long, times long").groupBy("g").agg(F.sum("times").alias("times"))
+    counts = keyed.mapInArrow(lean(counted), "g long, times long").groupBy("g").agg(F.sum("times").alias("times"))
     again = bloom(counts.where("times > 1").select("g"))
 
     def placed(batches):
@@ -254,7 +254,7 @@ def repeated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame
                 cols = [_binary(grams(i)), pa.array(c[i]), pa.array(t1[row]), pa.array(t2[row]), pa.array(lo[i] << 2 * BITS | n[i] << BITS | at[i])]
                 yield pa.RecordBatch.from_arrays(cols, ["g", "c", "t1", "t2", "place"])
 
-    found = persisted(keyed.mapInArrow(placed, "g binary, c long, t1 long, t2 long, place long"), "runs")
+    found = persisted(keyed.mapInArrow(lean(placed), "g binary, c long, t1 long, t2 long, place long"), "runs")
     mark = F.col("t1").bitwiseXOR(F.col("t2")).bitwiseXOR(F.col("place"))  # one of equal runs is chosen by the smallest
     same = persisted(found.groupBy("g", "c").agg(F.count(F.lit(1)).alias("times"), F.min(mark).alias("first")), "digits")
     grams = same.groupBy("g").agg(F.count_if(F.col("times") == 1).alias("alone"), F.sum("times").alias("all")).where("all > 1 and alone > 0").select("g")
@@ -307,14 +307,14 @@ def repeated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame
 
     pieces = found.select("t1", "t2", F.inline(F.filter("runs", lambda r: r["whole"]))).select("t1", "t2", "lo", "n")
     digit = F.xxhash64("side", "core")
-    rows = texts.join(left, ["t1", "t2"]).select("t1", "t2", "text", "runs").mapInArrow(second_digit, CORES)
+    rows = texts.join(left, ["t1", "t2"]).select("t1", "t2", "text", "runs").mapInArrow(lean(second_digit), CORES)
     while True:
         rows = persisted(rows, "cores")
         sums = rows.groupBy(digit.alias("h")).agg(F.sum(F.octet_length("raw")).alias("size"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
         many = bloom(sums.where(F.col("size") > BUFFER).select("h"))
         large = many.test(digit) if many.filled else F.lit(False)
         small = rows.where(~large).repartition("side", "core").sortWithinPartitions("side", "core")
-        pieces = pieces.unionAll(persisted(small.mapInArrow(lambda batches: _compared(batches, depth), "t1 long, t2 long, lo long, n int"), "windows"))
+        pieces = pieces.unionAll(persisted(small.mapInArrow(lean(lambda batches: _compared(batches, depth)), "t1 long, t2 long, lo long, n int"), "windows"))
         if not many.filled:
             break
         # cores that are whole windows: all of a group are equal, so every one of a group of two or more is repeated
@@ -322,7 +322,7 @@ def repeated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame
         done = rows.where(large & ready)
         equal = done.groupBy("side", "core").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("side", "core")
         pieces = pieces.unionAll(persisted(done.where("ask").join(equal, ["side", "core"], "left_semi").select("t1", "t2", "lo", F.lit(1).alias("n")), "windows"))
-        rows = rows.where(large & ~ready).mapInArrow(next_digit, CORES)
+        rows = rows.where(large & ~ready).mapInArrow(lean(next_digit), CORES)
     return persisted(pieces.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "n")).alias("runs")), "repeated")
 
 
@@ -355,7 +355,7 @@ def removals(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame
     return (
         _with_runs(keyed, repeated(docs, depth, gram))
         .select("doc_id", "text", "runs")
-        .mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        .mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )
 
 
@@ -392,7 +392,7 @@ def cleaned(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     row = F.struct(*[F.col(c) for c in names])
     keyed = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), row.alias("row"))
     joined = _with_runs(keyed, repeated(docs, depth, gram))
-    return joined.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("runs").alias("_runs")).mapInArrow(run, docs.schema)
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("runs").alias("_runs")).mapInArrow(lean(run), docs.schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ at a time, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -29,6 +30,25 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x41:0x5B] = ALNUM[0x80:] = True
 
 
+def lean(run):
+    """A function of batches that gives memory back to the system when its task is over.
+
+    Workers are used again by later tasks; what numpy and Arrow have freed would else stay with each of them.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # a C library without it
+                pass
+
+    return task
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes and the n+1 offsets of its rows; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
