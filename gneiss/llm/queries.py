@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, jaccard, licences, lm, media, packing, quality, suffixes
+from . import ann, bpe, chat, fim, jaccard, licences, lm, media, packing, pqcodes, quality, suffixes, wordbpe
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,15 @@ QUERIES = {
         suffixes.op8_suffix_dedup,
         chat.op9_chat_rotation,
         quality.op10_quality_classifier,
+        fim.op11_fim_units,
+        wordbpe.op12_word_bpe,
+        pqcodes.op13_vector_codes,
     )
 }
 
-ORACLE_SQL = {"op3_jaccard_join": jaccard.OP3_SQL, "op9_chat_rotation": chat.OP9_SQL}
+ORACLE_SQL = {
+    "op3_jaccard_join": jaccard.OP3_SQL,
+    "op9_chat_rotation": chat.OP9_SQL,
+    "op11_fim_units": fim.OP11_SQL,
+    "op13_vector_codes": pqcodes.OP13_SQL,
+}
