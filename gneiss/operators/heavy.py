@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sketches import counter_rows
+
 
 def clean_text(column: str, invalid: str = "__INVALID__", threshold: int | None = None, large: str = "__LARGE__") -> Column:
     """Invalid UTF-8 becomes one placeholder; else text of more than `threshold` bytes another."""
@@ -62,8 +64,9 @@ class MisraGries:
 
     def _cut(self) -> "MisraGries":
         if len(self.counts) > self.k:
-            least = sorted(self.counts.values(), reverse=True)[self.k]
-            self.counts = {v: n - least for v, n in self.counts.items() if n > least}
+            rows = sorted(self.counts.items(), key=lambda x: (-x[1], x[0]))
+            least = rows[self.k][1]
+            self.counts = {v: n - least for v, n in rows[: self.k]}
             self.delta += least
         return self
 
@@ -112,7 +115,7 @@ _SUMMARY = "struct<k:int,delta:double,counts:array<struct<value:binary,count:dou
 def _summary(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by.., sketch) from (by.., value, count, k, lost) rows: counters cut by the (k + 1)-th largest, as JSON bytes.
 
-    Only k + 1 counters of a group are gathered; the limit acts before the shuffle.
+    Only k + 1 counters of a group are gathered; the limit acts before the shuffle. Counters cut to nothing stay among the k.
     """
     order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("count"), "value")
     top = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("k") + 1)
@@ -120,20 +123,42 @@ def _summary(rows: DataFrame, by: list[str]) -> DataFrame:
         F.max("k").alias("k"), F.max("lost").alias("lost"), F.coalesce(F.max(F.when(F.col("r") == F.col("k") + 1, F.col("count"))), F.lit(0.0)).alias("cut"),
         F.collect_list(F.when(F.col("r") <= F.col("k"), F.struct("value", "count"))).alias("counts"),
     )
-    left = F.filter("counts", lambda c: c["count"] > F.col("cut"))
-    counts = F.array_sort(F.transform(left, lambda c: F.struct(c["value"].alias("value"), (c["count"] - F.col("cut")).alias("count"))))
+    counts = F.array_sort(F.transform("counts", lambda c: F.struct(c["value"].alias("value"), (c["count"] - F.col("cut")).alias("count"))))
     packed = F.to_json(F.struct("k", (F.col("lost") + F.col("cut")).alias("delta"), counts.alias("counts")))
     return kept.select(*by, F.encode(packed, "UTF-8").alias("sketch"))
 
 
-def summary(df: DataFrame, column: str, k: int, weight: str | None = None, by: list[str] = ()) -> DataFrame:
-    """(by.., sketch): a serialised Misra-Gries summary of k counters for each group. Values are kept as text bytes."""
+def counters(df: DataFrame, column: str, k: int, weight: str | None = None, by: list[str] = ()) -> DataFrame:
+    """(by.., value, count): of each group and task at most k counters, and a row without a value: the weight that each lacks.
+
+    Tasks keep the counters while rows stream by; the smallest ones give way before anything is shuffled.
+    """
     if k < 1:
         raise ValueError("a sketch needs one bucket at least")
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    rows = df.select(*by, F.col(column).cast("string").cast("binary").alias("value"), w.alias("w")).where("value is not null and w > 0 and not isnan(w)")
-    counts = rows.groupBy(*by, "value").agg(F.sum("w").alias("count"))
-    return _summary(counts.withColumn("k", F.lit(k)).withColumn("lost", F.lit(0.0)), list(by))
+    rows = df.select(*by, F.col(column).cast("string").cast("binary").alias("value"), w.alias("count")).where("value is not null and count > 0 and not isnan(count)")
+    return rows.mapInArrow(counter_rows(list(by), k), rows.schema)
+
+
+def summary(df: DataFrame, column: str, k: int, weight: str | None = None, by: list[str] = ()) -> DataFrame:
+    """(by.., sketch): a serialised Misra-Gries summary of k counters for each group. Values are kept as text bytes.
+
+    What is shuffled are the tasks' counters, k + 1 rows of a group and task at most. Counters are below their value's
+    weight by delta at most, and delta is at most the group's weight / (k + 1).
+    """
+    by = list(by)
+    parts = counters(df, column, k, weight, by)
+    sums = parts.groupBy(*by, "value").agg(F.sum("count").alias("count"))
+    lost = sums.where("value is null").groupBy(*by).agg(F.sum("count").alias("lost"))
+    return _summary(_with_group(sums.where("value is not null"), lost, by, "left").fillna(0.0, ["lost"]).withColumn("k", F.lit(k)), by)
+
+
+def _with_group(counts: DataFrame, one: DataFrame, by: list[str], how: str) -> DataFrame:
+    """counts with the columns of their group's row; null keys are keys."""
+    if not by:
+        return counts.join(F.broadcast(one), how=how, on=F.lit(True))  # one row
+    named = one.withColumnsRenamed({c: f"_{c}" for c in by})
+    return counts.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], how).drop(*(f"_{c}" for c in by))
 
 
 def summary_merge(sketches: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -143,7 +168,7 @@ def summary_merge(sketches: DataFrame, by: list[str] = ()) -> DataFrame:
     same = F.when(F.min("s.k") == F.max("s.k"), F.max("s.k")).otherwise(F.raise_error(F.lit("sketches of different sizes don't merge")).cast("int"))
     whole = held.groupBy(*by).agg(same.alias("k"), F.sum("s.delta").alias("lost"))
     counts = held.select(*by, F.explode("s.counts").alias("c")).groupBy(*by, F.col("c.value").alias("value")).agg(F.sum("c.count").alias("count"))
-    return _summary(counts.join(whole, by) if by else counts.join(F.broadcast(whole)), by)  # without keys: one row
+    return _summary(_with_group(counts, whole, by, "inner"), by)
 
 
 def summary_counts(sketches: DataFrame, by: list[str] = ()) -> DataFrame:

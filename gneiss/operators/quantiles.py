@@ -7,12 +7,15 @@ left out.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sketches import Ranks, merged_ranks, rank_sketches
+
 SIDE = 8  # a group is dealt to SIDE * SIDE ranges
+SALTS = 64  # in how many places sketches of one group meet first
 
 
 def _clean(df: DataFrame, value: str, weight: str | None, by: list[str]) -> DataFrame:
@@ -114,48 +117,72 @@ def kll_merge(sketches: DataFrame, by: list[str] = ()) -> DataFrame:
     return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
 
 
-_SKETCH = "struct<eps:double,points:array<struct<v:double,w:double>>>"
-
-
-def _packed(points: DataFrame, by: list[str]) -> DataFrame:
-    """(by.., sketch) of (by.., v, w, eps) rows: each group's weighted points, in order, as JSON bytes."""
-    points_ = F.array_sort(F.collect_list(F.struct("v", "w")))
-    return points.groupBy(*by).agg(F.encode(F.to_json(F.struct(F.max("eps").alias("eps"), points_.alias("points"))), "UTF-8").alias("sketch"))
-
+def _keys(df: DataFrame, by: list[str]) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*by).schema) if by else ""
 
-def _points(sketches: DataFrame, by: list[str]) -> DataFrame:
-    held = F.from_json(F.decode("sketch", "UTF-8"), _SKETCH)
-    return sketches.select(*by, held.alias("s")).select(*by, F.col("s.eps").alias("eps"), F.explode("s.points").alias("p")).select(*by, "eps", "p.v", "p.w")
 
-
-def _compact(rows: DataFrame, eps: float, by: list[str], side: int = SIDE) -> DataFrame:
-    """(by.., v, w): at most 2 / eps + 1 points of each group; a value's rank moves by eps / 2 of the weight at most."""
-    n = math.ceil(2 / eps)
-    q = quantiles(rows, "v", n, "w", by, side).groupBy(*by, F.col("quantile").alias("v")).agg(F.max("cum_weight").alias("cw"))
-    before = F.lag("cw", 1, 0.0).over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("cw"))  # 2 / eps + 1 rows of a group
-    return q.select(*by, "v", (F.col("cw") - before).alias("w"))
+def _merged(sketches: DataFrame, by: list[str], salt: list[str]) -> DataFrame:
+    """(by.., salt.., sketch): one sketch for each key. Rows of a key come to a task one after the other."""
+    keys = [*by, *salt]
+    worst = F.desc(F.substring("sketch", 5, 8))  # the error that stands in a sketch's head
+    dealt = (sketches.repartition(*keys) if keys else sketches.repartition(1)).sortWithinPartitions(*keys, worst)
+    return dealt.select(*keys, "sketch").mapInArrow(merged_ranks(keys), f"{_keys(sketches, keys)}sketch binary")
 
 
 def sketch(df: DataFrame, value: str, eps: float, weight: str | None = None, by: list[str] = ()) -> DataFrame:
-    """(by.., sketch): a serialised weighted quantile sketch of each group, of 2 / eps + 1 points at most."""
+    """(by.., sketch): a serialised weighted quantile sketch of each group, ranks within eps of its weight.
+
+    Tasks keep levels of weighted summaries by group while rows stream by, and only these leave them: values are never
+    shuffled, and a task's state depends on eps. A group's sketches are merged in two steps, so that one key over all
+    tasks doesn't meet in one. Half of eps is left for later merges.
+    """
     if eps <= 0:
         raise ValueError("eps must be positive")
     by = list(by)
-    return _packed(_compact(_clean(df, value, weight, by), eps, by).withColumn("eps", F.lit(float(eps))), by)
+    rows = _clean(df, value, weight, by).withColumnsRenamed({"v": "_value", "w": "_weight"})
+    parts = rows.mapInArrow(rank_sketches(by, float(eps)), f"{_keys(rows, by)}sketch binary")
+    return sketch_merge(parts, by)
+
+
+def stream_sketches(df: DataFrame, values: list[str], eps: float, weight: str | None = None) -> DataFrame:
+    """G3 over several columns that share weights: (stream, sketch); one pass over the rows."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("stream"), F.col(v).cast("double").alias("v")) for i, v in enumerate(values)]))
+    rows = df.select(pairs.alias("x"), *([F.col(weight).alias("w")] if weight else [])).select("x.stream", "x.v", *(["w"] if weight else []))
+    return sketch(rows, "v", eps, "w" if weight else None, ["stream"])
 
 
 def sketch_merge(sketches: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Sketches of a group joined: their points together, so no precision is lost. sketch_compact() cuts them back."""
-    rows = _points(sketches, list(by))
-    return _packed(rows.groupBy(*by, "v").agg(F.sum("w").alias("w"), F.max("eps").alias("eps")), list(by))
+    """Sketches of a group merged, within the eps that they were made with, however often that is done."""
+    by = list(by)
+    salted = sketches.select(*by, "sketch", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_salt"))
+    return _merged(_merged(salted, by, ["_salt"]), by, [])
 
 
 def sketch_compact(sketches: DataFrame, eps: float, by: list[str] = ()) -> DataFrame:
-    """Sketches cut back to 2 / eps + 1 points, at the cost of eps / 2 in rank; never needed for right results."""
+    """Sketches cut back as far as ranks within eps of the weight allow; never needed for right results."""
     by = list(by)
-    return _packed(_compact(_points(sketches, by), eps, by).withColumn("eps", F.lit(float(eps))), by)
+
+    def run(batches):
+        for batch in batches:
+            cut = [None if x is None else Ranks.from_bytes(x)[0].fit(eps).to_bytes(eps) for x in batch.column("sketch").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in by), pa.array(cut, pa.binary())], [*by, "sketch"])
+
+    return sketches.select(*by, "sketch").mapInArrow(run, f"{_keys(sketches, by)}sketch binary")
 
 
 def sketch_quantiles(sketches: DataFrame, n: int, by: list[str] = ()) -> DataFrame:
-    """(by.., r, quantile, cum_weight) of sketches, one for each group; ranks are within eps of the weight."""
-    return quantiles(_points(sketches, list(by)), "v", n, "w", by)
+    """(by.., r, quantile, cum_weight) for r = 0..n of sketches, one for each group; ranks are within eps of the weight."""
+    if n < 2:
+        raise ValueError("at least two quantiles are asked for")
+    by = list(by)
+
+    def run(batches):
+        for batch in batches:
+            for i, data in enumerate(batch.column("sketch")):
+                ranks = Ranks.from_bytes(data.as_py())[0] if data.is_valid else ()
+                if len(ranks):
+                    q, w = ranks.quantiles(n)
+                    key = batch.slice(i, 1).take(pa.array(np.zeros(n + 1, np.int64)))
+                    yield pa.RecordBatch.from_arrays([*(key.column(c) for c in by), pa.array(np.arange(n + 1)), pa.array(q), pa.array(w)], [*by, "r", "quantile", "cum_weight"])
+
+    return sketches.select(*by, "sketch").mapInArrow(run, f"{_keys(sketches, by)}r long, quantile double, cum_weight double")

@@ -110,17 +110,37 @@ def quantiles_kll_merged(spark, d):
     return _ranks(rows, "l_extendedprice", got, 10, 0.02, [])
 
 
+def _weighted_ranks(rows, value, weight, sketches, n, eps, by):
+    """(by.., r, within): whether each boundary of the sketches lies within eps of its rank in the group's weight."""
+    got = quantiles.sketch_quantiles(sketches, n, by).select(*by, "r", F.col("quantile").alias("q"))
+    met = rows.select(*by, F.col(value).alias("v"), F.col(weight).cast("double").alias("w")).join(F.broadcast(got), by).groupBy(*by, "r")  # n + 1 rows a group
+    sums = met.agg(F.sum(F.when(F.col("v") < F.col("q"), F.col("w")).otherwise(0)).alias("lo"), F.sum(F.when(F.col("v") <= F.col("q"), F.col("w")).otherwise(0)).alias("hi"), F.sum("w").alias("w"))
+    want = F.col("r") / n * F.col("w")
+    return sums.select(*by, "r", ((F.col("lo") <= want + eps * F.col("w")) & (F.col("hi") >= want - eps * F.col("w"))).alias("within"))
+
+
 @query("select l_returnflag, unnest(range(11)) as r, sum(l_quantity) > 0 as within from lineitem group by 1")
 def quantiles_weighted_merged(spark, d):
     """Weighted sketches of each year, merged and cut back, against the exact weighted ranks."""
     by, eps = ["l_returnflag"], 0.02
     rows = table(spark, d, "lineitem").withColumn("year", F.year("l_shipdate"))
     merged = quantiles.sketch_merge(quantiles.sketch(rows, "l_extendedprice", eps, "l_quantity", [*by, "year"]).drop("year"), by)
-    got = quantiles.sketch_quantiles(quantiles.sketch_compact(merged, eps, by), 10, by).select(*by, "r", F.col("quantile").alias("q"))
-    met = rows.join(F.broadcast(got), by).groupBy(*by, "r")  # 11 rows a group
-    sums = met.agg(F.sum(F.when(F.col("l_extendedprice") < F.col("q"), F.col("l_quantity")).otherwise(0)).alias("lo"), F.sum(F.when(F.col("l_extendedprice") <= F.col("q"), F.col("l_quantity")).otherwise(0)).alias("hi"), F.sum("l_quantity").alias("w"))
-    want = F.col("r") / 10 * F.col("w")
-    return sums.select(*by, "r", ((F.col("lo") <= want + eps * F.col("w")) & (F.col("hi") >= want - eps * F.col("w"))).alias("within"))
+    return _weighted_ranks(rows, "l_extendedprice", "l_quantity", quantiles.sketch_compact(merged, eps, by), 10, eps, by)
+
+
+@query("select l_returnflag, unnest(range(21)) as r, count(*) > 0 as within from lineitem group by 1")
+def quantiles_skewed_weights(spark, d):
+    """One pass over weights that span many orders of magnitude and grow as values fall."""
+    by, eps = ["l_returnflag"], 0.005
+    rows = table(spark, d, "lineitem").withColumn("w", F.exp(F.lit(20.0) - F.col("l_extendedprice") / 2500))
+    return _weighted_ranks(rows, "l_extendedprice", "w", quantiles.sketch(rows, "l_extendedprice", eps, "w", by), 20, eps, by)
+
+
+@query(_QUANTILES.format(k="l_returnflag", v="l_quantity", w="cast(l_linenumber as double)", t="lineitem", n=10, name="l_returnflag"))
+def quantiles_sketch_few_values(spark, d):
+    """A sketch that holds all distinct values is exact."""
+    made = quantiles.sketch(table(spark, d, "lineitem"), "l_quantity", 0.001, "l_linenumber", ["l_returnflag"])
+    return quantiles.sketch_quantiles(made, 10, ["l_returnflag"])
 
 
 @query(

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from gneiss.plans.features import SPARK_TYPES, FeatureSchema
 from gneiss.sources import wire
 
 SEQUENCE = "##SEQUENCE##"
+BATCH_BYTES = 64 << 20  # of columns that are encoded at a time
 _ARROW = {"INT": pa.int64(), "FLOAT": pa.float32(), "BYTES": pa.binary()}
 
 
@@ -185,6 +187,26 @@ def _kind_of(kind: T.DataType, name: str) -> str:
     raise TypeError(f"{name}: records hold lists of whole numbers, float or text, not {kind.simpleString()}")
 
 
+def _features_of(column: pa.Array, name: str, kind: str | None, spec: tuple | None) -> list[wire.ListFeature]:
+    """The features that a list column is written as: its values, and row lengths of the levels that have them."""
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    sizes = lambda x: pa.compute.list_value_length(x).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = lambda x: np.concatenate([[0], np.cumsum(x)]).astype(np.int64)
+    if kind is None:
+        return [wire.ListFeature(name, None, valid, np.zeros(len(column) + 1, np.int64), None)]
+    offsets, level, lengths = ends(sizes(column)), column.flatten(), []
+    for how, f in spec[1] if spec else ():
+        if level.null_count:
+            raise ValueError(f"{name}: a null within a list")
+        inner = sizes(level)
+        if how == "lengths":
+            lengths.append(wire.ListFeature(f, "INT", valid, offsets, pa.array(inner, pa.int64())))
+        elif (inner != f).any():
+            raise ValueError(f"{name}: lists of other length than {f}")
+        offsets, level = ends(inner)[offsets], level.flatten()
+    return [wire.ListFeature(spec[0] if spec else name, kind, valid, offsets, level), *lengths]
+
+
 def encode_examples(df: DataFrame, record: str = "record", partitions: dict[str, tuple] | None = None, keep: list[str] = ()) -> DataFrame:
     """One example record for each row; a null list is a feature whose kind is unset.
 
@@ -215,40 +237,15 @@ def encode_examples(df: DataFrame, record: str = "record", partitions: dict[str,
     if len(set(made)) != len(made):
         raise ValueError("two features have one name")
 
-    def flat(name, value):
-        spec = partitions.get(name)
-        if spec is None:
-            return {name: (kinds[name] if value is not None else None, value)}
-        values_name, parts = spec
-        out = {}
-        level = value
-        for i, (k, f) in enumerate(parts):
-            inner = 1
-            for kk, n in parts[i + 1 :]:
-                inner *= n if kk == "uniform" else 1
-            if k == "lengths":
-                if level is None:
-                    out[f] = (None, None)
-                else:
-                    sizes = [len(x) for x in level]
-                    out[f] = ("INT", sizes)
-            elif level is not None and any(len(x) != f for x in level):
-                raise ValueError(f"{name}: lists of other length than {f}")
-            level = None if level is None else [y for x in level for y in x]
-        return {values_name: (kinds[name] if level is not None else None, level), **out}
-
     n_keep = len(keep)
 
     def run(batches):
-        for b in batches:
-            cols = [b.column(n_keep + i).to_pylist() for i in range(len(columns))]
-            out = []
-            for row in zip(*cols):
-                features: dict = {}
-                for name, value in zip(columns, row):
-                    features |= flat(name, value)
-                out.append(wire.build_example(features))
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n_keep)], pa.array(out, pa.binary())], [*keep, record])
+        for whole in batches:
+            step = max(1, whole.num_rows * BATCH_BYTES // max(1, whole.nbytes))
+            for lo in range(0, whole.num_rows, step):
+                b = whole.slice(lo, step)
+                features = [f for i, c in enumerate(columns) for f in _features_of(b.column(n_keep + i), c, kinds[c], partitions.get(c))]
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n_keep)], wire.build_examples(b.num_rows, features)], [*keep, record])
 
     schema = T.StructType([*[df.schema[k] for k in keep], T.StructField(record, T.BinaryType())])
     typed = [F.col(c).cast("array<string>") if isinstance(df.schema[c].dataType, T.NullType) else F.col(c) for c in columns]

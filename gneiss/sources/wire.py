@@ -439,3 +439,108 @@ def build_sequence(context: dict, steps: dict) -> bytes:
     a = b"".join(_entry(k, build_feature(*v)) for k, v in context.items())
     b = b"".join(_entry(k, b"".join(_delimited(1, build_feature(*f)) for f in fs)) for k, fs in steps.items())
     return _delimited(1, a) + _delimited(2, b)
+
+
+def _varint_sizes(x: np.ndarray) -> np.ndarray:
+    x, size = x.astype(np.uint64, copy=False), np.ones(len(x), np.int64)
+    for k in range(1, 10):
+        more = x >= np.uint64(1 << 7 * k)
+        if not more.any():
+            break
+        size += more
+    return size
+
+
+def _put_varints(buf: np.ndarray, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Writes numbers at their places; gives where each of them ends."""
+    x, size = x.astype(np.uint64, copy=False), _varint_sizes(x)
+    for k in range(int(size.max(initial=0))):
+        here = np.flatnonzero(size > k)
+        byte = (x[here] >> np.uint64(7 * k) & np.uint64(0x7F)).astype(np.uint8)
+        buf[at[here] + k] = byte | ((size[here] > k + 1) << 7).astype(np.uint8)
+    return at + size
+
+
+def _delimited_sizes(body: np.ndarray) -> np.ndarray:
+    return 1 + _varint_sizes(body) + body
+
+
+def _put_heads(buf: np.ndarray, at: np.ndarray, number: int, body: np.ndarray) -> np.ndarray:
+    """Tag and length of a delimited field at each place; gives where the bodies begin."""
+    buf[at] = number << 3 | 2
+    return _put_varints(buf, at + 1, body)
+
+
+def _spread(buf: np.ndarray, at: np.ndarray, data: np.ndarray, ends: np.ndarray) -> None:
+    """Copies the runs of data that end at `ends` to the places `at`."""
+    sizes = np.diff(ends, prepend=0)
+    buf[np.repeat(at - (ends - sizes), sizes) + np.arange(len(data))] = data
+
+
+class ListFeature:
+    """One feature of a batch of records: lists of values by row offsets, null where not valid."""
+
+    def __init__(self, name: str, kind: str | None, valid: np.ndarray, offsets: np.ndarray, values: pa.Array | None):
+        if values is not None and values.null_count:
+            raise ValueError(f"feature {name}: a null within a list")
+        self.head = _delimited(1, name.encode())
+        self.kind, self.valid, self.offsets = kind, valid & (kind is not None), offsets
+        if kind is None:
+            payload = np.zeros(len(valid), np.int64)
+        elif kind == "BYTES":
+            held = values.cast(pa.large_binary())
+            _, ends, data = held.buffers()
+            ends = np.frombuffer(ends, np.int64)[held.offset : held.offset + len(held) + 1] if len(held) else np.zeros(1, np.int64)
+            self.data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+            self.ends = ends[1:] - ends[0]
+            self.lengths = np.diff(ends)
+            self.sizes = _delimited_sizes(self.lengths)
+        elif kind == "FLOAT":
+            self.data = np.ascontiguousarray(values.cast(pa.float32()).to_numpy(zero_copy_only=False), "<f4")
+            self.sizes = np.full(len(self.data), 4, np.int64)
+        else:
+            self.data = values.cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64)
+            self.sizes = _varint_sizes(self.data)
+        if kind is not None:
+            self.upto = np.concatenate([[0], np.cumsum(self.sizes)])
+            payload = self.upto[offsets[1:]] - self.upto[offsets[:-1]]
+        self.payload = payload  # bytes of the values
+        self.list = payload if kind == "BYTES" else np.where(payload > 0, _delimited_sizes(payload), 0)
+        self.feature = np.where(self.valid, _delimited_sizes(self.list), 0)
+        self.entry = len(self.head) + _delimited_sizes(self.feature)
+
+    def put(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Writes the entry of every row at its place; gives where each ends."""
+        at = _put_heads(buf, at, 1, self.entry)
+        head = np.frombuffer(self.head, np.uint8)
+        buf[at[:, None] + np.arange(len(head))] = head
+        at = _put_heads(buf, at + len(head), 2, self.feature)
+        end = at + self.feature
+        rows = np.flatnonzero(self.valid)
+        if len(rows):
+            at = _put_heads(buf, at[rows], {"BYTES": 1, "FLOAT": 2, "INT": 3}[self.kind], self.list[rows])
+            full = self.payload[rows] > 0
+            rows, at = rows[full], at[full]
+            if self.kind != "BYTES":
+                at = _put_heads(buf, at, 1, self.payload[rows])
+            count = np.diff(self.offsets)[rows]
+            place = np.repeat(at - self.upto[self.offsets[rows]], count) + self.upto[:-1]  # rows that aren't valid have no values
+            if self.kind == "BYTES":
+                _spread(buf, _put_heads(buf, place, 1, self.lengths), self.data, self.ends)
+            elif self.kind == "FLOAT":
+                buf[place[:, None] + np.arange(4)] = self.data.view(np.uint8).reshape(-1, 4)
+            else:
+                _put_varints(buf, place, self.data)
+        return end
+
+
+def build_examples(n: int, features: list[ListFeature]) -> pa.Array:
+    """The n records of a batch's features. Lengths are summed up from the values outwards; then all bytes are scattered
+    into one buffer, for a feature and a kind of byte at a time."""
+    body = sum((_delimited_sizes(f.entry) for f in features), np.zeros(n, np.int64))
+    ends = np.concatenate([[0], np.cumsum(_delimited_sizes(body))])
+    buf = np.zeros(ends[-1], np.uint8)
+    at = _put_heads(buf, ends[:-1], 1, body)
+    for f in features:
+        at = f.put(buf, at)
+    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(buf)]).cast(pa.binary())

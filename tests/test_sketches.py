@@ -3,11 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.operators import distinct, heavy, quantiles
+from gneiss.operators import distinct, heavy, quantiles, sketches
 
 
 def frame(spark, values, kind="string"):
@@ -146,7 +148,7 @@ def test_weighted_sketches_merge(spark):
             whole = sum(w for _, w in mine)
             low, high = (sum(w for v, w in mine if v < r.quantile), sum(w for v, w in mine if v <= r.quantile))
             assert low <= (r.r / 10 + eps) * whole and high >= (r.r / 10 - eps) * whole
-    assert quantiles.sketch(df.where("w <= 0"), "v", eps, "w").where("sketch is not null and size(from_json(decode(sketch, 'UTF-8'), 'points array<double>').points) > 0").count() == 0
+    assert quantiles.sketch(df.where("w <= 0"), "v", eps, "w").count() == 0
 
 
 def test_summaries_of_heavy_values_merge(spark):
@@ -167,3 +169,149 @@ def test_summaries_of_heavy_values_merge(spark):
         heavy.summary_counts(heavy.summary_merge(both)).collect()
     with pytest.raises(ValueError):
         heavy.summary(df, "v", 0)
+
+
+def _rank_error(v, w, q, n):
+    """The largest distance of boundary r's true ranks from r / n, as a share of the weight."""
+    total, worst = w.sum(), 0.0
+    for r, x in enumerate(q):
+        below, upto, want = w[v < x].sum() / total, w[v <= x].sum() / total, r / n
+        worst = max(worst, below - want, want - upto)
+    return worst
+
+
+@pytest.mark.parametrize("eps", [0.05, 0.005])
+def test_streams_hold_their_error_and_size(eps):
+    rng = np.random.default_rng(1)
+    n = 300_000
+    for v, w in (
+        (np.arange(n, 0, -1.0), np.arange(n) + 1.0),  # values fall while weights grow
+        (rng.normal(size=n), rng.pareto(0.8, n) + 1e-3),
+        (np.sort(rng.integers(0, 50, n).astype(float)), np.ones(n)),
+        (rng.random(n), np.where(rng.random(n) < 1e-4, 1e6, 1e-6)),
+    ):
+        stream, held = sketches.Stream(eps), 0
+        for i in range(0, n, 7000):
+            stream.add(v[i : i + 7000], w[i : i + 7000])
+            held = max(held, stream.held)
+        whole = stream.result()
+        assert held <= stream.size * (len(stream.levels) + 4) + 7000
+        assert whole.error() <= eps
+        cut = whole.fit(2 * eps)
+        assert cut.error() <= 2 * eps + 1e-12 and len(cut) <= 2 / eps + 2
+        assert np.isclose(cut.total, w.sum())
+        for ranks, bound in ((whole, eps), (cut, 2 * eps)):
+            q, upto = ranks.quantiles(37)
+            assert _rank_error(v, w, q, 37) <= bound + 1e-9
+            assert q[-1] == v.max() and np.isclose(upto[-1], w.sum())
+
+
+def test_small_sketches_are_exact(spark):
+    rows = [(None, 1.0), (3.0, 2.0), (1.0, 1.0), (float("nan"), 9.0), (2.0, 0.0), (5.0, 4.0), (1.0, 1.0), (4.0, None), (7.0, -1.0)]
+    df = spark.createDataFrame(rows, "v double, w double")
+    got = [tuple(r) for r in quantiles.sketch_quantiles(quantiles.sketch(df, "v", 1e-5, "w"), 4).collect()]
+    assert sorted(got) == sorted(tuple(r) for r in quantiles.quantiles(df, "v", 4, "w").collect())
+    assert quantiles.sketch(df.limit(0), "v", 0.1).count() == 0
+    with pytest.raises(ValueError):
+        quantiles.sketch(df, "v", 0.0)
+    with pytest.raises(ValueError):
+        sketches.Ranks.from_bytes(b"no sketch at all")
+
+
+def test_sketches_merge_by_group_without_shuffling_values(spark):
+    rng = np.random.default_rng(2)
+    n, eps = 60_000, 0.01
+    g = np.where(rng.random(n) < 0.4, 0, rng.integers(1, 5, n))  # one group holds most rows
+    v, w = rng.normal(size=n) * (g + 1), rng.pareto(1.1, n) + 0.01
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "v": v, "w": w, "day": np.arange(n) % 9})).repartition(6)
+    df = df.withColumn("g", F.when(F.col("g") > 0, F.col("g")))  # null is a group
+    made = quantiles.sketch(df, "v", eps, "w", ["g", "day"])
+    for _ in range(3):  # merging doesn't use eps up
+        made = quantiles.sketch_merge(made, ["g", "day"])
+    merged = quantiles.sketch_merge(made.drop("day"), ["g"])
+    for out in (merged, quantiles.sketch_compact(merged, eps, ["g"]), quantiles.sketch(df, "v", eps, "w", ["g"])):
+        got = {}
+        for r in quantiles.sketch_quantiles(out, 20, ["g"]).collect():
+            got.setdefault(r.g or 0, []).append((r.r, r.quantile))
+        assert sorted(got) == [0, 1, 2, 3, 4]
+        for k, q in got.items():
+            assert _rank_error(v[g == k], w[g == k], [x for _, x in sorted(q)], 20) <= eps
+    plan = quantiles.sketch(df.drop("day"), "v", eps, "w", ["g"])._jdf.queryExecution().executedPlan().toString()
+    for line in plan.split("\n"):
+        assert "Exchange" not in line or "_salt" in line or "hashpartitioning(g" in line or "RoundRobin" in line
+    assert plan.index("_weight") > plan.index("_salt")  # values stand below the first shuffle only
+
+
+def test_sketches_of_several_columns(spark):
+    df = spark.range(1000).selectExpr("cast(id as double) as a", "1000.0 - id as b", "id + 1.0 as w")
+    got = quantiles.sketch_quantiles(quantiles.stream_sketches(df, ["a", "b"], 1e-4, "w"), 4, ["stream"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, quantiles.streams(df, ["a", "b"], 4, "w").collect()))
+
+
+def test_tasks_with_many_groups_give_out_early(spark, monkeypatch):
+    monkeypatch.setattr(sketches, "HELD", 500)
+    df = pd.DataFrame({"g": np.arange(6000) % 300, "v": np.arange(6000.0)})
+    out = []
+    batches = [pa.RecordBatch.from_pandas(df.iloc[i : i + 400].assign(_value=df.v, _weight=1.0)[["g", "_value", "_weight"]], preserve_index=False) for i in range(0, 6000, 400)]
+    for b in sketches.rank_sketches(["g"], 0.1)(iter(batches)):
+        out += zip(b.column("g").to_pylist(), b.column("sketch").to_pylist())
+    assert len(out) > 600
+    totals = {}
+    for g, s in out:
+        totals[g] = totals.get(g, 0) + sketches.Ranks.from_bytes(s)[0].total
+    assert totals == dict.fromkeys(range(300), 20.0)
+
+
+@pytest.mark.parametrize("k", [1, 3, 20])
+def test_counters_are_bounded(k):
+    rng = np.random.default_rng(k)
+    n = 50_000
+    g, v, w = rng.integers(0, 3, n), rng.zipf(1.3, n).clip(max=10_000).astype(str).astype(object), rng.pareto(1.0, n) + 0.01
+    t = pa.table({"g": g, "value": pa.array([x.encode() for x in v], pa.binary()), "count": w})
+    rows, sizes = {}, 0
+    for b in sketches.counter_rows(["g"], k)(iter(t.to_batches(max_chunksize=3000))):
+        for r in b.to_pylist():
+            rows[r["g"], r["value"]] = rows.get((r["g"], r["value"]), 0) + r["count"]
+            sizes += 1
+    assert sizes <= 3 * (k + 1)
+    for group in range(3):
+        true = pd.Series(w[g == group]).groupby(v[g == group]).sum()
+        delta = rows.get((group, None), 0.0)
+        assert delta <= true.sum() / (k + 1) + 1e-6
+        for x, total in true.items():
+            held = rows.get((group, x.encode()), 0.0)
+            assert held <= total + 1e-6 <= held + delta + 2e-6
+
+
+def test_summaries_by_group(spark):
+    rng = np.random.default_rng(7)
+    n, k = 40_000, 25
+    g = rng.integers(0, 4, n)
+    v, w = rng.zipf(1.4, n).clip(max=5000), rng.random(n)
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "v": v, "w": w})).withColumn("g", F.when(F.col("g") > 0, F.col("g"))).repartition(5)
+    whole = heavy.summary(df, "v", k, "w", ["g"])
+    days = heavy.summary_merge(heavy.summary(df.withColumn("d", F.col("v") % 3), "v", k, "w", ["g", "d"]).drop("d"), ["g"])
+    for out in (whole, days):
+        got = {}
+        for r in heavy.summary_counts(out, ["g"]).collect():
+            got.setdefault(r.g or 0, {})[int(r.value)] = (r["count"], r.delta)
+        for group in range(4):
+            true = pd.Series(w[g == group]).groupby(v[g == group]).sum()
+            assert len(got[group]) == k
+            for x, (count, delta) in got[group].items():
+                assert delta <= true.sum() / (k + 1) + 1e-6 and true[x] - 1e-6 <= count <= true[x] + delta + 1e-6
+            assert set(true[true > true.sum() / (k + 1)].index) <= set(got[group])
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange") < plan.index("MapInArrow") or plan.count("RoundRobin")  # only counters are shuffled by key
+
+
+def test_counters_that_tie_with_the_cut_stay(spark):
+    """Three counters: merged summaries give three values, whatever ties with the last one."""
+    parts = [["a"] * 3 + ["b"] * 2 + ["c", "d"], ["e"] * 3 + ["f"] * 2 + ["g", "h"], ["i"] * 2 + ["j", "k", "l"]]
+    sets = [heavy.summary(spark.createDataFrame([(x,) for x in p], "v string").coalesce(1), "v", 3) for p in parts]
+    merged = heavy.summary_merge(heavy.summary_merge(sets[0].unionAll(sets[1])).unionAll(sets[2]))
+    got = sorted((r.value, r["count"]) for r in heavy.summary_counts(merged).collect())
+    assert [x for _, x in got] == [5.0] * 3 and {"a", "e"} <= {v for v, _ in got}
+    tie = [heavy.summary(spark.createDataFrame([(x,) for x in p], "v string").coalesce(1), "v", 3) for p in ("aaaaabbbbbccccaaaa", "ddddaa")]
+    got = sorted((-r["count"], r.value) for r in heavy.summary_counts(heavy.summary_merge(tie[0].unionAll(tie[1]))).collect())
+    assert got[:2] == [(-11.0, "a"), (-5.0, "b")] and got[2] in ((-4.0, "c"), (-4.0, "d")) and len(got) == 3
