@@ -14,7 +14,7 @@ from gneiss.plans import features as feat
 from gneiss.plans.catalog import _LINES, _customers, _lines, _shared, query, table
 from gneiss.plans.features import Feature, FeatureSchema, Representation, SparseFeature
 from gneiss.plans.schema_text import parse_schema
-from gneiss.sources import csv, examples, records, tabular
+from gneiss.sources import csv, datasource, examples, records, tabular
 
 _TYPES = "case when column_type in ('BIGINT', 'INTEGER') then 'INT' when column_type in ('DOUBLE', 'FLOAT') then 'FLOAT' else 'BYTES' end"
 
@@ -395,3 +395,15 @@ def model_load_times(spark, d):
     spec = inference.ModelSpec("timed", (inference.Signature("regress", ("x",), {"output": "double"}),), inference.linear([1.0]))
     got = inference.load_seconds(table(spark, d, "supplier").select("s_suppkey"), spec)
     return got.select(((F.col("loads") >= 1) & (F.col("min") >= 0) & (F.col("sum") >= F.col("max"))).alias("loaded"))
+
+
+@query("select l_orderkey as order_key, cast(l_linenumber as bigint) as line, [encode(l_shipmode), encode(l_returnflag)] as marks from lineitem where l_shipmode in ('AIR', 'RAIL') and l_linenumber < 4")
+def record_source_format(spark, d):
+    """Example records written by the committing sink, and read by format with conditions given to the scan."""
+    marks = F.array(F.encode("l_shipmode", "UTF-8"), F.encode("l_returnflag", "UTF-8"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_shipmode").alias("mode"), marks.alias("marks"))
+    path = _shared(spark)
+    datasource.register(spark)
+    rows.write.format("record_examples").mode("append").save(path)
+    where = [("mode", "in", ["AIR", "RAIL"]), ("line", "<", 4)]
+    return datasource.read(spark, "examples", path, "order_key long, line long, mode string, marks array<binary>", where).drop("mode")

@@ -68,6 +68,30 @@ def _column_of(values: list, name: str, kind: str | None) -> pa.Array:
     return pa.array(out, pa.list_(_ARROW[kind])) if kind else pa.nulls(len(out))
 
 
+def list_columns(records: pa.Array, kinds: dict[str, str]) -> list[pa.Array]:
+    """A list column for each feature of a batch of example records."""
+    try:
+        return wire.columns(records, kinds)
+    except wire.Irregular:
+        parsed = [wire.parse_example(r, kinds) for r in records.to_pylist()]
+        return [_column_of([p.get(n) for p in parsed], n, k) for n, k in kinds.items()]
+
+
+def sequence_columns(records: list[bytes], context: dict[str, str], steps: dict[str, str]) -> tuple[list[pa.Array], pa.Array | None]:
+    """A list column for each context feature of a batch of sequence-example records, and the struct of the others."""
+    parsed = [wire.parse_sequence(r, context, steps) for r in records]
+    made = [_column_of([c.get(n) for c, _ in parsed], n, k) for n, k in context.items()]
+    parts = []
+    for n, k in steps.items():
+        lists = []
+        for _, s in parsed:
+            if any(kind is not None and kind != k for kind, _ in s.get(n) or ()):
+                raise ValueError(f"feature {n}: values of another kind where {k} was expected")
+            lists.append([v for _, v in s[n]] if n in s else None)
+        parts.append(pa.array(lists, pa.list_(pa.list_(_ARROW[k]))))
+    return made, pa.StructArray.from_arrays(parts, list(steps)) if steps else None
+
+
 def decode_examples(records: DataFrame, column: str, schema: FeatureSchema | dict | None = None, raw_record: str | None = None, keep: list[str] = ()) -> DataFrame:
     """One list column for each feature of the schema, in its order; without a schema, of all features found.
 
@@ -90,11 +114,7 @@ def decode_examples(records: DataFrame, column: str, schema: FeatureSchema | dic
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             record = b.column(n_keep)
-            try:
-                made = wire.columns(record, typed)
-            except wire.Irregular:
-                parsed = [wire.parse_example(r, typed) for r in record.to_pylist()]
-                made = [_column_of([p.get(n) for p in parsed], n, k) for n, k in typed.items()]
+            made = list_columns(record, typed)
             cols = [b.column(i) for i in range(n_keep)] + made
             if raw_record:
                 cols.append(pa.ListArray.from_arrays(pa.array(range(len(record) + 1), pa.int32()), record))
@@ -152,20 +172,12 @@ def decode_sequences(records: DataFrame, column: str, context: dict | FeatureSch
     def run(batches):
         for b in batches:
             raw = b.column(n_keep).to_pylist()
-            parsed = [wire.parse_sequence(r, typed, typed_steps) for r in raw]
-            cols = [b.column(i) for i in range(n_keep)] + [_column_of([c.get(n) for c, _ in parsed], n, k) for n, k in typed.items()]
+            made, held = sequence_columns(raw, typed, typed_steps)
+            cols = [b.column(i) for i in range(n_keep)] + made
             if raw_record:
                 cols.append(pa.array([[r] for r in raw], pa.list_(pa.binary())))
-            if typed_steps:
-                parts = []
-                for n, k in typed_steps.items():
-                    lists = []
-                    for _, s in parsed:
-                        if any(kind is not None and kind != k for kind, _ in s.get(n) or ()):
-                            raise ValueError(f"feature {n}: values of another kind where {k} was expected")
-                        lists.append([v for _, v in s[n]] if n in s else None)
-                    parts.append(pa.array(lists, pa.list_(pa.list_(_ARROW[k]))))
-                cols.append(pa.StructArray.from_arrays(parts, list(typed_steps)))
+            if held is not None:
+                cols.append(held)
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
     out = records.select(*keep, column).mapInArrow(run, T.StructType(fields))
@@ -252,6 +264,16 @@ def encode_examples(df: DataFrame, record: str = "record", partitions: dict[str,
     return df.select(*keep, *typed).mapInArrow(run, schema)
 
 
+def sequence_bytes(columns: list[pa.Array], names: list[str], kinds: dict[str, str], inner: dict[str, str]) -> list[bytes]:
+    """Sequence-example records of context columns and, as the last column, the struct of lists of lists."""
+    out = []
+    for *context, steps in zip(*[c.to_pylist() for c in columns]):
+        c = {n: (kinds[n] if v is not None else None, v) for n, v in zip(names, context)}
+        s = {n: [(inner[n] if x is not None else None, x) for x in v] for n, v in (steps or {}).items() if v is not None}
+        out.append(wire.build_sequence(c, s))
+    return out
+
+
 def encode_sequences(df: DataFrame, sequence: str = SEQUENCE, record: str = "record", keep: list[str] = ()) -> DataFrame:
     """Sequence-example records of context list columns and a struct of lists of lists."""
     columns = [c for c in df.columns if c not in keep and c != sequence]
@@ -261,12 +283,7 @@ def encode_sequences(df: DataFrame, sequence: str = SEQUENCE, record: str = "rec
 
     def run(batches):
         for b in batches:
-            rows = zip(*[b.column(n_keep + i).to_pylist() for i in range(len(columns) + 1)])
-            out = []
-            for *context, steps in rows:
-                c = {n: (kinds[n] if v is not None else None, v) for n, v in zip(columns, context)}
-                s = {n: [(inner[n] if x is not None else None, x) for x in v] for n, v in (steps or {}).items() if v is not None}
-                out.append(wire.build_sequence(c, s))
+            out = sequence_bytes([b.column(n_keep + i) for i in range(len(columns) + 1)], columns, kinds, inner)
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n_keep)], pa.array(out, pa.binary())], [*keep, record])
 
     return df.select(*keep, *columns, sequence).mapInArrow(run, T.StructType([*[df.schema[k] for k in keep], T.StructField(record, T.BinaryType())]))
