@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import bounded_batches
-from .text import LOWER, chunks, lean, prefix_sums, range_hash, utf8, words
+from .text import LONG, LOWER, chunks, digests, lean, prefix_sums, range_hash, utf8, words
 
 PASSAGE = 512
 MAX_TRAIN = 6000
@@ -69,6 +69,8 @@ def _passages(x: np.ndarray, buf: np.ndarray, cuts: np.ndarray) -> None:
     starts, ends, p = words(low, cuts)
     if len(starts):
         h = range_hash(prefix_sums(low), starts, ends)
+        long = np.flatnonzero(ends - starts > LONG)
+        h[long] = digests(low, starts[long], ends[long])
         many = np.maximum(1, np.bincount(p, minlength=n))
         x[:, c] = np.bincount(p, ends - starts, n) / many / 10
         twice = np.zeros(len(h), bool)
@@ -83,9 +85,14 @@ def _passages(x: np.ndarray, buf: np.ndarray, cuts: np.ndarray) -> None:
 def _line_hashes(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hashes of the lines [a, b), in ascending order, some SLICE bytes of them at a time."""
     h = np.empty(len(a), np.uint64)
-    long = b - a > SLICE // 8
-    for i in np.flatnonzero(long):
-        h[i] = int.from_bytes(hashlib.blake2b(LOWER[buf[a[i] : b[i]]], digest_size=8).digest(), "little")
+    long = b - a > LONG
+    at = np.flatnonzero(long)
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(a[at], a[at[lo]] + SLICE)))
+        start = a[at[lo]]
+        h[at[lo:hi]] = digests(LOWER[buf[start : b[at[hi - 1]]]], a[at[lo:hi]] - start, b[at[lo:hi]] - start)
+        lo = hi
     short = np.flatnonzero(~long)
     i = 0
     while i < len(short):

@@ -16,6 +16,7 @@ import pyarrow as pa
 SPACE_BYTES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
 
 SLICE = 1 << 20  # bytes of a long text that are handled at a time
+LONG = 256  # bytes up to which the polynomial hash is used: modulo 2**64, some patterned texts of a kilobyte collide
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POWERS: dict[str, np.ndarray] = {}
@@ -128,6 +129,13 @@ def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD):
     return starts, ends, rows
 
 
+def digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of long byte ranges, one by one."""
+    raw = memoryview(np.ascontiguousarray(buf))
+    parts = (hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist()))
+    return np.frombuffer(b"".join(parts), "<u8")
+
+
 def _word_end(buf: np.ndarray, at: int, table: np.ndarray, step: int) -> int:
     """Where the word that reaches `at` ends."""
     while at < len(buf):
@@ -142,7 +150,7 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD,
     """Hash and row of each lower-cased (A-Z) word.
 
     A longer buffer (of one long text) is handled in slices that end between words, so beside the result memory holds
-    one slice. Words of more than limit / 2 bytes are hashed apart, wherever they stand.
+    one slice. Words of more than LONG bytes are hashed apart, wherever they stand.
     """
     hashes, rows, a = [], [], 0
     while a < len(buf):
@@ -154,13 +162,9 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD,
         i, j = np.searchsorted(offsets, [a, b], "right")
         cuts = np.concatenate([[0], offsets[i:j] - a, [b - a]])
         starts, ends, row = words(low, cuts, table)
-        long = np.flatnonzero(ends - starts > limit // 2)
-        if len(long) == 1 and len(starts) == 1:
-            h = np.zeros(1, np.uint64)
-        else:
-            h = range_hash(prefix_sums(low), starts, ends)
-        for k in long:
-            h[k] = int.from_bytes(hashlib.blake2b(low[starts[k] : ends[k]], digest_size=8).digest(), "little")
+        long = np.flatnonzero(ends - starts > LONG)
+        h = np.zeros(1, np.uint64) if len(long) == len(starts) == 1 else range_hash(prefix_sums(low), starts, ends)
+        h[long] = digests(low, starts[long], ends[long])
         hashes.append(h)
         rows.append(row + i - 1)
         a = b

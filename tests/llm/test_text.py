@@ -51,3 +51,28 @@ def test_memory_for_each_byte_of_a_long_text():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 16 * n + (120 << 20), (name, peak / n)
+
+
+def thue_morse(n):
+    """Two words of n letters whose difference vanishes under polynomial hashes modulo powers of two."""
+    w = [0]
+    while len(w) < n:
+        w += [1 - b for b in w]
+    return "".join("ab"[b] for b in w[:n]), "".join("ba"[b] for b in w[:n])
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_patterned_words_are_told_apart(n):
+    a, b = thue_morse(n)
+    buf, offsets = packed([a, b])
+    for table in (text.WORD, text.ALNUM):
+        assert len(set(text.word_hashes(buf, offsets, table)[0].tolist())) == 2
+    assert len(set(quality._line_hashes(buf, offsets[:-1], offsets[1:]).tolist())) == 2
+
+
+def test_patterned_words_in_operators(spark):
+    a, b = thue_morse(2048)
+    df = spark.createDataFrame([(1, f"{a} one two three"), (2, f"{b} one two three"), (3, f"{a} {a} {b} three")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join(df, k=3, percent=90).collect()} == {1: 1, 2: 2, 3: 3}
+    bases = {r.doc_id: r.base_score for r in lm.score(df).collect()}
+    assert bases[1] == bases[2] != bases[3]
