@@ -397,13 +397,13 @@ def model_load_times(spark, d):
     return got.select(((F.col("loads") >= 1) & (F.col("min") >= 0) & (F.col("sum") >= F.col("max"))).alias("loaded"))
 
 
-@query("select l_orderkey as order_key, cast(l_linenumber as bigint) as line, [encode(l_shipmode), encode(l_returnflag)] as marks from lineitem where l_shipmode in ('AIR', 'RAIL') and l_linenumber < 4")
+@query("select l_orderkey as order_key, cast(l_linenumber as bigint) as line, [encode(l_returnflag), encode(l_linestatus)] as marks from lineitem where l_returnflag in ('A', 'R') and l_linenumber < 4")
 def record_source_format(spark, d):
     """Example records written by the committing sink, and read by format with conditions given to the scan."""
-    marks = F.array(F.encode("l_shipmode", "UTF-8"), F.encode("l_returnflag", "UTF-8"))
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_shipmode").alias("mode"), marks.alias("marks"))
+    marks = F.array(F.encode("l_returnflag", "UTF-8"), F.encode("l_linestatus", "UTF-8"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_returnflag").alias("mode"), marks.alias("marks"))
     path = _shared(spark)
     datasource.register(spark)
     rows.write.format("record_examples").mode("append").save(path)
-    where = [("mode", "in", ["AIR", "RAIL"]), ("line", "<", 4)]
+    where = [("mode", "in", ["A", "R"]), ("line", "<", 4)]
     return datasource.read(spark, "examples", path, "order_key long, line long, mode string, marks array<binary>", where).drop("mode")
