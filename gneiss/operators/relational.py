@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -141,24 +142,30 @@ def batch_weight(size: Column) -> Column:
     return F.greatest(size.cast("long"), F.lit(-(-BYTE_TARGET // MOST_ROWS)).cast("long"))
 
 
-def range_bases(df: DataFrame, order: str, amount: Column) -> DataFrame:
+def range_bases(df: DataFrame, order: str, amount: Column, width: int = 0) -> DataFrame:
     """(_b, _base): for each range of 2**16 whole numbers that `order` falls in, the sum of amount over all smaller ranges.
+    An amount may be a list of `width` numbers; then so is the sum.
 
     Sums go up a tree of ranges of 2**16, 2**32 and 2**48 numbers and come down again. A node has 2**16 children at most,
     so no window is larger, however sparse the numbers are; the top has no parent, and as few rows.
     """
     at = lambda bits: F.shiftright(F.col(order).cast("long"), bits)
-    one = df.groupBy(at(48).alias("_d"), at(32).alias("_c"), at(16).alias("_b")).agg(F.sum(amount).alias("n"))
-    two = one.groupBy("_d", "_c").agg(F.sum("n").alias("n"))
-    top = two.groupBy("_d").agg(F.sum("n").alias("n"))
+    parts = [f"n{i}" for i in range(max(1, width))]
+    rows = df.select(at(48).alias("_d"), at(32).alias("_c"), at(16).alias("_b"), *((F.get(amount, i) if width else amount).alias(n) for i, n in enumerate(parts)))
+    sums = [F.sum(n).alias(n) for n in parts]
+    one = rows.groupBy("_d", "_c", "_b").agg(*sums)
+    two = one.groupBy("_d", "_c").agg(*sums)
+    top = two.groupBy("_d").agg(*sums)
 
     def before(keys, child):
         w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(child).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("n").over(w), F.lit(0))
+        return [F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"here_{n}") for n in parts]
 
-    top = top.select("_d", before([], "_d").alias("base"))
-    two = two.withColumn("here", before(["_d"], "_c")).join(F.broadcast(top), "_d").select("_d", "_c", (F.col("here") + F.col("base")).alias("base"))
-    return one.withColumn("here", before(["_d", "_c"], "_b")).join(two, ["_d", "_c"]).select("_b", (F.col("here") + F.col("base")).alias("_base"))
+    added = lambda: [(F.col(f"here_{n}") + F.col(f"base_{n}")).alias(f"base_{n}") for n in parts]
+    top = top.select("_d", *before([], "_d")).withColumnsRenamed({f"here_{n}": f"base_{n}" for n in parts})
+    two = two.select("_d", "_c", *before(["_d"], "_c")).join(F.broadcast(top), "_d").select("_d", "_c", *added())
+    whole = one.select("_d", "_c", "_b", *before(["_d", "_c"], "_b")).join(two, ["_d", "_c"]).select("_b", *added())
+    return whole.select("_b", (F.array(*(f"base_{n}" for n in parts)) if width else F.col("base_n0")).alias("_base"))
 
 
 def batch_ids(df: DataFrame, order: str, size: int, bucket: Column | None = None) -> DataFrame:
@@ -182,23 +189,72 @@ def batch_ids(df: DataFrame, order: str, size: int, bucket: Column | None = None
     return df.join(first, "_b").withColumn("batch_id", F.floor(number / size).cast("long")).drop("_b", "_base")
 
 
-def record_batches(df: DataFrame, batch_size: int, drop_final: bool = False, epochs: int | None = 1, shuffle: bool = False, seed: int | None = None) -> Iterator[list]:
+def epoch_order(df: DataFrame, seed: int, epoch: int = 0, key: list[str] | None = None) -> list[Column]:
+    """What to order rows by for an epoch: a hash of their key (all columns, if none is named), seed and epoch, then the key.
+
+    It depends on the rows alone, so partitions, retries and machines don't change the order; rows that repeat a key are alike.
+    """
+    key = [F.col(f"`{c}`") for c in (key or df.columns)]
+    return [F.xxhash64(F.lit(seed).cast("long"), F.lit(epoch).cast("long"), *key), *key]
+
+
+def epoch_batches(
+    df: DataFrame, batch_size: int, epochs: int = 1, seed: int | None = None, key: list[str] | None = None, drop_final: bool = False, first_batch: int = 0
+) -> DataFrame:
+    """Df with (epoch, position, batch_id): the rows of some epochs, each in a new order, cut into batches of batch_size.
+
+    Epochs follow one another before they are cut, so a batch may reach from one into the next; the last one is short
+    unless drop_final. Without a seed, epochs are ordered by the key as it is. Rows are numbered from sums over ranges of the
+    hash, without bringing them into one task. Batches before first_batch are left out: given the same rows and seed, a job that was
+    stopped goes on where it was.
+    """
+    if batch_size < 1:
+        raise ValueError("a batch holds one row at least")
+    n = df.count()
+    each = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))) if epochs > 0 else df.limit(0).withColumn("epoch", F.lit(0))
+    columns = key or df.columns
+    names = [F.col(f"`{c}`") for c in columns]
+    if seed is None:
+        if len(columns) > 1 or not isinstance(df.schema[columns[0]].dataType, T.IntegralType):
+            raise ValueError("without a seed the key must be one column of whole numbers")
+        each, rank = each.withColumn("_at", names[0].cast("long")), [F.col("_at")]
+    else:
+        hashed = F.xxhash64(F.lit(seed).cast("long"), F.col("epoch").cast("long"), *names)
+        # few rows share a hash's upper bits, so ranges of them stay small however many rows there are
+        each, rank = each.withColumn("_at", F.shiftright(hashed, 20)), [hashed, *names]
+    counts = range_bases(each, "_at", F.transform(F.sequence(F.lit(0), F.lit(max(0, epochs - 1))), lambda e: (e == F.col("epoch")).cast("long")), max(1, epochs))
+    inside = Window.partitionBy("_b", "epoch").orderBy(*rank)
+    numbered = each.withColumn("_b", F.shiftright("_at", 16)).withColumn("_i", F.row_number().over(inside) - 1).join(counts, "_b")
+    position = (F.get("_base", F.col("epoch")) + F.col("_i")).cast("long")
+    out = numbered.withColumn("position", position).withColumn("batch_id", F.floor((F.col("epoch").cast("long") * n + F.col("position")) / batch_size).cast("long"))
+    whole = n * epochs // batch_size
+    out = out.where((F.col("batch_id") >= first_batch) & (F.col("batch_id") < whole)) if drop_final else out.where(F.col("batch_id") >= first_batch)
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), "epoch", "position", "batch_id")
+
+
+def record_batches(
+    df: DataFrame, batch_size: int, drop_final: bool = False, epochs: int | None = 1, shuffle: bool = False, seed: int | None = None, key: list[str] | None = None
+) -> Iterator[list]:
     """Batches of rows for a local consumer, fetched partition by partition; epochs=None goes on for ever.
 
-    As long as it repeats for ever, the last short batch is dropped; shuffling draws a new order for each epoch.
+    Epochs follow one another before they are cut into batches. As long as it repeats for ever, the last short batch is
+    dropped; shuffling draws a new order for each epoch, the same one for the same seed (see epoch_order()).
     """
-    epoch = 0
+    if shuffle and seed is None:
+        seed = random.getrandbits(62)
+    epoch, held = 0, []
     while epochs is None or epoch < epochs:
-        rows = df.orderBy(F.rand(seed + epoch if seed is not None else None)) if shuffle else df
-        held: list = []
+        rows = df.orderBy(*epoch_order(df, seed, epoch, key)) if shuffle else df
         for r in rows.toLocalIterator():
             held.append(r)
             if len(held) == batch_size:
                 yield held
                 held = []
-        if held and not drop_final and epochs is not None:
-            yield held
         epoch += 1
+        if epochs is None and epoch == 1 and not held and df.isEmpty():
+            return
+    if held and not drop_final:
+        yield held
 
 
 def labelled_batches(df: DataFrame, label: str | None, **options) -> Iterator:

@@ -20,12 +20,33 @@ def _agreed(c: str, zero, what: str) -> Column:
     return F.when(F.min(known) != F.max(known), F.raise_error(F.concat(F.lit(f"shards disagree on {what}: "), F.min(known).cast("string"), F.lit(" and "), F.max(known).cast("string")))).otherwise(F.coalesce(F.max(known), F.lit(zero)))
 
 
-def merge_statistics(shards: DataFrame, sums: list[str] = (), lists: list[str] = (), last: list[str] = (), order: str | None = None) -> DataFrame:
+def _field(name: str):
+    return lambda x: x[name]
+
+
+def folded(found: Column, kind: T.DataType) -> Column:
+    """M3: one value out of a list of values of a type, as messages merge: repeated fields are joined in order, the fields of
+    structs are folded one by one, of map entries and other values the last one that is set stays."""
+    known = F.filter(found, lambda x: x.isNotNull())
+    if isinstance(kind, T.ArrayType):
+        return F.when(F.size(known) > 0, F.flatten(known))
+    if isinstance(kind, T.StructType):
+        fields = [folded(F.transform(known, _field(f.name)), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(F.size(known) > 0, F.struct(*fields))
+    if isinstance(kind, T.MapType):
+        start = F.create_map().cast(kind)
+        whole = F.aggregate(known, start, lambda a, x: F.map_zip_with(a, x, lambda _, old, new: F.coalesce(new, old)))
+        return F.when(F.size(known) > 0, whole)
+    return F.try_element_at(known, F.lit(-1))
+
+
+def merge_statistics(shards: DataFrame, sums: list[str] = (), lists: list[str] = (), last: list[str] = (), order: str | None = None, payloads: list[str] = ()) -> DataFrame:
     """M1, M3: one row for each slice and feature.
 
     num_examples and weighted_num_examples must be equal or zero, type equal or INT, stats_kind equal or unset, derived
     equal. Columns in `lists` (arrays, custom among them) are joined in shard order, those in `last` are taken from the
-    last shard that has them; those in `sums` are added up, for payloads that count.
+    last shard that has them; those in `sums` are added up, for payloads that count. Columns in `payloads` are nested
+    messages of any shape (histograms, custom statistics): they are folded by their type, see folded(), in shard order.
     """
     have = set(shards.columns)
     agg = [_agreed(c, z, what).alias(c) for c, z, what in (("num_examples", 0, "num_examples"), ("weighted_num_examples", 0.0, "weighted_num_examples"), ("type", "INT", "type"), ("stats_kind", "", "statistics kind")) if c in have]
@@ -35,6 +56,9 @@ def merge_statistics(shards: DataFrame, sums: list[str] = (), lists: list[str] =
     agg += [F.sum(c).alias(c) for c in sums]
     agg += [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("o"), F.col(c).alias("x")))), lambda s: F.coalesce(s["x"], F.array().cast(shards.schema[c].dataType)))).alias(c) for c in lists]
     agg += [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in last]
+    before = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)  # noqa: E731  payloads may hold maps, which have no order
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(at.alias("o"), F.col(c).alias("x"))), before), lambda s: s["x"])
+    agg += [folded(ordered(c), shards.schema[c].dataType).alias(c) for c in payloads]
     return shards.groupBy(*[k for k in KEY if k in have]).agg(*agg)
 
 

@@ -98,6 +98,49 @@ def row_splits(df: DataFrame, column: str, order: str) -> DataFrame:
     return rows.join(range_bases(rows, "order", F.col("n")), "_b").select("order", (F.col("_base") + F.sum("n").over(inside)).cast("long").alias("split"))
 
 
+def nested_row_splits(df: DataFrame, column: str | Column, order: str, uniform: int = 0) -> DataFrame:
+    """(level, number, split) of a nested list column: where list `number` of a level ends among the elements of the
+    next one, over all rows in order; a row of 0 before the first (number 0) is left out.
+
+    The innermost `uniform` levels are of fixed size and have no splits: their elements are the inner shape. What a row adds
+    to all levels is summed in one pass over ranges of the order (see range_bases); inside a row, lists are numbered by their place.
+    A null list is an empty one.
+    """
+    values = F.col(column) if isinstance(column, str) else column
+    flat = df.select(F.col(order).alias("_row"), values.alias("_v"))
+    levels = arrays.depth(flat.schema["_v"].dataType) - uniform
+    if levels < 1:
+        raise TypeError("no ragged level is left")
+    # sizes of the lists of each level, in order, and from them the numbers of elements of a row
+    sizes, lists = [], F.array("_v")
+    for i in range(levels):
+        held = F.filter(lists, lambda x: x.isNotNull()) if i else lists
+        sizes.append(F.transform(lists, lambda x: F.coalesce(F.size(x), F.lit(0)).cast("long")).alias(f"_s{i}"))
+        lists = F.flatten(F.filter(held, lambda x: x.isNotNull()))
+    sized = flat.select("_row", F.shiftright(F.col("_row").cast("long"), 16).alias("_b"), *sizes)
+    total = lambda i: F.aggregate(f"_s{i}", F.lit(0).cast("long"), lambda a, x: a + x)
+    sized = sized.select("_row", "_b", *(f"_s{i}" for i in range(levels)), *(total(i).alias(f"_n{i}") for i in range(levels)))
+    amounts = [F.lit(1).cast("long"), *(F.col(f"_n{i}") for i in range(levels))]
+    bases = range_bases(sized, "_row", F.array(*amounts), len(amounts))
+    inside = Window.partitionBy("_b").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    before = [(F.coalesce(F.sum(a).over(inside), F.lit(0)) + F.get("_base", i)).alias(f"_a{i}") for i, a in enumerate(amounts)]
+    placed = sized.join(bases, "_b").select("_row", *(f"_s{i}" for i in range(levels)), *before)
+    each = F.array(*(F.struct(F.lit(i).alias("level"), F.col(f"_s{i}").alias("sizes"), F.col(f"_a{i}").alias("number"), F.col(f"_a{i + 1}").alias("start")) for i in range(levels)))
+    rows = placed.select("_row", F.explode(each).alias("x")).select("_row", "x.*").select("_row", "level", "number", "start", F.posexplode("sizes").alias("i", "size"))
+    upto = Window.partitionBy("_row", "level").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select("level", (F.col("number") + F.col("i") + 1).alias("number"), (F.col("start") + F.sum("size").over(upto)).alias("split"))
+
+
+def ragged_splits(df: DataFrame, r: Representation, order: str) -> tuple[DataFrame, list[int]]:
+    """nested_row_splits() of a representation, and the inner shape that its innermost uniform partitions give."""
+    inner = []
+    for kind, arg in reversed(r.partitions):
+        if kind != "uniform":
+            break
+        inner.insert(0, arg)
+    return nested_row_splits(df, ragged(df, r), order, len(inner)), inner
+
+
 def to_tensor(df: DataFrame, name: str, r: Representation) -> Column:
     """The column of one tensor; what goes wrong names the tensor."""
     try:

@@ -5,11 +5,12 @@ SQL about schemas reads them from the tables themselves (`describe`), so both si
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gneiss.functions import arrays as A
-from gneiss.operators import inference, paths, profile as prof, relational, stats, tensors
+from gneiss.operators import batching, inference, paths, profile as prof, relational, stats, tensors
 from gneiss.plans import features as feat
 from gneiss.plans.catalog import _LINES, _customers, _lines, _shared, query, table
 from gneiss.plans.features import Feature, FeatureSchema, Representation, SparseFeature
@@ -407,3 +408,85 @@ def record_source_format(spark, d):
     rows.write.format("record_examples").mode("append").save(path)
     where = [("mode", "in", ["A", "R"]), ("line", "<", 4)]
     return datasource.read(spark, "examples", path, "order_key long, line long, mode string, marks array<binary>", where).drop("mode")
+
+
+# ---- batches, epochs, nested tensors and payloads ---------------------------------------------------------------
+
+
+@query(
+    """
+with recursive p as (select doc_id, coalesce(octet_length(encode(text)), 0)::bigint as w, sum(coalesce(octet_length(encode(text)), 0)) over (order by doc_id)::bigint as upto from documents),
+b(n, s) as (select 0::bigint, 0::bigint union all
+            select n + 1, e from (select n, (select min(upto) from p where upto >= s + 50000) as e from b) where e is not null)
+select p.doc_id, (select max(n) from b where b.s <= p.upto - p.w and (b.s < p.upto or b.n = (select min(n) from b c where c.s = b.s))) as batch_id from p
+"""
+)
+def batch_ids_by_bytes(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return batching.batch_ids_by_bytes(docs, "doc_id", F.octet_length("text"), 50_000, weigh=False).drop("text")
+
+
+@query(
+    """
+with n as (select count(*) as n from orders), e as (select unnest(range(3)) as epoch)
+select epoch::int as epoch, n as n_rows, n as n_keys, 0::bigint as first_position, n - 1 as last_position, ((epoch + 1) * n - 1) // 100 as last_batch, 0::bigint as moved, true as reordered from n, e
+"""
+)
+def epoch_batches(spark, d):
+    """Each epoch is a permutation of all rows, in an order of its own that partitions don't change."""
+    o = table(spark, d, "orders").select("o_orderkey")
+    made = [relational.epoch_batches(o.repartition(p), 100, 3, 17, ["o_orderkey"]) for p in (4, 16)]
+    both = made[0].join(made[1].withColumnRenamed("position", "other").drop("batch_id"), ["o_orderkey", "epoch"], "full")
+    before = Window.partitionBy("o_orderkey").orderBy("epoch")
+    both = both.withColumn("changed", F.col("position") != F.lag("position", 1, -1).over(before))
+    return both.groupBy("epoch").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_orderkey").alias("n_keys"), F.min("position").alias("first_position"), F.max("position").alias("last_position"),
+        F.max("batch_id").alias("last_batch"), F.count_if(~F.col("position").eqNullSafe(F.col("other"))).alias("moved"), (F.count_if("changed") > F.count(F.lit(1)) * 0.9).alias("reordered"),
+    )
+
+
+_NESTED = """
+with c as (select c_nationkey as nation, c_custkey as cust, (select count(*) from orders where o_custkey = c_custkey) as n from customer),
+o as (select c_nationkey as nation, c_custkey as cust, o_orderkey as ord, (select count(*) from lineitem where l_orderkey = o_orderkey) as n from customer join orders on o_custkey = c_custkey),
+n as (select n_nationkey as nation, (select count(*) from customer where c_nationkey = n_nationkey) as n from nation)
+select 0 as level, row_number() over (order by nation) as number, sum(n) over (order by nation)::bigint as split from n
+union all select 1, row_number() over (order by nation, cust), sum(n) over (order by nation, cust)::bigint from c
+union all select 2, row_number() over (order by nation, cust, ord), sum(n) over (order by nation, cust, ord)::bigint from o
+"""
+
+
+@query(_NESTED)
+def ragged_row_splits_three_levels(spark, d):
+    """Nations' customers, their orders, and the orders' lines, each line a pair: three ragged levels and a uniform one."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.array("l_quantity", "l_extendedprice")).alias("lines"))
+    o = table(spark, d, "orders").join(lines, "o_orderkey", "left").select("o_custkey", "o_orderkey", "lines")
+    nest = lambda df, by, key, what: df.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.coalesce(what, F.array().cast(df.schema[what].dataType)).alias("x")))), lambda s: s["x"]).alias("x"))
+    orders = nest(o, "o_custkey", "o_orderkey", "lines").withColumnRenamed("o_custkey", "c_custkey")
+    customers = nest(table(spark, d, "customer").select("c_custkey", "c_nationkey").join(orders, "c_custkey", "left"), "c_nationkey", "c_custkey", "x")
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("c_nationkey")).join(customers.withColumn("c_nationkey", F.col("c_nationkey").cast("long")), "c_nationkey", "left")
+    return tensors.nested_row_splits(nations, "x", "c_nationkey", uniform=1)
+
+
+@query(
+    """
+with h as (select l_returnflag, year(l_shipdate) as y, l_linenumber as low, count(*) as n from lineitem group by all),
+s as (select l_returnflag, y, sum(n)::bigint as n from h group by all)
+select l_returnflag as feature_id, arg_max(s.n, s.y) as last_n,
+       (select list(low::bigint order by y, low) from h where h.l_returnflag = s.l_returnflag) as low, (select list(n::bigint order by y, low) from h where h.l_returnflag = s.l_returnflag) as n,
+       list(y::double order by y) as years, max(y) filter (where y % 2 = 0)::double as even
+from s group by l_returnflag
+"""
+)
+def merge_nested_payloads(spark, d):
+    """Statistics of each year as nested messages, folded: histograms and custom statistics joined, other fields from the last year that has them."""
+    rows = table(spark, d, "lineitem").withColumn("y", F.year("l_shipdate"))
+    bars = rows.groupBy("l_returnflag", "y", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+    hist = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").cast("long").alias("low"), "n")))
+    shards = bars.groupBy(F.col("l_returnflag").alias("feature_id"), "y").agg(F.sum("n").alias("n"), hist.alias("hist"))
+    shards = shards.select(
+        "feature_id", "y", F.struct(F.struct("n", "hist").alias("common"), F.when(F.col("y") % 2 == 0, F.col("y").cast("double")).alias("even")).alias("payload"),
+        F.array(F.struct(F.lit("year").alias("name"), F.col("y").cast("double").alias("num"))).alias("custom"),
+    )
+    merged = stats.merge_statistics(shards, payloads=["payload", "custom"], order="y")
+    hist = F.col("payload.common.hist")
+    return merged.select("feature_id", F.col("payload.common.n").alias("last_n"), hist["low"].alias("low"), hist["n"].alias("n"), F.col("custom")["num"].alias("years"), F.col("payload.even").alias("even"))
