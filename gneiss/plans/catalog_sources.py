@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from gneiss.functions import arrays as A
 from gneiss.operators import batching, inference, paths, profile as prof, relational, stats, tensors
 from gneiss.plans import features as feat
+from gneiss.plans import schema_binary
 from gneiss.plans.catalog import _LINES, _customers, _lines, _shared, query, table
 from gneiss.plans.features import Feature, FeatureSchema, Representation, SparseFeature
 from gneiss.plans.schema_text import parse_schema
@@ -149,6 +150,14 @@ def project_by_schema_text(spark, d):
     return out.select("l_orderkey", F.transform("quantity", lambda x: x.cast("double")).alias("quantity"))
 
 
+@query("select [l_orderkey] as l_orderkey, [case when l_linenumber <> 2 then l_quantity else -1 end] as quantity from lineitem")
+def project_by_schema_binary(spark, d):
+    """The same schema as serialised bytes."""
+    schema = schema_binary.parse_schema(schema_binary.format_schema(parse_schema(_SCHEMA_TEXT)))
+    out = tabular.Examples(lambda s: _line_records(s, d), schema).project(["quantity", "l_orderkey"]).tensors(spark)
+    return out.select("l_orderkey", F.transform("quantity", lambda x: x.cast("double")).alias("quantity"))
+
+
 @query("select [l_orderkey] as l_orderkey, l_quantity from lineitem where l_linenumber <> 2 union all select [l_orderkey], -1 from lineitem where l_linenumber = 2")
 def project_legacy_tensors(spark, d):
     """A schema that asks for the older rules: value counts make the shapes, and missing values get defaults."""

@@ -6,6 +6,7 @@ Fields that the engine makes no use of (domains, annotations, environments, ..)
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from gneiss.plans.features import Feature, FeatureSchema, Representation, SparseFeature
 
@@ -150,7 +151,11 @@ def _representation(m: dict) -> Representation:
 
 def parse_schema(text: str) -> FeatureSchema:
     """A schema message in text form. `generate_legacy_feature_spec` asks for the older inference of tensors."""
-    m = parse_text(text)
+    return schema_of(parse_text(text))
+
+
+def schema_of(m: dict[str, list]) -> FeatureSchema:
+    """The schema that a message holds, however it was written."""
     sparse = []
     for s in m.get("sparse_feature", ()):
         names = tuple(_text(i, "name") for i in s.get("index_feature", ()))
@@ -159,7 +164,10 @@ def parse_schema(text: str) -> FeatureSchema:
     for g in m.get("tensor_representation_group", ()):
         held = _one(g, "value", {}).get("tensor_representation", ())
         groups[_text(g, "key")] = {_text(t, "key"): _representation(_one(t, "value", {})) for t in held}
-    return FeatureSchema(tuple(_feature(f) for f in m.get("feature", ())), tuple(sparse), groups, bool(_one(m, "generate_legacy_feature_spec", False)))
+    features = [_feature(f) for f in m.get("feature", ())]
+    if _one(m, "represent_variable_length_as_ragged", False):
+        features = [replace(f, ragged=True) for f in features]
+    return FeatureSchema(tuple(features), tuple(sparse), groups, bool(_one(m, "generate_legacy_feature_spec", False)))
 
 
 def read_schema(spark, path: str) -> FeatureSchema:
