@@ -15,8 +15,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gneiss.operators.profile import LoadTimer
 
@@ -251,7 +253,7 @@ def remote_model(project: str, model: str, client) -> Callable[[str], Callable]:
 
 
 def _cuts(n: int, spec: ModelSpec) -> list[tuple[int, int]]:
-    """N rows in batches of max_batch at most; they are made even, so that none is below min_batch if that can be."""
+    """N rows in batches of max_batch at most, as few as can be and of even sizes: so the smallest one is as large as it can be."""
     parts = -(-n // spec.max_batch)
     return [(n * i // parts, n * (i + 1) // parts) for i in range(parts)]
 
@@ -280,10 +282,52 @@ def handler(spec: ModelSpec, override=None) -> Callable[..., Column]:
 
 
 def run_inference(df: DataFrame, inputs: list[str], spec: ModelSpec, output: str = "prediction", override=None) -> DataFrame:
-    """Df with predictions; whatever key it has stays as it is."""
+    """Df with predictions; whatever key it has stays as it is. A model that asks for a smallest batch gets rows of several
+    Arrow batches of a task together (I11)."""
+    if spec.min_batch > 1:
+        return _in_full_batches(df, inputs, spec, output, override)
     return df.withColumn(output, handler(spec, override)(*inputs))
 
 
+def _in_full_batches(df: DataFrame, inputs: list[str], spec: ModelSpec, output: str, override) -> DataFrame:
+    """Batches of max_batch go as soon as enough rows are held back that any number of them and later ones can be cut evenly
+    without falling below min_batch."""
+    if spec.min_batch > spec.max_batch:
+        raise ValueError("the smallest batch is larger than the largest")
+    kind, names, token = validate(spec), spec.signatures[0].inputs, _token(spec, override)
+    spare = spec.max_batch - spec.min_batch
+    back = spec.min_batch * max(1, -(-(spec.min_batch - 1) // spare)) if spare else spec.min_batch  # from here on parts of k and k + 1 meet
+    result = df.select(F.lit(None).cast(result_type(spec)).alias("r")).schema["r"].dataType
+    columns = [c for c in df.columns if c != output]
+    schema = T.StructType([*(df.schema[c] for c in columns), T.StructField(output, result)])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        arrow, held, n = to_arrow_type(result), [], 0
+
+        def predicted_rows(table: pa.Table):
+            for a, b in _cuts(table.num_rows, spec):
+                part = table.slice(a, b - a).combine_chunks()
+                rows = _apply(spec, kind, {name: part[c].to_pandas().to_numpy() for name, c in zip(names, inputs)}, b - a, override, token)
+                if kind == "predict":
+                    rows = [dict(zip(spec.signatures[0].outputs, r)) if isinstance(r, (list, tuple)) else r for r in rows]
+                yield from part.append_column(output, pa.array(rows, arrow)).combine_chunks().to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            full = max(0, n - back) // spec.max_batch * spec.max_batch
+            if full:
+                table = pa.Table.from_batches(held)
+                yield from predicted_rows(table.slice(0, full))
+                held, n = table.slice(full).to_batches(), n - full
+        if n:
+            yield from predicted_rows(pa.Table.from_batches(held))
+
+    return df.select(*columns).mapInArrow(run, schema)
+
+
 def run_inference_per_model(df: DataFrame, inputs: list[str], specs: list[ModelSpec], output: str = "predictions", override=None) -> DataFrame:
     """Df with a struct m0, m1, .. of all models' predictions, in the order of the specs."""
     return df.withColumn(output, F.struct(*[handler(s, override)(*inputs).alias(f"m{i}") for i, s in enumerate(specs)]))

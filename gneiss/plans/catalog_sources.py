@@ -399,6 +399,22 @@ def infer_remote(spark, d):
     return inference.run_inference(t, ["l_quantity", "flag"], spec).select("l_orderkey", "l_linenumber", "prediction.y")
 
 
+@query("select l_orderkey, l_linenumber, l_quantity * 2 + 1 as y, true as within from lineitem")
+def infer_batch_limits(spark, d):
+    """The model sees batches of 700 to 2,000 rows, whatever Arrow batches they come in."""
+
+    def load(path):
+        def run(batch, signature):
+            x = batch["x"]
+            return {"y": 2 * x + 1, "n": [len(x)] * len(x)}
+
+        return run
+
+    spec = inference.ModelSpec("sized", (inference.Signature("predict", ("x",), {"y": "double", "n": "bigint"}),), load, max_batch=2000, min_batch=700)
+    got = inference.run_inference(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_quantity"], spec)
+    return got.select("l_orderkey", "l_linenumber", "prediction.y", F.col("prediction.n").between(700, 2000).alias("within"))
+
+
 @query("select count(*) > 0 as loaded from supplier")
 def model_load_times(spark, d):
     """Every worker that runs a model tells how long it took to load it."""

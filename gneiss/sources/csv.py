@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,9 +160,7 @@ def decode(lines: DataFrame, column: str, form: CsvFormat, schema: FeatureSchema
 def read(spark: SparkSession, paths: str | list[str], form: CsvFormat, schema: FeatureSchema | None = None, raw_record: str | None = None, skip_header_lines: int = 0) -> DataFrame:
     """The CSV files of some patterns; one physical line is one record.
 
-    With header lines to skip, files are read whole by line offset: a line's number within its file comes from a
-    window over the file's first split only where the file is small; the usual single header is left out by equality
-    with the first line of its file.
+    Header lines to skip are counted in each file's first split.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
@@ -172,20 +172,25 @@ def read(spark: SparkSession, paths: str | list[str], form: CsvFormat, schema: F
 
 
 def _without_headers(spark: SparkSession, paths: list[str], n: int) -> DataFrame:
-    """Lines of files but for the first n of each. A split knows its place in the file by the block's start offset."""
+    """Lines of files but for the first n of each. A split knows its place in the file by the block's start offset.
+
+    Only a file's first split has its lines counted, in runs of one file; batches of later splits pass as they are.
+    """
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"))
 
     def drop(batches):
-        import pyarrow as pa
-
         seen: dict = {}
         for b in batches:
-            keep = []
-            for f, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                # the first split of a file counts its lines from the start
-                k = seen.get(f, 0)
-                seen[f] = k + 1
-                keep.append(s > 0 or k >= n)
-            yield b.select(["value"]).filter(pa.array(keep, pa.bool_()))
+            first = b.column(2).to_numpy() == 0
+            if not first.any():
+                yield b.select(["value"])
+                continue
+            files = b.column(1).dictionary_encode()
+            keep = ~first
+            for i, f in enumerate(files.dictionary.to_pylist()):
+                at = np.flatnonzero(first & (files.indices.to_numpy() == i))
+                keep[at[max(0, n - seen.get(f, 0)) :]] = True
+                seen[f] = seen.get(f, 0) + len(at)
+            yield b.select(["value"]).filter(pa.array(keep))
 
     return lines.mapInArrow(drop, "value string")

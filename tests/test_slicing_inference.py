@@ -169,3 +169,20 @@ def test_rest_client():
 def test_batches_are_even():
     spec = I.ModelSpec("m", (), max_batch=10, min_batch=5)
     assert I._cuts(0, spec) == [] and I._cuts(10, spec) == [(0, 10)] and I._cuts(21, spec) == [(0, 7), (7, 14), (14, 21)]
+
+
+@pytest.mark.parametrize("n,low,high", [(1, 5, 10), (9, 5, 10), (23, 5, 10), (1003, 64, 100), (1000, 100, 100), (0, 2, 3)])
+def test_batch_limits_over_arrow_batches(spark, n, low, high):
+    def load(path):
+        return lambda batch, signature: {"n": [len(batch["x"])] * len(batch["x"]), "x": batch["x"]}
+
+    spec = I.ModelSpec("sized", (I.Signature("predict", ("x",), {"n": "bigint", "x": "bigint"}),), load, max_batch=high, min_batch=low)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = I.run_inference(spark.range(0, n, 1, 1).withColumn("k", F.concat(F.lit("k"), "id")), ["id"], spec).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.id, r.k, r.prediction.x) for r in got] == [(i, f"k{i}", i) for i in range(n)]
+    assert all(r.prediction.n <= high and (r.prediction.n >= low or n < low) for r in got)
+    with pytest.raises(ValueError):
+        I.run_inference(spark.range(1), ["id"], I.ModelSpec("sized", spec.signatures, load, max_batch=2, min_batch=3))

@@ -322,3 +322,19 @@ def test_columns_of_a_batch_and_record_by_record():
         except wire.ParseError:
             with pytest.raises(wire.ParseError):
                 wire.columns(pa.array([some[1], some[0][:cut]]), kinds)
+
+
+def test_csv_headers_of_many_splits(spark, tmp_path):
+    """Header lines are those of each file's beginning, wherever its splits lie."""
+    want = []
+    for f in range(3):
+        lines = [f"{f},{i}" for i in range(4000 if f else 2)]
+        want += [(f, i) for i in range(4000 if f else 2)]
+        (tmp_path / f"{f}.csv").write_text("a,b\nunits,units\n" + "\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = csv.read(spark, str(tmp_path), form(2), skip_header_lines=2)
+        assert got.rdd.getNumPartitions() > 8
+        assert sorted((int(r.f1[0]), int(r.f2[0])) for r in got.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
