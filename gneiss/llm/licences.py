@@ -1,7 +1,8 @@
 """License scans by diagonal voting.
 
 Every rolling word k-gram of every text is hashed and joined, in Spark, with the positions of the same k-grams in the
-license templates. A hit votes for the diagonal (position in the text minus position in the template). Hits of a
+license templates: pairs of words for short notices, five words for the bodies of licences, whose pairs ("of the") would hit
+ordinary prose everywhere. A hit votes for the diagonal (position in the text minus position in the template). Hits of a
 document and template that follow each other in both, on the same or neighbouring diagonals, are chained, so a few
 inserted or dropped words don't split a span; a chain's votes are the different template positions that it hits.
 
@@ -35,10 +36,11 @@ from pyspark.sql import functions as F
 from .store import bounded_batches
 from .text import ALNUM, chunks, utf8, word_hashes
 
-K = 2
+K, K_BODY = 2, 5  # words of a k-gram, of notices and of bodies
+BODY = 40  # words from which a template is a body
 GAP = 3  # hits whose diagonals are this near to each other can follow each other in a span
 LEAP = 8  # template positions from one hit of a span to the next, at most
-AHEAD = LEAP + GAP + K  # words that a hit carries, from its own first one on
+AHEAD = LEAP + GAP + K_BODY  # words that a hit carries, from its own first one on
 SHARE = 0.6  # of a template's k-grams that a span must hit, and of a span's words that must be the template's
 
 #: Phrases of the base contract and their labels.
@@ -55,8 +57,65 @@ TEMPLATES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software",
 }
 
+#: Standard texts of licences and of the notices that they ask for.
+BODIES = {
+    "mit-text": """
+permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish
+distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to
+the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial
+portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to
+the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright
+holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or
+in connection with the software or the use or other dealings in the software
+""",
+    "isc-text": """
+permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that
+the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims
+all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the
+author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data
+or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or
+performance of this software
+""",
+    "bsd-text": """
+redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the
+documentation and or other materials provided with the distribution
+""",
+    "bsd-warranty": """
+this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not
+limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the
+copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including
+but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused
+and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out
+of the use of this software even if advised of the possibility of such damage
+""",
+    "apache-2.0-text": """
+licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may
+obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing
+software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express
+or implied see the license for the specific language governing permissions and limitations under the license
+""",
+    "gpl-text": """
+this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as
+published by the free software foundation either version 3 of the license or at your option any later version this program is
+distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or
+fitness for a particular purpose see the gnu general public license for more details
+""",
+    "mpl-2.0-text": """
+this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this
+file you can obtain one at http mozilla org mpl 2 0 or https mozilla org mpl 2 0
+""",
+    "unlicense-text": """
+this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or
+distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any
+means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest
+in the software to the public domain
+""",
+}
+
 NUMBERS = [str(i) for i in range(100)]
-#: Template words that a span must have, each time that they stand in the template.
+#: Words of a notice that a span must have, each time that they stand there; of a body, only the numbers.
 TELLING = {*NUMBERS, *"apache gnu general public mit cc by nc creative commons attribution redistribution binary permission granted charge".split()}
 #: Words that make another licence of a template when they are inserted.
 QUALIFIERS = {*NUMBERS, *"lesser library affero nc noncommercial non commercial sa sharealike share alike nd noderivatives noderivs no derivatives font".split()}
@@ -67,44 +126,52 @@ SENTINEL = -(2**63)  # stands for a document's own row; no k-gram keeps this has
 
 
 def _hashes(buf, offsets):
-    """k-gram hashes (int64), their word positions and rows; the number of words of each row; all words' hashes (int64)."""
+    """Hashes of all words (int64), their positions in their rows, their rows, and the number of words of each row."""
     h, rows = word_hashes(buf, offsets, ALNUM)
     n_words = np.bincount(rows, minlength=len(offsets) - 1)
-    first = np.cumsum(n_words) - n_words
-    pos = np.arange(len(h)) - first[rows]
-    if len(h) < K:
-        return np.zeros(0, np.int64), pos[:0], rows[:0], n_words, h.view(np.int64)
-    n = len(h) - K + 1
-    g = np.zeros(n, np.uint64)
-    for j in range(K):
+    return h, np.arange(len(h)) - (np.cumsum(n_words) - n_words)[rows], rows, n_words
+
+
+def _grams(h, pos, rows, k: int):
+    """k-gram hashes (int64), their word positions and rows."""
+    if len(h) < k:
+        return np.zeros(0, np.int64), pos[:0], rows[:0]
+    n = len(h) - k + 1
+    g = np.full(n, k, np.uint64)
+    for j in range(k):
         g = g * np.uint64(0xD1342543DE82EF95) + h[j : n + j]
-    keep = rows[:n] == rows[K - 1 :]
+    keep = rows[:n] == rows[k - 1 :]
     g = g.view(np.int64)[keep]
     g[g == SENTINEL] += 1
-    return g, pos[:n][keep], rows[:n][keep], n_words, h.view(np.int64)
+    return g, pos[:n][keep], rows[:n][keep]
+
+
+def size_of_grams(text: str) -> int:
+    return K_BODY if len(text.split()) >= BODY else K
 
 
 def template_rows(templates: dict[str, str]) -> list[tuple[int, int, int]]:
     """(hash, template number, position) of each k-gram; the document row's hash comes last."""
-    texts = [*PHRASES, *templates.values()]
-    buf, offsets = utf8(pa.array(texts))
-    g, pos, rows, _, _ = _hashes(buf, offsets)
-    return [(int(a), int(b), int(c)) for a, b, c in zip(g, rows, pos)] + [(SENTINEL, -1, 0)]
+    out = []
+    for i, text in enumerate([*PHRASES, *templates.values()]):
+        g, pos, _ = _grams(*_hashes(*utf8(pa.array([text])))[:3], size_of_grams(text))
+        out += [(int(a), i, int(c)) for a, c in zip(g, pos)]
+    return out + [(SENTINEL, -1, 0)]
 
 
 def word_table(texts) -> list[list[int]]:
     """The hashes of the words of each text."""
-    _, _, _, n_words, h = _hashes(*utf8(pa.array(list(texts))))
-    return [x.tolist() for x in np.split(h, np.cumsum(n_words)[:-1])]
+    h, _, _, n_words = _hashes(*utf8(pa.array(list(texts))))
+    return [x.tolist() for x in np.split(h.view(np.int64), np.cumsum(n_words)[:-1])]
 
 
 class Verifier:
     """Finds and verifies the spans of one template among a text's hits."""
 
     def __init__(self, text: str):
-        self.words = word_table([text])[0]
-        self.need = len(self.words) - K + 1
-        self.telling = {h for (h,) in word_table(sorted(TELLING))} & set(self.words)
+        self.words, self.k = word_table([text])[0], size_of_grams(text)
+        self.need = len(self.words) - self.k + 1
+        self.telling = {h for (h,) in word_table(sorted(TELLING) if self.k == K else NUMBERS)} & set(self.words)
         self.other = {h for (h,) in word_table(sorted(QUALIFIERS))} - set(self.words)
 
     def spans(self, hits: list[tuple[int, int, bytes]]) -> list[tuple[int, int, float]]:
@@ -134,29 +201,29 @@ class Verifier:
 
     def verified(self, chain) -> int | None:
         """The last word of a chain of hits, or None if its words are not the template's."""
-        met, inserted = set(), []
+        met, inserted, k = set(), [], self.k
         for (pos, at, ahead), (p, a, _) in zip(chain, [*chain[1:], (None, None, None)]):
-            met.update(range(at, at + K))
+            met.update(range(at, at + k))
             ahead = np.frombuffer(ahead, np.int64).tolist()
             if p is None:  # what is left of the template may follow without making a k-gram
                 a = len(self.words)
-                text = ahead[K : K + a - at - K + GAP]
-            elif p - pos < K:  # a word of the text stands for one of the template only
+                text = ahead[k : a - at + GAP]
+            elif p - pos < k:  # a word of the text stands for one of the template only
                 if a - at > p - pos:
-                    met.difference_update(range(at + p - pos, at + K))
+                    met.difference_update(range(at + p - pos, at + k))
                 continue
             else:
-                text = ahead[K : p - pos]
+                text = ahead[k : p - pos]
             left, last = [], 0
-            for k in range(at + K, a):
-                if self.words[k] in text[last:]:
-                    j = text.index(self.words[k], last)
+            for i in range(at + k, a):
+                if self.words[i] in text[last:]:
+                    j = text.index(self.words[i], last)
                     left += text[last:j]
                     last = j + 1
-                    met.add(k)
+                    met.add(i)
             inserted += left if p is None else left + text[last:]
-        end = pos + K - 1 + last
-        if self.other.intersection(inserted) or any(w in self.telling for k, w in enumerate(self.words) if k not in met):
+        end = pos + k - 1 + last
+        if self.other.intersection(inserted) or any(w in self.telling for i, w in enumerate(self.words) if i not in met):
             return None
         return end if len(met) >= SHARE * (end - chain[0][0] + 1) else None
 
@@ -164,10 +231,10 @@ class Verifier:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """Per row of docs(doc_id, text): words, base places and labels, and the spans found by the templates.
 
-    templates maps labels to texts, by default the short notices of TEMPLATES. At most MOST words of them are taken, which
+    templates maps labels to texts, by default the short notices of TEMPLATES and the texts of BODIES. At most MOST words of them are taken, which
     bounds what is broadcast.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = TEMPLATES | BODIES if templates is None else templates
     if sum(len(x.split()) for x in templates.values()) > MOST:
         raise ValueError(f"templates hold more than {MOST} words")
     spark = docs.sparkSession
@@ -183,9 +250,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             buf, offsets = utf8(batch.column(1))
             for i, j in chunks(offsets):
                 off = offsets[i : j + 1]
-                g, pos, rows, n_words, h = _hashes(buf[off[0] : off[-1]], off - off[0])
-                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g)
-                g, pos, rows = g[hit], pos[hit], rows[hit]
+                h, places, of, n_words = _hashes(buf[off[0] : off[-1]], off - off[0])
+                parts = []
+                for k in (K, K_BODY):
+                    g, pos, rows = _grams(h, places, of, k)
+                    hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g)
+                    parts.append((g[hit], pos[hit], rows[hit]))
+                g, pos, rows = (np.concatenate(x) for x in zip(*parts))
+                h = h.view(np.int64)
                 ends = np.cumsum(n_words)
                 at = (ends - n_words)[rows] + pos
                 h = np.append(h, 0)

@@ -348,3 +348,29 @@ def test_bpe_a_megabyte_of_random_letters():
     text, began = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), time.perf_counter()
     assert eng.documents([text])[0][2] == hashlib.sha256(text.encode()).hexdigest()
     assert time.perf_counter() - began < 180
+
+
+def test_licence_bodies(spark):
+    """Whole texts with changed words and breaks, parts of them, and prose with the same pairs of words."""
+    mit, bsd, gpl = (licences.BODIES[x].split() for x in ("mit-text", "bsd-warranty", "gpl-text"))
+    changed = [*mit[:30], "hereinafter", *mit[30:90], "a", "few", *mit[92:]]
+    apache = licences.BODIES["apache-2.0-text"].replace("version 2 0 the", "Version 2.0 (the").replace("http www apache org licenses license 2 0", "http://www.apache.org/licenses/LICENSE-2.0")
+    lesser = " ".join(gpl).replace("gnu general", "gnu lesser general")
+    cases = [
+        (" ".join(mit).upper(), "mit-grant,mit-text"),
+        ("Copyright 2020 someone\n\n" + "\n * ".join(changed) + "\nthe end", "mit-grant,mit-text"),
+        (" ".join(mit[:60]), "mit-grant"),
+        (" ".join(mit[::2]), ""),
+        ("word " * 300 + " ".join(bsd) + " word" * 300, "bsd-warranty"),
+        (apache, "apache-2.0,apache-2.0-text"),
+        (" ".join(gpl), "gpl-text"),
+        (" ".join(gpl).replace("version 3", "version 2"), ""),
+        (lesser, ""),
+        ("in the end of the day in the hope that it will be useful for any purpose and to any person in the world", ""),
+        ("\n".join(t.strip() for t in licences.BODIES.values()), ",".join(sorted([*licences.BODIES, "apache-2.0", "mit-grant"]))),
+    ]
+    got, phrases = by_id(licences.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string"))), set(licences.PHRASES.values())
+    for i, (text, labels) in enumerate(cases):
+        assert ",".join(sorted(set(got[i].labels.split(",")) - phrases - {""})) == labels, (i, got[i].labels)
+    assert (got[4].first_span, got[4].last_span_end) == (300, 300 + len(bsd) - 1)
+    assert got[0].score == 1.0 and got[3].score == 0.0
