@@ -249,16 +249,14 @@ class Writer(ds.DataSourceArrowWriter):
         name, n, out = f"_temporary-{self.job}/part-{part:05d}-{attempt}-{uuid.uuid4().hex[:8]}.rec", 0, None
         packer = zlib.compressobj(wbits=31) if self.compress else None
         try:
-            for whole in iterator:
-                step = max(1, whole.num_rows * examples.BATCH_BYTES // max(1, whole.nbytes))
-                for lo in range(0, whole.num_rows, step):
-                    records = self._records(whole.slice(lo, step))
-                    if out is None:
-                        store.create_dir(f"{root}/_temporary-{self.job}", recursive=True)
-                        out = store.open_output_stream(f"{root}/{name}")
-                    data = wire.frame(records)
-                    out.write(packer.compress(data) if packer else data)
-                    n += len(records)
+            for b in examples.pieces(iterator):
+                records = self._records(b)
+                if out is None:
+                    store.create_dir(f"{root}/_temporary-{self.job}", recursive=True)
+                    out = store.open_output_stream(f"{root}/{name}")
+                data = wire.frame(records)
+                out.write(packer.compress(data) if packer else data)
+                n += len(records)
             if out is not None and packer:
                 out.write(packer.flush())
         finally:

@@ -17,15 +17,29 @@ from gneiss.sources import wire
 
 SEQUENCE = "##SEQUENCE##"
 BATCH_BYTES = 64 << 20  # of columns that are encoded at a time
+PIECE_BYTES = 1 << 20  # of columns that are made into Python's objects at a time; these take ten times as much and more
 _ARROW = {"INT": pa.int64(), "FLOAT": pa.float32(), "BYTES": pa.binary()}
 
 
+def pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in runs of at most `size` bytes, or of one row; halved until they fit, so that long rows stand alone."""
+    for b in batches:
+        todo = [b] if b.num_rows else []
+        while todo:
+            b = todo.pop()
+            if b.num_rows > 1 and b.nbytes > size:
+                half = b.num_rows // 2
+                todo += [b.slice(half), b.slice(0, half)]
+            else:
+                yield b
+
+
 def infer_schema(records: DataFrame, column: str) -> dict[str, str | None]:
     """{feature: kind or None if never set}, sorted by name; two kinds for one feature are an error. One aggregate."""
 
     def run(batches):
         kinds: dict = {}
-        for b in batches:
+        for b in pieces(batches):
             for r in b.column(0).to_pylist():
                 for name, (kind, _) in wire.parse_example(r).items():
                     kinds.setdefault(name, set()).add(kind)
@@ -112,7 +126,7 @@ def decode_examples(records: DataFrame, column: str, schema: FeatureSchema | dic
     n_keep = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in pieces(batches):
             record = b.column(n_keep)
             made = list_columns(record, typed)
             cols = [b.column(i) for i in range(n_keep)] + made
@@ -131,7 +145,7 @@ def infer_sequence_schema(records: DataFrame, column: str) -> tuple[dict, dict]:
     def run(batches):
         context: dict = {}
         steps: dict = {}
-        for b in batches:
+        for b in pieces(batches):
             for r in b.column(0).to_pylist():
                 c, s = wire.parse_sequence(r)
                 for name, (kind, _) in c.items():
@@ -170,7 +184,7 @@ def decode_sequences(records: DataFrame, column: str, context: dict | FeatureSch
     n_keep = len(kept)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             raw = b.column(n_keep).to_pylist()
             made, held = sequence_columns(raw, typed, typed_steps)
             cols = [b.column(i) for i in range(n_keep)] + made
@@ -282,7 +296,7 @@ def encode_sequences(df: DataFrame, sequence: str = SEQUENCE, record: str = "rec
     n_keep = len(keep)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             out = sequence_bytes([b.column(n_keep + i) for i in range(len(columns) + 1)], columns, kinds, inner)
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n_keep)], pa.array(out, pa.binary())], [*keep, record])
 

@@ -84,7 +84,7 @@ def write_records(df: DataFrame, path: str, column: str = "record", compress: bo
         part = TaskContext.get().partitionId()
         name, n, out = f"{root}/_part-{part:05d}-{uuid.uuid4().hex}.tmp", 0, None
         packer = zlib.compressobj(wbits=31) if compress else None
-        for b in batches:
+        for b in examples.pieces(batches):
             records = b.column(0).to_pylist()
             if records and out is None:
                 out = store.open_output_stream(name)

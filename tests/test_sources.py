@@ -3,6 +3,7 @@
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -183,6 +184,26 @@ def test_sequences(spark):
         examples.decode_sequences(df, "record", FeatureSchema((Feature(examples.SEQUENCE, "INT"),)))
 
 
+def test_sequences_by_pieces(spark, monkeypatch):
+    """Python's objects are made of few rows at a time, however large a batch is; a long row stands alone."""
+    runs, frame = [], type(spark.range(1))
+    whole = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **k: runs.append(f) or whole(self, f, *a, **k))
+    df = spark.createDataFrame([], f"c array<bigint>, `{examples.SEQUENCE}` struct<t: array<array<binary>>>")
+    examples.decode_sequences(examples.encode_sequences(df), "record", {"c": "INT"}, {"t": "BYTES"})
+    encode, decode = runs
+    sizes = []
+    for name, size in (("sequence_bytes", lambda x: (len(x[0]), sum(c.nbytes for c in x))), ("sequence_columns", lambda x: (len(x), sum(map(len, x))))):
+        monkeypatch.setattr(examples, name, lambda x, *a, size=size, real=getattr(examples, name): sizes.append(size(x)) or real(x, *a))
+    steps = [[[b"x" * (3 << 20 if i == 1234 else 2000)], [], [bytes([i % 256])]] for i in range(3000)]
+    held = pa.StructArray.from_arrays([pa.array(steps, pa.list_(pa.list_(pa.binary())))], ["t"])
+    batch = pa.RecordBatch.from_arrays([pa.array([[i] for i in range(3000)]), held], ["c", examples.SEQUENCE])
+    records = list(encode([batch.slice(0, 0), batch]))
+    got = pa.Table.from_batches(decode([pa.Table.from_batches(records).combine_chunks().to_batches()[0]]))
+    assert got.column("c").to_pylist() == [[i] for i in range(3000)] and [r["t"] for r in got.column(examples.SEQUENCE).to_pylist()] == steps
+    assert sum(n for n, _ in sizes) == 6000 and all(n == 1 or b <= examples.PIECE_BYTES for n, b in sizes)
+
+
 def test_record_files(spark, tmp_path):
     df = spark.createDataFrame([(bytes([i]) * i,) for i in range(50)], "record binary").repartition(3)
     for compress in (False, True):
