@@ -18,7 +18,7 @@ product of the original vectors, in double precision.
 
 Queries visit groups in the order of what they promise: their largest norm times the cosine to their centre, less their spread. How many is measured in each run, not assumed:
 CALIBRATION queries are answered exactly against all rows, and every query visits as many groups as hold COVER of those
-answers. Up to ALL_GROUPS groups, all are visited. Where data have no structure (independent random directions),
+answers, and more until these hold K vectors besides its own: one rule for tables of every size. Where data have no structure (independent random directions),
 that is nearly all of them: the stated query set then passes every shard once, in blocks.
 
 Partitions are sorted so that a shard's vectors come first and the queries follow, block by block: a task holds one
@@ -45,7 +45,7 @@ SHARD_ROWS = 16_384
 LEAST_SHARDS = 8
 BANDS, RATIO = 64, 1.2  # bands of norm, and how far norms in one differ
 SAMPLE, MAX_CELLS = 8192, 256
-CALIBRATION, COVER, ALL_GROUPS = 128, 0.99, 16
+CALIBRATION, COVER = 128, 0.99
 DEGREE, BUILD_BEAM, QUERY_BEAM, ALPHA = 40, 64, 160, 1.2
 ALIKE = 0.2  # last component on a shard's sphere up to which its directions alone say what is near (norms within 2 %)
 STARTS = 256  # points of a shard at which searches begin: enough to stand in most of its clusters
@@ -264,6 +264,7 @@ class Router:
             self.groups += len(self.centres[wanted[b]])
         self.most = np.zeros(self.groups)  # largest norm of each group, 0 for an empty one
         self.spread = np.zeros(self.groups)  # angle between a group's centre and its vectors, by their mean cosine
+        self.size = np.zeros(self.groups, np.int64)
         self.shards = np.zeros(self.groups, np.int64)
         self.probes = self.groups
 
@@ -292,6 +293,13 @@ class Router:
         promise = np.cos(np.maximum(0.0, angle - self.spread)) * self.most
         return np.argsort(np.where(self.most > 0, -promise, np.inf), axis=1, kind="stable")
 
+    def visits(self, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and groups that they visit: the first `probes` of each one's order, and more until they hold k vectors besides its own."""
+        order = self.order(v)[:, : max(self.probes, k + 1)]
+        before = np.cumsum(self.size[order], axis=1) - self.size[order]
+        query, place = np.nonzero((np.arange(order.shape[1]) < self.probes) | (before <= k))
+        return query, order[query, place]
+
 
 def _shard(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A shard's points on the sphere, its graph and where searches begin."""
@@ -327,27 +335,29 @@ def _search_shard(vectors, members, queries, query_ids, state, k, beam):
 
 
 def _calibrated(points: DataFrame, queries: DataFrame, router: Router, dim: int, k: int) -> int:
-    """How many groups hold COVER of the k nearest of a bounded set of queries, which are found exactly, over all points."""
-    some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).collect()
+    """How many groups hold COVER of the k nearest of a bounded set of queries, which are found exactly, over all points but the query's own."""
+    some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).select("v", F.xxhash64("v").alias("h")).collect()
     if not some:
         return 1
-    asked = np.array([r.v for r in some], np.float64)
+    asked, own = np.array([r.v for r in some], np.float64), np.array([r.h for r in some])[:, None]
 
     def run(batches):
         best, of = np.full((len(asked), k), -np.inf), np.full((len(asked), k), -1)
         for batch in batches:
             if batch.num_rows:
                 v = _matrix(batch.column(0), dim)
-                score = np.concatenate([best, asked @ v.T], axis=1)
+                score = np.concatenate([best, np.where(own == batch.column(2).to_numpy(), -np.inf, asked @ v.T)], axis=1)
                 group = np.concatenate([of, np.tile(router.group(v, batch.column(1).to_numpy()), (len(asked), 1))], axis=1)
                 top = np.argpartition(-score, k - 1, axis=1)[:, :k]
                 best, of = np.take_along_axis(score, top, 1), np.take_along_axis(group, top, 1)
-        q, c = np.nonzero(of >= 0)
+        q, c = np.nonzero(best > -np.inf)
         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best[q, c]), pa.array(of[q, c])], ["q", "score", "group"])
 
-    found = points.select("v", "band").mapInArrow(run, "q long, score double, group long")
+    found = points.select("v", "band", "h").mapInArrow(run, "q long, score double, group long")
     first = Window.partitionBy("q").orderBy(F.desc("score"))
     nearest = found.withColumn("i", F.row_number().over(first)).where(F.col("i") <= k).select("q", "group").collect()  # CALIBRATION * k rows
+    if not nearest:
+        return 1
     place = np.argsort(router.order(asked), axis=1)
     needed = np.sort([place[r.q, r.group] for r in nearest]) + 1
     return int(needed[max(0, int(np.ceil(COVER * len(needed))) - 1)])
@@ -358,7 +368,7 @@ def search(
 ) -> DataFrame:
     """The k nearest of vectors(vec_id, embedding) for each row of queries(vec_id, embedding), by inner product.
 
-    probes sets how many groups a query visits; by default that is calibrated, see above.
+    probes sets how many groups a query visits at least; by default that is calibrated, see above.
     """
     spark = vectors.sparkSession
     kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
@@ -393,7 +403,7 @@ def search(
 
     held = {r.band: r.n for r in points.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}  # BANDS rows at most
     rows = max(1, min(shard_rows, sum(held.values()) // LEAST_SHARDS))
-    sample = points.orderBy("h").limit(SAMPLE if max(held.values()) > rows else 1).select("v").collect()
+    sample = points.orderBy("h").limit(SAMPLE).select("v").collect()
     router = Router(top, held, rows, _directions(np.array([r.v for r in sample], np.float64)))
 
     def grouped(batches):
@@ -404,9 +414,9 @@ def search(
 
     sizes = points.select("v", "band", "norm").mapInArrow(grouped, "group int, norm double, cosine double").groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("most"), F.avg("cosine").alias("cosine"))
     for r in sizes.collect():  # BANDS * MAX_CELLS rows at most
-        router.shards[r.group], router.most[r.group], router.spread[r.group] = -(-r.n // shard_rows), r.most, np.arccos(np.clip(r.cosine, -1, 1))
+        router.size[r.group], router.shards[r.group], router.most[r.group], router.spread[r.group] = r.n, -(-r.n // shard_rows), r.most, np.arccos(np.clip(r.cosine, -1, 1))
     held = int((router.most > 0).sum())
-    router.probes = min(held, probes or (held if held <= ALL_GROUPS else _calibrated(points, asked, router, dim, k)))
+    router.probes = min(held, probes or _calibrated(points, asked, router, dim, k))
     first_shard = np.cumsum(router.shards) - router.shards
     shards = int(router.shards.sum())
     element = pa.float32() if kind == "float" else pa.float64()
@@ -423,8 +433,7 @@ def search(
             for lo in range(0, batch.num_rows, 8 * BLOCK):
                 part = batch.slice(lo, 8 * BLOCK)
                 ids, flat = part.column(0).to_numpy(), part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                visits = router.order(_matrix(part.column(1), dim))[:, : router.probes]
-                query, group = np.repeat(np.arange(len(ids)), router.probes), visits.ravel()
+                query, group = router.visits(_matrix(part.column(1), dim), k)
                 by = np.argsort(group, kind="stable")
                 query, group = query[by], group[by]
                 at = np.flatnonzero(np.diff(group, prepend=-1))

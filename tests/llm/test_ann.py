@@ -128,6 +128,26 @@ def test_queries_visit_few_groups_of_clustered_vectors(spark, monkeypatch):
     assert probes[0] < seen[0][1] / 4 and seen[0][2] > 1
 
 
+def test_few_groups_are_calibrated_too(spark, monkeypatch):
+    """One rule for every size: small tables of few groups are routed as large ones are."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(8, 16)), 100, 0)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) + 0.01 * rng.normal(size=x.shape)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    seen, calibrated = [], ann._calibrated
+    monkeypatch.setattr(ann, "_calibrated", lambda points, queries, router, *a: seen.append((calibrated(points, queries, router, *a), int((router.most > 0).sum()))) or seen[-1][0])
+    assert recall(run(spark, rows), brute(rows)) >= 0.95
+    assert seen[0][0] < seen[0][1] <= 16
+
+
+def test_groups_of_one_vector(spark):
+    """Vectors in more bands than are calibrated: a query visits groups until they hold k others."""
+    rows = [(20 * i, [float(np.float32(1.5**i))]) for i in range(21)]
+    assert run(spark, rows) == brute(rows)
+    rows = [(20 * i, [2.0**i if i < 40 else -(2.0 ** (i - 60))]) for i in range(19)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_dimensions_and_extreme_norms(spark):
     rows = [(20, [1.0, 2.0]), (1, [1e-30, 1e-30]), (2, [3e38, 3e38]), (3, [1.0]), (40, [1.0, 1.0, 1.0]), (4, [-1.0, -2.0]), (20, [1.0, 2.0])]
     assert [i for i, _ in run(spark, rows)[20]] == [2, 1, 4] and run(spark, rows).keys() == {20}
